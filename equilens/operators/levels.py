@@ -37,10 +37,9 @@ def _clusters(values: Column) -> Column:
         joined = F.struct((last["total"] + v).alias("total"), (last["n"] + 1).alias("n"))
         opened = F.struct(v.alias("total"), F.lit(1).alias("n"))
         kept = F.slice(groups, F.lit(1), F.size(groups) - 1)
-        near = (F.size(groups) > 0) & (F.abs(v - mean) <= TOLERANCE * mean)
+        near = F.abs(v - mean) <= TOLERANCE * mean
         return F.when(near, F.concat(kept, F.array(joined))).otherwise(F.concat(groups, F.array(opened)))
 
-    # try_element_at semantics are not needed: an empty state short-circuits on size.
     def step(groups: Column, v: Column) -> Column:
         first = F.array(F.struct(v.alias("total"), F.lit(1).alias("n")))
         return F.when(F.size(groups) == 0, first).otherwise(join_or_open(groups, v))
@@ -95,6 +94,6 @@ def levels(bars: DataFrame, n: int = 120) -> DataFrame:
         F.when(tested & (F.col("side") == "low"), F.lit("neckline")),
         F.when(near, F.lit("support")),
     )
-    named = ranked.withColumn("type", F.explode(F.filter(kinds, lambda k: k.isNotNull())))
+    named = ranked.withColumn("_kinds", F.filter(kinds, lambda k: k.isNotNull())).withColumn("type", F.explode("_kinds"))
     label = F.create_map(*[F.lit(x) for pair in LABELS.items() for x in pair])
     return named.select(KEY, "type", label[F.col("type")].alias("label"), "price", "touches")
