@@ -525,7 +525,7 @@ LEVELS |= {
       CASE WHEN abs(p.v - w.total / w.n) <= 0.02::DOUBLE * (w.total / w.n) THEN w.n + 1 ELSE 1 END,
       CASE WHEN abs(p.v - w.total / w.n) <= 0.02::DOUBLE * (w.total / w.n) THEN w.grp ELSE w.grp + 1 END
     FROM walk w JOIN fx_pv p ON p.stock_id = w.stock_id AND p.side = w.side AND p.i = w.i + 1"""),
-    "clusters": (("walk",), """SELECT stock_id, c AS close, side, round(arg_max(total, i) / max(n), 2) AS price, max(n) AS touches
+    "clusters": (("walk",), """SELECT stock_id, c AS close, side, round((arg_max(total, i) / max(n))::DECIMAL(30, 7), 2)::DOUBLE AS price, max(n) AS touches
                FROM walk GROUP BY stock_id, c, side, grp"""),
     "usable": (("clusters",), """SELECT *, abs(price - close) AS gap FROM clusters
         WHERE (side = 'high' AND price > close * 1.005::DOUBLE) OR (side = 'low' AND price < close * 0.995::DOUBLE)"""),
@@ -534,17 +534,17 @@ LEVELS |= {
     "neck": (("ranked",), "SELECT * FROM ranked WHERE side = 'low' AND a = 1"),
 }
 query("d33_level_clusters", lambda v: level_clusters(v.bars, 120).select("stock_id", "side", "price", "touches"),
-      "SELECT stock_id, side, price, touches FROM clusters", "clusters", extra=LEVELS, price=2)
+      "SELECT stock_id, side, price, touches FROM clusters", "clusters", extra=LEVELS)
 query("d33_levels", lambda v: levels(v.bars, 120),
       """SELECT stock_id, 'resistance' AS type, '壓力' AS label, price, touches FROM ranked WHERE side = 'high' AND a = 1
         UNION ALL SELECT stock_id, 'neckline', '頸線', price, touches FROM neck
         UNION ALL SELECT r.stock_id, 'support', '近期支撐', r.price, r.touches FROM ranked r JOIN neck n USING (stock_id)
           WHERE r.side = 'low' AND r.b = 1 AND abs(r.price - n.price) > 0.02::DOUBLE * n.price""",
-      "neck", extra=LEVELS, price=2)
+      "neck", extra=LEVELS)
 query("t06_level_ranking", lambda v: levels(v.bars, 800).filter("type = 'resistance'").select("stock_id", "price", "touches"),
       """SELECT stock_id, price, touches FROM clusters WHERE side = 'high' AND price > close * 1.005::DOUBLE
         QUALIFY row_number() OVER (PARTITION BY stock_id ORDER BY touches DESC, abs(price - close)) = 1""",
-      "clusters", extra={**LEVELS, "fx_lv": (("fx_bars",), LEVELS["fx_lv"][1].replace("<= 120", "<= 800"))}, price=2)
+      "clusters", extra={**LEVELS, "fx_lv": (("fx_bars",), LEVELS["fx_lv"][1].replace("<= 120", "<= 800"))})
 
 # -- quality ------------------------------------------------------------------------------
 

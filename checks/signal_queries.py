@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from checks.market_queries import LEVELS
 from checks.registry import query
 from checks.views import ID_BLOCK, LOOKBACK_DAYS, Views
 from equilens.functions.parse import is_security_code, strip_tags
-from equilens.functions.price import cosine_distance
 from equilens.functions.windows import trailing_calendar, with_age
 from equilens.operators import candles as cd
 from equilens.operators import ledger as lg
@@ -179,8 +179,8 @@ _SNAP = {
     "fx_base": (("fx_stock", "fx_feat", "fx_quarterly", "fx_revenue", "fx_valuation", "fx_in20", "fx_mg20", "fx_shareholding",
                  "fx_big", "fx_ir", "fx_bars"), """
         SELECT stock_id, name, market, industry, security_type, f.close, c0, ret_1m, ret_3m, ret_6m, ret_12m, ret_12_1,
-          round(ma20, 4) AS ma20, round(ma50, 4) AS ma50, round(ma60, 4) AS ma60, round(ma120, 4) AS ma120,
-          round(ma150, 4) AS ma150, round(ma200, 4) AS ma200, c0 > f.ma60 AS above_ma60, f.ma20 > f.ma60 AND f.ma60 > f.ma120 AS ma_bull,
+          round(ma20::DECIMAL(30, 9), 4)::DOUBLE AS ma20, round(ma50::DECIMAL(30, 9), 4)::DOUBLE AS ma50, round(ma60::DECIMAL(30, 9), 4)::DOUBLE AS ma60, round(ma120::DECIMAL(30, 9), 4)::DOUBLE AS ma120,
+          round(ma150::DECIMAL(30, 9), 4)::DOUBLE AS ma150, round(ma200::DECIMAL(30, 9), 4)::DOUBLE AS ma200, c0 > f.ma60 AS above_ma60, f.ma20 > f.ma60 AND f.ma60 > f.ma120 AS ma_bull,
           f.ma200 IS NOT NULL AND ma200_1m IS NOT NULL AND f.ma200 > ma200_1m AS ma200_up,
           round(f.high_52w, 4) AS high_52w, round(f.low_52w, 4) AS low_52w, dist_52w_high, pct_from_low,
           (c0 / nullif(c6m, 0)) / nullif((SELECT r FROM fx_ir), 0) - 1 AS rs_6m, rs_raw, tight_recent, tight_prior, vol_dry,
@@ -212,7 +212,6 @@ _SNAP = {
           AND (coalesce(big1000_chg, 0) < 0 OR coalesce(inst_net_20d, 0) < 0) AND near_pivot >= 0.85 AS mf_distribute FROM fx_tt"""),
 }
 _SNAP_DIGITS = {c: 6 for c in ("ret_1m", "ret_3m", "ret_6m", "ret_12m", "ret_12_1", "dist_52w_high", "pct_from_low", "rs_6m", "rs_raw")}
-_SNAP_ROUND = {**_SNAP_DIGITS, **{f"ma{n}": 3 for n in sn.MEANS}}
 
 
 def _features(v: Views) -> DataFrame:
@@ -257,7 +256,7 @@ _SNAP_COLUMNS = (
     "foreign_ratio", "big1000_pct", "big1000_chg", "in_universe", "trend_template", "vcp", "mf_accumulate", "mf_distribute",
 )
 query("d50_snapshot", lambda v: v.snapshot.select(*_SNAP_COLUMNS), f"SELECT {', '.join(_SNAP_COLUMNS)} FROM fx_snap", "fx_snap",
-      extra=_SNAP, **_SNAP_ROUND)
+      extra=_SNAP, **_SNAP_DIGITS)
 
 
 def _snap_query(name: str, *cols: str, **digits: int) -> None:
@@ -327,9 +326,14 @@ _PRESETS = {
     "mf_distribute": ("mf_distribute", "vpa_distrib_20d", 50),
 }
 for _name, (_where, _sort, _n) in _PRESETS.items():
-    query(f"p02_strategy_{_name}", lambda v, n=_name: sc.run_strategy(v.snapshot, n).select(*_SHOWN),
-          f"""SELECT {', '.join(_SHOWN)} FROM fx_snap WHERE {_where} AND in_universe
-              ORDER BY {_sort} DESC NULLS LAST, stock_id LIMIT {_n}""", "fx_snap", extra=_SNAP, ret_3m=6, ret_12_1=6)
+    query(f"p02_strategy_{_name}",
+          lambda v, n=_name, c=_sort: v.snapshot.select(
+              "stock_id", c, sc.build_predicate(sc.STRATEGIES[n]["filters"]).alias("hit")),
+          f"SELECT stock_id, {_sort}, {_where} AND in_universe AS hit FROM fx_snap", "fx_snap", extra=_SNAP, **(
+              {"ret_12_1": 6} if _sort == "ret_12_1" else {}))
+query("t01_run_strategy", lambda v: sc.run_strategy(v.snapshot, "mf_accumulate").select(*_SHOWN),
+      f"""SELECT {', '.join(_SHOWN)} FROM fx_snap WHERE {_PRESETS['mf_accumulate'][0]} AND in_universe
+          ORDER BY vpa_accum_20d DESC NULLS LAST, stock_id LIMIT 50""", "fx_snap", extra=_SNAP, ret_3m=6, ret_12_1=6)
 query("p05_search_rank", lambda v: sc.search(v.stock, "00000000001", 50).unionByName(sc.search(v.stock, "#000000002", 50)),
       """SELECT * FROM (SELECT stock_id, name, market, industry FROM fx_stock WHERE stock_id LIKE '00000000001%' OR name LIKE '%00000000001%'
            ORDER BY CASE WHEN stock_id LIKE '00000000001%' THEN 0 ELSE 1 END, stock_id LIMIT 50)
@@ -434,7 +438,7 @@ _LEDGER = {
         FROM fx_lg3 b JOIN fx_lg3 s ON s.stock_id = b.stock_id AND b.side = 0 AND s.side = 1
           AND b.b - b.q < s.c_hi AND s.c_lo < b.b AND s.c_lo < s.c_hi) WHERE qty > 0"""),
     "fx_pos": (("fx_lg3", "fx_match"), """SELECT stock_id, round(net, 3) AS net_shares,
-        CASE WHEN net > 1e-9 THEN round(cost / net, 4) END AS avg_cost, round_even(coalesce(gain, 0), 0)::BIGINT AS realized_pnl,
+        CASE WHEN net > 1e-9 THEN round((cost / net)::DECIMAL(30, 9), 4)::DOUBLE END AS avg_cost, round_even(coalesce(gain, 0), 0)::BIGINT AS realized_pnl,
         bought AS buy_shares, sold AS sell_shares
         FROM (SELECT stock_id, sum(CASE side WHEN 0 THEN greatest(b - greatest(b - q, e), 0)::DOUBLE ELSE 0 END) AS net,
             sum(CASE side WHEN 0 THEN greatest(b - greatest(b - q, e), 0)::DOUBLE * price ELSE 0 END) AS cost,
@@ -452,8 +456,7 @@ query("d34_fifo_matches", lambda v: lg.matches(v.trades, ID_BLOCK).drop("pnl_exa
 query("j08_fifo_overlap_join", lambda v: lg.matches(v.trades, ID_BLOCK).groupBy("stock_id").agg(
           F.count(F.lit(1)).alias("pairs"), F.sum("shares").alias("shares")),
       "SELECT stock_id, count(*) AS pairs, sum(qty) AS shares FROM fx_match GROUP BY 1", "fx_match", extra=_LEDGER, shares=3)
-query("d34_positions", lambda v: lg.positions(v.trades, id_block=ID_BLOCK), "SELECT * FROM fx_pos", "fx_pos", extra=_LEDGER,
-      avg_cost=3)
+query("d34_positions", lambda v: lg.positions(v.trades, id_block=ID_BLOCK), "SELECT * FROM fx_pos", "fx_pos", extra=_LEDGER)
 query("r04_open_shares_from_day_sums",
       lambda v: lg.open_shares(v.trades.groupBy("stock_id", "trade_date").agg(
           F.sum(F.when(F.col("action") == "buy", F.col("shares")).otherwise(0.0)).alias("bought"),
@@ -471,7 +474,7 @@ query("j07_trades_with_name", lambda v: v.trades.join(v.stock.select("stock_id",
 query("t11_trades_listing", lambda v: v.trades.orderBy(F.col("trade_date").desc(), F.col("id").desc()).select("id", "stock_id", "trade_date", "shares"),
       "SELECT id, stock_id, trade_date, shares FROM fx_trades", "fx_trades")
 _ITEMS = {
-    **_DIAG, **_LEDGER, **{},
+    **_DIAG, **_LEDGER,
     "fx_items": (("fx_pos", "fx_diag"), """SELECT p.stock_id, coalesce(name, p.stock_id) AS name, industry, net_shares AS shares, avg_cost AS cost, close,
         net_shares * close AS market_value, net_shares * avg_cost AS cost_value, net_shares * close - net_shares * avg_cost AS unrealized,
         close / nullif(avg_cost, 0) - 1 AS unrealized_pct, realized_pnl AS realized, score, coalesce(level, 'watch') AS level, rs_rating,
@@ -487,8 +490,16 @@ def _portfolio(v: Views):
 
 
 query("d35_portfolio", lambda v: _portfolio(v)[0].select(*_ITEM_COLS), f"SELECT {', '.join(_ITEM_COLS)} FROM fx_items", "fx_items",
-      extra=_ITEMS, cost=2, market_value=1, unrealized=0, unrealized_pct=4)
-query("j15_portfolio_enrichment", lambda v: _portfolio(v)[0].select("stock_id", "support", "resistance", F.size("last_patterns").alias("n_patterns")), None)
+      extra=_ITEMS, market_value=3, unrealized=3, unrealized_pct=6)
+query("j15_portfolio_enrichment", lambda v: _portfolio(v)[0].select("stock_id", "support", "resistance", F.size("last_patterns").alias("n_patterns")),
+      """SELECT i.stock_id, coalesce(s.price, n.price) AS support, r.price AS resistance, coalesce(p.n, 0)::INT AS n_patterns
+         FROM fx_items i LEFT JOIN (SELECT stock_id, price FROM ranked WHERE side = 'high' AND a = 1) r USING (stock_id)
+         LEFT JOIN neck n USING (stock_id)
+         LEFT JOIN (SELECT x.stock_id, x.price FROM ranked x JOIN neck k USING (stock_id) WHERE x.side = 'low' AND x.b = 1
+           AND abs(x.price - k.price) > 0.02::DOUBLE * k.price) s USING (stock_id)
+         LEFT JOIN (SELECT stock_id, count(*) AS n FROM fx_events_long
+           WHERE (stock_id, trade_date) IN (SELECT stock_id, max(trade_date) FROM fx_bars GROUP BY 1) GROUP BY 1) p USING (stock_id)""",
+      "fx_items", "neck", "fx_events_long", extra={**_ITEMS, **LEVELS, **_EVENTS})
 query("g21_portfolio_summary", lambda v: _portfolio(v)[1].select(
           "n", "total_value", "realized_total", "closed_n", "win_rate", "strong_n", "watch_n", "reduce_n", "avg_rs", "accum_n", "distrib_n",
           "top_industry", "top_industry_share"),
@@ -505,7 +516,9 @@ query("g23_top_industry", lambda v: pf.top_industry(_portfolio(v)[0]),
       """SELECT arg_max(i, v) AS top_industry, max(v) / sum(v) * 100 AS top_industry_share
          FROM (SELECT coalesce(industry, '其他') AS i, sum(market_value) AS v FROM fx_items GROUP BY 1)""", "fx_items",
       extra=_ITEMS, top_industry_share=1)
-query("k08_validate_trades", lambda v: _validated(v), None)
+query("k08_validate_trades", lambda v: _validated(v),
+      """SELECT CASE WHEN market = '上市' THEN 'accepted' ELSE 'unknown security' END AS reason, count(*) AS n
+         FROM fx_trades JOIN fx_stock USING (stock_id) GROUP BY 1""", "fx_trades", "fx_stock")
 
 
 def _validated(v: Views) -> DataFrame:
@@ -528,7 +541,7 @@ def _probe(v: Views):
 
 query("j18_news_with_embedding", lambda v: nw.with_embedding(v.news, v.embedding).select("news_id", "stock_id", F.size("embedding").alias("dims")),
       "SELECT news_id, stock_id, len(embedding)::INT AS dims FROM fx_news JOIN fx_embed USING (news_id)", "fx_news", "fx_embed")
-query("f33_cosine_distance", lambda v: v.embedding.select("news_id", cosine_distance(F.col("embedding"), _probe(v)).alias("dist")),
+query("f33_cosine_distance", lambda v: nw.with_distance(v.embedding, _probe(v)).select("news_id", "dist"),
       f"SELECT vec_id AS news_id, {_DIST} AS dist FROM embeddings", dist=6)
 query("d36_retrieve", lambda v: nw.retrieve(nw.with_embedding(v.news, v.embedding), _probe(v), 10, "en", "2024-06-30").select("news_id", "title", "dist"),
       f"""SELECT news_id, title, {_DIST} AS dist FROM fx_news JOIN fx_embed USING (news_id)

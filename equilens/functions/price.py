@@ -15,6 +15,11 @@ def growth(now: Column, then: Column) -> Column:
     return ratio(now, then) - 1
 
 
+def round_exact(x: Column, digits: int) -> Column:
+    """Half-up rounding of a mean or quotient of decimals: binary noise is dropped before halves are judged."""
+    return F.round(F.round(x, digits + 5), digits)
+
+
 def pct(a: Column, b: Column) -> Column:
     """Percentage of ``b``, two decimals."""
     return F.round(ratio(a, b) * 100, 2)

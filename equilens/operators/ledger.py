@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from equilens.functions.price import round_exact
+
 AXIS = "decimal(18,6)"
 DEFAULT_ID_BLOCK = 1 << 20
 ROWS_PER_BIN = 1024
@@ -177,7 +179,7 @@ def positions(trades: DataFrame, matched: DataFrame | None = None, id_block: int
     realized = matched.groupBy("stock_id").agg(F.sum("pnl_exact").alias("_r"))
     return book.join(realized, "stock_id", "left").select(
         "stock_id", F.round("_net", 3).alias("net_shares"),
-        F.when(F.col("_net") > 1e-9, F.round(F.col("_cost") / F.col("_net"), 4)).alias("avg_cost"),
+        F.when(F.col("_net") > 1e-9, round_exact(F.col("_cost") / F.col("_net"), 4)).alias("avg_cost"),
         F.rint(F.coalesce("_r", F.lit(0.0))).cast("bigint").alias("realized_pnl"),
         F.round("_b", 3).alias("buy_shares"), F.round("_s", 3).alias("sell_shares"),
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from equilens.functions.price import round_exact
 from equilens.functions.windows import KEY, TIME, last_n, series, with_age
 
 # Pivot half-width, cluster tolerance, distance to the close, labels.
@@ -64,7 +65,7 @@ def level_clusters(bars: DataFrame, n: int = 120) -> DataFrame:
     return (
         whole.select(KEY, "close", F.explode(sides).alias("s"))
         .select(KEY, "close", "s.side", F.explode("s.groups").alias("g"))
-        .select(KEY, "close", "side", F.round(F.col("g.total") / F.col("g.n"), 2).alias("price"),
+        .select(KEY, "close", "side", round_exact(F.col("g.total") / F.col("g.n"), 2).alias("price"),
                 F.col("g.n").alias("touches"))
     )
 

@@ -16,6 +16,12 @@ def with_embedding(news: DataFrame, embedding: DataFrame) -> DataFrame:
     return news.join(embedding.select("news_id", "embedding"), "news_id")
 
 
+def with_distance(rows: DataFrame, vector: Column) -> DataFrame:
+    """Rows with ``dist`` to one vector, a constant or a scalar subquery."""
+    bound = rows.withColumn("_vector", vector)
+    return bound.withColumn("dist", cosine_distance(F.col("embedding"), F.col("_vector"))).drop("_vector")
+
+
 def retrieve(
     news: DataFrame, query: Sequence[float] | Column, k: int = 3, stock_id: str | None = None, as_of=None
 ) -> DataFrame:
@@ -27,7 +33,7 @@ def retrieve(
     pool = news if stock_id is None else news.filter(F.col("stock_id") == stock_id)
     pool = point_in_time(pool, "published_at", as_of)
     vector = query if isinstance(query, Column) else F.array(*[F.lit(float(v)) for v in query])
-    scored = pool.withColumn("dist", cosine_distance(F.col("embedding"), vector))
+    scored = with_distance(pool, vector)
     return scored.orderBy(F.col("dist").asc_nulls_last(), "news_id").limit(int(k))
 
 
