@@ -32,9 +32,11 @@ def keep_first(df: DataFrame, keys: Sequence[str], *order: str | Column) -> Data
 
 
 def latest_row(df: DataFrame, columns: Sequence[str], key: str = KEY, time_col: str = TIME) -> DataFrame:
-    """Columns of every key's newest row."""
-    picked = df.groupBy(key).agg(F.max_by(F.struct(*columns), F.col(time_col)).alias("_row"))
-    return picked.select(key, *[F.col("_row")[c].alias(c) for c in columns])
+    """Columns of every key's newest row; (key, time) is unique.
+
+    One ``max_by`` per column: with fixed-width columns that stays a hash aggregate.
+    """
+    return df.groupBy(key).agg(*[F.max_by(c, time_col).alias(c) for c in columns])
 
 
 def overlay(old: DataFrame, new: DataFrame, pk: Sequence[str], order_col: str | None = None) -> DataFrame:

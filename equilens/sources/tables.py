@@ -43,7 +43,7 @@ def read_security_master(spark: SparkSession, paths, want: str = "stock") -> Dat
     list has tens of thousands of lines.
     """
     listed = [paths] if isinstance(paths, str) else list(paths)
-    text = spark.read.option("wholetext", "true").text(listed).select(
+    text = spark.read.text(listed, wholetext=True).select(
         F.input_file_name().alias("path"), F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line")
     )
     cells = text.select("path", "line_no", F.transform(F.split("line", "\t"), lambda c: F.trim(c)).alias("c"))

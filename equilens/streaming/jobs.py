@@ -45,7 +45,7 @@ def bars_from_events(
 
     Works on a batch frame too. Rows later than the watermark are dropped.
     """
-    marked = events.withWatermark(time_col, late)
+    marked = events.withColumn(time_col, F.col(time_col).cast("timestamp")).withWatermark(time_col, late)
     at = F.struct(time_col, value)
     return marked.groupBy(F.window(time_col, width).alias("_w"), F.col(key)).agg(
         F.min_by(value, at).alias("open"), F.max(value).alias("high"), F.min(value).alias("low"),
