@@ -64,7 +64,8 @@ class Views:
 
     @cached_property
     def bars(self) -> DataFrame:
-        at = F.struct("d", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
+        # Ticks of a day are ordered by amount, then quantity; ticks equal in both have the same price.
+        at = F.unix_date("d").cast("bigint") * (1 << 30) + F.col("cents") * 64 + F.col("l_quantity").cast("bigint")
         raw = self.ticks.groupBy("stock_id", "trade_date").agg(
             F.min_by("price", at).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
             F.max_by("price", at).alias("close"), F.sum("l_quantity").cast("bigint").alias("volume"),
@@ -270,9 +271,9 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "fx_bars": (("fx_ticks",), """
         SELECT *, open AS adj_open, high AS adj_high, low AS adj_low, close AS adj_close FROM (
           SELECT stock_id, trade_date,
-            arg_min(price, (d, l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice)) AS open,
+            arg_min(price, (d - DATE '1970-01-01')::BIGINT * 1073741824 + cents * 64 + l_quantity::BIGINT) AS open,
             max(price) AS high, min(price) AS low,
-            arg_max(price, (d, l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice)) AS close,
+            arg_max(price, (d - DATE '1970-01-01')::BIGINT * 1073741824 + cents * 64 + l_quantity::BIGINT) AS close,
             sum(l_quantity)::BIGINT AS volume, sum(cents)::BIGINT AS amount, count(*)::BIGINT AS trades
           FROM fx_ticks GROUP BY 1, 2)"""),
     "fx_dividend_rows": (("fx_ticks",), """

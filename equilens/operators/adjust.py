@@ -85,8 +85,9 @@ def adjust_prices(bars: DataFrame, dividends: DataFrame | None, reductions: Data
     )
     lands = (F.col("_kind") == 0) & (F.col("_t") <= F.col("_last_bar"))
     axis = axis.withColumn("_ratio", F.when(lands, F.coalesce(from_dividend, positive(F.col("reduction")))))
-    later = w.rowsBetween(1, Window.unboundedFollowing)
-    axis = axis.withColumn("adj_factor", F.coalesce(F.product("_ratio").over(later), F.lit(1.0)))
+    # Newest first: a growing frame, where one that shrinks from the left would be summed anew per row.
+    newer = by_key.orderBy(F.col("_t").desc(), F.col("_kind").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    axis = axis.withColumn("adj_factor", F.coalesce(F.product("_ratio").over(newer), F.lit(1.0)))
     return axis.filter(F.col("_kind") == 1).select(
         KEY,
         F.col("_t").alias(TIME),

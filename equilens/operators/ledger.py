@@ -20,26 +20,30 @@ from pyspark.sql import functions as F
 
 from equilens.functions.price import round_exact
 
-AXIS = "decimal(18,6)"
+UNIT = 1_000_000  # the axis counts millionths of a share in whole numbers
 DEFAULT_ID_BLOCK = 1 << 20
 ROWS_PER_BIN = 1024
 DAY = ("stock_id", "trade_date")
 BLOCK = ("stock_id", "trade_date", "_side", "_block")
 
 
+def _units(shares: Column) -> Column:
+    return F.round(shares.cast("decimal(30,8)") * UNIT).cast("bigint")
+
+
 def _prepared(trades: DataFrame, id_block: int) -> DataFrame:
     money = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in ("fee", "tax")}
     side = F.when(F.col("action") == "buy", 0).otherwise(1)
     return trades.select(
         "stock_id", "trade_date", F.col("id").cast("bigint").alias("id"), side.alias("_side"),
-        F.floor(F.col("id") / F.lit(id_block)).cast("bigint").alias("_block"),
-        F.col("shares").cast(AXIS).alias("shares"), F.col("price").cast("double").alias("price"),
+        F.expr(f"cast(id as bigint) div {int(id_block)}").alias("_block"),
+        _units(F.col("shares")).alias("q"), F.col("price").cast("double").alias("price"),
         money["fee"].alias("fee"), money["tax"].alias("tax"),
-    ).filter(F.col("shares") > 0)
+    ).filter(F.col("q") > 0)
 
 
-def _sum_if(cond: Column, x: str = "shares") -> Column:
-    return F.coalesce(F.sum(F.when(cond, F.col(x))), F.lit(0).cast("decimal(28,6)"))
+def _sum_if(cond: Column, x: str = "q") -> Column:
+    return F.coalesce(F.sum(F.when(cond, F.col(x))), F.lit(0))
 
 
 def _days(rows: DataFrame) -> DataFrame:
@@ -51,12 +55,12 @@ def _days(rows: DataFrame) -> DataFrame:
     w = Window.partitionBy("stock_id").orderBy("trade_date")
     before, upto = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, 0)
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    zero = F.lit(0).cast("decimal(28,6)")
+    zero = F.lit(0)
     walked = per_day.select(
         "*",
         F.coalesce(F.sum("bought").over(before), zero).alias("bought_before"),
         F.coalesce(F.sum("sold").over(before), zero).alias("sold_before"),
-        (F.sum("bought").over(upto) - F.sum("sold").over(upto)).alias("balance"),
+        F.sum(F.col("bought") - F.col("sold")).over(upto).alias("balance"),
         F.sum("bought").over(whole).alias("all_bought"),
         F.sum("sold").over(whole).alias("all_sold"),
         F.sum("rows").over(whole).alias("all_rows"),
@@ -68,50 +72,49 @@ def _days(rows: DataFrame) -> DataFrame:
     )
 
 
-def cumulative(trades: DataFrame, id_block: int = DEFAULT_ID_BLOCK) -> DataFrame:
-    """Trades with their stretch ``[lo, hi)`` on the share axis.
-
-    ``axis_end`` is the total of effective sells of the security and ``bin`` the
-    axis length that holds about ``ROWS_PER_BIN`` trades. ``id`` must be unique;
-    ``id_block`` is the width of the id ranges that are summed separately
-    (serial ids: the number of rows a task may sort; hashed ids: scaled up).
-    """
+def _placed(trades: DataFrame, id_block: int) -> DataFrame:
+    """Trades with their stretch ``[lo, hi)``, the end of the effective sells and the bin width, in axis units."""
     rows = _prepared(trades, id_block)
-    days = _days(rows)
-
     inside_day = Window.partitionBy("stock_id", "trade_date", "_side").orderBy("_block")
-    blocks = rows.groupBy(*BLOCK).agg(F.sum("shares").alias("_sum")).select(
+    blocks = rows.groupBy(*BLOCK).agg(F.sum("q").alias("_sum")).select(
         *BLOCK,
-        F.coalesce(
-            F.sum("_sum").over(inside_day.rowsBetween(Window.unboundedPreceding, -1)),
-            F.lit(0).cast("decimal(38,6)"),
-        ).alias("_offset"),
+        F.coalesce(F.sum("_sum").over(inside_day.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"),
     )
-    bases = blocks.join(days, list(DAY))
+    bases = blocks.join(_days(rows), list(DAY))
 
     inside_block = Window.partitionBy(*BLOCK).orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
-    running = rows.withColumn("_run", F.sum("shares").over(inside_block))
+    running = rows.withColumn("_run", F.sum("q").over(inside_block))
     placed = running.join(bases, list(BLOCK))
 
+    q = F.col("q")
     buy_hi = F.col("bought_before") + F.col("_offset") + F.col("_run")
     raw_hi = F.col("sold_before") + F.col("_offset") + F.col("_run")
     # Buys of a day come before its sells, so a sell sees the whole day's buys.
     balance = F.col("bought_before") + F.col("bought") - raw_hi
     dropped = -F.least(F.col("low_before"), balance)
-    dropped_before = -F.least(F.col("low_before"), balance + F.col("shares"))
+    dropped_before = -F.least(F.col("low_before"), balance + q)
     is_buy = F.col("_side") == 0
-    wide = "decimal(38,6)"
-    sells_kept = F.col("all_sold") + F.col("low_ever")
+    rows_per_bin = F.ceil(F.col("all_rows") / F.lit(ROWS_PER_BIN))
+    width = F.ceil(F.greatest(F.col("all_bought"), F.col("all_sold")) / rows_per_bin).cast("bigint")
     return placed.select(
-        "stock_id", "trade_date", "id", F.when(is_buy, "buy").otherwise("sell").alias("action"),
-        "shares", "price", "fee", "tax",
-        F.when(is_buy, buy_hi).otherwise(raw_hi).cast(wide).alias("cum_shares"),
-        F.when(is_buy, buy_hi - F.col("shares")).otherwise(raw_hi - F.col("shares") - dropped_before)
-        .cast(wide).alias("lo"),
-        F.when(is_buy, buy_hi).otherwise(raw_hi - dropped).cast(wide).alias("hi"),
-        sells_kept.cast(wide).alias("axis_end"),
-        (F.greatest(F.col("all_bought"), F.col("all_sold")).cast("double")
-         / F.ceil(F.col("all_rows") / F.lit(ROWS_PER_BIN))).alias("bin"),
+        "stock_id", "trade_date", "id", is_buy.alias("is_buy"), "q", "price", "fee", "tax",
+        F.when(is_buy, buy_hi).otherwise(raw_hi).alias("cum"),
+        F.when(is_buy, buy_hi - q).otherwise(raw_hi - q - dropped_before).alias("lo"),
+        F.when(is_buy, buy_hi).otherwise(raw_hi - dropped).alias("hi"),
+        (F.col("all_sold") + F.col("low_ever")).alias("axis_end"), width.alias("bin"),
+    )
+
+
+def cumulative(trades: DataFrame, id_block: int = DEFAULT_ID_BLOCK) -> DataFrame:
+    """Every trade with the shares bought (or sold) up to and including it.
+
+    ``id`` must be unique; ``id_block`` is the width of the id ranges that are
+    summed separately (serial ids: the number of rows a task may sort; hashed
+    ids: scaled up).
+    """
+    return _placed(trades, id_block).select(
+        "stock_id", "trade_date", "id", F.when(F.col("is_buy"), "buy").otherwise("sell").alias("action"),
+        (F.col("q") / UNIT).alias("shares"), "price", "fee", "tax", (F.col("cum") / UNIT).alias("cum_shares"),
     )
 
 
@@ -122,22 +125,17 @@ def matches(trades: DataFrame, id_block: int = DEFAULT_ID_BLOCK) -> DataFrame:
     and sells are ordered together: between two neighbouring starts exactly one
     lot and one sell are current. No pair of trades is ever enumerated.
     """
-    axis = cumulative(trades, id_block).filter(F.col("hi") > F.col("lo"))
+    axis = _placed(trades, id_block).filter(F.col("hi") > F.col("lo"))
     # Lots beyond the last effective sell stay open and need no matching.
-    axis = axis.filter((F.col("action") == "sell") | (F.col("lo") < F.col("axis_end")))
-    width = F.col("bin").cast("decimal(38,6)")
-    first_bin = F.floor(F.col("lo") / width).cast("bigint")
-    last_bin = (F.ceil(F.col("hi") / width) - 1).cast("bigint")
-    binned = axis.withColumn("_bin", F.explode(F.sequence(first_bin, F.greatest(first_bin, last_bin))))
-    dec = "decimal(38,6)"
-    bin_lo = (F.col("_bin") * width).cast(dec)
-    bin_hi = ((F.col("_bin") + 1) * width).cast(dec)
-    attrs = F.struct("id", "trade_date", "shares", "price", "fee", "tax", "hi")
+    axis = axis.filter(~F.col("is_buy") | (F.col("lo") < F.col("axis_end")))
+    binned = axis.withColumn("_bin", F.explode(F.expr("sequence(lo div bin, (hi - 1) div bin)")))
+    edge = (F.col("_bin") + 1) * F.col("bin")
+    attrs = F.struct("id", "trade_date", "q", "price", (F.col("fee") + F.col("tax")).alias("cost"), "fee", "hi")
     cut = binned.select(
-        "stock_id", "_bin", bin_hi.alias("_edge"), F.greatest(F.col("lo"), bin_lo).alias("_pos"),
-        F.when(F.col("action") == "buy", attrs).alias("_buy"), F.when(F.col("action") == "sell", attrs).alias("_sell"),
+        "stock_id", "_bin", edge.alias("_edge"), F.greatest(F.col("lo"), F.col("_bin") * F.col("bin")).alias("_pos"),
+        "is_buy", F.when(F.col("is_buy"), attrs).alias("_buy"), F.when(~F.col("is_buy"), attrs).alias("_sell"),
     )
-    w = Window.partitionBy("stock_id", "_bin").orderBy("_pos", F.col("_sell").isNotNull())
+    w = Window.partitionBy("stock_id", "_bin").orderBy("_pos", "is_buy")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     current = cut.select(
         "stock_id", "_pos",
@@ -147,33 +145,35 @@ def matches(trades: DataFrame, id_block: int = DEFAULT_ID_BLOCK) -> DataFrame:
     )
     piece = F.least(F.col("_next"), F.col("b.hi"), F.col("s.hi")) - F.col("_pos")
     pieces = current.filter(F.col("b").isNotNull() & F.col("s").isNotNull()).withColumn("_piece", piece)
+    # Pieces of a pair cut by a bin border meet again here; the rest is fixed-width and equal within a pair.
+    carried = {
+        "buy_date": "b.trade_date", "buy_price": "b.price", "_b_cost": "b.fee", "_b_q": "b.q",
+        "sell_date": "s.trade_date", "sell_price": "s.price", "_s_cost": "s.cost", "_s_q": "s.q",
+    }
     whole = (
         pieces.filter(F.col("_piece") > 0)
         .groupBy("stock_id", F.col("b.id").alias("buy_id"), F.col("s.id").alias("sell_id"))
-        .agg(F.sum("_piece").cast("double").alias("qty"), F.first("b").alias("b"), F.first("s").alias("s"))
+        .agg((F.sum("_piece") / UNIT).alias("qty"), *[F.first(c).alias(n) for n, c in carried.items()])
     )
-    sell_cost = (F.col("s.fee") + F.col("s.tax")) / F.col("s.shares").cast("double")
-    buy_cost = F.col("b.fee") / F.col("b.shares").cast("double")
-    gain = (F.col("s.price") - F.col("b.price")) * F.col("qty") - (sell_cost + buy_cost) * F.col("qty")
+    qty, buy, sell = F.col("qty"), F.col("buy_price"), F.col("sell_price")
+    per_share = F.col("_s_cost") / (F.col("_s_q") / UNIT) + F.col("_b_cost") / (F.col("_b_q") / UNIT)
+    gain = (sell - buy) * qty - per_share * qty
     return whole.select(
-        "stock_id", "buy_id", "sell_id", F.round("qty", 3).alias("shares"),
-        F.col("b.trade_date").alias("buy_date"), F.col("b.price").alias("buy_price"),
-        F.col("s.trade_date").alias("sell_date"), F.col("s.price").alias("sell_price"),
-        gain.alias("pnl_exact"), F.rint(gain).cast("bigint").alias("pnl"),
-        (F.try_divide(F.col("s.price"), F.nullif(F.col("b.price"), F.lit(0.0))) - 1).alias("ret_pct"),
-        F.date_diff(F.col("s.trade_date"), F.col("b.trade_date")).alias("days"),
+        "stock_id", "buy_id", "sell_id", F.round("qty", 3).alias("shares"), "buy_date", "buy_price", "sell_date",
+        "sell_price", gain.alias("pnl_exact"), F.rint(gain).cast("bigint").alias("pnl"),
+        (F.try_divide(sell, F.nullif(buy, F.lit(0.0))) - 1).alias("ret_pct"),
+        F.date_diff("sell_date", "buy_date").alias("days"),
     )
 
 
 def positions(trades: DataFrame, matched: DataFrame | None = None, id_block: int = DEFAULT_ID_BLOCK) -> DataFrame:
     """Per security: open shares, average cost without fees, realised profit, totals traded."""
-    axis = cumulative(trades, id_block)
-    left = F.greatest(F.col("hi") - F.greatest(F.col("lo"), F.col("axis_end")), F.lit(0)).cast("double")
-    held = F.when(F.col("action") == "buy", left).otherwise(0.0)
+    axis = _placed(trades, id_block)
+    left = F.greatest(F.col("hi") - F.greatest(F.col("lo"), F.col("axis_end")), F.lit(0))
+    held = F.when(F.col("is_buy"), left).otherwise(0)
     book = axis.groupBy("stock_id").agg(
-        F.sum(held).alias("_net"), F.sum(held * F.col("price")).alias("_cost"),
-        _sum_if(F.col("action") == "buy").cast("double").alias("_b"),
-        _sum_if(F.col("action") == "sell").cast("double").alias("_s"),
+        (F.sum(held) / UNIT).alias("_net"), F.sum(held / UNIT * F.col("price")).alias("_cost"),
+        (_sum_if(F.col("is_buy")) / UNIT).alias("_b"), (_sum_if(~F.col("is_buy")) / UNIT).alias("_s"),
     )
     matched = matches(trades, id_block) if matched is None else matched
     realized = matched.groupBy("stock_id").agg(F.sum("pnl_exact").alias("_r"))

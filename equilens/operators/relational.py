@@ -110,7 +110,8 @@ def around_events(events: DataFrame, bars: DataFrame, event_date: str = "ex_date
     slim = bars.select(KEY, TIME, "close")
     axis, w = _timeline(slim, events, event_date, other_first=True, time_col=TIME)
     before = F.last("_bar", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first("_bar", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    newest_first = Window.partitionBy(KEY).orderBy(F.col("_t").desc(), F.col("_kind").desc())
+    after = F.last("_bar", ignorenulls=True).over(newest_first.rowsBetween(Window.unboundedPreceding, -1))
     return (
         axis.withColumn("_before", before).withColumn("_after", after)
         .filter(F.col("_other").isNotNull())
