@@ -88,11 +88,11 @@ for _name, _cols in {
 query("d06_technical_flags", lambda v: tc.technical_flags(v.bars).select("stock_id", "trade_date", *tc.FLAGS),
       f"SELECT stock_id, trade_date, {', '.join(tc.FLAGS)} FROM fx_flags", "fx_flags", extra=TECH)
 _LABELS = ", ".join(f"CASE WHEN {k} THEN '{t}' END" for k, t in tc.LABELS.items())
-query("d38_fired_labels_latest", lambda v: tc.label_scan(tc.technical_flags(v.bars)),
+query("d38_fired_labels_latest", lambda v: tc.scan_signals(v.bars),
       f"""SELECT stock_id, trade_date, close, concat_ws('、', {_LABELS}) AS labels FROM (
             SELECT *, row_number() OVER (PARTITION BY stock_id ORDER BY trade_date DESC) AS k FROM fx_flags)
           WHERE k = 1 AND concat_ws('、', {_LABELS}) <> ''""", "fx_flags", extra=TECH, close=4)
-query("t09_label_history_tail", lambda v: tc.label_scan(tc.technical_flags(v.bars), 20),
+query("t09_label_history_tail", lambda v: tc.scan_signals(v.bars, 20),
       f"""SELECT stock_id, trade_date, close, concat_ws('、', {_LABELS}) AS labels FROM (
             SELECT *, row_number() OVER (PARTITION BY stock_id ORDER BY trade_date DESC) AS k FROM fx_flags)
           WHERE k <= 20 AND concat_ws('、', {_LABELS}) <> ''""", "fx_flags", extra=TECH, close=4)

@@ -26,6 +26,7 @@ CATALOG = {
     "three_crows": ("黑三鴉", "bear"),
 }
 TREND_BARS = 5
+CONTEXT_BARS = TREND_BARS + 2  # two earlier candles, then the trend before them
 
 
 class Candle:
@@ -139,11 +140,12 @@ def pattern_list() -> Column:
 def pattern_events(bars: DataFrame, days: int = 90, truncate_context: bool = False) -> DataFrame:
     """One row per (security, bar, pattern) over the newest ``days`` bars (10 to 500).
 
-    Seven earlier bars are the longest look-back. ``truncate_context`` forgets
-    bars before the reported range, as a caller that fetched only those would.
+    Only the reported bars and the look-back before them are kept ahead of the
+    windows. ``truncate_context`` forgets the look-back too, as a caller that
+    fetched only the reported range would.
     """
     n = max(10, min(int(days), 500))
-    flagged = last_n(pattern_flags(last_n(bars, n)), n) if truncate_context else last_n(pattern_flags(bars), n)
+    flagged = last_n(pattern_flags(last_n(bars, n if truncate_context else n + CONTEXT_BARS)), n)
     return flagged.select(KEY, TIME, F.explode(pattern_list()).alias("e")).select(KEY, TIME, "e.*")
 
 

@@ -27,8 +27,10 @@ DAY = ("stock_id", "trade_date")
 BLOCK = ("stock_id", "trade_date", "_side", "_block")
 
 
-def _units(shares: Column) -> Column:
-    return F.round(shares.cast("decimal(30,8)") * UNIT).cast("bigint")
+def _units(trades: DataFrame) -> Column:
+    x = F.col("shares")
+    exact = x if dict(trades.dtypes)["shares"] == "double" else x.cast("decimal(30,8)")
+    return F.round(exact * UNIT).cast("bigint")
 
 
 def _prepared(trades: DataFrame, id_block: int) -> DataFrame:
@@ -37,7 +39,7 @@ def _prepared(trades: DataFrame, id_block: int) -> DataFrame:
     return trades.select(
         "stock_id", "trade_date", F.col("id").cast("bigint").alias("id"), side.alias("_side"),
         F.expr(f"cast(id as bigint) div {int(id_block)}").alias("_block"),
-        _units(F.col("shares")).alias("q"), F.col("price").cast("double").alias("price"),
+        _units(trades).alias("q"), F.col("price").cast("double").alias("price"),
         money["fee"].alias("fee"), money["tax"].alias("tax"),
     ).filter(F.col("q") > 0)
 
@@ -124,18 +126,33 @@ def matches(trades: DataFrame, id_block: int = DEFAULT_ID_BLOCK) -> DataFrame:
     Both axes are cut at the bin borders, and inside a bin the starts of lots
     and sells are ordered together: between two neighbouring starts exactly one
     lot and one sell are current. No pair of trades is ever enumerated.
+
+    Equal bins hold about ``ROWS_PER_BIN`` trades each while lot sizes are
+    alike. Where one huge lot leaves very many small ones in few bins, those
+    bins are cut again by the number of trades counted in them.
     """
     axis = _placed(trades, id_block).filter(F.col("hi") > F.col("lo"))
     # Lots beyond the last effective sell stay open and need no matching.
     axis = axis.filter(~F.col("is_buy") | (F.col("lo") < F.col("axis_end")))
     binned = axis.withColumn("_bin", F.explode(F.expr("sequence(lo div bin, (hi - 1) div bin)")))
-    edge = (F.col("_bin") + 1) * F.col("bin")
+    load = binned.groupBy("stock_id", "_bin").agg(F.ceil(F.count(F.lit(1)) / ROWS_PER_BIN).alias("_parts"))
+    from_bin = F.greatest(F.col("lo"), F.col("_bin") * F.col("bin"))
+    to_bin = F.least(F.col("hi"), (F.col("_bin") + 1) * F.col("bin"))
+    placed = binned.join(load, ["stock_id", "_bin"]).withColumns({
+        "_from": from_bin, "_to": to_bin, "_start": F.col("_bin") * F.col("bin"),
+        "_step": F.ceil(F.col("bin") / F.col("_parts")).cast("bigint"),
+    })
+    parts = placed.withColumn(
+        "_part", F.explode(F.expr("sequence((_from - _start) div _step, (_to - 1 - _start) div _step)"))
+    )
+    part_start = F.col("_start") + F.col("_part") * F.col("_step")
+    edge = F.least(part_start + F.col("_step"), F.col("_start") + F.col("bin"))
     attrs = F.struct("id", "trade_date", "q", "price", (F.col("fee") + F.col("tax")).alias("cost"), "fee", "hi")
-    cut = binned.select(
-        "stock_id", "_bin", edge.alias("_edge"), F.greatest(F.col("lo"), F.col("_bin") * F.col("bin")).alias("_pos"),
+    cut = parts.select(
+        "stock_id", "_bin", "_part", edge.alias("_edge"), F.greatest(F.col("_from"), part_start).alias("_pos"),
         "is_buy", F.when(F.col("is_buy"), attrs).alias("_buy"), F.when(~F.col("is_buy"), attrs).alias("_sell"),
     )
-    w = Window.partitionBy("stock_id", "_bin").orderBy("_pos", "is_buy")
+    w = Window.partitionBy("stock_id", "_bin", "_part").orderBy("_pos", "is_buy")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     current = cut.select(
         "stock_id", "_pos",

@@ -76,14 +76,15 @@ def margin_series(margin: DataFrame, tf: str = "D", n: int = 60, ids=None) -> Da
         if tf.upper() not in UNITS:
             raise ValueError("tf must be D, W, M or Q")
         source = period_end(source, UNITS[tf.upper()])
+    n = _clamp(n, 1, 2000)
     w = series()
     m, s = F.col("margin_balance"), F.col("short_balance")
-    changed = source.select(
+    changed = last_n(source, n + 1).select(
         KEY, TIME, "margin_balance", "short_balance",
         (m - F.lag(m).over(w)).alias("margin_chg"), (s - F.lag(s).over(w)).alias("short_chg"),
         F.when(m > 0, F.round(s.cast("double") / m.cast("double") * 100, 4)).alias("short_margin_ratio"),
     )
-    return last_n(changed, _clamp(n, 1, 2000))
+    return last_n(changed, n)
 
 
 def etf_latest(etf: DataFrame, bars: DataFrame, ids=None) -> DataFrame:

@@ -81,6 +81,11 @@ def fired_labels(flags: DataFrame) -> Column:
     return F.filter(F.array(*parts), lambda x: x.isNotNull())
 
 
+def scan_signals(bars: DataFrame, n: int = 1) -> DataFrame:
+    """``label_scan`` from bars, keeping only the look-back the newest ``n`` need ahead of the windows."""
+    return label_scan(technical_flags(last_n(bars, n + LONG)), n)
+
+
 def label_scan(flags: DataFrame, n: int = 1) -> DataFrame:
     """The newest ``n`` bars of every security that fired anything, labels joined."""
     tail = last_n(flags, n)

@@ -20,6 +20,7 @@ CATALOG = {
 BASELINE_BARS = 20
 TREND_BARS = 10
 MIN_PRIOR_BARS = 6
+WARM_UP_BARS = 25
 ULTRA, HIGH, LOW = 2.0, 1.5, 0.6
 WIDE, NARROW = 1.5, 0.6
 
@@ -96,6 +97,6 @@ def vpa_events(bars: DataFrame, days: int = 90) -> DataFrame:
         )
         for k, (name, d, ph) in CATALOG.items()
     ]
-    recent = last_n(vpa_flags(bars), n)
+    recent = last_n(vpa_flags(last_n(bars, n + WARM_UP_BARS)), n)
     fired = F.explode(F.filter(F.array(*entries), lambda x: x.isNotNull()))
     return recent.select(KEY, TIME, fired.alias("e")).select(KEY, TIME, "e.*")

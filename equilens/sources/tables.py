@@ -231,5 +231,17 @@ def scan_prices(spark: SparkSession, path: str, ids: Sequence[str] | None = None
     return bars if not ids else bars.filter(F.col(KEY).isin(*ids))
 
 
+def scan_recent(spark: SparkSession, path: str, days: int, date_col: str = TIME) -> DataFrame:
+    """Rows within ``days`` of the newest date of a table partitioned by year (``part``).
+
+    The newest date is looked up in the newest partition only, and the date
+    bound is repeated on the partition column, so old years are never opened.
+    """
+    table = spark.read.parquet(path)
+    newest = table.filter(F.col("part") == table.agg(F.max("part")).scalar()).agg(F.max(date_col)).scalar()
+    edge = F.date_sub(newest, days)
+    return table.filter((F.col("part") >= F.year(edge)) & (F.col(date_col) > edge)).drop("part")
+
+
 def scan_trades(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)

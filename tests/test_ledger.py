@@ -110,13 +110,23 @@ def test_dominating_security_is_exact_with_small_bins(spark, monkeypatch):
     check(spark, hot_log(), id_block=64)
 
 
+def test_one_huge_lot_among_tiny_trades(spark, monkeypatch):
+    monkeypatch.setattr(lg, "ROWS_PER_BIN", 16)
+    trades = [(0, "A", "buy", DAY0, 1_000_000.0, 10.0, 5.0, None)]
+    trades += [(i, "A", "sell" if i % 2 else "buy", DAY0 + dt.timedelta(1 + i % 3), 1.0 + i % 2 * 0.5, 11.0, None, None) for i in range(1, 400)]
+    check(spark, trades, id_block=64)
+
+
 def test_no_window_gathers_a_security(spark):
-    """Trade-level windows are keyed by day, side and id block, or by bin; only day rows are keyed by security."""
+    """Trade rows are only windowed by day, side and id block, or by bin; windows by security alone see day rows."""
     df = spark.createDataFrame(hot_log(200), SCHEMA)
     plan = lg.matches(df, 64)._jdf.queryExecution().optimizedPlan().toString()
-    lines = [x for x in plan.splitlines() if "Window [" in x]
-    assert lines
-    for line in lines:
-        if line.rstrip().split("], [")[1].startswith("stock_id") and "," not in line.split("], [")[1]:
-            assert "bought" in line or "sold" in line or "balance" in line
-    assert "CartesianProduct" not in df._jdf.queryExecution().executedPlan().toString()
+    keyed = [x for x in plan.splitlines() if "Window [" in x]
+    assert keyed and "CartesianProduct" not in plan
+    for line in keyed:
+        spec = line.split("windowspecdefinition(", 1)[1].split("specifiedwindowframe")[0]
+        by_security_alone = spec.count("#") == 2 and "trade_date" in spec
+        if by_security_alone:
+            assert "bought" in line or "balance" in line
+        else:
+            assert "_block" in spec or "_part" in spec

@@ -26,6 +26,17 @@ def test_upsert_touches_only_its_partitions(spark, tmp_path, rows):
     assert before == {p.name: p.stat().st_mtime_ns for p in (tmp_path / "t" / "part=2025").glob("*.parquet")}
 
 
+def test_scan_recent_opens_only_recent_years(spark, tmp_path, rows):
+    from equilens.sources.tables import scan_recent
+
+    path = str(tmp_path / "t")
+    df = spark.createDataFrame([("A", D(2020 + y, m, 1), 1.0) for y in range(6) for m in (1, 12)], "stock_id string, trade_date date, close double")
+    sk.write_fact(df, path, sk.by_year())
+    recent = scan_recent(spark, path, 400)
+    assert rows(recent.select("trade_date")) == [(D(2024, 12, 1),), (D(2025, 1, 1),), (D(2025, 12, 1),)]
+    assert "PartitionFilters: [isnotnull(part" in recent._jdf.queryExecution().executedPlan().toString()
+
+
 def test_month_merge_index_merge_and_insert_only(spark, tmp_path, rows):
     path = str(tmp_path / "m")
     sk.merge_day_into_month(spark, path, spark.createDataFrame([("A", D(2026, 1, 2), 1.0)], "stock_id string, trade_date date, close double"))
