@@ -40,10 +40,14 @@ def by_month(col: str = TIME) -> Column:
 
 
 def write_fact(df: DataFrame, path: str, part: Column, sort: Sequence[str] = (KEY, TIME), mode: str = "overwrite"):
-    """Write partitioned by ``part``, rows spread by partition and key hash, sorted inside files."""
-    out = df.withColumn("part", part)
-    spread = out.repartition("part", *[F.col(c) for c in sort[:1]])
-    spread.sortWithinPartitions(*sort).write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(
+    """Write partitioned by ``part``, rows sorted inside files.
+
+    Rebalancing gathers a partition's rows into files of the advisory size:
+    small ones are merged, and one that is large, or held by one security, is
+    split over tasks.
+    """
+    out = df.withColumn("part", part).hint("rebalance", "part")
+    out.sortWithinPartitions("part", *sort).write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(
         "part"
     ).parquet(path)
 
