@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,16 +45,35 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def label_sample(labels: DataFrame, label: str, max_rows: int) -> DataFrame:
-    """At most ``max_rows`` labelled ids (doc_id, y) outside the held-out fold, a pseudorandom choice by id.
+def label_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, max_chars: int) -> tuple[DataFrame, float]:
+    """Bounded sample (doc_id, text, y) for fitting, and the share of label 1 among all usable labels.
 
-    Null ids and null labels take no part; of several labels of one id the largest counts.
+    Labels of the held-out fold, null ids and null labels take no part; of several labels of one id the largest
+    counts. Each class gives at most ``max_rows`` ids, a pseudorandom choice by id, so the id table that is broadcast
+    has at most twice that many rows. Rows with null text or above ``max_chars`` characters are not fitted on.
     """
-    return (
+    known = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (fold(F.col("doc_id"), 5) != 0))
-        .groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
-        .orderBy(F.xxhash64(F.lit(label), F.col("doc_id")), "doc_id").limit(max_rows)
-    )
+        .groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.col(label).cast("int")).alias("y")))
+    share = known.agg(F.avg(F.col("y").cast("double"))).first()[0]
+    order = [F.xxhash64(F.lit(label), "_id"), F.col("_id")]
+    ids = known.where("y = 0").orderBy(*order).limit(max_rows).union(known.where("y = 1").orderBy(*order).limit(max_rows))
+    rows = docs.select("doc_id", "text").where(F.char_length("text") <= max_chars).join(F.broadcast(ids), F.col("doc_id") == F.col("_id"))
+    return rows.select("doc_id", "text", "y"), 0.5 if share is None else share
+
+
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 50) -> np.ndarray:
+    """Coefficients of a ridge logistic regression by Newton steps; the first column of ``x`` is the constant."""
+    b = np.zeros(x.shape[1])
+    for _ in range(rounds if len(y) else 0):
+        q = 1 / (1 + np.exp(-np.clip(x @ b, -500, 500)))
+        b += np.linalg.solve((x * (q * (1 - q))[:, None]).T @ x + ridge * np.eye(len(b)), x.T @ (y - q) - ridge * b)
+    return b
+
+
+def odds(p: float) -> float:
+    p = min(max(p, 1e-3), 1 - 1e-3)
+    return math.log(p / (1 - p))
 
 
 def components(edges: DataFrame) -> DataFrame:
