@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from equilens.llm import embed_dedup, langid, mixing, quality, topk, toxicity, warc
+from equilens.llm import embed_dedup, langid, licenses, mixing, ngram_join, pieces, quality, topk, toxicity, warc
+
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,5 +75,22 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identified(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_mixing, op3_toxicity, op4_quality, op5_topk, op6_embed_dedup, op8_langid)}
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.linked(table(spark, sf_dir, "documents"))
+
+
+def op9_pieces(spark: SparkSession, sf_dir: str, model: str = PIECE_MODEL) -> DataFrame:
+    coded = pieces.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    back = pieces.with_text(coded, model)
+    return back.select(
+        "row.doc_id", "piece_ids", F.coalesce(F.size("piece_ids"), F.lit(0)).alias("n_pieces"),
+        F.col("decoded").eqNullSafe(F.col("row.text")).alias("lossless"))
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licenses(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_warc, op2_mixing, op3_toxicity, op4_quality, op5_topk, op6_embed_dedup, op7_ngram_join, op8_langid, op9_pieces, op10_licenses)}
 ORACLE = {"op1_warc": OP1_SQL, "op5_topk": OP5_SQL}
