@@ -4,8 +4,9 @@ A merge-type (BPE) model joins neighbouring pieces by an agenda, best score firs
 a candidate merge is skipped when a keyed hash of its place falls below a rate; every occurrence of a word in a
 document has a variant of its own, so segmentations vary, yet the same seed gives the same pieces everywhere.
 
-Pieces of such a model hold the blank mark only at their start, so a text falls apart before every run of blanks and
-words are joined on their own: short ones side by side in arrays, long ones by a heap. Both take the same merges.
+Pieces of such a model hold the blank mark only at their start, and characters that it does not know become byte
+pieces that never join; so a text falls apart before every run of blanks and around such characters. These units are
+joined on their own: short ones side by side in arrays, long ones by a heap. Both take the same merges.
 """
 
 from __future__ import annotations
@@ -23,7 +24,6 @@ from pyspark.sql import functions as F
 from equilens.llm.common import small_batches
 
 MARK = "▁"
-UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -56,11 +56,16 @@ class Model:
         if len(self.byte) != 256 or any(MARK in self.text[i].lstrip(MARK) for i in plain):
             raise ValueError("a model with all byte pieces and with blanks only at the start of pieces is needed")
         self.id = {self.text[i]: i for i in plain}
-        self.raw = [b"" for _ in range(n)]
+        raw = [b"" for _ in range(n)]
         for i in plain:
-            self.raw[i] = self.text[i].replace(MARK, " ").encode()
+            raw[i] = self.text[i].replace(MARK, " ").encode()
         for b, i in self.byte.items():
-            self.raw[i] = bytes([b])
+            raw[i] = bytes([b])
+        self.bytes = np.frombuffer(b"".join(raw), np.uint8)
+        self.byte_count = np.fromiter(map(len, raw), np.int64, n)
+        self.byte_start = self.byte_count.cumsum() - self.byte_count
+        known = "".join(re.escape(c) for c in self.id if len(c) == 1 and c != MARK)
+        self.unit = re.compile(f"{MARK}*[{known}]+|{MARK}+|[^{known}{MARK}]")
         # Merges: every cut of a piece into two pieces; better scores get smaller ranks.
         rank = {i: r for r, i in enumerate(sorted(plain, key=lambda i: (-sp.get_score(i), i)))}
         merges = [
@@ -123,65 +128,70 @@ def by_heap(model: Model, symbols: tuple[int, ...], key: int, rate: float) -> li
     return [p if p >= 0 else ~p for i, p in enumerate(piece) if not dead[i]]
 
 
-def side_by_side(model: Model, units: list[tuple[int, ...]], keys: np.ndarray, rate: float) -> list[list[int]]:
-    """Pieces of units of about equal length: in each round every unit takes its best merge that is left."""
-    rows, width = len(units), max(map(len, units))
-    piece = np.full((rows, width), -1, np.int64)
-    for k, u in enumerate(units):
-        piece[k, :len(u)] = u
-    size = np.fromiter(map(len, units), np.int64, rows)
-    start = np.broadcast_to(np.arange(width), (rows, width)).copy()
-    end = start + 1
-    none = np.int64(1 << 60)
-    live, best = np.arange(rows), np.full((rows, max(1, width - 1)), none)
-
-    def judge(r: np.ndarray, c: np.ndarray) -> np.ndarray:
-        """Ranks of the merges of columns c and c + 1 in rows r, ``none`` where there is none or it is skipped."""
-        a, b = piece[r, c], piece[r, c + 1]
-        pair = np.where((a >= 0) & (b >= 0) & (c + 1 < size[r]), (a << 32) | np.maximum(b, 0), np.int64(-2))
+def side_by_side(model: Model, symbols: np.ndarray, keys: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces of units of one length, a row each: in each round every unit takes its best merge that is left.
+
+    Returns the pieces by the place where they start and a mask of the places where one does.
+    """
+    rows, width = symbols.shape
+    piece = symbols.astype(np.int64)
+    right = np.broadcast_to(np.arange(1, width + 2), (rows, width + 1)).copy()
+    left = np.broadcast_to(np.arange(-1, width), (rows, width + 1)).copy()
+    alive = np.ones((rows, width), bool)
+    none = np.int32(2**31 - 1)
+    best = np.full((rows, width), none, np.int32)
+
+    def judge(r: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Ranks of the merges of the pieces at i and j in rows r, ``none`` where there is none or it is skipped."""
+        pair = (piece[r, i] << 32) | piece[r, j]
         at = np.minimum(np.searchsorted(model.pairs, pair), len(model.pairs) - 1)
-        hit = model.pairs[at] == pair
-        if rate > 0 and hit.any():
-            h = np.flatnonzero(hit)
-            rh, ch = r[h], c[h]
-            hit[h] = ~skipped(
-                keys[rh], start[rh, ch].astype(np.uint64), start[rh, ch + 1].astype(np.uint64), end[rh, ch + 1].astype(np.uint64), rate)
-        return np.where(hit, model.ranks[at], none)
-
-    if width > 1:
-        r, c = np.divmod(np.arange(rows * (width - 1)), width - 1)
-        best[:] = judge(r, c).reshape(rows, width - 1)
-    columns = np.arange(width)
-    while width > 1 and len(live):
-        c = best[live].argmin(1)
-        on = best[live, c] < none
-        live, c = live[on], c[on]
-        if not len(live):
-            break
-        pair = (piece[live, c] << 32) | piece[live, c + 1]
-        piece[live, c] = model.made[np.searchsorted(model.pairs, pair)]
-        end[live, c] = end[live, c + 1]
-        # Close the gap: what stands right of the merged place moves one to the left.
-        take = np.minimum(columns + (columns > c[:, None]), width - 1)
-        for table in (piece, start, end):
-            table[live] = np.take_along_axis(table[live], take, 1)
-        best[live] = np.take_along_axis(best[live], np.minimum(take[:, :-1], width - 2), 1)
-        size[live] -= 1
-        best[live, np.minimum(size[live] - 1, width - 2)] = none
-        for side in (c - 1, c):
-            ok = (side >= 0) & (side < width - 1)
-            best[live[ok], side[ok]] = judge(live[ok], side[ok])
-    whole = np.where(piece >= 0, piece, ~piece)
-    return [whole[k, :size[k]].tolist() for k in range(rows)]
+        hit = np.flatnonzero(model.pairs[at] == pair)
+        if rate > 0 and len(hit):
+            rh, ih, jh = r[hit], i[hit], j[hit]
+            hit = hit[~skipped(keys[rh], ih.astype(np.uint64), jh.astype(np.uint64), right[rh, jh].astype(np.uint64), rate)]
+        out = np.full(len(r), none, np.int32)
+        out[hit] = model.ranks[at[hit]]
+        return out
+
+    r, i = np.divmod(np.arange(rows * (width - 1)), width - 1)
+    best[r, i] = judge(r, i, i + 1)
+    live = np.arange(rows)
+    while len(live):
+        i = best[live].argmin(1)
+        on = best[live, i] < none
+        live, i = live[on], i[on]
+        j = right[live, i]
+        stop = right[live, j]
+        pair = (piece[live, i] << 32) | piece[live, j]
+        piece[live, i] = model.made[np.searchsorted(model.pairs, pair)]
+        alive[live, j], best[live, j] = False, none
+        right[live, i], left[live, stop] = stop, i
+        best[live, i] = none
+        more = np.flatnonzero(stop < width)
+        best[live[more], i[more]] = judge(live[more], i[more], stop[more])
+        before = left[live, i]
+        more = np.flatnonzero(before >= 0)
+        best[live[more], before[more]] = judge(live[more], before[more], i[more])
+    return piece, alive
+
+
+def spread(offsets: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Places of the runs that start at ``offsets`` and have ``counts`` members, one run after the other."""
+    ends = counts.cumsum()
+    return np.repeat(offsets - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)
 
 
 class Encoder:
-    """Encodes texts; keeps the pieces of recent units by (unit, variant), up to ``most``."""
+    """Encodes batches of texts; equal units of one variant are joined once per batch."""
 
-    def __init__(self, model: Model, dropout: Dropout, most: int = 150_000, longest: int = 24):
-        self.model, self.dropout, self.most, self.longest = model, dropout, most, longest
-        self.known: dict[tuple[str, int], list[int]] = {}
+    def __init__(self, model: Model, dropout: Dropout, longest: int = 40):
+        self.model, self.dropout, self.longest = model, dropout, longest
         self.base = int(stirred(np.array([dropout.seed], np.uint64))[0])
+        self.of_char = np.full(0x110000, -1, np.int32)
+        for text, i in model.id.items():
+            if len(text) == 1:
+                self.of_char[ord(text)] = i
+        self.mark = [model.byte[b] for b in MARK.encode()]
 
     def key(self, symbols: tuple[int, ...], variant: int) -> int:
         """Key of a unit's merges: from the seed, the variant and the unit's symbols."""
@@ -190,58 +200,72 @@ class Encoder:
             h = (h * 0x100000001B3 ^ (s & 0xFFFFFFFF)) & 0xFFFFFFFFFFFFFFFF
         return h
 
-    def learn(self, todo: list[tuple[str, int]]) -> None:
+    def pieces(self, units: list[str], unit: np.ndarray, variant: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pieces of units[unit[k]] in variant[k], as one array with the start and number of each."""
         rate = self.dropout.rate
-        entries = []
-        for unit, variant in todo:
-            symbols = self.model.symbols(unit)
-            if len(symbols) > self.longest or len(symbols) < 2:
-                key = self.key(symbols, variant) if len(symbols) > 1 else 0
-                self.known[unit, variant] = by_heap(self.model, symbols, key, rate)
-            else:
-                entries.append((len(symbols), symbols, (unit, variant)))
-        entries.sort(key=lambda e: e[0])
-        for s in range(0, len(entries), 20_000):
-            part = entries[s:s + 20_000]
-            keys = np.array([self.key(e[1], e[2][1]) for e in part], np.uint64)
-            for e, pieces in zip(part, side_by_side(self.model, [e[1] for e in part], keys, rate), strict=True):
-                self.known[e[2]] = pieces
-
-    def units(self, text: str, salt: int) -> list[tuple[str, int]]:
-        """Units of a text with their variants; a blank mark in the text itself is an empty unit, left to byte pieces."""
-        out = []
-        for k, part in enumerate(text.split(MARK)):
-            marked = (MARK if not k else "") + part.replace(" ", MARK)
-            if k:
-                out.append(("", 0))
-            out.extend((u, 0) for u in UNIT.findall(marked))
-        if self.dropout.rate > 0 and self.dropout.variants > 1:
-            with np.errstate(over="ignore"):
-                v = stirred(np.arange(len(out), dtype=np.uint64) * STEP + np.uint64(salt)) % np.uint64(self.dropout.variants)
-            out = [(u, w) for (u, _), w in zip(out, v.tolist(), strict=True)]
-        return out
-
-    def encode(self, texts: list[str], salts: list[int]) -> list[list[int]]:
-        mark = [self.model.byte[b] for b in MARK.encode()]
-        units = [self.units(t, s) if t else [] for t, s in zip(texts, salts, strict=True)]
-        wanted = {u for us in units for u in us if u[0]}
-        if len(self.known) + len(wanted) > self.most:
-            self.known.clear()
-        known = self.known
-        self.learn([u for u in wanted if u not in known])
-        out = []
-        for us in units:
-            ids: list[int] = []
-            for u in us:
-                ids += known[u] if u[0] else mark
-            out.append(ids)
-        return out
-
-
-def decoded(model: Model, ids: list[int]) -> str:
-    """The text of pieces: blanks for marks, bytes put together, the blank at the start taken off."""
-    raw = b"".join(map(model.raw.__getitem__, ids))
-    return raw[1:].decode("utf-8", "surrogatepass") if raw else ""
+        size = np.fromiter(map(len, units), np.int64, len(units))
+        coded = self.of_char[np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        begin = size.cumsum() - size
+        odd = np.zeros(len(units), bool)
+        odd[np.repeat(np.arange(len(units)), size)[coded < 0]] = True
+        odd |= (size > self.longest) | (size == 0)
+        start, count, flat, used = np.zeros(len(unit), np.int64), np.zeros(len(unit), np.int64), [], 0
+        for width in np.unique(size[~odd]).tolist():
+            these = np.flatnonzero((size[unit] == width) & ~odd[unit])
+            for s in range(0, len(these), 50_000):
+                part = these[s:s + 50_000]
+                symbols = coded[begin[unit[part]][:, None] + np.arange(width)]
+                if width == 1:
+                    piece, alive = symbols, np.ones(symbols.shape, bool)
+                else:
+                    keys = np.uint64(self.base) ^ (variant[part] + 1).astype(np.uint64)
+                    for column in symbols.T:
+                        keys = keys * np.uint64(0x100000001B3) ^ column.astype(np.uint64)
+                    piece, alive = side_by_side(self.model, symbols, keys, rate)
+                count[part] = alive.sum(1)
+                start[part] = used + count[part].cumsum() - count[part]
+                flat.append(piece[alive])
+                used += len(flat[-1])
+        for k in np.flatnonzero(odd[unit]).tolist():
+            symbols = self.model.symbols(units[unit[k]])
+            ids = by_heap(self.model, symbols, self.key(symbols, int(variant[k])), rate) if symbols else self.mark
+            start[k], count[k] = used, len(ids)
+            flat.append(np.array(ids, np.int64))
+            used += len(ids)
+        return np.concatenate([np.zeros(0, np.int64), *flat]), start, count
+
+    def encode(self, texts: list[str], salts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces of all texts in one array and the ends of each text's, beginning with 0.
+
+        A blank mark in a text itself is an empty unit here, which stands for its byte pieces.
+        """
+        found: dict[str, int] = {}
+        ids: list[int] = []
+        sizes, units = [], self.model.unit.findall
+        for text in texts:
+            before = len(ids)
+            for k, part in enumerate(text.split(MARK) if text else []):
+                if k:
+                    ids.append(found.setdefault("", len(found)))
+                marked = part.replace(" ", MARK) if k else MARK + part.replace(" ", MARK)
+                ids += [found.setdefault(u, len(found)) for u in units(marked)]
+            sizes.append(len(ids) - before)
+        sizes = np.array(sizes, np.int64)
+        at = np.array(ids, np.int64)
+        variants = self.dropout.variants if self.dropout.rate > 0 else 1
+        nth = np.arange(len(at)) - np.repeat(sizes.cumsum() - sizes, sizes)
+        variant = (stirred(nth.astype(np.uint64) * STEP + np.repeat(salts, sizes)) % np.uint64(variants)).astype(np.int64)
+        both, place = np.unique(at * variants + variant, return_inverse=True)
+        flat, start, count = self.pieces(list(found), both // variants, both % variants)
+        ends = np.concatenate([[0], count[place].cumsum()])[np.concatenate([[0], sizes.cumsum()])]
+        return flat[spread(start[place], count[place])], ends
+
+
+def decoded(model: Model, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+    """Texts of the pieces between the ends: blanks for marks, bytes put together, the blank at the start taken off."""
+    raw = model.bytes[spread(model.byte_start[ids], model.byte_count[ids])].tobytes()
+    at = np.concatenate([[0], model.byte_count[ids].cumsum()])[ends].tolist()
+    return [raw[a + 1:b].decode("utf-8", "replace") for a, b in zip(at, at[1:], strict=False)]
 
 
 def load(spark, path: str):
@@ -256,15 +280,16 @@ def encoded(docs: DataFrame, path: str, dropout: Dropout = Dropout()) -> DataFra
     The variants of a document follow from the seed and its whole text, so repeated rows get equal pieces whatever
     their partition; an empty table gives no rows.
     """
-    small_batches(docs.sparkSession, 300)
+    small_batches(docs.sparkSession, 2000)
     proto = load(docs.sparkSession, path)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(Model(proto.value), dropout)
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            ids = encoder.encode([t or "" for t in texts], [s % (1 << 64) for s in batch.column(2).to_pylist()])
-            column = pa.array([i if t is not None else None for t, i in zip(texts, ids, strict=True)], pa.list_(pa.int32()))
+            ids, ends = encoder.encode([t or "" for t in texts], batch.column(2).to_numpy().view(np.uint64))
+            null = pa.array([t is None for t in texts])
+            column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()), mask=null)
             yield pa.RecordBatch.from_arrays([batch.column(0), column], ["row", "piece_ids"])
 
     rows = docs.select(F.struct("*").alias("row"), "text", F.xxhash64("text").alias("salt"))
@@ -273,14 +298,17 @@ def encoded(docs: DataFrame, path: str, dropout: Dropout = Dropout()) -> DataFra
 
 def with_text(coded: DataFrame, path: str) -> DataFrame:
     """``coded`` with the text of ``piece_ids`` as ``decoded``; null stays null."""
-    small_batches(coded.sparkSession, 300)
+    small_batches(coded.sparkSession, 2000)
     proto = load(coded.sparkSession, path)
     names = coded.columns
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(proto.value)
         for batch in batches:
-            texts = [None if i is None else decoded(model, i) for i in batch.column(len(names)).to_pylist()]
+            lists = batch.column(len(names))
+            ends = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy())])
+            texts = decoded(model, lists.flatten().to_numpy().astype(np.int64), ends)
+            texts = [t if ok else None for t, ok in zip(texts, lists.is_valid().to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], [*names, "decoded"])
 
     schema = ", ".join(f"`{c}` {coded.schema[c].dataType.simpleString()}" for c in names)
