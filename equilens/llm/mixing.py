@@ -74,7 +74,8 @@ def source_targets(rows: DataFrame, mix: Mix) -> DataFrame:
     s = s.withColumn("target", F.least("most", F.coalesce(first["at"] * F.col("weight"), F.col("most"))))
     length = F.greatest(F.lit(1), F.least(F.lit(mix.block_words), F.expr(f"source_size div {mix.min_blocks}")))
     s = s.withColumn("length", length.cast("long")).withColumn("blocks", F.ceil(F.col("source_size") / F.col("length")))
-    slots = F.least(F.round(F.col("target") * F.col("blocks") / F.col("source_size")).cast("long"), F.col("blocks") * mix.cap)
+    drawn = F.round(F.try_divide(F.col("target") * F.col("blocks"), F.col("source_size"))).cast("long")
+    slots = F.least(drawn, F.col("blocks") * mix.cap)
     return s.withColumn("slots", F.coalesce(slots, F.lit(0)).cast("long")).drop("at", "place", "most")
 
 
@@ -187,7 +188,7 @@ def resampled(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """The documents as the mix takes them: each row 0 to ``cap`` times, its words taken over its words, where the
     fraction becomes one more copy or none by a hash of the id. Columns stay as they are."""
     part = taken(docs, mix).groupBy("doc_id", "source", "size").agg(F.sum("taken").alias("taken"), F.count("*").alias("rows"))
-    rate = F.col("taken") / (F.col("size") * F.col("rows"))
+    rate = F.try_divide("taken", F.col("size") * F.col("rows"))
     up = F.pmod(F.xxhash64(F.lit(mix.seed), "doc_id"), F.lit(1 << 20)) / float(1 << 20)
     part = part.where("size > 0").select(
         F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_n"),
