@@ -11,7 +11,7 @@ from equilens.functions.calendar import (
     effective_start, in_dividend_season, in_revenue_window, is_weekend, iso_week_label, publishable_quarter,
     revenue_available, statement_available,
 )
-from equilens.functions.price import clamp, net_of, pct
+from equilens.functions.price import clamp, dividend_ratio, net_of, pct
 from equilens.functions.windows import last_n, prior_trend, series, trailing_baseline, trailing_calendar, with_age
 from equilens.operators import market as mk
 from equilens.operators import quality as ql
@@ -22,8 +22,8 @@ from equilens.operators.candles import anatomy
 from equilens.operators.indicators import chart_overlays, macd_kdj
 from equilens.operators.levels import level_clusters, levels, pivots
 from equilens.operators.relational import (
-    around_events, as_of_known, close_on_or_latest, keep_first, keep_known, keep_last, latest_row, overlay,
-    point_in_time, union_all,
+    around_events, as_of_known, close_on_or_latest, distinct_codes, keep_first, keep_known, keep_last, latest_row,
+    overlay, point_in_time, requested_and_known, table_counts, union_all,
 )
 from equilens.operators.vpa import with_baseline
 
@@ -253,10 +253,10 @@ query("u03_keyed_overlay",
           .select("stock_id", "trade_date", (F.col("volume") * 2).alias("volume")), ("stock_id", "trade_date")),
       """SELECT stock_id, trade_date, CASE WHEN security_type = 'etf' THEN volume * 2 ELSE volume END AS volume
          FROM fx_bars JOIN fx_stock USING (stock_id)""", "fx_bars", "fx_stock")
-query("u04_distinct_codes", lambda v: v.ticks.select("stock_id").union(v.stock.select("stock_id")).distinct().orderBy("stock_id"),
+query("u04_distinct_codes", lambda v: distinct_codes(v.ticks, v.stock),
       "SELECT stock_id FROM fx_ticks UNION SELECT stock_id FROM fx_stock", "fx_ticks", "fx_stock")
 query("u05_requested_and_known",
-      lambda v: v.stock.select("stock_id").intersect(v.ticks.filter("l_discount >= 0.10").select("stock_id")),
+      lambda v: requested_and_known(v.stock, v.ticks.filter("l_discount >= 0.10")),
       "SELECT stock_id FROM fx_stock INTERSECT SELECT stock_id FROM fx_ticks WHERE l_discount >= 0.10", "fx_stock", "fx_ticks")
 query("u06_months_without_ticks",
       lambda v: v.revenue_raw.select("stock_id", "revenue_month").join(
@@ -297,6 +297,9 @@ for _kind, _order in (("gainers", "chg DESC"), ("losers", "chg ASC"), ("active",
           f"""SELECT stock_id, name, industry, chg * 100 AS chg_pct, close, amount FROM fx_latest JOIN fx_stock USING (stock_id)
               WHERE amount >= 20000000 AND chg IS NOT NULL ORDER BY {_order}, stock_id LIMIT 15""",
           "fx_latest", "fx_stock", extra=LATEST, chg_pct=2, close=6)
+query("t02_movers_all", lambda v: mk.movers(v.bars, v.stock, "gainers", None, min_amount=0),
+      """SELECT stock_id, name, industry, chg * 100 AS chg_pct, close, amount FROM fx_latest JOIN fx_stock USING (stock_id)
+         WHERE amount >= 0 AND chg IS NOT NULL""", "fx_latest", "fx_stock", extra=LATEST, chg_pct=2, close=6)
 for _unit in ("week", "month"):
     query(f"g12_resample_{_unit}", lambda v, u=_unit: sv.resample_bars(v.bars, u),
           f"""SELECT stock_id, date_trunc('{_unit}', trade_date)::DATE AS trade_date, arg_min(adj_open, trade_date) AS open,
@@ -317,8 +320,7 @@ query("g19_dividend_events", lambda v: dividend_events(v.dividend), "SELECT * FR
 query("g19_reduction_events", lambda v: reduction_events(v.reduction), "SELECT * FROM fx_cuts", "fx_cuts", reduction=8)
 query("f24_event_ratios",
       lambda v: around_events(dividend_events(v.dividend), v.bars).select(
-          "stock_id", "ex_date", ((F.col("prev_close") - F.col("cash")) / (F.col("prev_close") * (1 + F.col("stock") / 10))).alias("ratio")
-      ).filter("ratio > 0"),
+          "stock_id", "ex_date", dividend_ratio(F.col("prev_close"), F.col("cash"), F.col("stock")).alias("ratio")).filter("ratio > 0"),
       """SELECT e.stock_id, e.ex_date, (b.close - e.cash) / (b.close * (1 + e.stock / 10)) AS ratio
          FROM fx_events e ASOF JOIN fx_bars b ON e.stock_id = b.stock_id AND e.ex_date > b.trade_date""",
       "fx_events", "fx_bars", ratio=8)
@@ -333,12 +335,14 @@ query("g26_coverage", lambda v: ql.coverage(v.revenue_raw.join(v.stock, "stock_i
 query("g27_max_date_per_month", lambda v: ql.newest_per_month(v.bars),
       "SELECT stock_id, date_trunc('month', trade_date)::DATE AS month, max(trade_date) AS max_date FROM fx_bars GROUP BY 1, 2",
       "fx_bars")
+_COUNTED = {
+    "stock": "fx_stock", "price_daily": "fx_bars", "market_index": "fx_index", "fundamentals_quarterly": "fx_quarterly",
+    "monthly_revenue": "fx_revenue", "valuation_daily": "fx_valuation", "inst_trades": "fx_inst", "margin_trading": "fx_margin",
+    "shareholding": "fx_shareholding", "shareholding_dist": "fx_holder",
+}
 query("g31_table_counts",
-      lambda v: union_all(*[v.tables[t].agg(F.count(F.lit(1)).alias("rows")).select(F.lit(t).alias("table_name"), "rows")
-                            for t in ("stock", "price_daily", "inst_trades", "shareholding_dist")]),
-      """SELECT 'stock' AS table_name, count(*) AS rows FROM fx_stock UNION ALL SELECT 'price_daily', count(*) FROM fx_bars
-         UNION ALL SELECT 'inst_trades', count(*) FROM fx_inst UNION ALL SELECT 'shareholding_dist', count(*) FROM fx_holder""",
-      "fx_stock", "fx_bars", "fx_inst", "fx_holder")
+      lambda v: table_counts(v.tables),
+      " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS rows FROM {f}" for t, f in _COUNTED.items()), *_COUNTED.values())
 
 # -- index and per-security views ----------------------------------------------------
 

@@ -130,6 +130,9 @@ for _i, _key in enumerate(("stopping_vol", "accumulation", "no_supply", "no_dema
               FROM fx_bars LEFT JOIN fx_vs s USING (stock_id, trade_date) GROUP BY 1""", "fx_vs", extra=_VPA)
 _SIGNALS = " UNION ALL ".join(
     f"SELECT '{k}' AS signal, '{n}' AS name, '{d}' AS dir, '{p}' AS phase" for k, (n, d, p) in vpa.CATALOG.items())
+query("d31_vpa_events_all", lambda v: vpa.vpa_events(v.bars, None).groupBy("stock_id", "signal").agg(F.count(F.lit(1)).alias("n")),
+      f"""SELECT stock_id, signal, count(*) AS n
+          FROM (SELECT * FROM fx_vs UNPIVOT (hit FOR signal IN ({', '.join(vpa.CATALOG)})) WHERE hit) GROUP BY ALL""", "fx_vs", extra=_VPA)
 query("d31_vpa_events", lambda v: vpa.vpa_events(v.bars, 90),
       f"""SELECT stock_id, trade_date, signal, name, dir, phase
           FROM (SELECT * FROM fx_vs UNPIVOT (hit FOR signal IN ({', '.join(vpa.CATALOG)})) WHERE hit) JOIN ({_SIGNALS}) USING (signal)
@@ -138,84 +141,82 @@ query("d31_vpa_events", lambda v: vpa.vpa_events(v.bars, 90),
 
 # -- snapshot ---------------------------------------------------------------------------
 
+# Comparison SQL for the snapshot: one list of bars per security, newest first, from which everything is sliced.
+def _mean(values: str, last: int, first: int = 1) -> str:
+    return f"list_avg(bar.{values}[{first}:{last}])"
+
+
 _SNAP = {
     **_VPA,
-    "fx_rk": (("fx_bars",), "SELECT *, row_number() OVER (PARTITION BY stock_id ORDER BY trade_date DESC) AS rn FROM fx_bars"),
-    "fx_va": (("fx_vr", "fx_rk"), """SELECT stock_id,
-        count(*) FILTER (rn <= 20 AND v.down AND ((vr >= 2.0 AND sr >= 1.5 AND pos >= 0.45) OR (vr >= 1.5 AND pos >= 0.6)
-          OR (vr <= 0.6 AND sr <= 0.6))) AS vpa_accum_20d,
-        count(*) FILTER (rn <= 20 AND ((v.up AND vr <= 0.6 AND sr <= 0.6) OR (vr >= 1.5 AND sr <= 0.6)
-          OR (v.up AND vr >= 2.0 AND sr >= 1.5 AND pos <= 0.5))) AS vpa_distrib_20d
-        FROM fx_vr v JOIN fx_rk USING (stock_id, trade_date) GROUP BY 1"""),
-    "fx_px": (("fx_rk",), f"""SELECT stock_id, max(close) FILTER (rn = 1) AS close,
-        {', '.join(f'max(adj_close) FILTER (rn = {k}) AS {n}' for n, k in sn.RANKS.items())},
-        {', '.join(f'avg(adj_close) FILTER (rn <= {n}) AS ma{n}' for n in sn.MEANS)},
-        avg(adj_close) FILTER (rn BETWEEN 22 AND 221) AS ma200_1m,
-        max(adj_close) FILTER (rn <= 252) AS high_52w, min(adj_close) FILTER (rn <= 252) AS low_52w,
-        avg(amount) FILTER (rn <= 20) AS amt20, max(adj_close) FILTER (rn <= 15) AS hi15, min(adj_close) FILTER (rn <= 15) AS lo15,
-        max(adj_close) FILTER (rn BETWEEN 16 AND 40) AS hi_prior, min(adj_close) FILTER (rn BETWEEN 16 AND 40) AS lo_prior,
-        max(adj_close) FILTER (rn <= 60) AS hi60, avg(volume) FILTER (rn <= 10) AS vol10,
-        avg(volume) FILTER (rn BETWEEN 11 AND 50) AS vol_prior, count(*) AS trading_days FROM fx_rk GROUP BY 1"""),
-    "fx_feat": (("fx_px", "fx_va"), """SELECT p.*, coalesce(v.vpa_accum_20d, 0) AS vpa_accum_20d,
-        coalesce(v.vpa_distrib_20d, 0) AS vpa_distrib_20d,
-        round((hi15 - lo15) / nullif(c0, 0), 4) AS tight_recent, round((hi_prior - lo_prior) / nullif(c0, 0), 4) AS tight_prior,
-        round(vol10 / nullif(vol_prior, 0), 3) AS vol_dry, round(c0 / nullif(hi60, 0), 4) AS near_pivot,
-        c0 / nullif(c1m, 0) - 1 AS ret_1m, c0 / nullif(c3m, 0) - 1 AS ret_3m, c0 / nullif(c6m, 0) - 1 AS ret_6m,
-        c0 / nullif(c12m, 0) - 1 AS ret_12m, c1m / nullif(c12m, 0) - 1 AS ret_12_1, c0 / nullif(high_52w, 0) - 1 AS dist_52w_high,
-        c0 / nullif(low_52w, 0) - 1 AS pct_from_low,
-        2 * c0 / nullif(c3m, 0) + c0 / nullif(c6m, 0) + c0 / nullif(c12m, 0) AS rs_raw
-        FROM fx_px p LEFT JOIN fx_va v USING (stock_id)"""),
-    "fx_in20": (("fx_inst",), """SELECT stock_id, sum(n) FILTER (k <= 20)::BIGINT AS inst_net_20d FROM (SELECT stock_id,
-        coalesce(foreign_net, 0) + coalesce(trust_net, 0) + coalesce(dealer_self_net, 0) AS n,
-        row_number() OVER (PARTITION BY stock_id ORDER BY trade_date DESC) AS k FROM fx_inst) GROUP BY 1"""),
-    "fx_mg20": (("fx_margin",), """SELECT stock_id, max(margin_balance) FILTER (k = 1) AS margin_balance,
-        max(margin_balance) FILTER (k = 1) - max(margin_balance) FILTER (k = 20) AS margin_chg_20d
-        FROM (SELECT *, row_number() OVER (PARTITION BY stock_id ORDER BY trade_date DESC) AS k FROM fx_margin) GROUP BY 1"""),
-    "fx_big": (("fx_holder",), """SELECT stock_id, max(pct) FILTER (k = 1) AS big1000_pct,
-        round(max(pct) FILTER (k = 1) - max(pct) FILTER (k = 5), 4) AS big1000_chg
-        FROM (SELECT *, row_number() OVER (PARTITION BY stock_id ORDER BY data_date DESC) AS k FROM fx_holder WHERE level = 15) GROUP BY 1"""),
-    "fx_ir": (("fx_index",), """SELECT max(close) FILTER (k = 1) / nullif(max(close) FILTER (k = 126), 0) AS r
-        FROM (SELECT close, row_number() OVER (ORDER BY trade_date DESC) AS k FROM fx_index WHERE index_id = 'TAIEX')"""),
-    "fx_base": (("fx_stock", "fx_feat", "fx_quarterly", "fx_revenue", "fx_valuation", "fx_in20", "fx_mg20", "fx_shareholding",
-                 "fx_big", "fx_ir", "fx_bars"), """
-        SELECT stock_id, name, market, industry, security_type, f.close, c0, ret_1m, ret_3m, ret_6m, ret_12m, ret_12_1,
-          round(ma20::DECIMAL(30, 9), 4)::DOUBLE AS ma20, round(ma50::DECIMAL(30, 9), 4)::DOUBLE AS ma50, round(ma60::DECIMAL(30, 9), 4)::DOUBLE AS ma60, round(ma120::DECIMAL(30, 9), 4)::DOUBLE AS ma120,
-          round(ma150::DECIMAL(30, 9), 4)::DOUBLE AS ma150, round(ma200::DECIMAL(30, 9), 4)::DOUBLE AS ma200, c0 > f.ma60 AS above_ma60, f.ma20 > f.ma60 AND f.ma60 > f.ma120 AS ma_bull,
-          f.ma200 IS NOT NULL AND ma200_1m IS NOT NULL AND f.ma200 > ma200_1m AS ma200_up,
-          round(f.high_52w, 4) AS high_52w, round(f.low_52w, 4) AS low_52w, dist_52w_high, pct_from_low,
-          (c0 / nullif(c6m, 0)) / nullif((SELECT r FROM fx_ir), 0) - 1 AS rs_6m, rs_raw, tight_recent, tight_prior, vol_dry,
-          near_pivot, vpa_accum_20d, vpa_distrib_20d, round(f.amt20) AS amt20, trading_days, roe, eps, gross_margin, net_margin,
-          debt_ratio, rev_yoy, rev_mom, per, pbr, dividend_yield, inst_net_20d, margin_balance, margin_chg_20d, foreign_ratio,
-          big1000_pct, big1000_chg, trading_days >= 60 AND f.amt20 >= 5000000 AS in_universe, round(c0, 4) AS adj_close,
-          (SELECT max(trade_date) FROM fx_bars) AS as_of_date
-        FROM fx_stock s JOIN fx_feat f USING (stock_id)
-        LEFT JOIN (SELECT stock_id, roe, eps, gross_margin, net_margin, debt_ratio FROM fx_quarterly
-          QUALIFY row_number() OVER (PARTITION BY stock_id ORDER BY period_date DESC) = 1) USING (stock_id)
-        LEFT JOIN (SELECT stock_id, yoy_pct AS rev_yoy, mom_pct AS rev_mom FROM fx_revenue
-          QUALIFY row_number() OVER (PARTITION BY stock_id ORDER BY revenue_month DESC) = 1) USING (stock_id)
-        LEFT JOIN (SELECT stock_id, per, pbr, dividend_yield FROM fx_valuation
-          QUALIFY row_number() OVER (PARTITION BY stock_id ORDER BY trade_date DESC) = 1) USING (stock_id)
-        LEFT JOIN fx_in20 USING (stock_id) LEFT JOIN fx_mg20 USING (stock_id)
-        LEFT JOIN (SELECT stock_id, foreign_ratio FROM fx_shareholding
-          QUALIFY row_number() OVER (PARTITION BY stock_id ORDER BY trade_date DESC) = 1) USING (stock_id)
-        LEFT JOIN fx_big USING (stock_id)"""),
-    "fx_rated": (("fx_base",), """SELECT *, round_even(percent_rank() OVER (PARTITION BY security_type ORDER BY rs_raw NULLS FIRST)
-        * 100, 0)::INT AS rs_rating FROM fx_base"""),
-    "fx_tt": (("fx_rated",), """SELECT *, adj_close > ma150 AND adj_close > ma200 AND ma150 > ma200 AND ma200_up AND ma50 > ma150
-        AND ma50 > ma200 AND adj_close > ma50 AND adj_close >= low_52w * 1.30::DOUBLE AND adj_close >= high_52w * 0.75::DOUBLE
-        AND rs_rating >= 70 AS trend_template FROM fx_rated"""),
-    "fx_snap": (("fx_tt",), """SELECT * EXCLUDE (c0),
-        trend_template AND tight_recent <= 0.10 AND tight_recent < tight_prior * 0.85 AND vol_dry < 0.80 AND near_pivot >= 0.90 AS vcp,
-        in_universe AND vpa_accum_20d > vpa_distrib_20d AND vpa_accum_20d >= 2
-          AND (coalesce(big1000_chg, 0) > 0 OR coalesce(inst_net_20d, 0) > 0) AS mf_accumulate,
-        in_universe AND vpa_distrib_20d > vpa_accum_20d AND vpa_distrib_20d >= 2
-          AND (coalesce(big1000_chg, 0) < 0 OR coalesce(inst_net_20d, 0) < 0) AND near_pivot >= 0.85 AS mf_distribute FROM fx_tt"""),
+    "fx_bar_lists": (("fx_bars",), """SELECT stock_id, {'p': list(adj_close ORDER BY trade_date DESC), 'raw': list(close ORDER BY trade_date DESC),
+          'q': list(volume ORDER BY trade_date DESC), 'money': list(amount ORDER BY trade_date DESC)} AS bar FROM fx_bars GROUP BY stock_id"""),
+    "fx_month_of_signals": (("fx_vr",), """SELECT stock_id,
+          sum(CASE WHEN (down AND vr >= 2.0 AND sr >= 1.5 AND pos >= 0.45) OR (vr >= 1.5 AND pos >= 0.6) AND down OR down AND vr <= 0.6 AND sr <= 0.6
+            THEN 1 ELSE 0 END)::BIGINT AS bought,
+          sum(CASE WHEN vr >= 1.5 AND sr <= 0.6 THEN 1 WHEN NOT up THEN 0 WHEN vr <= 0.6 AND sr <= 0.6 THEN 1
+            WHEN vr >= 2.0 AND sr >= 1.5 AND pos <= 0.5 THEN 1 ELSE 0 END)::BIGINT AS sold
+        FROM fx_vr SEMI JOIN (SELECT stock_id, trade_date FROM fx_bars
+          QUALIFY row_number() OVER (PARTITION BY stock_id ORDER BY trade_date DESC) <= 20) USING (stock_id, trade_date) GROUP BY stock_id"""),
+    "fx_feat": (("fx_bar_lists", "fx_month_of_signals"), f"""
+        WITH b AS (FROM fx_bar_lists)
+        SELECT stock_id, bar.raw[1] AS close, len(bar.p) AS trading_days, {_mean('money', 20)} AS amt20,
+          {', '.join(f'bar.p[{k}] AS {n}' for n, k in sn.RANKS.items())},
+          {', '.join(f"{_mean('p', n)} AS ma{n}" for n in sn.MEANS)}, {_mean('p', 221, 22)} AS ma200_1m,
+          list_max(bar.p[:252]) AS high_52w, list_min(bar.p[:252]) AS low_52w,
+          {', '.join(f'bar.p[1] / nullif(bar.p[{k}], 0) - 1 AS ret_{n}' for n, k in (('1m', 21), ('3m', 63), ('6m', 126), ('12m', 252)))},
+          bar.p[21] / nullif(bar.p[252], 0) - 1 AS ret_12_1,
+          {' + '.join(f'{w} * bar.p[1] / nullif(bar.p[{k}], 0)' for w, k in ((2, 63), (1, 126), (1, 252)))} AS rs_raw,
+          bar.p[1] / nullif(list_max(bar.p[:252]), 0) - 1 AS dist_52w_high, bar.p[1] / nullif(list_min(bar.p[:252]), 0) - 1 AS pct_from_low,
+          {', '.join(f'round((list_max(bar.p[{i}:{j}]) - list_min(bar.p[{i}:{j}])) / nullif(bar.p[1], 0), 4) AS tight_{n}'
+                     for n, i, j in (('recent', 1, 15), ('prior', 16, 40)))},
+          round({_mean('q', 10)} / nullif({_mean('q', 50, 11)}, 0), 3) AS vol_dry, round(bar.p[1] / nullif(list_max(bar.p[:60]), 0), 4) AS near_pivot,
+          coalesce(bought, 0) AS vpa_accum_20d, coalesce(sold, 0) AS vpa_distrib_20d
+        FROM b LEFT JOIN fx_month_of_signals USING (stock_id)"""),
+    "fx_in20": (("fx_inst",), """SELECT stock_id, list_sum(list(coalesce(foreign_net, 0) + coalesce(trust_net, 0) + coalesce(dealer_self_net, 0)
+        ORDER BY trade_date DESC)[:20])::BIGINT AS inst_net_20d FROM fx_inst GROUP BY stock_id"""),
+    "fx_mg20": (("fx_margin",), """SELECT stock_id, held[1] AS margin_balance, held[1] - held[20] AS margin_chg_20d
+        FROM (SELECT stock_id, list(margin_balance ORDER BY trade_date DESC) AS held FROM fx_margin GROUP BY stock_id)"""),
+    "fx_big": (("fx_holder",), """SELECT stock_id, top[1] AS big1000_pct, round(top[1] - top[5], 4) AS big1000_chg
+        FROM (SELECT stock_id, list(pct ORDER BY data_date DESC) AS top FROM fx_holder WHERE level = 15 GROUP BY stock_id)"""),
+    "fx_ir": (("fx_index",), """SELECT level[1] / nullif(level[126], 0) AS r
+        FROM (SELECT list(close ORDER BY trade_date DESC) AS level FROM fx_index WHERE index_id = 'TAIEX')"""),
+    "fx_last": (("fx_quarterly", "fx_revenue", "fx_valuation", "fx_shareholding"), """
+        SELECT stock_id, q.*, r.*, v.*, h.*
+        FROM (SELECT stock_id, arg_max({'roe': roe, 'eps': eps, 'gross_margin': gross_margin, 'net_margin': net_margin,
+                'debt_ratio': debt_ratio}, period_date) AS q FROM fx_quarterly GROUP BY 1)
+        FULL JOIN (SELECT stock_id, arg_max({'rev_yoy': yoy_pct, 'rev_mom': mom_pct}, revenue_month) AS r FROM fx_revenue GROUP BY 1) USING (stock_id)
+        FULL JOIN (SELECT stock_id, arg_max({'per': per, 'pbr': pbr, 'dividend_yield': dividend_yield}, trade_date) AS v
+              FROM fx_valuation GROUP BY 1) USING (stock_id)
+        FULL JOIN (SELECT stock_id, arg_max({'foreign_ratio': foreign_ratio}, trade_date) AS h FROM fx_shareholding GROUP BY 1) USING (stock_id)"""),
+    "fx_snap": (("fx_stock", "fx_feat", "fx_last", "fx_in20", "fx_mg20", "fx_big", "fx_ir", "fx_bars"), f"""
+        WITH wide AS (
+          FROM fx_stock JOIN fx_feat USING (stock_id) LEFT JOIN fx_last USING (stock_id) LEFT JOIN fx_in20 USING (stock_id)
+            LEFT JOIN fx_mg20 USING (stock_id) LEFT JOIN fx_big USING (stock_id)
+        ), judged AS (
+          SELECT * REPLACE ({', '.join(f'round(ma{n}::DECIMAL(30, 9), 4)::DOUBLE AS ma{n}' for n in sn.MEANS)},
+              round(high_52w, 4) AS high_52w, round(low_52w, 4) AS low_52w, round(amt20) AS amt20),
+            round(c0, 4) AS adj_close, c0 > ma60 AS above_ma60, ma20 > ma60 AND ma60 > ma120 AS ma_bull,
+            coalesce(ma200 > ma200_1m, false) AS ma200_up, (ret_6m + 1) / nullif((SELECT r FROM fx_ir), 0) - 1 AS rs_6m,
+            least(trading_days - 60, amt20 - 5000000) >= 0 AS in_universe, (SELECT max(trade_date) FROM fx_bars) AS as_of_date,
+            round_even(100 * percent_rank() OVER (PARTITION BY security_type ORDER BY rs_raw NULLS FIRST), 0)::INT AS rs_rating,
+            greatest(sign(coalesce(big1000_chg, 0)), sign(coalesce(inst_net_20d, 0))) > 0 AS flows_in,
+            least(sign(coalesce(big1000_chg, 0)), sign(coalesce(inst_net_20d, 0))) < 0 AS flows_out,
+            vpa_accum_20d - vpa_distrib_20d AS surplus
+          FROM wide
+        ), trend AS (
+          SELECT *, rs_rating >= 70 AND ma200_up AND ma150 > ma200 AND ma50 > ma150 AND ma50 > ma200
+            AND adj_close > ma50 AND adj_close > ma150 AND adj_close > ma200
+            AND adj_close >= 1.30::DOUBLE * low_52w AND adj_close >= 0.75::DOUBLE * high_52w AS trend_template FROM judged
+        )
+        SELECT *, trend_template AND near_pivot >= 0.90 AND vol_dry < 0.80 AND tight_recent <= 0.10 AND tight_recent < 0.85 * tight_prior AS vcp,
+          in_universe AND flows_in AND surplus > 0 AND vpa_accum_20d >= 2 AS mf_accumulate,
+          in_universe AND flows_out AND surplus < 0 AND vpa_distrib_20d >= 2 AND near_pivot >= 0.85 AS mf_distribute FROM trend"""),
 }
 _SNAP_DIGITS = {c: 6 for c in ("ret_1m", "ret_3m", "ret_6m", "ret_12m", "ret_12_1", "dist_52w_high", "pct_from_low", "rs_6m", "rs_raw")}
 
 
 def _features(v: Views) -> DataFrame:
-    return sn.add_returns(sn.contraction(sn.price_features(v.bars, LOOKBACK_DAYS)))
+    return sn.add_returns(sn.price_features(v.bars, LOOKBACK_DAYS))
 
 
 def _pick(*cols: str):
@@ -312,6 +313,8 @@ _CRITERIA = {"ret_3m_min": -0.9, "per_max": 400, "rs_rating_min": 10, "above_ma6
 query("p01_build_predicate", lambda v: v.snapshot.filter(sc.build_predicate(_CRITERIA)).select(*_SHOWN),
       f"""SELECT {', '.join(_SHOWN)} FROM fx_snap WHERE ret_3m >= -0.9 AND per <= 400 AND per > 0 AND rs_rating >= 10
           AND above_ma60 AND security_type = 'stock' AND in_universe""", "fx_snap", extra=_SNAP, ret_3m=6, ret_12_1=6)
+query("t01_screen_all", lambda v: sc.screen(v.snapshot, {}, "amt20", True, None).select(*_SHOWN), f"SELECT {', '.join(_SHOWN)} FROM fx_snap",
+      "fx_snap", extra=_SNAP, ret_3m=6, ret_12_1=6)
 query("t01_screen_sorted", lambda v: sc.screen(v.snapshot, {"in_universe": True}, "amt20", True, 30).select(*_SHOWN),
       f"SELECT {', '.join(_SHOWN)} FROM fx_snap WHERE in_universe ORDER BY amt20 DESC NULLS LAST, stock_id LIMIT 30",
       "fx_snap", extra=_SNAP, ret_3m=6, ret_12_1=6)
@@ -340,9 +343,9 @@ query("p05_search_rank", lambda v: sc.search(v.stock, "00000000001", 50).unionBy
          UNION ALL SELECT * FROM (SELECT stock_id, name, market, industry FROM fx_stock WHERE stock_id LIKE '#000000002%'
            OR name LIKE '%#000000002%' ORDER BY CASE WHEN stock_id LIKE '#000000002%' THEN 0 ELSE 1 END, stock_id LIMIT 50)""", "fx_stock")
 query("t07_numeric_first", lambda v: sc.codes_numeric_first(
-          v.stock.select("stock_id").unionByName(v.stock.select(F.col("name").alias("stock_id")))).limit(150),
+          v.stock.select("stock_id").unionByName(v.stock.select(F.col("name").alias("stock_id")))),
       """SELECT stock_id FROM (SELECT stock_id FROM fx_stock UNION ALL SELECT name FROM fx_stock)
-         ORDER BY try_cast(stock_id AS DOUBLE) NULLS LAST, stock_id LIMIT 150""", "fx_stock")
+         ORDER BY try_cast(stock_id AS DOUBLE) NULLS LAST, stock_id""", "fx_stock")
 query("p07_security_code", lambda v: v.table("supplier").select(
           "s_suppkey", is_security_code(F.concat(F.lit('="'), F.lpad(F.col("s_suppkey").cast("string"), 4, "0"), F.lit('"'))).alias("ok"),
           is_security_code(F.col("s_name")).alias("name_ok")),
@@ -367,7 +370,7 @@ query("j16_pattern_semi_join",
 
 
 def _export(v: Views) -> DataFrame:
-    rows = sc.with_last_patterns(sc.screen(v.snapshot, {"in_universe": True}, "amt20", True, 500), v.bars)
+    rows = sc.with_last_patterns(sc.screen(v.snapshot, {"in_universe": True}, "amt20", True, None), v.bars)
     out = export_screen(rows)
     return out.select(F.col("代碼").alias("code"), F.col("近3月%").alias("ret"), F.col("站季線").alias("above"),
                       F.col("VCP").alias("vcp"), F.col("類別").alias("kind"))
@@ -375,8 +378,7 @@ def _export(v: Views) -> DataFrame:
 
 query("k10_export_screen", _export,
       """SELECT stock_id AS code, coalesce(printf('%.2f', ret_3m * 100), '') AS ret, CASE WHEN above_ma60 THEN '是' ELSE '' END AS above,
-         CASE WHEN vcp THEN '是' ELSE '' END AS vcp, security_type AS kind FROM fx_snap WHERE in_universe
-         ORDER BY amt20 DESC NULLS LAST, stock_id LIMIT 500""", "fx_snap", extra=_SNAP)
+         CASE WHEN vcp THEN '是' ELSE '' END AS vcp, security_type AS kind FROM fx_snap WHERE in_universe""", "fx_snap", extra=_SNAP)
 
 # -- diagnosis ----------------------------------------------------------------------------
 
@@ -469,9 +471,9 @@ query("g22_realized_stats", lambda v: pf.realized_stats(lg.matches(v.trades, ID_
 query("t12_realized_listing", lambda v: pf.realized(v.trades, v.stock, ID_BLOCK).select("stock_id", "name", "sell_date", "buy_id", "sell_id", "pnl"),
       """SELECT stock_id, name, sell_date, buy_id, sell_id, round_even(gain, 0)::BIGINT AS pnl FROM fx_match
          LEFT JOIN fx_stock USING (stock_id)""", "fx_match", "fx_stock", extra=_LEDGER)
-query("j07_trades_with_name", lambda v: v.trades.join(v.stock.select("stock_id", "name"), "stock_id", "left").select("id", "stock_id", "name", "action"),
-      "SELECT id, stock_id, name, action FROM fx_trades LEFT JOIN fx_stock USING (stock_id)", "fx_trades", "fx_stock")
-query("t11_trades_listing", lambda v: v.trades.orderBy(F.col("trade_date").desc(), F.col("id").desc()).select("id", "stock_id", "trade_date", "shares"),
+query("j07_trades_with_name", lambda v: pf.trades_listing(v.trades, v.stock).select("id", "stock_id", "name", "action"),
+      "SELECT id, stock_id, coalesce(name, stock_id) AS name, action FROM fx_trades LEFT JOIN fx_stock USING (stock_id)", "fx_trades", "fx_stock")
+query("t11_trades_listing", lambda v: pf.trades_listing(v.trades, v.stock).select("id", "stock_id", "trade_date", "shares"),
       "SELECT id, stock_id, trade_date, shares FROM fx_trades", "fx_trades")
 _ITEMS = {
     **_DIAG, **_LEDGER,
@@ -543,10 +545,18 @@ query("j18_news_with_embedding", lambda v: nw.with_embedding(v.news, v.embedding
       "SELECT news_id, stock_id, len(embedding)::INT AS dims FROM fx_news JOIN fx_embed USING (news_id)", "fx_news", "fx_embed")
 query("f33_cosine_distance", lambda v: nw.with_distance(v.embedding, _probe(v)).select("news_id", "dist"),
       f"SELECT vec_id AS news_id, {_DIST} AS dist FROM embeddings", dist=6)
+def _questions(v: Views) -> DataFrame:
+    return v.embedding.filter("news_id % 25 = 0").select(F.col("news_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
 query("d36_retrieve", lambda v: nw.retrieve(nw.with_embedding(v.news, v.embedding), _probe(v), 10, "en", "2024-06-30").select("news_id", "title", "dist"),
       f"""SELECT news_id, title, {_DIST} AS dist FROM fx_news JOIN fx_embed USING (news_id)
           WHERE stock_id = 'en' AND published_at <= TIMESTAMP '2024-06-30' ORDER BY dist, news_id LIMIT 10""",
       "fx_news", "fx_embed", dist=6)
+query("d36_retrieve_many", lambda v: nw.retrieve_many(v.news, v.embedding, _questions(v), 5).select("query_id", "rank", "news_id", "title", "dist"),
+      """SELECT q.vec_id AS query_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY 1 - list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), news_id)::INT
+           AS rank, news_id, title, 1 - list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS dist
+         FROM fx_news JOIN fx_embed e USING (news_id) JOIN embeddings q ON q.vec_id % 25 = 0 QUALIFY rank <= 5""", "fx_news", "fx_embed", dist=6)
 query("t04_vector_top_k", lambda v: nw.retrieve(v.embedding.withColumn("published_at", F.lit(None).cast("timestamp")), _probe(v), 25).select("news_id", "dist"),
       f"SELECT vec_id AS news_id, {_DIST} AS dist FROM embeddings ORDER BY dist, vec_id LIMIT 25", dist=6)
 query("d37_build_context",

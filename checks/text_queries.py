@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,9 +11,11 @@ from checks.registry import query
 from checks.views import Views
 from equilens.functions import parse as p
 from equilens.functions.calendar import MARKET_OTC, revenue_month
+from equilens.operators.adjust import valid_event
 from equilens.operators.relational import overlay, union_all
 from equilens.plans.screen import codes_numeric_first
-from equilens.sinks.tables import dry_run_profile, incremental
+from equilens.session import shared_folder
+from equilens.sinks.tables import append_trades, delete_trades, dry_run_profile, incremental, read_fact, read_version, replace_keys, write_version
 
 
 def _days(v: Views) -> DataFrame:
@@ -66,7 +70,7 @@ query("f29_payload_rows", lambda v: v.bars.select("trade_date", F.concat(
 query("p08_drop_untraded", lambda v: v.ticks.select("l_orderkey", "cents", F.when(F.col("l_returnflag") == "R", "--").otherwise(
           F.col("cents").cast("string")).alias("close")).filter(p.traded(F.col("close"))),
       "SELECT l_orderkey, cents, cents::VARCHAR AS close FROM fx_ticks WHERE l_returnflag <> 'R'", "fx_ticks")
-query("p13_valid_event", lambda v: v.reduction.filter((F.col("pre_close") > 0) & (F.col("post_ref_price") > 0)).groupBy("stock_id").agg(
+query("p13_valid_event", lambda v: v.reduction.filter(valid_event()).groupBy("stock_id").agg(
           F.count(F.lit(1)).alias("n")),
       "SELECT stock_id, count(*) AS n FROM fx_reduction WHERE pre_close > 0 AND post_ref_price > 0 GROUP BY 1", "fx_reduction")
 query("j17_market_unit_multiplier", lambda v: v.bars.join(v.stock.select(
@@ -85,7 +89,22 @@ def _replaced(v: Views) -> DataFrame:
     funds = v.stock.filter("security_type = 'etf'").select("stock_id")
     new = old.join(funds, "stock_id", "left_semi").groupBy("stock_id").agg(
         F.max("trade_date").alias("trade_date"), F.sum("volume").alias("volume"))
-    return old.join(new.select("stock_id"), "stock_id", "left_anti").unionByName(new)
+    path = _scratch(v)
+    write_version(old, path)
+    replace_keys(v.spark, path, new)
+    return read_version(v.spark, path)
+
+
+def _scratch(v: Views) -> str:
+    """A new folder in the cluster's shared folder."""
+    return f"{shared_folder(v.spark).rstrip('/')}/check-{uuid.uuid4().hex}"
+
+
+def _without_large(v: Views) -> DataFrame:
+    path = _scratch(v)
+    append_trades(v.spark, path, v.trades, v.stock)
+    delete_trades(v.spark, path, v.trades.filter("shares >= 40").select("id"))
+    return read_fact(v.spark, path).groupBy("stock_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 query("k03_incremental", lambda v: incremental(v.bars, "2000-01-01", "trade_date").select("stock_id", "trade_date", "volume"),
@@ -101,12 +120,13 @@ def _merged(v: Views) -> DataFrame:
     return overlay(bars, day.withColumn("volume", F.col("volume") + 1), ("stock_id", "trade_date"))
 
 
-query("k09_delete_trades", lambda v: v.trades.join(v.trades.filter("shares >= 40").select("id"), "id", "left_anti").groupBy("stock_id").agg(
-          F.count(F.lit(1)).alias("n")),
+query("k09_delete_trades", _without_large,
       "SELECT stock_id, count(*) AS n FROM fx_trades WHERE shares < 40 GROUP BY 1", "fx_trades")
-query("k11_merge_index", lambda v: overlay(v.index.filter("index_id = 'TWSE'"), v.index.filter("index_id = 'TPEx'").withColumn(
+query("k11_merge_index", lambda v: overlay(v.index.filter("index_id = 'TWSE'"), v.index.filter("index_id = 'TPEx' and month(trade_date) = 3").withColumn(
           "index_id", F.lit("TWSE")), ("index_id", "trade_date")),
-      "SELECT 'TWSE' AS index_id, trade_date, close FROM fx_index WHERE index_id = 'TPEx'", "fx_index", close=4)
+      """SELECT index_id, trade_date, coalesce(n.close, o.close) AS close FROM (FROM fx_index WHERE index_id = 'TWSE') o
+         FULL JOIN (SELECT 'TWSE' AS index_id, trade_date, close FROM fx_index WHERE index_id = 'TPEx' AND month(trade_date) = 3) n
+         USING (index_id, trade_date)""", "fx_index", close=4)
 query("k14_dry_run_profile", lambda v: dry_run_profile(v.bars.select("stock_id", "trade_date")),
       """SELECT count(*) AS rows, min('{"stock_id":"' || stock_id || '","trade_date":"' || trade_date || '"}') AS sample FROM fx_bars""", "fx_bars")
 query("k15_code_list", lambda v: codes_numeric_first(v.stock.select("stock_id")), "SELECT stock_id FROM fx_stock", "fx_stock")

@@ -34,8 +34,24 @@ def with_age(df: DataFrame, key: str = KEY, time_col: str = TIME, name: str = "r
     return df.withColumn(name, (F.count(F.lit(1)).over(whole) - F.row_number().over(w) + 1).cast("int"))
 
 
-def last_n(df: DataFrame, n: int, key: str = KEY, time_col: str = TIME) -> DataFrame:
-    """The newest ``n`` rows of every key."""
+def at_least_one(n: int | None) -> int | None:
+    """A wanted number of rows as it was given; None stands for all rows."""
+    if n is not None and int(n) < 1:
+        raise ValueError(f"a number of rows above 0 or None is needed, not {n}")
+    return None if n is None else int(n)
+
+
+def head(df: DataFrame, n: int | None) -> DataFrame:
+    """The first ``n`` rows of an ordered frame, all of them for None."""
+    n = at_least_one(n)
+    return df if n is None else df.limit(n)
+
+
+def last_n(df: DataFrame, n: int | None, key: str = KEY, time_col: str = TIME) -> DataFrame:
+    """The newest ``n`` rows of every key, all of them for None."""
+    n = at_least_one(n)
+    if n is None:
+        return df
     ranked = df.withColumn("_age", F.row_number().over(newest_first(key, time_col)))
     return ranked.filter(F.col("_age") <= n).drop("_age")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from equilens.functions.price import dividend_ratio, positive
@@ -39,11 +39,16 @@ def dividend_events(
     return both.groupBy(KEY, "ex_date").agg(F.sum("cash").alias("cash"), F.sum("stock").alias("stock"))
 
 
+def valid_event() -> Column:
+    """Capital reductions with a date and two positive prices."""
+    return F.col("resume_date").isNotNull() & (F.col("pre_close") > 0) & (F.col("post_ref_price") > 0)
+
+
 def reduction_events(reductions: DataFrame) -> DataFrame:
     """Reference price over previous close, multiplied per (stock_id, ex_date)."""
     pre, ref = F.col("pre_close").cast("double"), F.col("post_ref_price").cast("double")
     return (
-        reductions.filter(F.col("resume_date").isNotNull() & (pre > 0) & (ref > 0))
+        reductions.filter(valid_event())
         .groupBy(KEY, F.col("resume_date").alias("ex_date"))
         .agg(F.product(ref / pre).alias("reduction"))
     )

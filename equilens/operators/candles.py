@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from equilens.functions.windows import KEY, TIME, last_n, prior_trend, series, with_age
+from equilens.functions.windows import KEY, TIME, at_least_one, last_n, prior_trend, series, with_age
 
 # Pattern key -> (name, direction), in reporting order.
 CATALOG = {
@@ -137,15 +137,16 @@ def pattern_list() -> Column:
     return F.filter(F.array(*entries), lambda x: x.isNotNull())
 
 
-def pattern_events(bars: DataFrame, days: int = 90, truncate_context: bool = False) -> DataFrame:
-    """One row per (security, bar, pattern) over the newest ``days`` bars (10 to 500).
+def pattern_events(bars: DataFrame, days: int | None = 90, truncate_context: bool = False) -> DataFrame:
+    """One row per (security, bar, pattern) over the newest ``days`` bars, None for all.
 
     Only the reported bars and the look-back before them are kept ahead of the
     windows. ``truncate_context`` forgets the look-back too, as a caller that
     fetched only the reported range would.
     """
-    n = max(10, min(int(days), 500))
-    flagged = last_n(pattern_flags(last_n(bars, n if truncate_context else n + CONTEXT_BARS)), n)
+    n = at_least_one(days)
+    read = n if truncate_context or n is None else n + CONTEXT_BARS
+    flagged = last_n(pattern_flags(last_n(bars, read)), n)
     return flagged.select(KEY, TIME, F.explode(pattern_list()).alias("e")).select(KEY, TIME, "e.*")
 
 

@@ -48,9 +48,8 @@ def _clusters(values: Column) -> Column:
     return F.aggregate(F.array_sort(values), empty, step)
 
 
-def level_clusters(bars: DataFrame, n: int = 120) -> DataFrame:
-    """Clusters of the pivots in the newest ``n`` bars (30 to 800): side, price, touches, close."""
-    n = max(30, min(int(n), 800))
+def level_clusters(bars: DataFrame, n: int | None = 120) -> DataFrame:
+    """Clusters of the pivots in the newest ``n`` bars, None for all: side, price, touches, close."""
     marked = with_age(pivots(last_n(bars, n)))
     whole = marked.groupBy(KEY).agg(
         F.count(F.lit(1)).alias("bars"),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from equilens.functions.price import growth, ratio
-from equilens.functions.windows import KEY, TIME, series, trailing_calendar, with_age
+from equilens.functions.windows import KEY, TIME, head, series, trailing_calendar, with_age
 
 # Index ids, the fallback, and the turnover floor for movers.
 INDEX_IDS = ("TAIEX", "TWSE", "TPEx")
@@ -79,20 +79,18 @@ def money_flow(bars: DataFrame, stock: DataFrame, market: str = "上市", days:
 
 
 def movers(
-    bars: DataFrame, stock: DataFrame, kind: str = "gainers", limit: int = 15, days: int = 15,
+    bars: DataFrame, stock: DataFrame, kind: str = "gainers", limit: int | None = 15, days: int = 15,
     min_amount: float = MOVERS_MIN_AMOUNT,
 ) -> DataFrame:
-    """Top gainers, losers or most active among liquid securities (limit 1 to 50)."""
+    """Top gainers, losers or most active among liquid securities; ``limit=None`` returns all."""
     order = {
         "losers": F.col("chg").asc_nulls_last(),
         "active": F.col("amount").desc_nulls_last(),
     }.get(kind, F.col("chg").desc_nulls_first())
     liquid = latest_bars(bars, days).filter((F.col("amount") >= min_amount) & F.col("chg").isNotNull())
-    return (
-        liquid.join(stock.select(KEY, "name", "industry"), KEY)
-        .orderBy(order, KEY).limit(max(1, min(int(limit), 50)))
-        .select(KEY, "name", "industry", F.round(F.col("chg") * 100, 2).alias("chg_pct"), "close", "amount")
-    )
+    ranked = liquid.join(stock.select(KEY, "name", "industry"), KEY).orderBy(order, KEY)
+    return head(ranked, limit).select(
+        KEY, "name", "industry", F.round(F.col("chg") * 100, 2).alias("chg_pct"), "close", "amount")
 
 
 def index_quotes(index: DataFrame) -> DataFrame:
@@ -121,11 +119,10 @@ def market_overview(bars: DataFrame, index: DataFrame, days: int = 15, ids=("TAI
     return breadth(bars, days).select("*", *[folded.select(i.lower()).scalar().alias(i.lower()) for i in ids])
 
 
-def index_series(index: DataFrame, index_id: str = DEFAULT_INDEX, days: int = 120) -> DataFrame:
-    """Newest ``days`` closes of one index (1 to 2000), oldest first."""
+def index_series(index: DataFrame, index_id: str = DEFAULT_INDEX, days: int | None = 120) -> DataFrame:
+    """Newest ``days`` closes of one index, None for all, oldest first."""
     wanted = index_id if index_id in INDEX_IDS else DEFAULT_INDEX
-    n = max(1, min(int(days), 2000))
-    rows = index.filter(F.col("index_id") == wanted).orderBy(F.col(TIME).desc()).limit(n)
+    rows = head(index.filter(F.col("index_id") == wanted).orderBy(F.col(TIME).desc()), days)
     return rows.select(TIME, "close").orderBy(TIME)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from equilens.functions.price import cosine_distance
@@ -37,8 +37,27 @@ def retrieve(
     return scored.orderBy(F.col("dist").asc_nulls_last(), "news_id").limit(int(k))
 
 
+def retrieve_many(news: DataFrame, embedding: DataFrame, questions: DataFrame, k: int = 3, as_of=None) -> DataFrame:
+    """(query_id, rank) and the ``k`` nearest news for each of ``questions`` (query_id, vector, optional stock_id).
+
+    The questions are a stated, small set: they travel as one array. Ids, dates
+    and vectors alone meet them; ranks are cut per partition before the
+    shuffle, and texts are fetched for the hits only.
+    """
+    asked = questions if "stock_id" in questions.columns else questions.withColumn("stock_id", F.lit(None).cast("string"))
+    asked = asked.select("query_id", "vector", F.col("stock_id").alias("wanted"))
+    slim = point_in_time(news.select("news_id", "stock_id", "published_at"), "published_at", as_of)
+    pool = with_embedding(slim, embedding)
+    all_of_them = asked.agg(F.collect_list(F.struct("query_id", "vector", "wanted"))).scalar()
+    pairs = pool.withColumn("_q", F.explode(all_of_them)).filter(F.col("_q.wanted").isNull() | (F.col("_q.wanted") == F.col("stock_id")))
+    scored = pairs.select("news_id", F.col("_q.query_id").alias("query_id"), cosine_distance(F.col("embedding"), F.col("_q.vector")).alias("dist"))
+    order = Window.partitionBy("query_id").orderBy(F.col("dist").asc_nulls_last(), "news_id")
+    best = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= int(k))
+    return best.join(news, "news_id").select("query_id", "rank", "dist", *news.columns)
+
+
 def build_context(hits: DataFrame) -> DataFrame:
-    """Retrieved rows (at most k of them) as one numbered text block."""
+    """Retrieved rows as one numbered text block. It holds all of them: ask ``retrieve`` for as many as fit a prompt."""
     ordered = F.array_sort(F.collect_list(F.struct("dist", "news_id", "published_at", "title", "content")))
     numbered = F.transform(
         ordered,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_BUCKET = 1 << 14
+LINEAR = 256.0  # up to here buckets have a fixed width, beyond it their width grows with the value
 
 
 def percent_rank_spread(
@@ -15,12 +15,15 @@ def percent_rank_spread(
 
     A group may hold most of the rows (there are two security types), so the
     rank is put together from counts: equal values are counted before the
-    shuffle, values are laid into fixed-width buckets (at most
-    ``2 * MAX_BUCKET + 1`` per group, whose running total is a bounded window),
-    and only the inside of one bucket is ordered. Missing values rank first,
-    hence 0, and take part in the pool size.
+    shuffle, values are laid into buckets (of a fixed width near 0 and of a
+    fixed share of the value farther out, some 160,000 in all, whose running
+    total is a bounded window), and only the inside of one bucket is ordered.
+    Missing values rank first, hence 0, and take part in the pool size; they
+    need no rank and are kept out of the joins.
     """
-    cut = F.least(F.greatest(F.floor(F.col(value) / bucket_width), F.lit(-MAX_BUCKET)), F.lit(MAX_BUCKET))
+    x = F.col(value).cast("double")
+    far = F.floor(F.log2(F.abs(x) / LINEAR) / bucket_width) + int(LINEAR / bucket_width) + 1
+    cut = F.when(F.abs(x) <= LINEAR, F.floor(x / bucket_width)).otherwise(F.signum(x) * far)
     per_value = (
         df.filter(F.col(value).isNotNull())
         .groupBy(group, value)
@@ -52,8 +55,9 @@ def percent_rank_spread(
             ).alias("_rank"),
         )
     )
-    return (
-        df.join(ranks, F.col(group).eqNullSafe(F.col("_rg")) & (F.col(value) == F.col("_rv")), "left")
+    known = (
+        df.filter(F.col(value).isNotNull()).join(ranks, F.col(group).eqNullSafe(F.col("_rg")) & (F.col(value) == F.col("_rv")), "left")
         .withColumn(name, F.coalesce(F.col("_rank"), F.lit(0.0)))
         .drop("_rg", "_rv", "_rank")
     )
+    return known.unionByName(df.filter(F.col(value).isNull()).withColumn(name, F.lit(0.0)))

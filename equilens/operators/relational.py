@@ -31,6 +31,15 @@ def keep_first(df: DataFrame, keys: Sequence[str], *order: str | Column) -> Data
     return _pick(df, keys, F.struct(*order), F.min_by)
 
 
+def one_version(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per key; equal copies are merged, and different rows of one key are an error."""
+    row = F.struct(*[F.col(c) for c in df.columns])
+    both = df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.min(row).alias("_row"), F.max(row).alias("_other"))
+    clash = F.raise_error(F.concat(F.lit("several rows of one key and no order column: "), F.to_json("_row")))
+    return both.filter(F.when(F.col("_row").eqNullSafe(F.col("_other")), F.lit(True)).otherwise(clash.cast("boolean"))).select(
+        *[F.col("_row")[c].alias(c) for c in df.columns])
+
+
 def latest_row(df: DataFrame, columns: Sequence[str], key: str = KEY, time_col: str = TIME) -> DataFrame:
     """Columns of every key's newest row; (key, time) is unique.
 
@@ -56,6 +65,21 @@ def union_all(*frames: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
+def distinct_codes(*frames: DataFrame, key: str = KEY) -> DataFrame:
+    """Codes of all frames, each once, ascending."""
+    return union_all(*[f.select(key) for f in frames]).distinct().orderBy(key)
+
+
+def requested_and_known(requested: DataFrame, known: DataFrame, key: str = KEY) -> DataFrame:
+    """Codes that are asked for and known, each once."""
+    return requested.select(key).intersect(known.select(key))
+
+
+def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table_name, rows) of every table."""
+    return union_all(*[t.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("table_name"), "rows") for n, t in tables.items()])
+
+
 def keep_known(df: DataFrame, stock: DataFrame | None, key: str = KEY) -> DataFrame:
     """Rows whose code is in the master; no master, no filter."""
     return df if stock is None else df.join(stock.select(key), key, "left_semi")
@@ -131,8 +155,3 @@ def close_on_or_latest(wanted: DataFrame, bars: DataFrame) -> DataFrame:
         wanted.join(same_day, [KEY, TIME], "left").join(newest, KEY, "left")
         .withColumn("close", F.coalesce("_same", "_newest")).drop("_same", "_newest")
     )
-
-
-def last_known_change(df: DataFrame, x: str, name: str, steps: int = 1) -> DataFrame:
-    """Difference to the value ``steps`` rows earlier in the series."""
-    return df.withColumn(name, F.col(x) - F.lag(x, steps).over(series()))

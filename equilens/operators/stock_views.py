@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from equilens.functions.price import growth, net_of, ratio
-from equilens.functions.windows import KEY, TIME, last_n, latest_date, series
+from equilens.functions.windows import KEY, TIME, at_least_one, last_n, latest_date, series
 from equilens.operators.relational import close_on_or_latest, latest_row
 
 UNITS = {"W": "week", "M": "month", "Q": "quarter"}
@@ -22,10 +22,6 @@ def only(df: DataFrame, ids: Sequence[str] | None) -> DataFrame:
     return df if not ids else df.filter(F.col(KEY).isin(*ids))
 
 
-def _clamp(n: int, low: int, high: int) -> int:
-    return max(low, min(int(n), high))
-
-
 def _bucket(unit: str):
     return F.date_trunc(unit, F.col(TIME)).cast("date")
 
@@ -39,8 +35,8 @@ def resample_bars(bars: DataFrame, unit: str, adjusted: bool = True) -> DataFram
     ).withColumnRenamed("_bucket", TIME)
 
 
-def prices(bars: DataFrame, tf: str = "D", n: int = 250, adjusted: bool = True, ids=None) -> DataFrame:
-    """Newest ``n`` daily, weekly or monthly bars (1 to 5000) of every security."""
+def prices(bars: DataFrame, tf: str = "D", n: int | None = 250, adjusted: bool = True, ids=None) -> DataFrame:
+    """Newest ``n`` daily, weekly or monthly bars of every security, None for all."""
     source = only(bars, ids)
     if tf.upper() == "D":
         p = "adj_" if adjusted else ""
@@ -49,15 +45,14 @@ def prices(bars: DataFrame, tf: str = "D", n: int = 250, adjusted: bool = True,
         shaped = resample_bars(source, UNITS[tf.upper()], adjusted)
     else:
         raise ValueError("tf must be D, W or M")
-    return last_n(shaped, _clamp(n, 1, 5000))
+    return last_n(shaped, n)
 
 
-def chips(inst: DataFrame, margin: DataFrame, days: int = 60, ids=None) -> DataFrame:
-    """Institutional nets and margin balances, newest ``days`` rows of each (1 to 500)."""
-    n = _clamp(days, 1, 500)
+def chips(inst: DataFrame, margin: DataFrame, days: int | None = 60, ids=None) -> DataFrame:
+    """Institutional nets and margin balances, newest ``days`` rows of each, None for all."""
     net = net_of(*[F.col(c) for c in NET_PARTS if c in inst.columns])
-    nets = last_n(only(inst, ids), n).select(KEY, TIME, net.alias("inst_net"), "foreign_net", "trust_net")
-    held = last_n(only(margin, ids), n).select(KEY, TIME, "margin_balance", "short_balance")
+    nets = last_n(only(inst, ids), days).select(KEY, TIME, net.alias("inst_net"), "foreign_net", "trust_net")
+    held = last_n(only(margin, ids), days).select(KEY, TIME, "margin_balance", "short_balance")
     return nets.join(held, [KEY, TIME], "full")
 
 
@@ -69,17 +64,17 @@ def period_end(margin: DataFrame, unit: str) -> DataFrame:
     ).withColumnRenamed("_bucket", TIME)
 
 
-def margin_series(margin: DataFrame, tf: str = "D", n: int = 60, ids=None) -> DataFrame:
-    """Balances, their changes and the short-to-margin percentage (1 to 2000 rows)."""
+def margin_series(margin: DataFrame, tf: str = "D", n: int | None = 60, ids=None) -> DataFrame:
+    """Balances, their changes and the short-to-margin percentage of the newest ``n`` rows, None for all."""
     source = only(margin, ids)
     if tf.upper() != "D":
         if tf.upper() not in UNITS:
             raise ValueError("tf must be D, W, M or Q")
         source = period_end(source, UNITS[tf.upper()])
-    n = _clamp(n, 1, 2000)
+    n = at_least_one(n)
     w = series()
     m, s = F.col("margin_balance"), F.col("short_balance")
-    changed = last_n(source, n + 1).select(
+    changed = last_n(source, None if n is None else n + 1).select(
         KEY, TIME, "margin_balance", "short_balance",
         (m - F.lag(m).over(w)).alias("margin_chg"), (s - F.lag(s).over(w)).alias("short_chg"),
         F.when(m > 0, F.round(s.cast("double") / m.cast("double") * 100, 4)).alias("short_margin_ratio"),

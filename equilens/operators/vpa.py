@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from equilens.functions.price import spread_ratios
-from equilens.functions.windows import KEY, TIME, last_n, prior_trend, series, trailing_baseline
+from equilens.functions.windows import KEY, TIME, at_least_one, last_n, prior_trend, series, trailing_baseline
 
 # Signal key -> (name, direction, phase), and the thresholds.
 CATALOG = {
@@ -85,9 +85,9 @@ def vpa_flags(bars: DataFrame) -> DataFrame:
     return with_baseline(bars).select(*[F.col(c) for c in bars.columns], *flags)
 
 
-def vpa_events(bars: DataFrame, days: int = 90) -> DataFrame:
-    """One row per (security, bar, signal) over the newest ``days`` bars (30 to 500)."""
-    n = max(30, min(int(days), 500))
+def vpa_events(bars: DataFrame, days: int | None = 90) -> DataFrame:
+    """One row per (security, bar, signal) over the newest ``days`` bars, None for all."""
+    n = at_least_one(days)
     entries = [
         F.when(
             F.col(k),
@@ -97,6 +97,6 @@ def vpa_events(bars: DataFrame, days: int = 90) -> DataFrame:
         )
         for k, (name, d, ph) in CATALOG.items()
     ]
-    recent = last_n(vpa_flags(last_n(bars, n + WARM_UP_BARS)), n)
+    recent = last_n(vpa_flags(last_n(bars, None if n is None else n + WARM_UP_BARS)), n)
     fired = F.explode(F.filter(F.array(*entries), lambda x: x.isNotNull()))
     return recent.select(KEY, TIME, fired.alias("e")).select(KEY, TIME, "e.*")

@@ -54,6 +54,12 @@ def holdings(
     )
 
 
+def trades_listing(trades: DataFrame, stock: DataFrame) -> DataFrame:
+    """The trade log with names, newest first; a code without a name stands for itself."""
+    named = trades.join(stock.select(KEY, "name"), KEY, "left").withColumn("name", F.coalesce("name", KEY))
+    return named.orderBy(F.col(TIME).desc(), F.col("id").desc())
+
+
 def realized(trades: DataFrame, stock: DataFrame, id_block: int = DEFAULT_ID_BLOCK) -> DataFrame:
     """Matched round trips with the security's name, newest sale first."""
     named = matches(trades, id_block).join(stock.select(KEY, "name"), KEY, "left")

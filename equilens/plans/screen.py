@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from equilens.functions.windows import KEY, TIME, trailing_calendar, with_age
+from equilens.functions.windows import KEY, TIME, head, trailing_calendar, with_age
 from equilens.operators.candles import CATALOG, last_patterns, pattern_flags
 
 # Criterion key -> snapshot column, by the way it compares.
@@ -111,16 +111,19 @@ def build_predicate(filters: dict | None) -> Column:
     return reduce(operator.and_, [t for t in tests if t is not None], F.lit(True))
 
 
-def screen(snapshot: DataFrame, filters=None, sort: str = DEFAULT_SORT, desc: bool = True, limit: int = DEFAULT_LIMIT):
-    """Filtered securities, best first, unknown values last, ties by code (limit 1 to 500)."""
+def screen(snapshot: DataFrame, filters=None, sort: str = DEFAULT_SORT, desc: bool = True, limit: int | None = DEFAULT_LIMIT):
+    """Filtered securities, best first, unknown values last, ties by code; ``limit=None`` returns all."""
     column = F.col(sort if sort in SORTABLE else DEFAULT_SORT)
     order = column.desc_nulls_last() if desc else column.asc_nulls_last()
-    return snapshot.filter(build_predicate(filters)).orderBy(order, KEY).limit(max(1, min(int(limit), 500)))
+    return head(snapshot.filter(build_predicate(filters)).orderBy(order, KEY), limit)
 
 
-def run_strategy(snapshot: DataFrame, name: str, limit: int | None = None) -> DataFrame:
+def run_strategy(snapshot: DataFrame, name: str, limit: int | None | str = "preset") -> DataFrame:
+    """A preset screen; its own limit unless one is given, None returns all."""
     preset = STRATEGIES[name]
-    return screen(snapshot, preset["filters"], preset["sort"], True, limit or preset.get("limit", DEFAULT_LIMIT))
+    if limit == "preset":
+        limit = preset.get("limit", DEFAULT_LIMIT)
+    return screen(snapshot, preset["filters"], preset["sort"], True, limit)
 
 
 def with_last_patterns(rows: DataFrame, bars: DataFrame) -> DataFrame:
@@ -129,8 +132,8 @@ def with_last_patterns(rows: DataFrame, bars: DataFrame) -> DataFrame:
     return rows.join(last_patterns(shown).drop(TIME), KEY, "left")
 
 
-def search(stock: DataFrame, q: str, limit: int = 30, escape: bool = False) -> DataFrame:
-    """Code prefix or name part; code hits first (limit 1 to 50).
+def search(stock: DataFrame, q: str, limit: int | None = 30, escape: bool = False) -> DataFrame:
+    """Code prefix or name part; code hits first; ``limit=None`` returns all.
 
     ``%`` and ``_`` in the text act as wildcards unless ``escape`` is set.
     """
@@ -141,17 +144,14 @@ def search(stock: DataFrame, q: str, limit: int = 30, escape: bool = False) -> D
         by_code, by_name = F.col(KEY).startswith(text), F.col("name").contains(text)
     else:
         by_code, by_name = F.col(KEY).like(f"{text}%"), F.col("name").like(f"%{text}%")
-    return (
-        stock.filter(by_code | by_name)
-        .orderBy(F.when(by_code, 0).otherwise(1), KEY).limit(max(1, min(int(limit), 50)))
-        .select(KEY, "name", "market", "industry")
-    )
+    found = stock.filter(by_code | by_name).orderBy(F.when(by_code, 0).otherwise(1), KEY)
+    return head(found, limit).select(KEY, "name", "market", "industry")
 
 
 def screen_by_pattern(
-    snapshot: DataFrame, bars: DataFrame, pattern: str, limit: int = 100, days: int = 20
+    snapshot: DataFrame, bars: DataFrame, pattern: str, limit: int | None = 100, days: int = 20
 ) -> DataFrame:
-    """Universe members whose newest bar within ``days`` shows the pattern, most traded first (limit 1 to 300).
+    """Universe members whose newest bar within ``days`` shows the pattern, most traded first; ``limit=None`` returns all.
 
     The trend before the pattern is read from those days only.
     """
@@ -159,11 +159,9 @@ def screen_by_pattern(
         raise ValueError(f"unknown pattern: {pattern}")
     newest = with_age(pattern_flags(trailing_calendar(bars, TIME, days))).filter(F.col("rn") == 1)
     hits = newest.filter(F.col(pattern)).select(KEY)
-    return (
-        snapshot.filter(F.col("in_universe")).join(hits, KEY, "left_semi")
-        .orderBy(F.col("amt20").desc_nulls_last(), KEY).limit(max(1, min(int(limit), 300)))
-        .select(KEY, "name", "industry", "close", "ret_1m", "ret_3m", "per", "inst_net_20d", "big1000_pct")
-    )
+    members = snapshot.filter(F.col("in_universe")).join(hits, KEY, "left_semi")
+    return head(members.orderBy(F.col("amt20").desc_nulls_last(), KEY), limit).select(
+        KEY, "name", "industry", "close", "ret_1m", "ret_3m", "per", "inst_net_20d", "big1000_pct")
 
 
 def codes_numeric_first(df: DataFrame, key: str = KEY) -> DataFrame:

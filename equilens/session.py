@@ -36,17 +36,26 @@ def build_session(app: str = "equilens", master: str | None = None, **conf: str)
     return configure(builder.getOrCreate())
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the cluster's checkpoint folder and continue from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's folder for intermediate results, ``spark.checkpoint.dir``.
 
-    Used where one result feeds several branches, so that its input is scanned
-    once and a lost executor only re-reads the written copy. The folder is the
-    session's ``spark.checkpoint.dir``; a temporary one is used only where that
-    is unset (local tests).
+    Where that is unset, a local session takes a temporary one; on a cluster that would be a folder which other
+    machines don't see, so it is an error.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="equilens-ckpt-"))
+    return sc.getCheckpointDir()
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the cluster's shared folder and continue from there.
+
+    Used where one result feeds several branches, so that its input is scanned
+    once and a lost executor only re-reads the written copy.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

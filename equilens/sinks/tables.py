@@ -14,9 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from equilens.functions.windows import KEY, TIME
-from equilens.operators.news import fresh_news
-from equilens.operators.relational import keep_last, overlay
-from equilens.session import materialize
+from equilens.operators.relational import keep_first, keep_last, one_version, overlay
 
 
 def _fs(spark: SparkSession, path: str):
@@ -62,26 +60,38 @@ def upsert(
 ) -> None:
     """Insert or replace by key; of several updates of a key the greatest ``order_col`` wins.
 
-    Only the touched partitions are read and rewritten. A partition is a year
-    or a month of a date in the key, so a key never moves between partitions.
+    Without ``order_col`` different updates of one key are an error. Rows that
+    are nothing but their key are inserted where they are new. Only the
+    partitions that the updates touch are read and rewritten: their values, one
+    per year or month, are looked up first and become a filter on the folders.
+    A partition is a year or a month of a date in the key, so a key never moves
+    between partitions.
     """
     part = by_year(pk[-1] if pk[-1] != KEY else TIME) if part is None else part
     columns = [c for c in updates.columns if c != order_col]
+    if set(columns) == set(pk):
+        insert_only(spark, path, updates.select(*columns), pk, part=part)
+        return
+    once = keep_last(updates, pk, order_col).select(*columns) if order_col else one_version(updates, pk)
     if not exists(spark, path):
-        fresh = keep_last(updates, pk, order_col or pk[0]).select(*columns)
-        write_fact(fresh, path, part, pk)
+        write_fact(once, path, part, pk)
         return
-    stored = spark.read.parquet(path)
-    touched = updates.select(part.cast(stored.schema["part"].dataType).alias("part")).distinct()
-    affected = stored.join(touched, "part", "left_semi").select(*columns)
-    write_fact(overlay(affected, updates, pk, order_col), path, part, pk)
+    affected = touched_parts(spark.read.parquet(path), updates, part).select(*columns)
+    write_fact(overlay(affected, once, pk), path, part, pk)
+
+
+def touched_parts(stored: DataFrame, rows: DataFrame, part: Column) -> DataFrame:
+    """The partitions of ``stored`` that ``rows`` fall into; their values are literals, so other folders stay closed."""
+    kind = stored.schema["part"].dataType
+    values = [r[0] for r in rows.select(part.cast(kind).alias("part")).distinct().collect()]
+    return stored.filter(F.col("part").isin(values) if values else F.lit(False))
 
 
 def insert_only(spark: SparkSession, path: str, rows: DataFrame, pk: Sequence[str], *, part: Column) -> None:
     """Insert keys that are not stored yet; for tables that have nothing but their key."""
     new = rows.dropDuplicates(list(pk))
     if exists(spark, path):
-        new = new.join(read_fact(spark, path).select(*pk), list(pk), "left_anti")
+        new = new.join(touched_parts(spark.read.parquet(path), rows, part).select(*pk), list(pk), "left_anti")
     write_fact(new, path, part, pk, mode="append")
 
 
@@ -139,8 +149,9 @@ def upsert_small(spark: SparkSession, path: str, updates: DataFrame, pk: Sequenc
     stored = read_version(spark, path)
     if stored is None:
         columns = [c for c in updates.columns if c != order_col]
-        return write_version(keep_last(updates, pk, order_col or pk[0]).select(*columns), path)
-    return write_version(overlay(stored, updates, pk, order_col), path)
+        fresh = keep_last(updates, pk, order_col).select(*columns) if order_col else one_version(updates, pk)
+        return write_version(fresh, path)
+    return write_version(overlay(stored, updates if order_col else one_version(updates, pk), pk, order_col), path)
 
 
 def replace_keys(spark: SparkSession, path: str, df: DataFrame, key: str = KEY) -> int:
@@ -174,16 +185,16 @@ def append_trades(spark: SparkSession, path: str, trades: DataFrame, stock: Data
     return accepted, rejected
 
 
-def delete_trades(spark: SparkSession, path: str, ids: Sequence[int]) -> None:
-    """Remove trades by id; only the months that hold one are rewritten."""
+def delete_trades(spark: SparkSession, path: str, ids: Sequence[int] | DataFrame) -> None:
+    """Remove trades by id, given as a list or as a frame with ``id``; only the months that hold one are rewritten."""
     stored = spark.read.parquet(path)
-    gone = F.col("id").isin(*ids)
-    touched = stored.filter(gone).select("part").distinct()
-    kept = stored.join(touched, "part", "left_semi").filter(~gone)
-    emptied = touched.join(kept.select("part").distinct(), "part", "left_anti")
-    parts = [r["part"] for r in materialize(emptied).collect()]  # at most len(ids) rows
-    write_fact(kept.drop("part"), path, by_month(), (KEY, TIME, "id"))
-    for value in parts:
+    gone = ids.select("id").distinct() if isinstance(ids, DataFrame) else spark.createDataFrame([(int(i),) for i in ids], "id long")
+    # One row per month that loses a trade: how many rows it has and loses.
+    months = stored.select("part", "id").join(gone.withColumn("_gone", F.lit(1)), "id", "left").groupBy("part").agg(
+        F.count(F.lit(1)).alias("n"), F.count("_gone").alias("lost")).filter("lost > 0").collect()
+    kept = stored.filter(F.col("part").isin([r["part"] for r in months]) if months else F.lit(False)).join(gone, "id", "left_anti")
+    write_fact(kept.select(*[c for c in stored.columns if c != "part"]), path, by_month(), (KEY, TIME, "id"))
+    for value in [r["part"] for r in months if r["n"] == r["lost"]]:
         fs, p = _fs(spark, f"{path}/part={value}")
         fs.delete(p, True)
 
@@ -214,11 +225,22 @@ def write_nav_snapshot(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(TIME).csv(path, header=True)
 
 
-def append_news(spark: SparkSession, path: str, incoming: DataFrame, order_col: str) -> None:
-    """Append items whose url is new for their security."""
-    new = fresh_news(incoming, spark.read.parquet(path), order_col) if exists(spark, path) else keep_last(
-        incoming.withColumn("_back", -F.col(order_col)), ("stock_id", "url"), "_back").select(*incoming.columns)
-    new.write.mode("append").parquet(path)
+def by_url(buckets: int = 64) -> Column:
+    """Partition of a news item, a hash of its key: items without a date have one too, and it never changes."""
+    return F.pmod(F.xxhash64("stock_id", "url"), F.lit(buckets)).cast("int")
+
+
+def append_news(spark: SparkSession, path: str, incoming: DataFrame, order_col: str | Column) -> None:
+    """Append items whose url is new for their security, of several the first by ``order_col``.
+
+    Only the key columns of the partitions that the items fall into are read.
+    """
+    order = F.col(order_col) if isinstance(order_col, str) else order_col
+    once = keep_first(incoming, ("stock_id", "url"), order)
+    if exists(spark, path):
+        stored = touched_parts(spark.read.parquet(path), incoming, by_url()).select("stock_id", "url")
+        once = once.join(stored, ["stock_id", "url"], "left_anti").select(*incoming.columns)
+    write_fact(once, path, by_url(), ("stock_id", "url"), mode="append")
 
 
 def dry_run_profile(df: DataFrame) -> DataFrame:
@@ -261,7 +283,7 @@ def export_screen(df: DataFrame) -> DataFrame:
 
 
 def write_export(df: DataFrame, path: str) -> None:
-    """At most 500 screen rows as one quoted CSV file with a byte-order mark."""
+    """Screen rows as one quoted CSV file with a byte-order mark; the caller's limit bounds them."""
     shaped = export_screen(df)
     first = shaped.columns[0]
     shaped.withColumnRenamed(first, "﻿" + first).coalesce(1).write.mode("overwrite").option(

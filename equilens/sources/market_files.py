@@ -184,14 +184,21 @@ def read_holder_dist(spark: SparkSession, path: str, stock: DataFrame | None = N
 def read_etf_nav(spark: SparkSession, path: str, stock: DataFrame | None = None) -> DataFrame:
     """Fund values from JSON of unknown depth; the first record of a code and file wins.
 
-    Any object with ``a`` and one of ``e``/``f`` is a record, wherever it sits.
-    Records hold plain values, so a text pattern finds them at any depth.
+    Any object with ``a`` and one of ``e``/``f`` is a record, wherever it sits. Texts may hold brackets and
+    braces, and other values may be flat lists or objects; an object without ``a`` is searched for records inside.
     """
-    record = r'(\{[^{}\[\]]*"a"\s*:[^{}\[\]]*\})'
     text = F.decode("content", "UTF-8")
-    found = files(spark, path).select("path", F.posexplode(F.regexp_extract_all(text, F.lit(record), 1)).alias("at", "r"))
-    r = F.from_json("r", "a string, c string, e string, f string, g string, i string")
-    rows = found.select("path", "at", r.alias("r"), F.col("r").rlike(r'"(e|f)"\s*:').alias("_has")).filter("_has")
+    plain = r'[^{}\[\]"]++|"(?:[^"\\]++|\\.)*+"'
+    flat, nested = rf"(\{{(?:{plain})*+\}})", rf"(\{{(?:{plain}|[\[{{](?:{plain})*+[\]}}])*+\}})"
+    fields = "a string, c string, e string, f string, g string, i string"
+    own = lambda r: F.from_json(r, fields)["a"].isNotNull()
+    inside = lambda r: F.regexp_extract_all(F.substring(r, 2, 1 << 30), F.lit(flat), 1)
+    objects = F.flatten(F.transform(
+        F.regexp_extract_all(text, F.lit(nested), 1), lambda r: F.when(own(r), F.array(r)).otherwise(inside(r))))
+    found = files(spark, path).select("path", F.posexplode(objects).alias("at", "r"))
+    r = F.from_json("r", fields)
+    has = F.col("r").rlike(r'"(e|f)"\s*:')
+    rows = found.select("path", "at", r.alias("r"), has.alias("_has")).filter("_has and r.a is not null")
     code, day = F.trim("r.a"), ymd_date(F.col("r.i"))
     nav, units = parse_num(F.col("r.e")), parse_num(F.col("r.c"))
     typed = rows.select(

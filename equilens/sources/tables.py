@@ -7,11 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from equilens.functions.calendar import MARKET_OTC, revenue_available, revenue_month
-from equilens.functions.parse import iso_date, parse_bigint, parse_num
+from equilens.functions.calendar import MARKET_OTC, revenue_available, revenue_month, statement_available
+from equilens.functions.parse import csv_cells, iso_date, parse_bigint, parse_num
 from equilens.functions.windows import KEY, TIME
-from equilens.operators.fundamentals import best_dividends
+from equilens.operators.fundamentals import NOT_ITEMS, best_dividends
 from equilens.operators.relational import keep_first
+from equilens.sources.landed import files
 
 IDEOGRAPHIC_SPACE = "　"
 # Master-list headings, and the dataset columns of the per-security files.
@@ -103,16 +104,39 @@ def read_statement_long(spark: SparkSession, path: str, statement: str) -> DataF
 
 
 def _dataset(spark: SparkSession, path: str, suffix: str, columns: Sequence[str]) -> DataFrame:
-    """Per-security CSVs ``<code><suffix>.csv`` read by heading; absent headings are NULL."""
-    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{suffix}.csv").csv(
-        path, header=True, inferSchema=False
-    )
-    name = F.regexp_extract(F.col("_metadata.file_path"), rf"([^/]+){suffix}\.csv$", 1)
-    present = {c.lstrip("﻿").strip(): c for c in raw.columns}
-    picked = [
-        (F.col(f"`{present[c]}`") if c in present else F.lit(None).cast("string")).alias(c) for c in columns
-    ]
-    return raw.select(F.url_decode(name).alias(KEY), *picked)
+    """Per-security CSVs ``<code><suffix>.csv``, each read by its own heading; absent headings and empty cells are
+    NULL. Of equal headings in one file the first counts."""
+    rows = headed_rows(spark, path, suffix)
+
+    def named(c: str) -> Column:
+        place = F.array_position("heading", F.lit(c)).cast("int")
+        return F.nullif(F.when(place > 0, F.get("cells", place - 1)), F.lit("")).alias(c)
+
+    return rows.select(KEY, *[named(c) for c in columns])
+
+
+def headed_rows(spark: SparkSession, path: str, suffix: str) -> DataFrame:
+    """(stock_id, heading, line_no, cells) of per-security CSVs: each line with the heading of its file."""
+    text = F.regexp_replace(F.decode("content", "UTF-8"), "^\ufeff", "")
+    name = F.url_decode(F.regexp_extract("path", rf"([^/]+){suffix}\.csv$", 1))
+    lines = F.filter(F.split(text, r"\r?\n"), lambda x: F.trim(x) != "")
+    found = files(spark, path, f"*{suffix}.csv").select(name.alias(KEY), lines.alias("_lines")).filter(F.size("_lines") > 1)
+    heading = F.transform(csv_cells(F.get("_lines", F.lit(0))), lambda c: F.trim(c))
+    body = F.posexplode(F.slice("_lines", 2, F.size("_lines")))
+    return found.select(KEY, heading.alias("heading"), body.alias("line_no", "_line")).select(
+        KEY, "heading", "line_no", csv_cells(F.col("_line")).alias("cells"))
+
+
+def load_statement(spark: SparkSession, path: str, suffix: str, statement: str) -> DataFrame:
+    """Wide statement files ``<code><suffix>.csv``, with items of their own in each file, to ``financial_statement``."""
+    rows = headed_rows(spark, path, suffix).filter(F.array_contains("heading", "date"))
+    day = iso_date(F.get("cells", F.array_position("heading", F.lit("date")).cast("int") - 1))
+    pairs = F.arrays_zip(F.col("heading").alias("item"), F.col("cells").alias("text"))
+    items = F.filter(pairs, lambda p: p["item"].isNotNull() & ~p["item"].isin(*NOT_ITEMS))
+    return rows.select(KEY, day.alias("period_date"), F.explode(items).alias("p")).select(
+        KEY, "period_date", F.lit(statement).alias("statement"), "p.item", parse_num(F.col("p.text")).alias("value"),
+        statement_available(F.col("period_date")).alias("available_date"),
+    ).filter(F.col("period_date").isNotNull() & F.col("value").isNotNull())
 
 
 def load_prices(spark: SparkSession, path: str, stock: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from equilens.functions.windows import KEY, TIME
 from equilens.operators.ledger import open_shares
-from equilens.sinks.tables import by_month, check_trades, read_fact, upsert
+from equilens.sinks.tables import append_news, by_month, check_trades, exists, read_fact, touched_parts, upsert
 
 
 def arriving(spark: SparkSession, source_dir: str, schema: T.StructType, fmt: str = "parquet", **options) -> DataFrame:
@@ -60,36 +60,53 @@ def start_bars(events: DataFrame, path: str, checkpoint: str, **shape) -> Stream
     ).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def start_news_dedupe(news: DataFrame, path: str, checkpoint: str, late: str = "90 days") -> StreamingQuery:
-    """Append the first item of each (stock_id, url); keys are remembered for the watermark's length."""
-    once = news.withWatermark("published_at", late).dropDuplicatesWithinWatermark(["stock_id", "url"])
-    return once.writeStream.format("parquet").option("path", path).option(
-        "checkpointLocation", checkpoint
-    ).trigger(availableNow=True).start()
+def start_news_dedupe(news: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Append the first item of each (stock_id, url), undated and late ones too.
+
+    Every micro-batch is held against the stored keys, as the batch load does,
+    so nothing is forgotten after a while and a repeated batch adds nothing.
+    """
+
+    def apply(batch: DataFrame, _: int) -> None:
+        append_news(batch.sparkSession, path, batch, F.coalesce(F.unix_micros("published_at"), F.lit(1 << 62)))
+
+    return news.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(
+        availableNow=True
+    ).start()
 
 
 def start_ledger(
-    trades: DataFrame, log_path: str, days_path: str, checkpoint: str, stock: DataFrame
+    trades: DataFrame, log_path: str, days_path: str, checkpoint: str, stock: DataFrame, rejects_path: str | None = None,
 ) -> StreamingQuery:
     """Keep the trade log and its day sums up to date.
 
     Valid trades are upserted by id, then the sums of the touched days are
     rebuilt from the log, so a repeated batch changes nothing. Open positions
     follow from the day sums (``current_positions``); nothing is kept per
-    security in a task, however much of the log one security holds.
+    security in a task, however much of the log one security holds. Only the
+    months of the batch are read. Rejected trades go to ``rejects_path``
+    (beside the log by default) with their reason, one folder per batch, so a
+    repeated batch replaces its own.
     """
+    rejects = rejects_path or f"{log_path.rstrip('/')}_rejected"
 
-    def apply(batch: DataFrame, _: int) -> None:
+
+    def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        accepted, _rejected = check_trades(batch, stock)
+        accepted, rejected = check_trades(batch.persist(), stock)
+        rejected.write.mode("overwrite").parquet(f"{rejects}/batch={number}")
         upsert(spark, log_path, accepted, (KEY, TIME, "id"), part=by_month())
         touched = accepted.select(KEY, TIME).distinct()
+        if not exists(spark, log_path):
+            return
+        log = touched_parts(spark.read.parquet(log_path), accepted, by_month())
         side = F.col("shares").cast("decimal(18,6)")
-        sums = read_fact(spark, log_path).join(touched, [KEY, TIME], "left_semi").groupBy(KEY, TIME).agg(
+        sums = log.join(touched, [KEY, TIME], "left_semi").groupBy(KEY, TIME).agg(
             F.coalesce(F.sum(F.when(F.col("action") == "buy", side)), F.lit(0).cast("decimal(28,6)")).alias("bought"),
             F.coalesce(F.sum(F.when(F.col("action") == "sell", side)), F.lit(0).cast("decimal(28,6)")).alias("sold"),
         )
         upsert(spark, days_path, sums, (KEY, TIME), part=by_month())
+        batch.unpersist()
 
     return trades.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(
         availableNow=True

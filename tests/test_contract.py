@@ -48,7 +48,7 @@ def test_entry_and_keys(spark):
     assert entry_module.entry(spark).count() > 0
     queries, oracle = entry_module.queries(), entry_module.oracle_sql()
     assert set(oracle) <= set(queries) and len(queries) > 200
-    assert all(re.match(r"^[a-z]\d\d_", k) for k in queries)
+    assert all(re.match(r"^[a-z]\d\d_|op\d+_|pipeline$", k) for k in queries)
 
 
 @pytest.fixture(scope="module")

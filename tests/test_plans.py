@@ -174,7 +174,10 @@ def test_build_predicate_and_screen(spark):
     assert ids(None) == ["A", "B", "C", "D"]
     assert ids({"per_max": 15}) == ["A", "D"]
     assert ids({"per_max": "15", "industry": "x", "in_universe": True, "nonsense": 1, "per_min": None, "ret_3m_min": "abc"}) == ["A"]
-    assert [r.stock_id for r in sc.screen(snap, {}, "not a column", True, 0).collect()] == ["A"]
+    assert [r.stock_id for r in sc.screen(snap, {}, "not a column", True, 1).collect()] == ["A"]
+    assert sc.screen(snap, {}, limit=None).count() == 4
+    with pytest.raises(ValueError):
+        sc.screen(snap, {}, limit=0)
     assert [r.stock_id for r in sc.screen(snap, {}, "ret_3m", True, 99).collect()] == ["A", "D", "C", "B"]
     assert [r.stock_id for r in sc.screen(snap, {}, "ret_3m", False, 99).collect()] == ["C", "A", "D", "B"]
 
@@ -248,3 +251,16 @@ def test_portfolio_with_an_unpriced_holding(spark):
     assert t.n == 2 and t.closed_n == 2 and t.win_rate == 50.0
     assert t.total_cost == pytest.approx(60 * 50 + 50) and t.unrealized == pytest.approx(t.total_value - t.total_cost)
     assert t.realized_total == 388 - 10 and t.top_industry == "i" and t.top_industry_share == 100.0
+
+
+def test_rank_with_many_unknown_and_far_values(spark):
+    rng = np.random.default_rng(2)
+    far = np.concatenate([rng.normal(0, 1, 40), rng.normal(0, 1e6, 30), [256.0, -256.0, 256.0001, -1e300, 1e300, 5e-324]])
+    rows = [("s" if i % 2 else "e", float(x)) for i, x in enumerate(np.concatenate([far, far[:9]]))] + [("s", None)] * 700 + [(None, 3.0), (None, None)]
+    df = spark.createDataFrame(rows, "security_type string, x double")
+    got = percent_rank_spread(df, "security_type", "x", "p")
+    from pyspark.sql import Window
+
+    want = df.withColumn("p", F.percent_rank().over(Window.partitionBy("security_type").orderBy(F.col("x").asc_nulls_first())))
+    key = lambda d: sorted((str(r.security_type), str(r.x), round(r.p, 12)) for r in d.collect())
+    assert key(got) == key(want)

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from equilens.operators import news as nw
@@ -189,3 +190,54 @@ def test_stream_ledger_equals_batch(spark, tmp_path, rows):
     want = positions(spark.createDataFrame(raw[:60], TRADE)).select("stock_id", "net_shares")
     assert rows(jobs.current_positions(spark, days)) == rows(want)
     assert sk.read_fact(spark, log).count() == 60
+
+
+def test_only_touched_partitions_are_read(spark, tmp_path, rows):
+    path = str(tmp_path / "t")
+    sk.write_fact(spark.createDataFrame([("A", D(2020 + y, 1, 2), 1.0) for y in range(6)], "stock_id string, trade_date date, close double"), path, sk.by_year())
+    day = spark.createDataFrame([("A", D(2025, 1, 2), 9.0), ("B", D(2024, 1, 2), 8.0)], "stock_id string, trade_date date, close double")
+    part = sk.touched_parts(spark.read.parquet(path), day, sk.by_year())
+    assert sorted(f.split("part=")[1][:4] for f in part.inputFiles()) == ["2020", "2021", "2022", "2023", "2024", "2025"]
+    plan = part._jdf.queryExecution().executedPlan()
+    part.collect()
+    assert "PartitionFilters: [part" in plan.toString() or "part" in plan.toString().split("PartitionFilters")[1][:60]
+    scan = plan.collectLeaves().head()
+    assert scan.metrics().get("numPartitions").get().value() == 2
+    sk.upsert(spark, path, day, ("stock_id", "trade_date"))
+    assert rows(sk.read_fact(spark, path).where("close > 5")) == [("A", D(2025, 1, 2), 9.0), ("B", D(2024, 1, 2), 8.0)]
+
+
+def test_clashing_updates_need_an_order(spark, tmp_path, rows):
+    path, schema = str(tmp_path / "t"), "stock_id string, trade_date date, close double"
+    same = spark.createDataFrame([("A", D(2026, 1, 2), 1.0)] * 2, schema)
+    sk.upsert(spark, path, same, ("stock_id", "trade_date"))
+    assert sk.read_fact(spark, path).count() == 1
+    clash = spark.createDataFrame([("A", D(2026, 1, 2), 1.0), ("A", D(2026, 1, 2), 2.0)], schema)
+    with pytest.raises(Exception, match="no order column"):
+        sk.upsert(spark, path, clash, ("stock_id", "trade_date"))
+    keys = spark.createDataFrame([("A", D(2026, 1, 2)), ("A", D(2026, 1, 2)), ("B", D(2026, 1, 2))], "stock_id string, trade_date date")
+    for _ in range(2):
+        sk.upsert(spark, str(tmp_path / "k"), keys, ("stock_id", "trade_date"))
+    assert rows(sk.read_fact(spark, str(tmp_path / "k"))) == [("A", D(2026, 1, 2)), ("B", D(2026, 1, 2))]
+
+
+def test_stream_news_keeps_undated_and_late_items_once(spark, tmp_path, rows):
+    schema = "stock_id string, url string, title string, published_at timestamp"
+    src, out, ck = (str(tmp_path / x) for x in ("src", "out", "ck"))
+    new, old = dt.datetime(2026, 6, 1), dt.datetime(2025, 1, 1)
+    for batch in ([("A", "u1", "x", new), ("A", "u0", "undated", None)], [("A", "u0", "again", None), ("A", "u9", "late", old), ("A", "u9", "later", new)]):
+        df = spark.createDataFrame(batch, schema)
+        df.write.mode("append").parquet(src)
+        jobs.start_news_dedupe(jobs.arriving(spark, src, df.schema), out, ck).awaitTermination()
+    assert rows(sk.read_fact(spark, out).select("url", "title")) == [("u0", "undated"), ("u1", "x"), ("u9", "late")]
+
+
+def test_stream_ledger_keeps_rejects(spark, tmp_path):
+    src, log, days, ck = (str(tmp_path / x) for x in ("src", "log", "days", "ck"))
+    stock = spark.createDataFrame([("A",)], "stock_id string")
+    raw = [(1, "A", "buy", D(2026, 1, 1), 1.0, 1.0, None, None), (2, "ZZ", "buy", D(2026, 1, 1), 1.0, 1.0, None, None), (3, "A", "hold", D(2026, 1, 1), 1.0, 1.0, None, None)]
+    df = spark.createDataFrame(raw, TRADE)
+    df.write.parquet(src)
+    jobs.start_ledger(jobs.arriving(spark, src, df.schema), log, days, ck, stock).awaitTermination()
+    got = {r.id: r.reason for r in spark.read.parquet(f"{log}_rejected").collect()}
+    assert got == {2: "unknown security", 3: "action"} and sk.read_fact(spark, log).count() == 1

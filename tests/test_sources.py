@@ -2,6 +2,7 @@ import datetime as dt
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from equilens.sources import feeds, landed
 from equilens.sources import market_files as mf
@@ -200,3 +201,41 @@ def test_rss(spark, tmp_path, rows):
     assert [tuple(r) for r in got] == [
         ("2330", "A", "body text", "Src", "http://x/1", dt.datetime(2026, 7, 7, 8)),
         ("2330", "B", "B", "Google News", "http://x/2", None)]
+
+
+def test_each_file_is_read_by_its_own_heading(spark, tmp_path, rows):
+    put(tmp_path / "p" / "1_per.csv", "date,PER,PBR,dividend_yield\n2026-07-09,10,1.5,3\n")
+    put(tmp_path / "p" / "2_per.csv", "\ufeffdividend_yield, date ,PBR,PER,extra\r\n2.2,2026-07-09,5.5,25,\"a,b\"\r\n\r\n")
+    put(tmp_path / "p" / "3_per.csv", "date,PER\n2026-07-09,\n")
+    assert rows(tb.load_per(spark, str(tmp_path / "p"))) == [
+        ("1", D(2026, 7, 9), 10.0, 1.5, 3.0), ("2", D(2026, 7, 9), 25.0, 5.5, 2.2), ("3", D(2026, 7, 9), None, None, None)]
+    put(tmp_path / "i" / "TAIEX.csv", "date,price\n2026-07-09,\"1,000.5\"\n")
+    put(tmp_path / "i" / "TPEx.csv", "close,date\n200,2026-07-09\n")
+    assert rows(tb.read_index_dir(spark, str(tmp_path / "i"))) == [("TAIEX", D(2026, 7, 9), 1000.5), ("TPEx", D(2026, 7, 9), 200.0)]
+
+
+def test_wide_statements_of_different_items(spark, tmp_path, rows):
+    from equilens.operators.fundamentals import build_quarterly
+
+    put(tmp_path / "1_financials.csv", "date,stock_id,Revenue,GrossProfit\n2026-03-31,1,100,40\n2026-06-30,1,200,\n")
+    put(tmp_path / "2_financials.csv", "EPS,date,Revenue\n1.5,2026-03-31,50\n")
+    long = tb.load_statement(spark, str(tmp_path), "_financials", "income")
+    assert rows(long.select("stock_id", "period_date", "item", "value")) == [
+        ("1", D(2026, 3, 31), "GrossProfit", 40.0), ("1", D(2026, 3, 31), "Revenue", 100.0), ("1", D(2026, 6, 30), "Revenue", 200.0),
+        ("2", D(2026, 3, 31), "EPS", 1.5), ("2", D(2026, 3, 31), "Revenue", 50.0)]
+    got = build_quarterly(long).select("stock_id", "period_date", "revenue", "gross_profit", "eps")
+    assert rows(got) == [("1", D(2026, 3, 31), 100, 40, None), ("1", D(2026, 6, 30), 200, None, None), ("2", D(2026, 3, 31), 50, None, 1.5)]
+
+
+def test_cells_of_odd_lines(spark):
+    from equilens.functions.parse import csv_cells
+
+    lines = ['a,b', ',a,', '"x,y",z', '="0050",1', '"say ""hi""",2', 'a"b,c', '', '"1,234"," 5 "']
+    got = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, x string").orderBy("i").select(csv_cells(F.col("x"))).collect()
+    assert [r[0] for r in got] == [["a", "b"], ["", "a", ""], ["x,y", "z"], ['="0050"', "1"], ['say "hi"', "2"], ['a"b', "c"], [""], ["1,234", " 5 "]]
+
+
+def test_fund_names_with_brackets_and_nested_values(spark, tmp_path):
+    put(tmp_path / "n.json", '{"x": {"msgArray": [{"a": "1", "b": "Fund [TW] {x} \\"q\\"", "c": "10", "e": "2", "f": "1", "i": "20260709"},'
+        ' {"a": "2", "n": [1, 2], "o": {"p": 1}, "c": "5", "e": "3", "i": "20260709"}]}, "y": {"z": {"a": "3", "c": "1", "f": "4", "i": "20260709"}}}')
+    assert sorted(r.stock_id for r in mf.read_etf_nav(spark, str(tmp_path)).collect()) == ["1", "2", "3"]
