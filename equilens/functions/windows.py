@@ -79,12 +79,25 @@ def prior_trend(close: Column, start: int, look: int, w: WindowSpec) -> Column:
     return F.when(F.count(close).over(frame) < 2, 0).otherwise(F.signum(move).cast("int"))
 
 
+PART = "part"  # partition column of stored facts: a year or a month, ascending with the date
+
+
 def latest_date(df: DataFrame, col: str = TIME) -> Column:
-    """Newest date of a table as a scalar subquery: no join, evaluated once."""
+    """Newest date of a table as a scalar subquery: no join, evaluated once.
+
+    Of a stored fact with its partition column only the newest partition is read.
+    """
+    if PART in df.columns:
+        df = df.filter(F.col(PART) == df.agg(F.max(PART)).scalar())
     return df.agg(F.max(col)).scalar()
 
 
 def trailing_calendar(df: DataFrame, date_col: str, days: int, newest: Column | None = None) -> DataFrame:
-    """Rows within ``days`` calendar days of the newest date (exclusive lower bound)."""
-    edge = latest_date(df, date_col) if newest is None else newest
-    return df.filter(F.col(date_col) > F.date_sub(edge, days))
+    """Rows within ``days`` calendar days of the newest date (exclusive lower bound).
+
+    Of a fact partitioned by year, older years are not opened, if its partition column is still there.
+    """
+    edge = F.date_sub(latest_date(df, date_col) if newest is None else newest, days)
+    if PART in df.columns:
+        df = df.filter(F.col(PART) >= F.year(edge)).drop(PART)
+    return df.filter(F.col(date_col) > edge)

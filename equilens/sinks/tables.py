@@ -50,8 +50,10 @@ def write_fact(df: DataFrame, path: str, part: Column, sort: Sequence[str] = (KE
     ).parquet(path)
 
 
-def read_fact(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop("part")
+def read_fact(spark: SparkSession, path: str, partitioned: bool = False) -> DataFrame:
+    """A stored fact; ``partitioned`` keeps the partition column, by which plans over recent days leave old years closed."""
+    table = spark.read.parquet(path)
+    return table if partitioned else table.drop("part")
 
 
 def upsert(

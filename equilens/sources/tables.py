@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from equilens.functions.calendar import MARKET_OTC, revenue_available, revenue_month, statement_available
 from equilens.functions.parse import csv_cells, iso_date, parse_bigint, parse_num
-from equilens.functions.windows import KEY, TIME
+from equilens.functions.windows import KEY, TIME, trailing_calendar
 from equilens.operators.fundamentals import NOT_ITEMS, best_dividends
 from equilens.operators.relational import keep_first
 from equilens.sources.landed import files
@@ -261,10 +261,7 @@ def scan_recent(spark: SparkSession, path: str, days: int, date_col: str = TIME)
     The newest date is looked up in the newest partition only, and the date
     bound is repeated on the partition column, so old years are never opened.
     """
-    table = spark.read.parquet(path)
-    newest = table.filter(F.col("part") == table.agg(F.max("part")).scalar()).agg(F.max(date_col)).scalar()
-    edge = F.date_sub(newest, days)
-    return table.filter((F.col("part") >= F.year(edge)) & (F.col(date_col) > edge)).drop("part")
+    return trailing_calendar(spark.read.parquet(path), date_col, days)
 
 
 def scan_trades(spark: SparkSession, path: str) -> DataFrame:

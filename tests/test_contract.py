@@ -88,3 +88,32 @@ def test_as_of_join_is_one_shuffle_without_range_join(spark, stored_bars):
     facts = stored_bars.selectExpr("stock_id", "trade_date as known", "close as roe")
     plan = as_of_known(stored_bars.select("stock_id", "trade_date"), facts, "known", ["roe"])._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan
+
+
+def test_recent_days_open_recent_years_only(spark, tmp_path):
+    import datetime as dt
+
+    from equilens.operators.market import latest_bars
+    from equilens.plans.snapshot import price_features
+
+    path = str(tmp_path / "bars")
+    rows = [("A", dt.date(2015 + i // 4, 1 + 3 * (i % 4), 5), *[10.0 + i] * 9, 1) for i in range(44)]
+    names = "open high low close adj_open adj_high adj_low adj_close amount".split()
+    df = spark.createDataFrame(rows, "stock_id string, trade_date date, " + ", ".join(f"{n} double" for n in names) + ", volume long")
+    sk.write_fact(df, path, sk.by_year())
+
+    def years(frame):
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        try:
+            frame = frame.select("*")
+            frame.collect()
+            leaves = frame._jdf.queryExecution().executedPlan().collectLeaves()
+        finally:
+            spark.conf.set("spark.sql.adaptive.enabled", "true")
+        scans = [leaves.apply(i) for i in range(leaves.size())]
+        return [x.metrics().get("numPartitions").get().value() for x in scans if x.metrics().contains("numPartitions")]
+
+    whole, part = sk.read_fact(spark, path), sk.read_fact(spark, path, partitioned=True)
+    for view in (lambda b: price_features(b, 400), lambda b: latest_bars(b, 200)):
+        assert sorted(map(str, view(whole).collect())) == sorted(map(str, view(part).select(*view(whole).columns).collect()))
+        assert years(view(part)) and max(years(view(part))) <= 2 and max(years(view(whole))) == 11
