@@ -280,7 +280,7 @@ def encoded(docs: DataFrame, path: str, dropout: Dropout = Dropout()) -> DataFra
     The variants of a document follow from the seed and its whole text, so repeated rows get equal pieces whatever
     their partition; an empty table gives no rows.
     """
-    small_batches(docs.sparkSession, 2000)
+    small_batches(docs.sparkSession, 1000)
     proto = load(docs.sparkSession, path)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,7 +298,7 @@ def encoded(docs: DataFrame, path: str, dropout: Dropout = Dropout()) -> DataFra
 
 def with_text(coded: DataFrame, path: str) -> DataFrame:
     """``coded`` with the text of ``piece_ids`` as ``decoded``; null stays null."""
-    small_batches(coded.sparkSession, 2000)
+    small_batches(coded.sparkSession, 1000)
     proto = load(coded.sparkSession, path)
     names = coded.columns
 
