@@ -19,7 +19,8 @@ from equilens.llm.common import WORD, cut, n_words
 class Mix:
     """``weights`` repeat over the sources by code point, null last; ``share`` of all words is taken; a source gives
     ``cap`` times its words at most. Blocks hold ``block_words`` words, less for a source that would have fewer than
-    ``min_blocks`` of them. A shard has ``shard_slots`` slots. Equal seeds give equal mixes."""
+    ``min_blocks`` of them. A shard has ``shard_slots`` slots. Equal seeds give equal mixes. ``chunk_rows`` and
+    ``task_slots`` are the documents and slots of a task."""
 
     weights: tuple[int, ...] = (5, 2, 1)
     share: float = 1.5
@@ -29,6 +30,7 @@ class Mix:
     shard_slots: int = 4096
     seed: int = 20
     chunk_rows: int = 50_000
+    task_slots: int = 200_000
     cells: int = 4096
 
 
@@ -103,7 +105,9 @@ def draws(sources: DataFrame, mix: Mix) -> DataFrame:
 
     earlier = Window.partitionBy("rank").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.join(s.select("rank", "slots"), "rank").withColumn("start", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-    kept = counts.where("start < slots").select(
+    # A row here becomes up to a shard of slots, so rows are dealt out by the slots to come, not by their own size.
+    parts = max(1, total // mix.task_slots)
+    kept = counts.where("start < slots").repartition(parts, "shard", "rank").select(
         "shard", "rank", F.explode(F.sequence("start", F.least(F.col("start") + F.col("n"), F.col("slots")) - 1)).alias("slot"))
 
     totals = s.select("rank", "slots").join(counts.groupBy("rank").agg(F.sum("n").alias("n")), "rank", "left").select(
