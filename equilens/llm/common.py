@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import tempfile
+import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -76,6 +78,38 @@ def odds(p: float) -> float:
     return math.log(p / (1 - p))
 
 
+def released(df: DataFrame) -> DataFrame:
+    """``df``, a table that is cut off from its plan, after the shuffle files of finished steps have been let go.
+
+    Spark removes them when the driver collects its garbage, which may be much later than the next step.
+    """
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
+    return df
+
+
+class Loop:
+    """Tables written to the shared folder while a loop runs, and removed after it.
+
+    A table that is read back has the size of its files. Checkpoints keep the estimates of the plan they come from,
+    and a join multiplies those of its sides, so estimates would double their digits with every round of a loop.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.tables = spark, 0
+        self.folder = f"{shared_folder(spark).rstrip('/')}/loop-{uuid.uuid4().hex}"
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.tables += 1
+        path = f"{self.folder}/{self.tables}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def end(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) for every id on an edge (a, b): the smallest id reachable.
 
@@ -83,25 +117,32 @@ def components(edges: DataFrame) -> DataFrame:
     contracts the edges to the roots; at least half of the ids that still have edges vanish per round. Self-loops,
     repeated and reversed edges are harmless; without edges the result is empty.
     """
-    edges = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    maps: list[DataFrame] = []
+    loop = Loop(edges.sparkSession)
+
+    def clean(e: DataFrame) -> DataFrame:
+        return loop.keep(e.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+    edges, maps = clean(edges), []
     while not edges.isEmpty():
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hook = cut(both.groupBy(F.col("a").alias("id")).agg(F.least("id", F.min("b")).alias("to")))
+        hook = loop.keep(both.groupBy(F.col("a").alias("id")).agg(F.least("id", F.min("b")).alias("to")))
         while True:
             up = hook.select(F.col("id").alias("to"), F.col("to").alias("top"))
-            deeper = cut(hook.join(up, "to").select("id", F.col("top").alias("to"), (F.col("top") != F.col("to")).alias("moved")))
+            deeper = hook.join(up, "to").select("id", F.col("top").alias("to"), (F.col("top") != F.col("to")).alias("moved"))
+            deeper = loop.keep(deeper)
             hook = deeper.select("id", "to")
             if deeper.where("moved").isEmpty():
                 break
         maps.append(hook)
         ends = edges.join(hook.withColumnRenamed("id", "a"), "a").select(F.col("to").alias("a"), "b")
-        ends = ends.join(hook.withColumnRenamed("id", "b"), "b").select("a", F.col("to").alias("b"))
-        edges = cut(ends.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    if not maps:
-        return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
-    top = maps[-1].select("id", F.col("to").alias("component"))
-    for hook in reversed(maps[:-1]):
-        root = top.select(F.col("id").alias("to"), "component")
-        top = cut(hook.join(root, "to", "left").select("id", F.coalesce("component", "to").alias("component")))
+        edges = clean(ends.join(hook.withColumnRenamed("id", "b"), "b").select("a", F.col("to").alias("b")))
+    if maps:
+        top = maps[-1].select("id", F.col("to").alias("component"))
+        for hook in reversed(maps[:-1]):
+            root = top.select(F.col("id").alias("to"), "component")
+            top = loop.keep(hook.join(root, "to", "left").select("id", F.coalesce("component", "to").alias("component")))
+    else:
+        top = edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    top = cut(top)
+    loop.end()
     return top

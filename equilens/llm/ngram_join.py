@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from equilens.llm.common import components, cut, small_batches
+from equilens.llm.common import components, cut, released, small_batches
 
 
 @dataclass(frozen=True)
@@ -29,17 +29,20 @@ class Join:
 
     The global order puts n-grams last that occur ``often`` times in a pseudorandom sample of ``sample`` documents, of
     those the ``common`` most frequent at most; it decides speed only. ``group`` bounds the members of a trie and
-    ``block`` those of a tile of a list. Sketches have ``buckets`` counters.
+    ``block`` those of a tile of a list, ``family`` the rows of lists in a task. Sketches have ``buckets`` counters of one byte. ``bits`` is the size of the
+    filter that keeps most texts out of the shuffle when sets are read again; it decides speed only.
     """
 
     n: int = 5
     percent: int = 75
-    sample: int = 20_000
-    often: int = 3
+    sample: int = 8_000
+    often: int = 2
     common: int = 1 << 20
     group: int = 200
     block: int = 1024
-    buckets: int = 256
+    buckets: int = 512
+    family: int = 50_000
+    bits: int = 1 << 24
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -71,7 +74,8 @@ class Shingles:
         x = np.full(len(h) - span + 1, np.uint64(span))
         for k in range(span):
             x = mixed(x * np.uint64(0xD6E8FEB86659FD93) + h[k:k + len(x)])
-        return np.unique((x >> np.uint64(1)).astype(np.int64))
+        x = np.sort((x >> np.uint64(1)).astype(np.int64))
+        return x[np.concatenate([[True], x[1:] != x[:-1]])]
 
 
 def ordered(hashes: np.ndarray, common: np.ndarray) -> np.ndarray:
@@ -176,50 +180,54 @@ def common_shingles(docs: DataFrame, join: Join) -> np.ndarray:
     return np.sort(top.toArrow().column(0).to_numpy())
 
 
-def profiles(docs: DataFrame, join: Join) -> DataFrame:
-    """(doc_id, n_shingles, key, id): ``key`` is a 16-byte digest of the set, equal for equal sets, and ``id`` its head
-    as a number; both are null for an empty set."""
+def sketch(hashes: np.ndarray, buckets: int) -> bytes:
+    """Number of n-grams by bucket, 255 standing for that many or more."""
+    at = (mixed(hashes.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    return np.minimum(np.bincount(at, minlength=buckets), 255).astype(np.uint8).tobytes()
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingles(join.n)
-        for batch in batches:
-            sets = [shingles.hashes(t) for t in batch.column(1).to_pylist()]
-            keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-            ids = pa.array([class_id(k) if k else None for k in keys], pa.int64())
-            sizes = pa.array([len(s) for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array(keys, pa.binary()), ids], ["doc_id", "n_shingles", "key", "id"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(each, "doc_id long, n_shingles long, key binary, id long")
+def can_link(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """False where sets of such sketches and sizes can't link, and the most that they can overlap, as a share of the
+    smaller: the sum of smaller counts is never below the overlap, but where both counters are full it is unknown."""
+    least = needed(size_a.astype(np.int64), size_b.astype(np.int64), percent)
+    small, both = np.minimum(size_a, size_b), np.minimum(a, b)
+    most = np.where((both == 255).any(-1), small, np.minimum(both.sum(-1, dtype=np.int64), small))
+    return most >= least, most / np.maximum(size_a, size_b)
 
 
-def postings(docs: DataFrame, join: Join, common) -> DataFrame:
-    """(token, id, size): each prefix n-gram of each class, once per task; ``id`` is the head of the class's digest."""
+def profiles(docs: DataFrame, join: Join, common) -> DataFrame:
+    """(doc_id, n_shingles, key, id, sketch, prefix): ``key`` is a 16-byte digest of the set, equal for equal sets, and
+    ``id`` its head as a number; they are null for an empty set.
+
+    ``prefix`` has the n-grams that any set which links must share one of, at the first row of each class in a task,
+    else null. It keeps 39 bits of each: a chance meeting costs a comparison and changes no result.
+    """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, seen = Shingles(join.n), set()
         for batch in batches:
-            tokens, ids, sizes = [], [], []
-            for text in batch.column(0).to_pylist():
-                s = shingles.hashes(text)
-                i = class_id(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                if not len(s) or i in seen:
-                    continue
-                if len(seen) > 1_000_000:
-                    seen.clear()
-                seen.add(i)
-                n = len(s)
-                prefix = ordered(s, common.value)[: n - -(-join.percent * n // 100) + 1]
-                tokens.append(prefix)
-                ids.append(np.full(len(prefix), i))
-                sizes.append(np.full(len(prefix), n))
-            if tokens:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(tokens)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(sizes).astype(np.int32))],
-                    ["token", "id", "size"])
-
-    rows = docs.where("doc_id is not null").select(F.col("text").cast("binary"))
-    return rows.mapInArrow(each, "token long, id long, size int")
+            sets = [shingles.hashes(t) for t in batch.column(1).to_pylist()]
+            keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+            ids = [class_id(k) if k else None for k in keys]
+            prefixes = []
+            for s, i, known in zip(sets, ids, batch.column(0).is_valid().to_pylist(), strict=True):
+                first = known and i is not None and i not in seen
+                if first:
+                    if len(seen) > 1_000_000:
+                        seen.clear()
+                    seen.add(i)
+                prefixes.append(ordered(s, common.value)[: len(s) - -(-join.percent * len(s) // 100) + 1] >> 24 if first else None)
+            lengths = [0 if x is None else len(x) for x in prefixes]
+            flat = np.concatenate([np.zeros(0, np.int64), *(x for x in prefixes if x is not None)])
+            lists = pa.ListArray.from_arrays(
+                pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(flat), mask=pa.array([x is None for x in prefixes]))
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(ids, pa.int64()),
+                pa.array([sketch(s, join.buckets) if len(s) else None for s in sets], pa.binary()), lists,
+            ], ["doc_id", "n_shingles", "key", "id", "sketch", "prefix"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(each, "doc_id long, n_shingles long, key binary, id long, sketch binary, prefix array<long>")
 
 
 def ordered_sets(docs: DataFrame, join: Join, common) -> DataFrame:
@@ -238,63 +246,131 @@ def ordered_sets(docs: DataFrame, join: Join, common) -> DataFrame:
     return docs.select(F.col("text").cast("binary")).mapInArrow(each, "id long, tokens array<long>")
 
 
-def verified(stars: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
-    """Links (a, b) among the groups of ``stars`` (hub, id): each hub with its ids, in parts of ``join.group``."""
-    size = stars.groupBy("hub").agg(F.count("*").alias("m"))
-    parts = stars.join(size, "hub").withColumn("part", F.pmod(F.xxhash64("id"), F.expr(f"int(m div {join.group}) + 1")))
-    hubs = parts.select("hub", "part").distinct().withColumn("id", F.col("hub"))
-    groups = parts.select("hub", "part", "id").union(hubs.select("hub", "part", "id")).join(sets, "id")
+def only(docs: DataFrame, wanted: DataFrame, bits: int) -> DataFrame:
+    """Rows of ``docs`` whose doc_id is in ``wanted``,
+    and, by chance, few others. A bitmap of hashed ids, ``bits`` / 8 bytes whatever the number of ids and so safe to
+    broadcast, drops the rest, so that no text is shuffled.
+    """
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    words = F.expr("_at div 32768").alias("_word")
+    marks = wanted.select(at.alias("_at")).groupBy(words).agg(F.bitmap_construct_agg(F.expr("_at % 32768")).alias("_map"))
+    near = docs.withColumn("_at", at).withColumn("_word", words).join(F.broadcast(marks), "_word")
+    near = near.where("(int(conv(hex(substring(_map, int(_at % 32768 div 8) + 1, 1)), 16, 10)) div shiftleft(1, int(_at % 8))) % 2 = 1")
+    return near.select(*docs.columns)
+
+
+def possible(pairs: DataFrame, classes: DataFrame, join: Join) -> DataFrame:
+    """Pairs (hub, id) that sizes and sketches don't rule out."""
+    side = lambda name: classes.select(
+        F.col("id").alias(name), F.col("size").alias(f"{name}_size"), F.col("sketch").alias(f"{name}_sketch"))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            get = lambda name: batch.column(batch.schema.get_field_index(name))  # noqa: E731, B023
+            counts = [np.frombuffer(b"".join(get(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("hub_sketch", "id_sketch")]
+            kept, _ = can_link(*counts, get("hub_size").to_numpy(), get("id_size").to_numpy(), join.percent)
+            yield pa.RecordBatch.from_arrays([get("hub"), get("id")], ["hub", "id"]).filter(pa.array(kept))
+
+    return pairs.join(side("hub"), "hub").join(side("id"), "id").mapInArrow(each, "hub long, id long")
+
+
+def stars(pairs: DataFrame, join: Join) -> DataFrame:
+    """Groups (hub, part, id) of pairs (hub, id): each hub with its ids, in parts of about ``join.group``."""
+    size = pairs.groupBy("hub").agg(F.count("*").alias("m"))
+    parts = pairs.join(size, "hub").select("hub", F.pmod(F.xxhash64("id"), F.expr(f"int(m div {join.group}) + 1")).alias("part"), "id")
+    return parts.union(parts.select("hub", "part", F.col("hub").alias("id")).distinct())
+
+
+def clusters(pairs: DataFrame, join: Join) -> DataFrame:
+    """Groups (hub, part, id) in which all pairs meet: whole components of the pairs where they are small enough, so
+    that a set is sent once, and stars for the others."""
+    whole = components(pairs.select(F.col("hub").alias("a"), F.col("id").alias("b")))
+    large = whole.groupBy("component").agg(F.count("*").alias("m")).where(F.col("m") > 2 * join.group).select("component")
+    small = whole.join(large, "component", "left_anti").select(F.col("component").alias("hub"), F.lit(0).alias("part"), "id")
+    rest = whole.join(large, "component", "left_semi").select("id")
+    return small.union(stars(pairs.join(rest, "id", "left_semi"), join).select("hub", F.col("part").cast("int"), "id"))
+
+
+def verified(groups: DataFrame, docs: DataFrame, classes: DataFrame, join: Join, common) -> DataFrame:
+    """Links (a, b) that join the members of each group as all links among them do, found in a trie of their sets."""
+    groups = cut(groups)
+    wanted = classes.join(groups.select("id").distinct(), "id", "left_semi").select(F.col("first").alias("doc_id")).distinct()
+    sets = ordered_sets(only(docs, cut(wanted), join.bits), join, common)
 
     def link(table: pa.Table) -> pa.Table:
-        ids = table.column("id").to_numpy()
         column = table.column("tokens").combine_chunks()
         at, flat = column.offsets.to_numpy(), column.values.to_numpy()
-        pairs = forest([flat[at[k]:at[k + 1]] for k in range(len(ids))], join.percent)
-        a, b = (np.array([p[k] for p in pairs], int) for k in (0, 1))
+        ids, first = np.unique(table.column("id").to_numpy(), return_index=True)
+        found = forest([flat[at[k]:at[k + 1]] for k in first], join.percent)
+        a, b = (np.array([f[k] for f in found], int) for k in (0, 1))
         return pa.table({"a": ids[a], "b": ids[b]})
 
-    return groups.select("hub", "part", "id", "tokens").groupBy("hub", "part").applyInArrow(link, "a long, b long")
+    links = groups.join(sets, "id").select("hub", "part", "id", "tokens").groupBy("hub", "part").applyInArrow(link, "a long, b long")
+    return released(cut(links))
 
 
-def open_pairs(lists: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
-    """Pairs (hub, id) of different components that share a list and whose sketches leave a link possible.
+def open_pairs(lists: DataFrame, classes: DataFrame, join: Join) -> DataFrame:
+    """Pairs (hub, id) of different components that share a list and whose sketches leave a link possible, with the
+    components of both and the ``score`` that their sketches allow.
 
-    A sketch counts the n-grams of a set by bucket; the sum of smaller counts is never below the overlap. Long lists
-    are compared in tiles of ``join.block`` members a side.
+    Long lists are compared in tiles of ``join.block`` members a side. Lists with the same smallest component, which
+    for copies of one text are many lists of nearly the same members, meet in one task (or in several, by their
+    number of rows), where every pair is looked at once.
     """
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for s in batch.column(1):
-                tokens = s.values.to_numpy().view(np.uint64)
-                rows.append(np.bincount((mixed(tokens) % np.uint64(join.buckets)).astype(np.int64), minlength=join.buckets).astype(np.uint32).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["id", "sketch"])
-
-    ids = lists.select("id").distinct()
-    sketches = sets.join(ids, "id").select("id", "tokens").mapInArrow(sketch, "id long, sketch binary")
+    family = lists.groupBy("low").agg(F.expr(f"int(count(*) div {join.family}) + 1").alias("shares"))
+    lists = lists.join(family, "low").withColumn("share", F.pmod(F.xxhash64("token"), F.col("shares")).cast("int"))
     blocks = lists.groupBy("token").agg(F.expr(f"int((count(*) - 1) div {join.block}) + 1").alias("blocks"))
     rows = lists.join(blocks, "token").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(sketches, "id")
-    rows = rows.select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "size", "part", "sketch")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(classes.select("id", "sketch"), "id")
+    rows = rows.select(
+        "low", "share", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "token", "block", "id", "size", "part", "sketch")
 
     def compare(table: pa.Table) -> pa.Table:
-        ids, part, size, block = (table.column(c).to_numpy() for c in ("id", "part", "size", "block"))
-        counts = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint32).reshape(len(ids), -1)
+        token, block = table.column("token").to_numpy(), table.column("block").to_numpy()
+        ids, first, member = np.unique(table.column("id").to_numpy(), return_index=True, return_inverse=True)
+        part, size = (table.column(c).to_numpy()[first] for c in ("part", "size"))
+        counts = np.frombuffer(b"".join(table.column("sketch").take(pa.array(first)).to_pylist()), np.uint8).reshape(len(ids), -1)
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        right = np.flatnonzero(block == j)
-        out = [[], []]
-        for a in np.flatnonzero(block == i):
-            b = right[right > a] if i == j else right
-            least = needed(size[a].astype(np.int64), size[b].astype(np.int64), join.percent)
-            b = b[(part[b] != part[a]) & (np.minimum(size[a], size[b]) >= least)]
-            if len(b):
-                least = needed(size[a].astype(np.int64), size[b].astype(np.int64), join.percent)
-                b = b[np.minimum(counts[a], counts[b]).sum(1, dtype=np.int64) >= least]
-                out[0].append(np.minimum(ids[a], ids[b]))
-                out[1].append(np.maximum(ids[a], ids[b]))
-        return pa.table({"hub": np.concatenate([np.zeros(0, np.int64), *out[0]]), "id": np.concatenate([np.zeros(0, np.int64), *out[1]])})
-
-    return rows.groupBy("token", "i", "j").applyInArrow(compare, "hub long, id long").distinct()
+        order = np.argsort(token, kind="stable")
+        pairs, more, held = np.zeros(0, np.int64), [], 0
+        for rows_of_list in np.split(order, np.flatnonzero(np.diff(token[order])) + 1):
+            left, right = (np.sort(member[rows_of_list[block[rows_of_list] == k]]) for k in (i, j))
+            for at in range(0, len(left), 64):
+                a, b = (x.ravel() for x in np.meshgrid(left[at:at + 64], right, indexing="ij"))
+                a, b = np.minimum(a, b), np.maximum(a, b)
+                open_ = (part[a] != part[b]) & (
+                    100 * np.minimum(size[a], size[b]).astype(np.int64) >= join.percent * np.maximum(size[a], size[b]))
+                more.append(a[open_] * len(ids) + b[open_])
+                held += len(more[-1])
+                if held > 1 << 20:
+                    pairs, more, held = np.unique(np.concatenate([pairs, *more])), [], 0
+        pairs = np.unique(np.concatenate([pairs, *more]))
+        out = [[np.zeros(0, np.int64)] * 4 + [np.zeros(0)]]
+        for k in range(0, len(pairs), 4096):
+            u, v = np.divmod(pairs[k:k + 4096], len(ids))
+            kept, score = can_link(counts[u], counts[v], size[u], size[v], join.percent)
+            u, v, score = u[kept], v[kept], score[kept]
+            out.append([ids[u], ids[v], part[u], part[v], score])
+        names = ("hub", "id", "hub_part", "id_part", "score")
+        return pa.table({name: np.concatenate(columns) for name, columns in zip(names, zip(*out, strict=True), strict=True)})
+
+    schema = "hub long, id long, hub_part long, id_part long, score double"
+    return rows.groupBy("low", "share", "i", "j").applyInArrow(compare, schema).distinct()
+
+
+def most_likely(pairs: DataFrame) -> DataFrame:
+    """For each component the pair (hub, id) to another one that its sketches rate highest."""
+    ends = pairs.select(F.col("hub_part").alias("part"), "hub", "id", "score").union(pairs.select("id_part", "hub", "id", "score"))
+    best = ends.groupBy("part").agg(F.max_by(F.struct("hub", "id"), F.struct("score", "hub", "id")).alias("p"))
+    return best.select("p.*").distinct()
+
+
+def still_open(pairs: DataFrame, part: DataFrame) -> DataFrame:
+    """Pairs whose ends are not in one component of ``part`` (id, component)."""
+    ends = pairs.select("hub", "id")
+    for side in ("hub", "id"):
+        ends = ends.join(part.select(F.col("id").alias(side), F.col("component").alias(f"{side}_in")), side, "left")
+    return ends.where("hub_in is null or id_in is null or hub_in <> id_in").select("hub", "id")
 
 
 def linked(docs: DataFrame, join: Join = Join()) -> DataFrame:
@@ -309,31 +385,44 @@ def linked(docs: DataFrame, join: Join = Join()) -> DataFrame:
     small_batches(spark)
     docs = docs.select("doc_id", "text")
     common = spark.sparkContext.broadcast(common_shingles(docs, join))
-    known = cut(profiles(docs, join))
-
-    token = Window.partitionBy("token")
-    shared = postings(docs, join, common).withColumns({"low": F.min("id").over(token), "high": F.max("id").over(token)})
-    shared = cut(shared.where("low < high").select("token", "id", "size").distinct())
+    known = cut(profiles(docs, join, common))
+
+    by_size = Window.partitionBy("token").orderBy("size", "id")
+    size = F.col("n_shingles").cast("int").alias("size")
+    shared = known.where("prefix is not null").select(F.explode("prefix").alias("token"), "id", size)
+    shared = shared.withColumn("before", F.lag("id").over(by_size))
+    shared = shared.where("before is null or before <> id").withColumns({
+        "smaller": F.lag("size").over(by_size), "larger": F.lead("size").over(by_size)})
+    # Of a list, those members stay that have a neighbour in size with which they may link.
+    fits = f"100 * smaller >= {join.percent} * size or 100 * size >= {join.percent} * larger"
+    shared = released(cut(shared.where(fits).select("token", "id", "size")))
     mark = shared.groupBy("token").agg(
         F.count("*").alias("m"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("y"))
     chosen = mark.groupBy("m", "x", "y").agg(F.min("token").alias("token")).select("token")
     lists = cut(shared.join(chosen, "token", "left_semi"))
 
-    classes = known.where("key is not null and doc_id is not null").groupBy("key", "id").agg(F.min("doc_id").alias("first"))
-    classes = cut(classes.select("first", "id"))
-    wanted = classes.join(lists.select("id").distinct(), "id", "left_semi").select(F.col("first").alias("doc_id")).distinct()
-    sets = cut(ordered_sets(docs.join(wanted, "doc_id", "left_semi"), join, common).dropDuplicates(["id"]))
+    classes = known.where("key is not null and doc_id is not null").groupBy("key", "id").agg(
+        F.min("doc_id").alias("first"), F.min("n_shingles").cast("int").alias("size"), F.min("sketch").alias("sketch"))
+    classes = cut(classes.drop("key"))
 
+    token = Window.partitionBy("token")
     hub = lists.withColumn("hub", F.min("id").over(token)).where("id <> hub")
     hub = hub.groupBy("id", "hub").agg(F.count("*").alias("times"))
-    stars = hub.groupBy("id").agg(F.max_by("hub", F.struct("times", "hub")).alias("hub"))
-    links = cut(verified(stars, sets, join))
+    best = hub.groupBy("id").agg(F.max_by("hub", F.struct("times", "hub")).alias("hub"))
+    pairs = cut(possible(best.select("hub", "id"), classes, join))
+    links = verified(stars(pairs, join), docs, classes, join, common)
     part = components(links)
 
-    rest = lists.join(part.withColumnRenamed("component", "part"), "id", "left").withColumn("part", F.coalesce("part", "id"))
+    # Components are laid beside the lists by id: one shuffle, and no row is made that is not there.
+    known_part = part.select(F.lit(None).cast("long").alias("token"), "id", F.lit(None).cast("int").alias("size"), "component")
+    both = lists.select("token", "id", "size", F.lit(None).cast("long").alias("component")).union(known_part)
+    rest = both.withColumn("part", F.coalesce(F.max("component").over(Window.partitionBy("id")), "id")).where("size is not null")
     rest = rest.withColumns({"low": F.min("part").over(token), "high": F.max("part").over(token)}).where("low < high")
-    pairs = cut(open_pairs(cut(rest.drop("low", "high")), sets, join))
-    links = links.union(verified(pairs, sets, join))
+    pairs = cut(open_pairs(cut(rest.drop("high", "component")), classes, join))
+    # Most components are joined by their likeliest pair; only what stays apart after that is compared pair by pair.
+    links = links.union(verified(stars(cut(most_likely(pairs)), join), docs, classes, join, common))
+    rest = cut(still_open(pairs, components(links)))
+    links = links.union(verified(clusters(rest, join), docs, classes, join, common))
     part = components(links).withColumnRenamed("id", "member")
 
     joined = classes.join(part, F.col("id") == F.col("member"), "left").select("first", "id", F.coalesce("component", "id").alias("part"))
