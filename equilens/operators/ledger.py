@@ -183,18 +183,25 @@ def matches(trades: DataFrame, id_block: int = DEFAULT_ID_BLOCK) -> DataFrame:
     )
 
 
-def positions(trades: DataFrame, matched: DataFrame | None = None, id_block: int = DEFAULT_ID_BLOCK) -> DataFrame:
-    """Per security: open shares, average cost without fees, realised profit, totals traded."""
+def positions(trades: DataFrame, id_block: int = DEFAULT_ID_BLOCK) -> DataFrame:
+    """Per security: open shares, average cost without fees, realised profit, totals traded.
+
+    Every effective share that was sold is matched, so the profit needs no
+    pairs: it is what sells earn on their stretch of the axis less what the
+    consumed part of the lots cost.
+    """
     axis = _placed(trades, id_block)
     left = F.greatest(F.col("hi") - F.greatest(F.col("lo"), F.col("axis_end")), F.lit(0))
     held = F.when(F.col("is_buy"), left).otherwise(0)
+    per_share = F.when(F.col("is_buy"), F.col("price") + F.col("fee") * UNIT / F.col("q")).otherwise(
+        F.col("price") - (F.col("fee") + F.col("tax")) * UNIT / F.col("q"))
+    consumed = F.least("hi", "axis_end") - F.least("lo", "axis_end")
+    earned = F.when(F.col("is_buy"), -consumed).otherwise(F.col("hi") - F.col("lo")) / UNIT * per_share
     book = axis.groupBy("stock_id").agg(
         (F.sum(held) / UNIT).alias("_net"), F.sum(held / UNIT * F.col("price")).alias("_cost"),
-        (_sum_if(F.col("is_buy")) / UNIT).alias("_b"), (_sum_if(~F.col("is_buy")) / UNIT).alias("_s"),
+        (_sum_if(F.col("is_buy")) / UNIT).alias("_b"), (_sum_if(~F.col("is_buy")) / UNIT).alias("_s"), F.sum(earned).alias("_r"),
     )
-    matched = matches(trades, id_block) if matched is None else matched
-    realized = matched.groupBy("stock_id").agg(F.sum("pnl_exact").alias("_r"))
-    return book.join(realized, "stock_id", "left").select(
+    return book.select(
         "stock_id", F.round("_net", 3).alias("net_shares"),
         F.when(F.col("_net") > 1e-9, round_exact(F.col("_cost") / F.col("_net"), 4)).alias("avg_cost"),
         F.rint(F.coalesce("_r", F.lit(0.0))).cast("bigint").alias("realized_pnl"),

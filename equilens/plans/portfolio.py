@@ -17,7 +17,7 @@ OTHER_INDUSTRY = "其他"
 
 def holdings(
     trades: DataFrame, snapshot: DataFrame, bars: DataFrame, level_bars: int = 120,
-    id_block: int = DEFAULT_ID_BLOCK, matched: DataFrame | None = None,
+    id_block: int = DEFAULT_ID_BLOCK,
 ) -> DataFrame:
     """One row per security with open shares: value, profit, score, levels and last patterns.
 
@@ -25,7 +25,7 @@ def holdings(
     joined by code; a holding without a snapshot row keeps its cost and is
     rated ``watch``.
     """
-    book = positions(trades, matched, id_block).filter(F.col("net_shares") > 1e-9)
+    book = positions(trades, id_block).filter(F.col("net_shares") > 1e-9)
     held_bars = bars.join(book.select(KEY), KEY, "left_semi")
     rated = diagnose(snapshot).select(
         KEY, "name", "industry", "close", "as_of_date", "score", "level", "facets", "reasons", "rs_rating",
@@ -126,7 +126,6 @@ def summary(items: DataFrame, matched: DataFrame) -> DataFrame:
 def portfolio(
     trades: DataFrame, snapshot: DataFrame, bars: DataFrame, level_bars: int = 120, id_block: int = DEFAULT_ID_BLOCK
 ) -> tuple[DataFrame, DataFrame]:
-    """(holdings, summary). Matches and holdings feed both, so each is written once."""
-    matched = materialize(matches(trades, id_block))
-    items = materialize(holdings(trades, snapshot, bars, level_bars, id_block, matched))
-    return items, summary(items, matched)
+    """(holdings, summary). Holdings feed both, so they are written once."""
+    items = materialize(holdings(trades, snapshot, bars, level_bars, id_block))
+    return items, summary(items, matches(trades, id_block))

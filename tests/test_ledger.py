@@ -53,7 +53,7 @@ def check(spark, trades, id_block=2):
     assert got.keys() == want.keys()
     for k in want:
         assert got[k] == pytest.approx(want[k], abs=1e-6)
-    pos = {r.stock_id: r for r in lg.positions(df, m, id_block).collect()}
+    pos = {r.stock_id: r for r in lg.positions(df, id_block).collect()}
     for sid, (net, cost, real) in book.items():
         if sid not in pos:  # only empty trades
             assert net == real == 0
