@@ -309,9 +309,19 @@ def verified(groups: DataFrame, docs: DataFrame, classes: DataFrame, join: Join,
     return released(cut(links))
 
 
-def open_pairs(lists: DataFrame, classes: DataFrame, join: Join) -> DataFrame:
+def best_of(part: np.ndarray, u: np.ndarray, v: np.ndarray, score: np.ndarray) -> np.ndarray:
+    """Places of the pairs that score highest for a component at one of their ends, one for each component."""
+    ends = np.concatenate([part[u], part[v]])
+    place = np.tile(np.arange(len(u)), 2)
+    order = np.lexsort((-np.tile(score, 2), ends))
+    first = np.concatenate([[True], ends[order][1:] != ends[order][:-1]]) if len(order) else np.zeros(0, bool)
+    return np.unique(place[order][first])
+
+
+def open_pairs(lists: DataFrame, classes: DataFrame, join: Join, best: bool) -> DataFrame:
     """Pairs (hub, id) of different components that share a list and whose sketches leave a link possible, with the
-    components of both and the ``score`` that their sketches allow.
+    components of both and the ``score`` that their sketches allow; with ``best``, a task returns only the likeliest
+    pair of each component, so no more pairs than members.
 
     Long lists are compared in tiles of ``join.block`` members a side. Lists with the same smallest component, which
     for copies of one text are many lists of nearly the same members, meet in one task (or in several, by their
@@ -350,6 +360,9 @@ def open_pairs(lists: DataFrame, classes: DataFrame, join: Join) -> DataFrame:
             u, v = np.divmod(pairs[k:k + 4096], len(ids))
             kept, score = can_link(counts[u], counts[v], size[u], size[v], join.percent)
             u, v, score = u[kept], v[kept], score[kept]
+            if best:
+                kept = best_of(part, u, v, score)
+                u, v, score = u[kept], v[kept], score[kept]
             out.append([ids[u], ids[v], part[u], part[v], score])
         names = ("hub", "id", "hub_part", "id_part", "score")
         return pa.table({name: np.concatenate(columns) for name, columns in zip(names, zip(*out, strict=True), strict=True)})
@@ -365,12 +378,15 @@ def most_likely(pairs: DataFrame) -> DataFrame:
     return best.select("p.*").distinct()
 
 
-def still_open(pairs: DataFrame, part: DataFrame) -> DataFrame:
-    """Pairs whose ends are not in one component of ``part`` (id, component)."""
-    ends = pairs.select("hub", "id")
-    for side in ("hub", "id"):
-        ends = ends.join(part.select(F.col("id").alias(side), F.col("component").alias(f"{side}_in")), side, "left")
-    return ends.where("hub_in is null or id_in is null or hub_in <> id_in").select("hub", "id")
+def unsettled(lists: DataFrame, part: DataFrame) -> DataFrame:
+    """Rows of the lists that hold several components of ``part`` (id, component), with their ``part`` and the
+    smallest one of the list as ``low``. Components are laid beside the lists by id: one shuffle and no new rows."""
+    token = Window.partitionBy("token")
+    known = part.select(F.lit(None).cast("long").alias("token"), "id", F.lit(None).cast("int").alias("size"), "component")
+    both = lists.select("token", "id", "size", F.lit(None).cast("long").alias("component")).union(known)
+    rest = both.withColumn("part", F.coalesce(F.max("component").over(Window.partitionBy("id")), "id")).where("size is not null")
+    rest = rest.withColumns({"low": F.min("part").over(token), "high": F.max("part").over(token)}).where("low < high")
+    return cut(rest.select("token", "id", "size", "part", "low"))
 
 
 def linked(docs: DataFrame, join: Join = Join()) -> DataFrame:
@@ -413,15 +429,10 @@ def linked(docs: DataFrame, join: Join = Join()) -> DataFrame:
     links = verified(stars(pairs, join), docs, classes, join, common)
     part = components(links)
 
-    # Components are laid beside the lists by id: one shuffle, and no row is made that is not there.
-    known_part = part.select(F.lit(None).cast("long").alias("token"), "id", F.lit(None).cast("int").alias("size"), "component")
-    both = lists.select("token", "id", "size", F.lit(None).cast("long").alias("component")).union(known_part)
-    rest = both.withColumn("part", F.coalesce(F.max("component").over(Window.partitionBy("id")), "id")).where("size is not null")
-    rest = rest.withColumns({"low": F.min("part").over(token), "high": F.max("part").over(token)}).where("low < high")
-    pairs = cut(open_pairs(cut(rest.drop("high", "component")), classes, join))
     # Most components are joined by their likeliest pair; only what stays apart after that is compared pair by pair.
-    links = links.union(verified(stars(cut(most_likely(pairs)), join), docs, classes, join, common))
-    rest = cut(still_open(pairs, components(links)))
+    likely = cut(most_likely(open_pairs(unsettled(lists, part), classes, join, best=True)))
+    links = links.union(verified(stars(likely, join), docs, classes, join, common))
+    rest = cut(open_pairs(unsettled(lists, components(links)), classes, join, best=False).select("hub", "id").distinct())
     links = links.union(verified(clusters(rest, join), docs, classes, join, common))
     part = components(links).withColumnRenamed("id", "member")
 
