@@ -1,17 +1,20 @@
 """License scans by conditional compression.
 
 Blocks of text with a licensing word are compressed once on their own and once with each license template as a raw
-Zstandard dictionary. Templates are ranked by how much smaller the block becomes, and the best ones are confirmed by
-the exact differences of wording between block and template.
+Zstandard dictionary. Templates are ranked by how much smaller the block becomes and confirmed by the exact differences
+of wording between a run of the text's words and the template. A confirmed notice is taken out and the rest of its
+block is ranked again, so a block gives every notice that is in it.
 """
 
 from __future__ import annotations
 
-import difflib
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -52,8 +55,9 @@ WORD = re.compile(r"\w+(?:[.\-+]\w+)*")
 class Scan:
     """A unit (sentence or line) longer than ``unit_words`` is looked at in windows of that many words, half
     overlapping; neighbouring units with a licensing word, at most ``gap`` units apart, form a block until it has
-    ``block_words`` words. The ``ranked`` best templates are compared word by word; a block is confirmed where
-    differing words are at most ``differing`` of the template's words."""
+    ``block_words`` words. A template is confirmed where the words that differ from a run of the text's words are at
+    most ``differing`` of the template's words; every template is tried that has enough of its words there. Where none
+    is confirmed, the closest of the ``ranked`` best templates is named."""
 
     unit_words: int = 80
     block_words: int = 160
@@ -99,6 +103,38 @@ def blocks(text: str, scan: Scan) -> Iterator[tuple[int, int]]:
         yield start, end
 
 
+def tokens(text: str) -> list[tuple[str, int, int]]:
+    """Words in lower case with their spans."""
+    return [(m[0].lower(), *m.span()) for m in WORD.finditer(text)]
+
+
+def distances(template: list[str], own: list[str]) -> np.ndarray:
+    """Fewest differing words between the first i words of the template and a run of ``own`` that ends at word j."""
+    at, place = np.arange(len(own) + 1), {}
+    codes = np.array([place.setdefault(w, len(place)) for w in own], int)
+    cost = np.zeros((len(template) + 1, len(own) + 1), np.int32)
+    for i, w in enumerate(template):
+        row = cost[i] + 1
+        row[1:] = np.where(codes == place.get(w, -1), np.minimum(row[1:], cost[i][:-1]), row[1:])
+        cost[i + 1] = np.minimum.accumulate(row - at) + at
+    return cost
+
+
+def path(cost: np.ndarray, template: list[str], own: list[str], end: int) -> tuple[list[str], int]:
+    """Words that only the template (-) or only the run of ``own`` up to ``end`` (+) has, and where the run begins."""
+    i, j, out = len(template), end, []
+    while i:
+        if j and template[i - 1] == own[j - 1] and cost[i, j] == cost[i - 1, j - 1]:
+            i, j = i - 1, j - 1
+        elif cost[i, j] == cost[i - 1, j] + 1:
+            i -= 1
+            out.append(f"-{template[i]}")
+        else:
+            j -= 1
+            out.append(f"+{own[j]}")
+    return out[::-1], j
+
+
 class Scanner:
     """Compressors for all templates, made once per task."""
 
@@ -110,7 +146,8 @@ class Scanner:
             raw = zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             raw.precompute_compress(level=scan.level)
             self.given.append(zstandard.ZstdCompressor(level=scan.level, dict_data=raw))
-        self.words = [WORD.findall(t.lower()) for _, t in templates]
+        self.words = [[w[0] for w in tokens(t)] for _, t in templates]
+        self.counts = [Counter(w) for w in self.words]
 
     def ranking(self, block: str) -> list[tuple[float, int]]:
         """(share by which the template makes the block smaller, template), best first, ties by template."""
@@ -119,36 +156,75 @@ class Scanner:
         found = [(1 - len(c.compress(raw)) / plain, k) for k, c in enumerate(self.given)]
         return sorted(found, key=lambda r: (-r[0], r[1]))
 
-    def differences(self, block: str, template: int) -> list[str]:
-        """Words that only the template (-) or only the matched part of the block (+) has; what stands before the
-        first and after the last common word of the block is not part of the notice."""
-        own, theirs = WORD.findall(block.lower()), self.words[template]
-        steps = difflib.SequenceMatcher(None, theirs, own, autojunk=False).get_opcodes()
-        common = [k for k, s in enumerate(steps) if s[0] == "equal"]
-        out = []
-        for k, (kind, a0, a1, b0, b1) in enumerate(steps):
-            if kind != "equal":
-                out += [f"-{w}" for w in theirs[a0:a1]]
-                if common and common[0] < k < common[-1]:
-                    out += [f"+{w}" for w in own[b0:b1]]
-        return out
+    def closest(self, template: int, own: list[str], lo: int, hi: int) -> tuple[list[str], int, int] | None:
+        """The confirmed run of ``own`` with the fewest differences that touches words lo to hi, the first of equal
+        ones: words that only the template (-) or only the run (+) has, and the run's bounds."""
+        words, most = self.words[template], self.scan.differing * len(self.words[template])
+        cost = distances(words, own)
+        for end in map(int, np.argsort(cost[-1], kind="stable")):
+            if cost[-1][end] > most:
+                return None
+            if end > lo:
+                apart, start = path(cost, words, own, end)
+                if start < hi:
+                    return apart, start, end
+        return None
+
+    def part(self, text: str, words: list[tuple[str, int, int]], lo: int, hi: int, low: int, high: int) -> Iterator[tuple[dict, int]]:
+        """Rows of words lo to hi, each with the word after it: the best confirmed notice is taken out and what is left
+        of it and right of it is looked at again. A notice may begin and end outside, between ``low`` and ``high``."""
+        if lo >= hi:
+            return
+        a, b = words[lo][1], words[hi - 1][2]
+        ranking = self.ranking(text[a:b])
+        reach = lambda k: int(len(self.words[k]) * (1 + self.scan.differing)) + 1
+        far = max(map(reach, range(len(self.words))))
+        there = Counter(w[0] for w in words[max(low, lo - far):min(high, hi + far)])
+        found = []
+        for gain, k in ranking:
+            if (self.counts[k] - there).total() > self.scan.differing * len(self.words[k]):
+                continue
+            first = max(low, lo - reach(k))
+            run = self.closest(k, [w[0] for w in words[first:min(high, hi + reach(k))]], lo - first, hi - first)
+            if run:
+                found.append((len(run[0]) - len(self.words[k]), -gain, k, run[0], first + run[1], first + run[2]))
+        if found:
+            _, gain, k, apart, i, j = min(found)
+            yield from self.part(text, words, lo, i, low, i)
+            yield self.row(words[i][1], words[j - 1][2], k, -gain, apart, True), j
+            yield from self.part(text, words, j, hi, j, high)
+        elif re.search(CUE, text[a:b]):
+            own = [w[0] for w in words[lo:hi]]
+            ranked = [(gain, k, self.differences(own, k)) for gain, k in ranking[: self.scan.ranked] if gain > 0]
+            if ranked:
+                gain, k, apart = min(ranked, key=lambda r: (len(r[2]) / len(self.words[r[1]]), -len(self.words[r[1]]), -r[0], r[1]))
+                yield self.row(a, b, k, gain, apart, False), hi
+
+    def differences(self, own: list[str], template: int) -> list[str]:
+        cost = distances(self.words[template], own)
+        return path(cost, self.words[template], own, int(cost[-1].argmin()))[0]
+
+    def row(self, start: int, end: int, k: int, gain: float, apart: list[str], confirmed: bool) -> dict:
+        return {
+            "start": start, "end": end, "license": self.templates[k][0], "template": k, "reduction": gain,
+            "n_differences": len(apart), "differences": apart, "confirmed": confirmed,
+        }
 
     def scan_text(self, text: str) -> Iterator[dict]:
+        words, done = None, 0
         for start, end in blocks(text, self.scan):
-            block = text[start:end]
-            ranked = [(gain, k, self.differences(block, k)) for gain, k in self.ranking(block)[: self.scan.ranked] if gain > 0]
-            if not ranked:
-                continue
-            gain, k, apart = min(ranked, key=lambda r: (len(r[2]) / len(self.words[r[1]]), -len(self.words[r[1]]), -r[0], r[1]))
-            yield {
-                "start": start, "end": end, "license": self.templates[k][0], "template": k, "reduction": gain,
-                "n_differences": len(apart), "differences": apart, "confirmed": len(apart) <= self.scan.differing * len(self.words[k]),
-            }
+            words = words or tokens(text)
+            lo, hi = (bisect_left(words, at, key=lambda w: w[1]) for at in (start, end))
+            for row, after in self.part(text, words, max(lo, done), hi, done, len(words)):
+                yield row
+                if row["confirmed"]:
+                    done = after
 
 
 def licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, scan: Scan = Scan()) -> DataFrame:
-    """One row per block with a licensing word that some template makes smaller: doc_id, start and end (characters),
-    license, template, reduction, n_differences, differences and confirmed.
+    """One row per confirmed notice, and one per block (or what notices leave of it) with a licensing word that only
+    some template makes smaller: doc_id, start and end (characters), license, template, reduction of the block,
+    n_differences, differences and confirmed. Confirmed notices don't overlap.
 
     Whole texts are scanned. Null and empty texts and texts without a licensing word give no rows; a repeated row
     gives its rows again; a null doc_id stays null; ties go to the earlier template; an empty table gives no rows.

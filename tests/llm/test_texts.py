@@ -181,6 +181,21 @@ def test_licenses_in_texts(spark):
     assert licenses.licenses(docs(spark, [])).count() == 0
 
 
+def notices(text):
+    return [(r["license"], text[r["start"]:r["end"]]) for r in licenses.Scanner(licenses.TEMPLATES, licenses.Scan()).scan_text(text) if r["confirmed"]]
+
+
+def test_several_licenses_in_a_block(spark):
+    mit, apache, gpl = "Released under the MIT License", "Licensed under the Apache License, Version 2.0", licenses.TEMPLATES[5][1].rstrip(".")
+    assert notices(f"{mit}. {apache}.") == [("MIT", mit), ("Apache-2.0", apache)]
+    assert notices(f"{apache} or, at your choice:\n{mit}. {gpl}.") == [("Apache-2.0", apache), ("MIT", mit), ("GPL-3.0", gpl)]
+    assert notices(f"{mit}. " * 30) == [("MIT", mit)] * 30
+    every = [(name, t) for name, t in licenses.TEMPLATES if len(t) < 80]
+    assert [n for n, _ in notices(" ".join(t for _, t in every))] == [name for name, _ in every]
+    got = licenses.licenses(docs(spark, [(1, f"Prose. {mit}. {apache}. Prose.")])).where("confirmed").collect()
+    assert sorted((r.license, r.n_differences) for r in got) == [("Apache-2.0", 0), ("MIT", 0)]
+
+
 def test_pipeline_stages(spark, tmp_path):
     rng = random.Random(7)
     words = [f"{a}{b}" for a in ("sto", "wa", "lig", "ri", "ho", "un") for b in ("ne", "ter", "ht", "ver", "use", "der", "ly", "th")]
