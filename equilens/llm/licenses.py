@@ -2,7 +2,8 @@
 
 Blocks of text with a licensing word are compressed once on their own and once with each license template as a raw
 Zstandard dictionary. Templates are ranked by how much smaller the block becomes and confirmed by the exact differences
-of wording between a run of the text's words and the template. A confirmed notice is taken out and the rest of its
+of wording between a run of the text's words and the template: few words may differ, and none by which licences are
+told apart. Of templates that are confirmed in one place, the one that explains most words counts. A confirmed notice is taken out and the rest of its
 block is ranked again, so a block gives every notice that is in it.
 """
 
@@ -22,7 +23,21 @@ from pyspark.sql import functions as F
 
 from equilens.llm.common import small_batches
 
-# Public license notices by SPDX identifier.
+# Public license notices by SPDX identifier, without list numbers.
+BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+    "documentation and/or other materials provided with the distribution.")
+BSD_NAMES = (
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this "
+    "software without specific prior written permission.")
+BSD_ADVERTISING = (
+    "All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes "
+    "software developed by the organization.")
+GNU = (
+    "This program is free software: you can redistribute it and/or modify it under the terms of the {} as published by the Free Software "
+    "Foundation, either version {} of the License, or (at your option) any later version.")
 TEMPLATES: tuple[tuple[str, str], ...] = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
@@ -35,7 +50,7 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
+    ("BSD-3-Clause", f"{BSD} {BSD_NAMES}"),
     ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
@@ -44,11 +59,41 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    ("BSD-2-Clause", BSD),
+    ("BSD-3-Clause", f"{BSD} The name of the author may not be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("BSD-4-Clause", f"{BSD} {BSD_ADVERTISING} {BSD_NAMES}"),
+    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
+    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("LGPL-2.0", "This work is licensed under the GNU Library General Public License, version 2."),
+    ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("LGPL-2.0", GNU.format("GNU Library General Public License", "2")),
+    ("LGPL-2.1", GNU.format("GNU Lesser General Public License", "2.1")),
+    ("LGPL-3.0", GNU.format("GNU Lesser General Public License", "3")),
+    ("AGPL-3.0", GNU.format("GNU Affero General Public License", "3")),
+    ("Apache-1.1", "Licensed under the Apache License, Version 1.1."),
+    ("MPL-1.1", "The contents of this file are subject to the Mozilla Public License Version 1.1 (the \"License\"); you may not use this file except in compliance with the License."),
+    ("MIT-0", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so."),
+    ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."),
+    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
+    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
+    ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-ND-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
 )
 
+# Parts of words in which licences differ; so do numbers.
+DISTINCT = frozenset((
+    "affero lesser gnulibrary gpl lgpl agpl mit apache mozilla mpl bsd isc cc by sa nc nd attribution sharealike noncommercial "
+    "noderivatives noderivs not").split())
+
 CUE = r"(?i)licen[sc]|copyright|spdx|permission|redistribut|public domain|free software|all rights|warrant"
 UNIT = re.compile(r"[^\n]*?[.!?;:](?=\s)|[^\n]+")
 WORD = re.compile(r"\w+(?:[.\-+]\w+)*")
+LISTED = re.compile(r"(?:^|\n|[.:;,]\s)[\s*#/]*\(?(\d{1,2})[.)](?=\s)")
 
 
 @dataclass(frozen=True)
@@ -56,7 +101,7 @@ class Scan:
     """A unit (sentence or line) longer than ``unit_words`` is looked at in windows of that many words, half
     overlapping; neighbouring units with a licensing word, at most ``gap`` units apart, form a block until it has
     ``block_words`` words. A template is confirmed where the words that differ from a run of the text's words are at
-    most ``differing`` of the template's words; every template is tried that has enough of its words there. Where none
+    most ``differing`` of the template's words and don't tell licences apart; every template is tried that has enough of its words there. Where none
     is confirmed, the closest of the ``ranked`` best templates is named."""
 
     unit_words: int = 80
@@ -104,8 +149,33 @@ def blocks(text: str, scan: Scan) -> Iterator[tuple[int, int]]:
 
 
 def tokens(text: str) -> list[tuple[str, int, int]]:
-    """Words in lower case with their spans."""
-    return [(m[0].lower(), *m.span()) for m in WORD.finditer(text)]
+    """Words in lower case with their spans. Numbers of lists are left out, 'v2.0' and 'v. 2.0' are 'version 2', and the
+    'library' of 'GNU Library' is a word of its own, as programs are libraries too."""
+    listed, out = {m.start(1) for m in LISTED.finditer(text)}, []
+    for m in WORD.finditer(text):
+        word, last = m[0].lower(), out[-1][0] if out else ""
+        if m.start() in listed and last not in ("version", "v"):
+            continue
+        number = re.fullmatch(r"(v?)(\d+(?:\.\d+)*?)(?:\.0)*", word)
+        if number:
+            if number[1]:
+                out.append(("version", m.start(), m.start() + 1))
+            elif last == "v":
+                out[-1] = ("version", *out[-1][1:])
+            word = number[2]
+        elif word == "library" and last == "gnu":
+            word = "gnulibrary"
+        out.append((word, m.start() + len(number[1]) if number else m.start(), m.end()))
+    return out
+
+
+def distinct(apart: list[str]) -> bool:
+    """Whether differing words tell licences apart: a number, or a part of a word in ``DISTINCT``, on one side only."""
+    sides = {"-": Counter(), "+": Counter()}
+    for w in apart:
+        parts = re.findall(r"\d+(?:\.\d+)*|[^\W\d_]+", w[1:])
+        sides[w[0]].update(re.sub(r"(\.0)+$", "", p) for p in parts if p in DISTINCT or p[0].isdigit())
+    return sides["-"] != sides["+"]
 
 
 def distances(template: list[str], own: list[str]) -> np.ndarray:
@@ -166,7 +236,7 @@ class Scanner:
                 return None
             if end > lo:
                 apart, start = path(cost, words, own, end)
-                if start < hi:
+                if start < hi and not distinct(apart):
                     return apart, start, end
         return None
 
@@ -187,9 +257,9 @@ class Scanner:
             first = max(low, lo - reach(k))
             run = self.closest(k, [w[0] for w in words[first:min(high, hi + reach(k))]], lo - first, hi - first)
             if run:
-                found.append((len(run[0]) - len(self.words[k]), -gain, k, run[0], first + run[1], first + run[2]))
+                found.append((len(run[0]) - len(self.words[k]), len(run[0]), -gain, k, run[0], first + run[1], first + run[2]))
         if found:
-            _, gain, k, apart, i, j = min(found)
+            _, _, gain, k, apart, i, j = min(found)
             yield from self.part(text, words, lo, i, low, i)
             yield self.row(words[i][1], words[j - 1][2], k, -gain, apart, True), j
             yield from self.part(text, words, j, hi, j, high)

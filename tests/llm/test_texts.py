@@ -1,4 +1,5 @@
 import random
+import textwrap
 
 import numpy as np
 import pytest
@@ -196,6 +197,30 @@ def test_several_licenses_in_a_block(spark):
     assert sorted((r.license, r.n_differences) for r in got) == [("Apache-2.0", 0), ("MIT", 0)]
 
 
+def test_near_licenses_are_told_apart():
+    names = lambda text: [n for n, _ in notices(text)]
+    for name, t in licenses.TEMPLATES:
+        assert names(f"Some prose stands here.\n{t}\nMore prose.") == [name], t
+        assert names("\n".join(f"# {line}" for line in textwrap.wrap(t, 50))) == [name], t
+    short = "This work is licensed under the GNU {}General Public License, version {}."
+    got = {(k, v): names(short.format(k, v)) for k in ("", "Lesser ", "Affero ", "Library ") for v in ("1", "2", "2.1", "3", "3.0", "3.1", "4")}
+    assert {k: v for k, v in got.items() if v} == {
+        ("", "2"): ["GPL-2.0"], ("", "3"): ["GPL-3.0"], ("", "3.0"): ["GPL-3.0"], ("Lesser ", "2.1"): ["LGPL-2.1"], ("Lesser ", "3"): ["LGPL-3.0"],
+        ("Lesser ", "3.0"): ["LGPL-3.0"], ("Affero ", "3"): ["AGPL-3.0"], ("Affero ", "3.0"): ["AGPL-3.0"], ("Library ", "2"): ["LGPL-2.0"]}
+    assert names(licenses.GNU.format("GNU Lesser General Public License", "4")) == names(licenses.GNU.format("GNU Affero General Public License", "2")) == []
+    assert names(licenses.GNU.format("GNU Lesser General Public License", "2.1").replace("This program", "This library")) == ["LGPL-2.1"]
+    assert names("Licensed under the Apache License, Version 1.0.") == names("Licensed under CC BY 3.0.") == names("Licensed under CC BY-NC 3.0.") == []
+    assert names("Licensed under the Apache License v2.0") == ["Apache-2.0"]
+    head, one, two = licenses.BSD.split(" Redistributions ")
+    one, two = f"Redistributions {one}", f"Redistributions {two}"
+    holder = licenses.BSD_NAMES.replace("copyright holder", "Example Company")
+    for mark in ("1.", "2.", "3.", "4."), ("(1)", "(2)", "(3)", "(4)"), "****":
+        listed = lambda *c, mark=mark: "\n".join([head, *(f"{m} {x}" for m, x in zip(mark, c, strict=False))])
+        assert names(listed(one, two)) == ["BSD-2-Clause"] and names(listed(one, two, holder)) == ["BSD-3-Clause"]
+        assert names(listed(one, two, licenses.BSD_ADVERTISING, holder)) == ["BSD-4-Clause"]
+    assert names(head) == []
+
+
 def test_pipeline_stages(spark, tmp_path):
     rng = random.Random(7)
     words = [f"{a}{b}" for a in ("sto", "wa", "lig", "ri", "ho", "un") for b in ("ne", "ter", "ht", "ver", "use", "der", "ly", "th")]
