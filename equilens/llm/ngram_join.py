@@ -231,27 +231,30 @@ def profiles(docs: DataFrame, join: Join, common) -> DataFrame:
 
 
 def ordered_sets(docs: DataFrame, join: Join, common) -> DataFrame:
-    """(id, tokens): the whole ordered set of each row."""
+    """(doc_id, id, tokens): the whole ordered set of each row, repeated rows once."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(join.n)
         for batch in batches:
-            sets = [shingles.hashes(t) for t in batch.column(0).to_pylist()]
+            sets = [shingles.hashes(t) for t in batch.column(1).to_pylist()]
             ids = [class_id(hashlib.blake2b(s.tobytes(), digest_size=16).digest()) for s in sets]
             lists = [ordered(s, common.value) for s in sets]
             offsets = np.concatenate([[0], np.cumsum([len(s) for s in lists])]).astype(np.int32)
             flat = np.concatenate([np.zeros(0, np.int64), *lists])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(offsets, flat)], ["id", "tokens"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(ids, pa.int64()), pa.ListArray.from_arrays(offsets, flat)], ["doc_id", "id", "tokens"])
 
-    return docs.select(F.col("text").cast("binary")).mapInArrow(each, "id long, tokens array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary"))
+    return rows.mapInArrow(each, "doc_id long, id long, tokens array<long>").dropDuplicates(["id", "doc_id"])
 
 
 def only(docs: DataFrame, wanted: DataFrame, bits: int) -> DataFrame:
     """Rows of ``docs`` whose doc_id is in ``wanted``,
-    and, by chance, few others. A bitmap of hashed ids, ``bits`` / 8 bytes whatever the number of ids and so safe to
-    broadcast, drops the rest, so that no text is shuffled.
+    and, by chance, others: more of them the more ids there are, so an exact join must follow. A bitmap of hashed ids,
+    ``bits`` / 8 bytes whatever the number of ids and so safe to broadcast, drops the rest, so that their texts are not
+    shuffled.
     """
-    at = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    at = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(bits))
     words = F.expr("_at div 32768").alias("_word")
     marks = wanted.select(at.alias("_at")).groupBy(words).agg(F.bitmap_construct_agg(F.expr("_at % 32768")).alias("_map"))
     near = docs.withColumn("_at", at).withColumn("_word", words).join(F.broadcast(marks), "_word")
@@ -291,11 +294,18 @@ def clusters(pairs: DataFrame, join: Join) -> DataFrame:
     return small.union(stars(pairs.join(rest, "id", "left_semi"), join).select("hub", F.col("part").cast("int"), "id"))
 
 
+def with_sets(groups: DataFrame, docs: DataFrame, classes: DataFrame, join: Join, common) -> DataFrame:
+    """(hub, part, id, tokens): one row for each member of each group, with its set. Sets are matched by class and first
+    document, so that other copies of a class, where they pass the bitmap, spread over the tasks and end there."""
+    groups = cut(groups)
+    wanted = classes.join(groups.select("id").distinct(), "id", "left_semi").select("id", F.col("first").alias("doc_id"))
+    wanted = cut(wanted)
+    sets = ordered_sets(only(docs, wanted.select("doc_id").distinct(), join.bits), join, common)
+    return groups.join(wanted, "id").join(sets, ["id", "doc_id"]).select("hub", "part", "id", "tokens")
+
+
 def verified(groups: DataFrame, docs: DataFrame, classes: DataFrame, join: Join, common) -> DataFrame:
     """Links (a, b) that join the members of each group as all links among them do, found in a trie of their sets."""
-    groups = cut(groups)
-    wanted = classes.join(groups.select("id").distinct(), "id", "left_semi").select(F.col("first").alias("doc_id")).distinct()
-    sets = ordered_sets(only(docs, cut(wanted), join.bits), join, common)
 
     def link(table: pa.Table) -> pa.Table:
         column = table.column("tokens").combine_chunks()
@@ -305,7 +315,7 @@ def verified(groups: DataFrame, docs: DataFrame, classes: DataFrame, join: Join,
         a, b = (np.array([f[k] for f in found], int) for k in (0, 1))
         return pa.table({"a": ids[a], "b": ids[b]})
 
-    links = groups.join(sets, "id").select("hub", "part", "id", "tokens").groupBy("hub", "part").applyInArrow(link, "a long, b long")
+    links = with_sets(groups, docs, classes, join, common).groupBy("hub", "part").applyInArrow(link, "a long, b long")
     return released(cut(links))
 
 

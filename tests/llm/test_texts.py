@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from equilens.llm import licenses, ngram_join, pieces
@@ -186,6 +187,27 @@ def notices(text):
     return [(r["license"], text[r["start"]:r["end"]]) for r in licenses.Scanner(licenses.TEMPLATES, licenses.Scan()).scan_text(text) if r["confirmed"]]
 
 
+def test_one_set_of_each_class_meets_a_group(spark):
+    rows = copies()
+    rows += [(1000 + i, rows[0][1]) for i in range(50)] + [rows[0]] * 20
+    join = ngram_join.Join(bits=8)  # a full bitmap: all rows pass it
+    table = docs(spark, rows).repartition(5)
+    common = spark.sparkContext.broadcast(np.zeros(0, np.int64))
+    known = ngram_join.profiles(table, join, common).where("key is not null and doc_id is not null")
+    classes = known.groupBy("id").agg(F.min("doc_id").alias("first")).cache()
+    groups = classes.select((F.col("id") % 3).alias("hub"), F.lit(0).alias("part"), "id")
+    met = ngram_join.with_sets(groups, table, classes, join, common).select("id").collect()
+    assert len(met) == len({r.id for r in met}) == classes.count() < len(rows) - 60
+
+
+def test_join_of_int_ids_equals_that_of_long_ids(spark):
+    rows = copies(seed=6)
+    want = brute(rows)
+    for join in (ngram_join.Join(), ngram_join.Join(bits=8)):
+        got = ngram_join.linked(docs(spark, rows).withColumn("doc_id", F.col("doc_id").cast("int")), join).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
 def test_several_licenses_in_a_block(spark):
     mit, apache, gpl = "Released under the MIT License", "Licensed under the Apache License, Version 2.0", licenses.TEMPLATES[5][1].rstrip(".")
     assert notices(f"{mit}. {apache}.") == [("MIT", mit), ("Apache-2.0", apache)]
