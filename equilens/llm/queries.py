@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from equilens.llm import embed_dedup, langid, licenses, mixing, ngram_join, pieces, quality, topk, toxicity, warc
+from equilens.llm import (
+    embed_dedup, exact_dedup, langid, lexical, licenses, mixing, ngram_join, phrases, pieces, quality, topk, toxicity, warc,
+)
 
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -91,6 +93,89 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.licenses(table(spark, sf_dir, "documents"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), w AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM p
+), g AS (
+  SELECT lang, unnest(flatten([[list_aggregate(words[i:i + k - 1], 'string_agg', ' ') FOR i IN range(1, len(words) - k + 2)]
+           FOR k IN [1, 2, 3]])) AS phrase FROM w WHERE len(words) > 0
+), f AS (
+  SELECT lang, phrase, len(string_split(phrase, ' ')) AS words, count(*)::BIGINT AS f FROM g GROUP BY 1, 2
+), n AS (
+  SELECT lang, sum(f)::BIGINT AS n FROM f WHERE words = 1 GROUP BY 1
+), c AS (
+  SELECT lang, phrase, words, f AS a, string_split(phrase, ' ') AS s FROM f WHERE words > 1 AND f >= 10
+), k AS (
+  SELECT lang, phrase, a, words, unnest(range(1, words)) AS k, s FROM c
+), x AS (
+  SELECT k.lang, k.phrase, k.a, k, l.f AS l, r.f AS r,
+         ((1000000::HUGEINT * k.a * k.a) // (l.f::HUGEINT * r.f))::BIGINT AS score
+  FROM k JOIN f l ON l.lang = k.lang AND l.phrase = array_to_string(s[1:k], ' ')
+         JOIN f r ON r.lang = k.lang AND r.phrase = array_to_string(s[k + 1:], ' ')
+), b AS (
+  SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), i AS (
+  SELECT lang, phrase, max(a) AS longer FROM (
+    SELECT lang, a, unnest([array_to_string(s[1:2], ' '), array_to_string(s[2:3], ' ')]) AS phrase FROM c WHERE words = 3) GROUP BY 1, 2
+), o AS (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score
+  FROM b JOIN n USING (lang) LEFT JOIN i USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 50 * a
+)
+SELECT * FROM o WHERE rank <= 2000
+"""
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.marked(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents
+), g AS (
+  SELECT *, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size FROM d WINDOW w AS (PARTITION BY text_sha256)
+)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
+"""
+
+
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
+), s AS (
+  SELECT count(*)::BIGINT AS docs, sum(len(terms))::BIGINT AS words FROM d WHERE len(terms) > 0
+), q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), p AS (
+  SELECT doc_id, term, count(*)::BIGINT AS tf, any_value(n) AS n
+  FROM (SELECT doc_id, unnest(terms) AS term, len(terms)::BIGINT AS n FROM d) WHERE term IN (SELECT term FROM q) GROUP BY 1, 2
+), w AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w
+  FROM (SELECT term, count(*)::BIGINT AS df FROM p GROUP BY 1), s
+), f AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // words))))::BIGINT AS score
+  FROM q JOIN w USING (term) JOIN p USING (term), s GROUP BY 1, 2
+)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM f WHERE score > 0 QUALIFY rank <= 10
+"""
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_warc, op2_mixing, op3_toxicity, op4_quality, op5_topk, op6_embed_dedup, op7_ngram_join, op8_langid, op9_pieces, op10_licenses)}
-ORACLE = {"op1_warc": OP1_SQL, "op5_topk": OP5_SQL}
+    op1_warc, op2_mixing, op3_toxicity, op4_quality, op5_topk, op6_embed_dedup, op7_ngram_join, op8_langid, op9_pieces,
+    op10_licenses, op11_phrases, op12_exact_dedup, op13_lexical)}
+ORACLE = {
+    "op1_warc": OP1_SQL, "op5_topk": OP5_SQL, "op11_phrases": OP11_SQL, "op12_exact_dedup": OP12_SQL, "op13_lexical": OP13_SQL}
