@@ -8,6 +8,8 @@ number of trading dates, however many rows the table has.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -79,7 +81,37 @@ def prior_trend(close: Column, start: int, look: int, w: WindowSpec) -> Column:
     return F.when(F.count(close).over(frame) < 2, 0).otherwise(F.signum(move).cast("int"))
 
 
-PART = "part"  # partition column of stored facts: a year or a month, ascending with the date
+PART = "part"  # partition column of stored facts
+UNITS = {"year": "yyyy", "month": "yyyyMM"}
+
+
+@dataclass(frozen=True)
+class Part:
+    """Partition of a stored fact: the year or the month of its column ``of``.
+
+    A frame that keeps the partition column says so in that column's metadata, so a column of the caller's that is
+    called ``part`` means nothing here.
+    """
+
+    unit: str
+    of: str = TIME
+
+    @property
+    def value(self) -> Column:
+        return F.date_format(self.of, UNITS[self.unit]).cast("int")
+
+    def starting(self, day: Column) -> Column:
+        """The partition that ``day`` falls into."""
+        return F.date_format(day, UNITS[self.unit]).cast("int")
+
+    def marked(self, df: DataFrame) -> DataFrame:
+        return df.withMetadata(PART, {"partition": self.unit, "of": self.of})
+
+
+def partition_of(df: DataFrame, col: str) -> Part | None:
+    """The partition of ``df`` by ``col``, if its partition column is there and marked as that."""
+    marks = df.schema[PART].metadata if PART in df.columns else {}
+    return Part(marks["partition"], col) if marks.get("of") == col and marks.get("partition") in UNITS else None
 
 
 def latest_date(df: DataFrame, col: str = TIME) -> Column:
@@ -87,7 +119,7 @@ def latest_date(df: DataFrame, col: str = TIME) -> Column:
 
     Of a stored fact with its partition column only the newest partition is read.
     """
-    if PART in df.columns:
+    if partition_of(df, col):
         df = df.filter(F.col(PART) == df.agg(F.max(PART)).scalar())
     return df.agg(F.max(col)).scalar()
 
@@ -95,9 +127,10 @@ def latest_date(df: DataFrame, col: str = TIME) -> Column:
 def trailing_calendar(df: DataFrame, date_col: str, days: int, newest: Column | None = None) -> DataFrame:
     """Rows within ``days`` calendar days of the newest date (exclusive lower bound).
 
-    Of a fact partitioned by year, older years are not opened, if its partition column is still there.
+    Of a stored fact with its partition column (``read_fact(partitioned=True)``), which is dropped, older partitions
+    are not opened.
     """
     edge = F.date_sub(latest_date(df, date_col) if newest is None else newest, days)
-    if PART in df.columns:
-        df = df.filter(F.col(PART) >= F.year(edge)).drop(PART)
+    if part := partition_of(df, date_col):
+        df = df.filter(F.col(PART) >= part.starting(edge)).drop(PART)
     return df.filter(F.col(date_col) > edge)

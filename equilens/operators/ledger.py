@@ -20,17 +20,23 @@ from pyspark.sql import functions as F
 
 from equilens.functions.price import round_exact
 
-UNIT = 1_000_000  # the axis counts millionths of a share in whole numbers
+SHARES = "decimal(28,12)"  # shares are exact to the twelfth decimal
+UNIT = 10**12  # the axis counts in units of 10^-12 shares, as whole decimals; a security may trade up to 9 * 10^18 shares
+AXIS = "decimal(38,0)"
 DEFAULT_ID_BLOCK = 1 << 20
 ROWS_PER_BIN = 1024
 DAY = ("stock_id", "trade_date")
 BLOCK = ("stock_id", "trade_date", "_side", "_block")
 
 
-def _units(trades: DataFrame) -> Column:
-    x = F.col("shares")
-    exact = x if dict(trades.dtypes)["shares"] == "double" else x.cast("decimal(30,8)")
-    return F.round(exact * UNIT).cast("bigint")
+def _units() -> Column:
+    return (F.col("shares").cast(SHARES) * F.lit(UNIT).cast("decimal(13,0)")).cast("decimal(28,0)")
+
+
+def _shares(units: Column) -> Column:
+    """Axis units, not below 0, as shares: whole shares and the rest apart, so that whole numbers stay whole."""
+    one = F.lit(UNIT).cast("decimal(13,0)")
+    return F.call_function("div", units, one).cast("double") + F.pmod(units, one).cast("double") / float(UNIT)
 
 
 def _prepared(trades: DataFrame, id_block: int) -> DataFrame:
@@ -39,13 +45,13 @@ def _prepared(trades: DataFrame, id_block: int) -> DataFrame:
     return trades.select(
         "stock_id", "trade_date", F.col("id").cast("bigint").alias("id"), side.alias("_side"),
         F.expr(f"cast(id as bigint) div {int(id_block)}").alias("_block"),
-        _units(trades).alias("q"), F.col("price").cast("double").alias("price"),
+        _units().alias("q"), F.col("price").cast("double").alias("price"),
         money["fee"].alias("fee"), money["tax"].alias("tax"),
     ).filter(F.col("q") > 0)
 
 
 def _sum_if(cond: Column, x: str = "q") -> Column:
-    return F.coalesce(F.sum(F.when(cond, F.col(x))), F.lit(0))
+    return F.coalesce(F.sum(F.when(cond, F.col(x))), F.lit(0)).cast(AXIS)
 
 
 def _days(rows: DataFrame) -> DataFrame:
@@ -57,7 +63,7 @@ def _days(rows: DataFrame) -> DataFrame:
     w = Window.partitionBy("stock_id").orderBy("trade_date")
     before, upto = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, 0)
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    zero = F.lit(0)
+    zero = F.lit(0).cast(AXIS)
     walked = per_day.select(
         "*",
         F.coalesce(F.sum("bought").over(before), zero).alias("bought_before"),
@@ -80,7 +86,7 @@ def _placed(trades: DataFrame, id_block: int) -> DataFrame:
     inside_day = Window.partitionBy("stock_id", "trade_date", "_side").orderBy("_block")
     blocks = rows.groupBy(*BLOCK).agg(F.sum("q").alias("_sum")).select(
         *BLOCK,
-        F.coalesce(F.sum("_sum").over(inside_day.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"),
+        F.coalesce(F.sum("_sum").over(inside_day.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast(AXIS).alias("_offset"),
     )
     bases = blocks.join(_days(rows), list(DAY))
 
@@ -97,7 +103,7 @@ def _placed(trades: DataFrame, id_block: int) -> DataFrame:
     dropped_before = -F.least(F.col("low_before"), balance + q)
     is_buy = F.col("_side") == 0
     rows_per_bin = F.ceil(F.col("all_rows") / F.lit(ROWS_PER_BIN))
-    width = F.ceil(F.greatest(F.col("all_bought"), F.col("all_sold")) / rows_per_bin).cast("bigint")
+    width = (F.greatest(F.col("all_bought"), F.col("all_sold")).cast("double") / rows_per_bin).cast(AXIS) + 1
     return placed.select(
         "stock_id", "trade_date", "id", is_buy.alias("is_buy"), "q", "price", "fee", "tax",
         F.when(is_buy, buy_hi).otherwise(raw_hi).alias("cum"),
@@ -116,7 +122,7 @@ def cumulative(trades: DataFrame, id_block: int = DEFAULT_ID_BLOCK) -> DataFrame
     """
     return _placed(trades, id_block).select(
         "stock_id", "trade_date", "id", F.when(F.col("is_buy"), "buy").otherwise("sell").alias("action"),
-        (F.col("q") / UNIT).alias("shares"), "price", "fee", "tax", (F.col("cum") / UNIT).alias("cum_shares"),
+        _shares(F.col("q")).alias("shares"), "price", "fee", "tax", _shares(F.col("cum")).alias("cum_shares"),
     )
 
 
@@ -170,12 +176,16 @@ def matches(trades: DataFrame, id_block: int = DEFAULT_ID_BLOCK) -> DataFrame:
     whole = (
         pieces.filter(F.col("_piece") > 0)
         .groupBy("stock_id", F.col("b.id").alias("buy_id"), F.col("s.id").alias("sell_id"))
-        .agg((F.sum("_piece") / UNIT).alias("qty"), *[F.first(c).alias(n) for n, c in carried.items()])
+        .agg(F.sum("_piece").alias("qty"), *[F.first(c).alias(n) for n, c in carried.items()])
     )
+    return priced(whole.withColumns({c: _shares(F.col(c)) for c in ("qty", "_b_q", "_s_q")}))
+
+
+def priced(pairs: DataFrame) -> DataFrame:
+    """Matched pairs with their profit: the part of both trades' costs that falls on the matched shares is taken off."""
     qty, buy, sell = F.col("qty"), F.col("buy_price"), F.col("sell_price")
-    per_share = F.col("_s_cost") / (F.col("_s_q") / UNIT) + F.col("_b_cost") / (F.col("_b_q") / UNIT)
-    gain = (sell - buy) * qty - per_share * qty
-    return whole.select(
+    gain = (sell - buy) * qty - (F.col("_s_cost") / F.col("_s_q") + F.col("_b_cost") / F.col("_b_q")) * qty
+    return pairs.select(
         "stock_id", "buy_id", "sell_id", F.round("qty", 3).alias("shares"), "buy_date", "buy_price", "sell_date",
         "sell_price", gain.alias("pnl_exact"), F.rint(gain).cast("bigint").alias("pnl"),
         (F.try_divide(sell, F.nullif(buy, F.lit(0.0))) - 1).alias("ret_pct"),
@@ -191,15 +201,16 @@ def positions(trades: DataFrame, id_block: int = DEFAULT_ID_BLOCK) -> DataFrame:
     consumed part of the lots cost.
     """
     axis = _placed(trades, id_block)
-    left = F.greatest(F.col("hi") - F.greatest(F.col("lo"), F.col("axis_end")), F.lit(0))
-    held = F.when(F.col("is_buy"), left).otherwise(0)
-    per_share = F.when(F.col("is_buy"), F.col("price") + F.col("fee") * UNIT / F.col("q")).otherwise(
-        F.col("price") - (F.col("fee") + F.col("tax")) * UNIT / F.col("q"))
-    consumed = F.least("hi", "axis_end") - F.least("lo", "axis_end")
-    earned = F.when(F.col("is_buy"), -consumed).otherwise(F.col("hi") - F.col("lo")) / UNIT * per_share
+    left = F.greatest(F.col("hi") - F.greatest(F.col("lo"), F.col("axis_end")), F.lit(0).cast(AXIS))
+    held = F.when(F.col("is_buy"), _shares(left)).otherwise(0.0)
+    traded = _shares(F.col("q"))
+    per_share = F.when(F.col("is_buy"), F.col("price") + F.col("fee") / traded).otherwise(
+        F.col("price") - (F.col("fee") + F.col("tax")) / traded)
+    consumed = _shares(F.least("hi", "axis_end") - F.least("lo", "axis_end"))
+    earned = F.when(F.col("is_buy"), -consumed).otherwise(_shares(F.col("hi") - F.col("lo"))) * per_share
     book = axis.groupBy("stock_id").agg(
-        (F.sum(held) / UNIT).alias("_net"), F.sum(held / UNIT * F.col("price")).alias("_cost"),
-        (_sum_if(F.col("is_buy")) / UNIT).alias("_b"), (_sum_if(~F.col("is_buy")) / UNIT).alias("_s"), F.sum(earned).alias("_r"),
+        _shares(F.sum(F.when(F.col("is_buy"), left).otherwise(F.lit(0).cast(AXIS)))).alias("_net"), F.sum(held * F.col("price")).alias("_cost"),
+        _shares(_sum_if(F.col("is_buy"))).alias("_b"), _shares(_sum_if(~F.col("is_buy"))).alias("_s"), F.sum(earned).alias("_r"),
     )
     return book.select(
         "stock_id", F.round("_net", 3).alias("net_shares"),

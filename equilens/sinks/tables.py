@@ -8,12 +8,13 @@ version that finished, so a lost job leaves the previous one in place.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from equilens.functions.windows import KEY, TIME
+from equilens.functions.windows import KEY, PART, TIME, Part
 from equilens.operators.relational import keep_first, keep_last, one_version, overlay
 
 
@@ -29,35 +30,68 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 # -- facts ------------------------------------------------------------------
 
-def by_year(col: str = TIME) -> Column:
-    return F.year(col)
+def by_year(col: str = TIME) -> Part:
+    return Part("year", col)
 
 
-def by_month(col: str = TIME) -> Column:
-    return F.date_format(col, "yyyyMM")
+def by_month(col: str = TIME) -> Part:
+    return Part("month", col)
 
 
-def write_fact(df: DataFrame, path: str, part: Column, sort: Sequence[str] = (KEY, TIME), mode: str = "overwrite"):
+def _value(part: Part | Column) -> Column:
+    return part.value if isinstance(part, Part) else part
+
+
+def _noted(spark: SparkSession, path: str) -> Part | None:
+    """How the stored table is partitioned, from the note beside its folders; None for other partitions than dates."""
+    fs, note = _fs(spark, f"{path}/_partition.json")
+    if not fs.exists(note):
+        return None
+    stream = fs.open(note)
+    try:
+        said = json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+    return Part(said["unit"], said["of"])
+
+
+def _note(spark: SparkSession, path: str, part: Part) -> None:
+    fs, note = _fs(spark, f"{path}/_partition.json")
+    if not fs.exists(note):
+        out = fs.create(note, True)
+        out.write(bytearray(json.dumps({"unit": part.unit, "of": part.of}).encode()))
+        out.close()
+
+
+def write_fact(df: DataFrame, path: str, part: Part | Column, sort: Sequence[str] = (KEY, TIME), mode: str = "overwrite"):
     """Write partitioned by ``part``, rows sorted inside files.
 
     Rebalancing gathers a partition's rows into files of the advisory size:
     small ones are merged, and one that is large, or held by one security, is
-    split over tasks.
+    split over tasks. A table keeps the partition it was first written with.
     """
-    out = df.withColumn("part", part).hint("rebalance", "part")
-    out.sortWithinPartitions("part", *sort).write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(
-        "part"
+    noted = _noted(df.sparkSession, path)
+    if noted and noted != part:
+        raise ValueError(f"{path} is partitioned by {noted}, not by {part}")
+    out = df.withColumn(PART, _value(part)).hint("rebalance", PART)
+    out.sortWithinPartitions(PART, *sort).write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(
+        PART
     ).parquet(path)
+    if isinstance(part, Part):
+        _note(df.sparkSession, path, part)
 
 
 def read_fact(spark: SparkSession, path: str, partitioned: bool = False) -> DataFrame:
-    """A stored fact; ``partitioned`` keeps the partition column, by which plans over recent days leave old years closed."""
+    """A stored fact; ``partitioned`` keeps the partition column, by which plans over recent days leave old ones closed."""
     table = spark.read.parquet(path)
-    return table if partitioned else table.drop("part")
+    if not partitioned:
+        return table.drop(PART)
+    noted = _noted(spark, path)
+    return noted.marked(table) if noted else table
 
 
 def upsert(
-    spark: SparkSession, path: str, updates: DataFrame, pk: Sequence[str], *, part: Column | None = None,
+    spark: SparkSession, path: str, updates: DataFrame, pk: Sequence[str], *, part: Part | Column | None = None,
     order_col: str | None = None,
 ) -> None:
     """Insert or replace by key; of several updates of a key the greatest ``order_col`` wins.
@@ -65,11 +99,12 @@ def upsert(
     Without ``order_col`` different updates of one key are an error. Rows that
     are nothing but their key are inserted where they are new. Only the
     partitions that the updates touch are read and rewritten: their values, one
-    per year or month, are looked up first and become a filter on the folders.
-    A partition is a year or a month of a date in the key, so a key never moves
-    between partitions.
+    per month, are looked up first and become a filter on the folders. A stored
+    table keeps its partition, a new one gets months. A partition comes from a
+    date in the key, so a key never moves between partitions.
     """
-    part = by_year(pk[-1] if pk[-1] != KEY else TIME) if part is None else part
+    if part is None:
+        part = _noted(spark, path) or by_month(pk[-1] if pk[-1] != KEY else TIME)
     columns = [c for c in updates.columns if c != order_col]
     if set(columns) == set(pk):
         insert_only(spark, path, updates.select(*columns), pk, part=part)
@@ -82,14 +117,14 @@ def upsert(
     write_fact(overlay(affected, once, pk), path, part, pk)
 
 
-def touched_parts(stored: DataFrame, rows: DataFrame, part: Column) -> DataFrame:
+def touched_parts(stored: DataFrame, rows: DataFrame, part: Part | Column) -> DataFrame:
     """The partitions of ``stored`` that ``rows`` fall into; their values are literals, so other folders stay closed."""
-    kind = stored.schema["part"].dataType
-    values = [r[0] for r in rows.select(part.cast(kind).alias("part")).distinct().collect()]
-    return stored.filter(F.col("part").isin(values) if values else F.lit(False))
+    kind = stored.schema[PART].dataType
+    values = [r[0] for r in rows.select(_value(part).cast(kind).alias(PART)).distinct().collect()]
+    return stored.filter(F.col(PART).isin(values) if values else F.lit(False))
 
 
-def insert_only(spark: SparkSession, path: str, rows: DataFrame, pk: Sequence[str], *, part: Column) -> None:
+def insert_only(spark: SparkSession, path: str, rows: DataFrame, pk: Sequence[str], *, part: Part | Column) -> None:
     """Insert keys that are not stored yet; for tables that have nothing but their key."""
     new = rows.dropDuplicates(list(pk))
     if exists(spark, path):

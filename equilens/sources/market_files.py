@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +13,8 @@ from equilens.functions.parse import (
     traded, ymd_date,
 )
 from equilens.functions.windows import KEY, TIME
-from equilens.operators.relational import keep_first, keep_known
+from equilens.operators.relational import keep_first, keep_known, union_all
+from equilens.session import materialize
 from equilens.sources.landed import (
     cell, csv_rows, day_of, files, json_rows, sniff_market, sniff_text,
 )
@@ -181,29 +182,45 @@ def read_holder_dist(spark: SparkSession, path: str, stock: DataFrame | None = N
     return keep_known(rows.filter(F.col("level").between(1, 15) & F.col("data_date").isNotNull()), stock)
 
 
+def json_objects(found: DataFrame, wanted: Callable[[Column], Column]) -> DataFrame:
+    """(path, at, fields): the objects of JSON texts (path, text) that are ``wanted``, at any depth, in their order.
+
+    Each round takes one level apart: wanted objects are put aside, and their insides are not looked at; of the others
+    the values that are objects or arrays make the next level. Values keep their text and the order they are written
+    in; that a value is nested is told by its type, so a text that looks like JSON stays a text.
+    """
+    level = found.select("path", F.array().cast("array<int>").alias("at"), F.trim("text").alias("v"))
+    done = []
+    while True:
+        opens = F.substring("v", 1, 1)
+        read = lambda sign, kind: F.when(opens == sign, F.from_json("v", kind))
+        level = level.withColumns({"fields": read("{", "map<string,string>"), "items": read("[", "array<string>")})
+        level = materialize(level.withColumn("wanted", F.coalesce(wanted(F.col("fields")), F.lit(False))))
+        done.append(level.where("wanted").select("path", "at", "fields"))
+        kinds = F.transform(
+            F.coalesce(F.map_values(read("{", "map<string,variant>")), read("[", "array<variant>")), F.schema_of_variant)
+        values = F.arrays_zip(F.coalesce(F.map_values("fields"), "items").alias("v"), kinds.alias("kind"))
+        inner = level.where("not wanted").select("path", "at", F.posexplode(values).alias("k", "x")).where(
+            "x.kind like 'OBJECT%' or x.kind like 'ARRAY%'")
+        level = inner.select("path", F.concat("at", F.array("k")).alias("at"), F.col("x.v").alias("v"))
+        if level.isEmpty():
+            return union_all(*done)
+
+
 def read_etf_nav(spark: SparkSession, path: str, stock: DataFrame | None = None) -> DataFrame:
     """Fund values from JSON of unknown depth; the first record of a code and file wins.
 
-    Any object with ``a`` and one of ``e``/``f`` is a record, wherever it sits. Texts may hold brackets and
-    braces, and other values may be flat lists or objects; an object without ``a`` is searched for records inside.
+    Any object with ``a`` and one of ``e``/``f`` is a record, wherever it sits and whatever else it holds.
     """
-    text = F.decode("content", "UTF-8")
-    plain = r'[^{}\[\]"]++|"(?:[^"\\]++|\\.)*+"'
-    flat, nested = rf"(\{{(?:{plain})*+\}})", rf"(\{{(?:{plain}|[\[{{](?:{plain})*+[\]}}])*+\}})"
-    fields = "a string, c string, e string, f string, g string, i string"
-    own = lambda r: F.from_json(r, fields)["a"].isNotNull()
-    inside = lambda r: F.regexp_extract_all(F.substring(r, 2, 1 << 30), F.lit(flat), 1)
-    objects = F.flatten(F.transform(
-        F.regexp_extract_all(text, F.lit(nested), 1), lambda r: F.when(own(r), F.array(r)).otherwise(inside(r))))
-    found = files(spark, path).select("path", F.posexplode(objects).alias("at", "r"))
-    r = F.from_json("r", fields)
-    has = F.col("r").rlike(r'"(e|f)"\s*:')
-    rows = found.select("path", "at", r.alias("r"), has.alias("_has")).filter("_has and r.a is not null")
-    code, day = F.trim("r.a"), ymd_date(F.col("r.i"))
-    nav, units = parse_num(F.col("r.e")), parse_num(F.col("r.c"))
+    has = lambda fields, key: F.map_contains_key(fields, key)
+    found = files(spark, path).select("path", F.decode("content", "UTF-8").alias("text"))
+    rows = json_objects(found, lambda o: has(o, "a") & (has(o, "e") | has(o, "f")))
+    field = lambda name: F.col("fields")[name]
+    code, day = F.trim(field("a")), ymd_date(field("i"))
+    nav, units = parse_num(field("e")), parse_num(field("c"))
     typed = rows.select(
-        code.alias(KEY), day.alias(TIME), nav.alias("nav"), parse_num(F.col("r.f")).alias("prev_nav"),
-        units.alias("units"), (units * nav).alias("aum"), parse_num(F.col("r.g")).alias("nav_chg_pct"), "path", "at",
+        code.alias(KEY), day.alias(TIME), nav.alias("nav"), parse_num(field("f")).alias("prev_nav"),
+        units.alias("units"), (units * nav).alias("aum"), parse_num(field("g")).alias("nav_chg_pct"), "path", "at",
     ).filter((F.col(KEY) != "") & F.col(TIME).isNotNull())
     return keep_known(keep_first(typed, (KEY, "path"), "at").drop("path", "at"), stock)
 

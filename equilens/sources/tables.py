@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from equilens.functions.calendar import MARKET_OTC, revenue_available, revenue_month, statement_available
 from equilens.functions.parse import csv_cells, iso_date, parse_bigint, parse_num
-from equilens.functions.windows import KEY, TIME, trailing_calendar
+from equilens.functions.windows import KEY, PART, TIME, trailing_calendar
 from equilens.operators.fundamentals import NOT_ITEMS, best_dividends
 from equilens.operators.relational import keep_first
+from equilens.sinks.tables import read_fact
 from equilens.sources.landed import files
 
 IDEOGRAPHIC_SPACE = "　"
@@ -256,12 +257,13 @@ def scan_prices(spark: SparkSession, path: str, ids: Sequence[str] | None = None
 
 
 def scan_recent(spark: SparkSession, path: str, days: int, date_col: str = TIME) -> DataFrame:
-    """Rows within ``days`` of the newest date of a table partitioned by year (``part``).
+    """Rows within ``days`` of the newest date of a stored fact.
 
-    The newest date is looked up in the newest partition only, and the date
-    bound is repeated on the partition column, so old years are never opened.
+    Where it is partitioned by year or month of that date, the newest date is looked up in the newest partition only,
+    and the bound is repeated on the partition column, so old partitions are never opened.
     """
-    return trailing_calendar(spark.read.parquet(path), date_col, days)
+    recent = trailing_calendar(read_fact(spark, path, partitioned=True), date_col, days)
+    return recent.drop(PART)
 
 
 def scan_trades(spark: SparkSession, path: str) -> DataFrame:

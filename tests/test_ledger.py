@@ -130,3 +130,14 @@ def test_no_window_gathers_a_security(spark):
             assert "bought" in line or "balance" in line
         else:
             assert "_block" in spec or "_part" in spec
+
+
+def test_small_fractions_and_large_sums_are_kept(spark):
+    trades = [(1, "A", "buy", DAY0, 3e-7, 10.0, None, None), (2, "A", "buy", DAY0, 1e-9, 10.0, None, None),
+              (3, "A", "buy", DAY0, 2.5, 8.0, None, None), (4, "A", "sell", DAY0, 1.0, 9.0, None, None), (5, "A", "sell", DAY0, 0.0, 9.0, None, None)]
+    df = spark.createDataFrame(trades, SCHEMA)
+    got = {r.id: r.cum_shares for r in lg.cumulative(df).collect()}
+    assert got == pytest.approx({1: 3e-7, 2: 3.01e-7, 3: 2.500000301, 4: 1.0}, abs=1e-15)
+    assert [(r.buy_id, r.sell_id) for r in lg.matches(df).orderBy("buy_id").collect()] == [(1, 4), (2, 4), (3, 4)]
+    big = spark.createDataFrame([(i, "A", "buy", DAY0, 9e15, 1.0, None, None) for i in range(1000)], SCHEMA)
+    assert lg.positions(big).first().buy_shares == 9e18
