@@ -73,7 +73,7 @@ def index(docs: DataFrame, wanted: bytes) -> DataFrame:
                     counts = Counter(terms)
                     if len(asked) > 500_000:
                         asked.clear()
-                    for t in counts.keys() - asked.keys():
+                    for t in [t for t in counts if t not in asked]:
                         place = zlib.crc32(t) % FILTER_BITS
                         asked[t] = bool(wanted[place >> 3] >> (place & 7) & 1)
                     chosen = [t for t in counts if asked[t]]
