@@ -433,12 +433,21 @@ _LEDGER = {
         WINDOW o AS (PARTITION BY stock_id ORDER BY trade_date, side, id ROWS UNBOUNDED PRECEDING)"""),
     "fx_lg3": (("fx_lg2",), """SELECT *, s - dropped AS c_hi, coalesce(lag(s - dropped) OVER (PARTITION BY stock_id
         ORDER BY trade_date, side, id), 0) AS c_lo FROM fx_lg2"""),
-    "fx_match": (("fx_lg3",), """SELECT *, (sell_price - buy_price) * qty - ((s_fee + s_tax) / s_shares + b_fee / b_shares) * qty AS gain FROM (
-        SELECT b.stock_id, b.id AS buy_id, s.id AS sell_id, (least(b.b, s.c_hi) - greatest(b.b - b.q, s.c_lo))::DOUBLE AS qty,
-          b.trade_date AS buy_date, b.price AS buy_price, s.trade_date AS sell_date, s.price AS sell_price, s.fee AS s_fee,
-          s.tax AS s_tax, s.shares AS s_shares, b.fee AS b_fee, b.shares AS b_shares
-        FROM fx_lg3 b JOIN fx_lg3 s ON s.stock_id = b.stock_id AND b.side = 0 AND s.side = 1
-          AND b.b - b.q < s.c_hi AND s.c_lo < b.b AND s.c_lo < s.c_hi) WHERE qty > 0"""),
+    # Both axes are cut at the union of their borders; a piece belongs to the lot and the sell that end at or after it.
+    "fx_piece": (("fx_lg3",), """SELECT stock_id, pos - coalesce(lag(pos) OVER up, 0) AS piece,
+        first_value(buy IGNORE NULLS) OVER on_ AS buy_id, first_value(sell IGNORE NULLS) OVER on_ AS sell_id
+        FROM (SELECT stock_id, pos, max(buy) AS buy, max(sell) AS sell FROM (
+            SELECT stock_id, b AS pos, id AS buy, NULL::BIGINT AS sell FROM fx_lg3 WHERE side = 0
+            UNION ALL SELECT stock_id, c_hi, NULL, id FROM fx_lg3 WHERE side = 1 AND c_hi > c_lo) GROUP BY 1, 2)
+        WINDOW up AS (PARTITION BY stock_id ORDER BY pos),
+          on_ AS (PARTITION BY stock_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"""),
+    "fx_match": (("fx_lg0", "fx_piece"), """SELECT *, (sell_price - buy_price) * qty - ((s_fee + s_tax) / s_shares + b_fee / b_shares) * qty AS gain FROM (
+        SELECT m.*, b.trade_date AS buy_date, b.price AS buy_price, s.trade_date AS sell_date, s.price AS sell_price,
+          s.fee AS s_fee, s.tax AS s_tax, s.shares AS s_shares, b.fee AS b_fee, b.shares AS b_shares
+        FROM (SELECT stock_id, buy_id, sell_id, sum(piece)::DOUBLE AS qty FROM fx_piece
+              WHERE buy_id IS NOT NULL AND sell_id IS NOT NULL GROUP BY 1, 2, 3) m
+        JOIN fx_lg0 b ON b.stock_id = m.stock_id AND b.id = buy_id AND b.side = 0
+        JOIN fx_lg0 s ON s.stock_id = m.stock_id AND s.id = sell_id AND s.side = 1)"""),
     "fx_pos": (("fx_lg3", "fx_match"), """SELECT stock_id, round(net, 3) AS net_shares,
         CASE WHEN net > 1e-9 THEN round((cost / net)::DECIMAL(30, 9), 4)::DOUBLE END AS avg_cost, round_even(coalesce(gain, 0), 0)::BIGINT AS realized_pnl,
         bought AS buy_shares, sold AS sell_shares
