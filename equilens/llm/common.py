@@ -52,7 +52,8 @@ def label_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int,
 
     Labels of the held-out fold, null ids and null labels take no part; of several labels of one id the largest
     counts. Each class gives at most ``max_rows`` ids, a pseudorandom choice by id, so the id table that is broadcast
-    has at most twice that many rows. Rows with null text or above ``max_chars`` characters are not fitted on.
+    has at most twice that many rows. Of repeated rows of an id one is fitted on, that of the smallest text; rows
+    without text are not. Of a text above ``max_chars`` characters the fit sees the first ones; scores see all.
     """
     known = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (fold(F.col("doc_id"), 5) != 0))
@@ -60,7 +61,8 @@ def label_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int,
     share = known.agg(F.avg(F.col("y").cast("double"))).first()[0]
     order = [F.xxhash64(F.lit(label), "_id"), F.col("_id")]
     ids = known.where("y = 0").orderBy(*order).limit(max_rows).union(known.where("y = 1").orderBy(*order).limit(max_rows))
-    rows = docs.select("doc_id", "text").where(F.char_length("text") <= max_chars).join(F.broadcast(ids), F.col("doc_id") == F.col("_id"))
+    rows = docs.select("doc_id", F.left("text", F.lit(max_chars)).alias("text")).where("text is not null")
+    rows = rows.join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).groupBy("doc_id", "y").agg(F.min("text").alias("text"))
     return rows.select("doc_id", "text", "y"), 0.5 if share is None else share
 
 

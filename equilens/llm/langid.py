@@ -15,10 +15,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from equilens.llm.common import fold, small_batches
+from equilens.llm.common import fold
 
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
@@ -26,18 +28,17 @@ UNKNOWN = "und"
 
 @dataclass(frozen=True)
 class Fit:
-    """Each language is learned from ``docs`` labelled texts at most, a pseudorandom choice by id among those of
-    ``shortest`` to ``longest`` characters, of which ``chars`` normalised characters are kept, fewer where many
-    languages share ``all_chars``. ``letters`` is the number of different characters kept. Parsing starts anew every
-    ``piece`` characters, so that pieces are parsed side by side."""
+    """Each language is learned from ``docs`` labelled texts at most, a pseudorandom choice by id: first among those of
+    ``shortest`` to ``longest`` characters, then among the others, of long ones the first ``longest``. Of these texts
+    ``chars`` normalised characters are kept, fewer where more than ``all_chars`` / ``chars`` languages share the
+    memory. ``letters`` is the number of different characters kept per language."""
 
     docs: int = 60
     shortest: int = 20
     longest: int = 4000
     chars: int = 30_000
-    all_chars: int = 400_000
+    all_chars: int = 800_000
     letters: int = 250
-    piece: int = 256
 
 
 def plain(text: str | None) -> str:
@@ -92,11 +93,10 @@ def automaton(codes: list[int], letters: int) -> np.ndarray:
 
 
 class Languages:
-    """Automata of all languages over one alphabet; ``names`` are in order, so ties go to the first."""
+    """Automata of all languages, each over its own alphabet; ``names`` are in order, so ties go to the first."""
 
     def __init__(self, texts: dict[str, list[str]], fit: Fit):
         self.names = sorted(texts)
-        self.piece = fit.piece
         keep = min(fit.chars, fit.all_chars // max(1, len(texts)))
         cut: dict[str, list[str]] = {}
         for name in self.names:
@@ -106,63 +106,77 @@ class Languages:
                     break
                 cut[name].append(t[:left])
                 left -= len(t)
-        seen = Counter(c for ts in cut.values() for t in ts for c in t)
-        common = sorted(seen, key=lambda c: (-seen[c], c))[: fit.letters]
-        self.codes = np.zeros(0x110000, np.uint8)
-        for i, c in enumerate(sorted(common)):
-            self.codes[ord(c)] = i + 1
-        letters = len(common) + 1
-        self.tables, self.bits = [], []
+        alphabets = []
         for name in self.names:
-            codes = [int(c) for t in cut[name] for c in [*self.coded(t), 0]]
-            self.tables.append(automaton(codes, letters))
-            self.bits.append(math.log2(max(2, len(codes))))
+            seen = Counter(c for t in cut[name] for c in t)
+            alphabets.append(sorted(sorted(seen, key=lambda c: (-seen[c], c))[: fit.letters]))
+        # A character has one code in all, and by that one code in each language; 0 is a character that it has not seen.
+        every = sorted(set().union(*alphabets))
+        self.codes = np.zeros(0x110000, np.int32)
+        self.codes[[ord(c) for c in every]] = np.arange(1, len(every) + 1)
+        self.local = np.zeros((len(self.names), len(every) + 1), np.int64)
+        tables, bits = [], []
+        for k, name in enumerate(self.names):
+            self.local[k, self.codes[[ord(c) for c in alphabets[k]]]] = np.arange(1, len(alphabets[k]) + 1)
+            codes = [int(c) for t in cut[name] for c in [*self.local[k, self.coded(t)], 0]]
+            tables.append(automaton(codes, len(alphabets[k]) + 1))
+            bits.append(math.log2(max(2, len(codes))))
+        sizes = np.array([t.size for t in tables], np.int64)
+        self.letters = np.array([[t.shape[1]] for t in tables], np.int64).reshape(-1, 1)
+        self.base = (sizes.cumsum() - sizes).reshape(-1, 1)
+        self.known = np.concatenate([np.zeros(0, np.int32), *[t.ravel() for t in tables]])
+        self.bits = np.array(bits)
 
     def coded(self, text: str) -> np.ndarray:
         return self.codes[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
 
     def entropies(self, texts: list[str]) -> np.ndarray:
-        """Bits per character of each text under each language; texts are normalised and not empty."""
+        """Bits per character of each text under each language; texts are normalised and not empty.
+
+        Texts are parsed side by side, one character of each at a time, in all languages at once.
+        """
         coded = [self.coded(t) for t in texts]
         size = np.array([len(c) for c in coded])
-        flat = np.concatenate([*coded, np.zeros(self.piece, np.uint8)])
-        starts = np.concatenate([[0], size.cumsum()[:-1]])
-        pieces = -(-size // self.piece)
-        doc = np.repeat(np.arange(len(texts)), pieces)
-        nth = np.arange(len(doc)) - np.repeat(pieces.cumsum() - pieces, pieces)
-        begin = starts[doc] + nth * self.piece
-        length = np.minimum(self.piece, size[doc] - nth * self.piece)
-        order = np.argsort(-length, kind="stable")
-        doc, begin, length = doc[order], begin[order], length[order]
-        live = [int(n) for n in np.searchsorted(-length, -np.arange(self.piece), side="left")]
-        at = flat[begin[:, None] + np.arange(self.piece)].T.astype(np.int64)
-        out = np.zeros((len(texts), len(self.names)))
-        for k, table in enumerate(self.tables):
-            letters, known = table.shape[1], table.ravel()
-            state = np.ones(len(doc), np.int64)
-            phrases = np.zeros(len(doc), np.int64)
-            for i in range(self.piece):
-                n = live[i]
-                if not n:
-                    break
-                s, c = state[:n], at[i, :n]
-                to = known[s * letters + c].astype(np.int64)
-                new = (to == 0) | (s == 1)
-                phrases[:n] += new
-                lost = np.flatnonzero(to == 0)
-                again = known[letters + c[lost]]
+        order = np.argsort(-size, kind="stable")
+        flat = np.concatenate(coded)
+        begin = (size.cumsum() - size)[order]
+        live = np.searchsorted(-size[order], -np.arange(size.max()), side="left").tolist()
+        state = np.ones((len(self.names), len(texts)), np.int64)
+        phrases = np.zeros_like(state)
+        for i, n in enumerate(live):
+            c = self.local[:, flat[begin[:n] + i]]
+            s = state[:, :n]
+            to = self.known[self.base + s * self.letters + c].astype(np.int64)
+            lost = to == 0
+            phrases[:, :n] += lost | (s == 1)
+            if lost.any():
+                # The phrase has ended: the next one begins with this character, unless no text of the language has it.
+                again = self.known[(self.base + self.letters + c)[lost]]
                 to[lost] = np.where(again == 0, 1, again)
-                state[:n] = to
-            out[:, k] = np.bincount(doc, phrases, len(texts)) * self.bits[k] / size
-        return out
+            state[:, :n] = to
+        out = np.empty((len(texts), len(self.names)))
+        out[order] = (phrases * self.bits[:, None]).T
+        return out / size[:, None]
+
+
+def by_size(batch: pa.RecordBatch, chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of about ``chars`` bytes of text, so that many texts are parsed side by side, but not too many."""
+    sizes = np.nan_to_num(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(float)).cumsum()
+    low = 0
+    while low < len(batch):
+        before = sizes[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(sizes, before + chars, side="right")))
+        yield batch.slice(low, high - low)
+        low = high
 
 
 def trained(docs: DataFrame, fit: Fit = Fit(), of: int = 3, out: int = 1) -> Languages:
     """Automata from a bounded sample of labelled rows outside the held-out fold."""
     rows = docs.select("doc_id", "text", "lang").where(
-        F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id"), of) != out)
-        & F.char_length("text").between(fit.shortest, fit.longest))
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text"))
+        F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id"), of) != out))
+    fits = F.char_length("text").between(fit.shortest, fit.longest)
+    rows = rows.select("doc_id", "lang", (~fits).alias("other"), F.left("text", F.lit(fit.longest)).alias("text"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("other", F.xxhash64("doc_id"), "doc_id", "text"))
     rows = rows.withColumn("nth", nth).where(F.col("nth") <= fit.docs).select("lang", "nth", "text").orderBy("lang", "nth")
     texts: dict[str, list[str]] = {}
     for lang, text in zip(*(rows.toArrow().column(c).to_pylist() for c in ("lang", "text")), strict=True):
@@ -180,12 +194,11 @@ def identified(docs: DataFrame, fit: Fit = Fit()) -> DataFrame:
     prediction.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     model = spark.sparkContext.broadcast(trained(docs, fit))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = model.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in by_size(whole)):
             texts = [plain(t) for t in batch.column(1).to_pylist()]
             pred, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
             some = [i for i, t in enumerate(texts) if t] if known.names else []
@@ -199,5 +212,6 @@ def identified(docs: DataFrame, fit: Fit = Fit()) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
     rows = docs.select("doc_id", "text")
-    found = rows.mapInArrow(predict, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+    found = rows.mapInArrow(predict, T.StructType([
+        rows.schema["doc_id"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
     return found.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")

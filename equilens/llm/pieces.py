@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from equilens.llm.common import small_batches
 
@@ -293,7 +294,7 @@ def encoded(docs: DataFrame, path: str, dropout: Dropout = Dropout()) -> DataFra
             yield pa.RecordBatch.from_arrays([batch.column(0), column], ["row", "piece_ids"])
 
     rows = docs.select(F.struct("*").alias("row"), "text", F.xxhash64("text").alias("salt"))
-    return rows.mapInArrow(each, f"row {rows.schema['row'].dataType.simpleString()}, piece_ids array<int>")
+    return rows.mapInArrow(each, T.StructType([rows.schema["row"], T.StructField("piece_ids", T.ArrayType(T.IntegerType()))]))
 
 
 def with_text(coded: DataFrame, path: str) -> DataFrame:
@@ -311,5 +312,5 @@ def with_text(coded: DataFrame, path: str) -> DataFrame:
             texts = [t if ok else None for t, ok in zip(texts, lists.is_valid().to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], [*names, "decoded"])
 
-    schema = ", ".join(f"`{c}` {coded.schema[c].dataType.simpleString()}" for c in names)
-    return coded.select("*", F.col("piece_ids").alias("_ids")).mapInArrow(each, f"{schema}, decoded string")
+    schema = T.StructType([*coded.schema.fields, T.StructField("decoded", T.StringType())])
+    return coded.select("*", F.col("piece_ids").alias("_ids")).mapInArrow(each, schema)

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from equilens.llm.common import fold, label_sample, logistic, odds, small_batches
 
@@ -139,7 +140,7 @@ def scored(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64())], ["row", "score"])
 
     rows = docs.select(F.struct("*").alias("row"), F.col("text"))
-    return rows.mapInArrow(score, f"row {rows.schema['row'].dataType.simpleString()}, score double")
+    return rows.mapInArrow(score, T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())]))
 
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, fit: Fit = Fit()) -> DataFrame:

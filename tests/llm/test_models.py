@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from equilens.llm import langid, quality, toxicity
-from equilens.llm.common import components, fold
+from equilens.llm.common import components, fold, label_sample
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, row string"
 LABELS = "doc_id long, quality int, toxic int"
@@ -125,18 +125,46 @@ def test_automaton_knows_all_substrings():
 
 
 def test_phrases_equal_a_plain_parse():
-    fit = langid.Fit(piece=32)
+    fit = langid.Fit()
     texts = {"a": ["banana bandana and ananas"], "b": ["kiwi wiki kaki taki"]}
     m = langid.Languages(texts, fit)
-    for probe in ("bananas and kiwis", "q", "taki taki ban" * 9, "xyz kaki"):
+    probes = ["bananas and kiwis", "q", "taki taki ban" * 90, "xyz kaki", "é wiki é"]
+    together = m.entropies(probes)
+    for i, probe in enumerate(probes):
         for k, name in enumerate(m.names):
-            n = 0
-            for s in range(0, len(probe), 32):
-                rest = probe[s:s + 32]
-                while rest:
-                    size = next((j for j in range(len(rest), 0, -1) if rest[:j] in texts[name][0]), 1)
-                    rest, n = rest[size:], n + 1
-            assert m.entropies([probe])[0, k] == pytest.approx(n * math.log2(len(texts[name][0]) + 1) / len(probe))
+            n, rest = 0, probe
+            while rest:
+                size = next((j for j in range(len(rest), 0, -1) if rest[:j] in texts[name][0]), 1)
+                rest, n = rest[size:], n + 1
+            assert together[i, k] == pytest.approx(n * math.log2(len(texts[name][0]) + 1) / len(probe))
+        assert m.entropies([probe])[0] == pytest.approx(together[i])
+
+
+def test_languages_of_short_or_long_texts_only(spark):
+    rng = random.Random(3)
+    text = lambda words, n: " ".join(rng.choice(words) for _ in range(n))
+    en, fr, ja = "the of and stone water light".split(), "le la et pierre eau lumière".split(), [chr(0x4E00 + i) for i in range(400)]
+    rows = [(i, text(en, 50), "en") for i in range(60)] + [(100 + i, text(fr, 1200), "fr") for i in range(60)] + [(200 + i, text(ja, 4), "ja") for i in range(60)]
+    got = langid.identified(frames(spark, rows, [(1, 1, 1)])[0]).collect()
+    truth = {i: g for i, _, g in rows}
+    assert sum(r.lang_pred == truth[r.doc_id] for r in got) >= 175
+
+
+def test_names_that_need_quotes(spark):
+    docs, labels = corpus(n=40)
+    d, y = frames(spark, docs, labels)
+    odd = d.withColumns({"url-hash": F.lit(1), "a b": F.struct(F.lit(2).alias("x-y"))})
+    for op in (toxicity.scored, quality.scored):
+        got = op(odd, y).select("row.*", "score")
+        assert got.columns[-3:] == ["url-hash", "a b", "score"] and got.count() == 40 and got.select("`a b`.`x-y`").first()[0] == 2
+
+
+def test_sample_takes_one_row_of_an_id(spark):
+    docs, labels = corpus(n=60)
+    d, y = frames(spark, docs + docs[:5] * 50 + [(1, "z" * 300, "en"), (2, None, "en")], labels)
+    sample, share = label_sample(d, y, "toxic", 20, 100)
+    got = sample.collect()
+    assert len({r.doc_id for r in got}) == len(got) <= 40 and max(len(r.text) for r in got) == 100 and 0 < share < 1
 
 
 def test_languages_on_held_out_rows(spark):

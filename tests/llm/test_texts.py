@@ -284,3 +284,12 @@ def test_pipeline_stages(spark, tmp_path):
     for r in docs.collect():
         ids = np.array(r.piece_ids, np.int64)
         assert pieces.decoded(model, ids, np.array([0, len(ids)])) == [text[r.doc_id]]
+
+
+def test_pieces_of_rows_with_odd_names(spark):
+    from equilens.llm.queries import PIECE_MODEL
+
+    rows = spark.createDataFrame([(1, "one two", 3)], "doc_id long, text string, `url-hash` int")
+    coded = pieces.encoded(rows, PIECE_MODEL)
+    back = pieces.with_text(coded.withColumnRenamed("row", "a row"), PIECE_MODEL)
+    assert back.select("`a row`.`url-hash`", "decoded").first() == (3, "one two")
