@@ -28,6 +28,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p) and bool(fs.listStatus(p))
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
+
 # -- facts ------------------------------------------------------------------
 
 def by_year(col: str = TIME) -> Part:
@@ -232,8 +237,7 @@ def delete_trades(spark: SparkSession, path: str, ids: Sequence[int] | DataFrame
     kept = stored.filter(F.col("part").isin([r["part"] for r in months]) if months else F.lit(False)).join(gone, "id", "left_anti")
     write_fact(kept.select(*[c for c in stored.columns if c != "part"]), path, by_month(), (KEY, TIME, "id"))
     for value in [r["part"] for r in months if r["n"] == r["lost"]]:
-        fs, p = _fs(spark, f"{path}/part={value}")
-        fs.delete(p, True)
+        remove(spark, f"{path}/part={value}")
 
 
 # -- other outputs ----------------------------------------------------------
