@@ -1,16 +1,17 @@
 """Phrase collocations from counts in burstable tries.
 
-A task keeps one trie per language. Its root leads from a first word to a hash container of what may follow, which
-bursts into a node of containers, one per next word, when it grows large. Above a bound of entries whole subtrees,
-largest first, leave the task as sorted runs of phrases with their counts, cut into partitions by a hash of the phrase.
-Runs of a partition are merged in one task, where counts are complete. A phrase meets as many entries as there are
-runs, whatever its frequency; a partition by first words only would put all that follows a frequent pair in one task.
+A task keeps one trie per language. Its leaves are hash containers of word-id sequences, which burst into a node of
+containers by the next bits of the ids when they grow large. Above a bound of entries whole containers, largest first,
+leave the task as sorted runs of phrases with their counts, cut into partitions by a hash of the phrase. Runs of a
+partition are merged in one task, where counts are complete. A phrase meets as many entries as there are runs,
+whatever its frequency; a partition by first words only would put all that follows a frequent pair in one task.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ class Words(dict):
 
 
 class Node(dict):
-    """Children by word id: nodes, or plain dicts as containers."""
+    """Children by the next digit of the word ids: nodes, or plain dicts as containers."""
 
 
 def groups_of(heads: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -49,65 +50,65 @@ def groups_of(heads: np.ndarray) -> Iterator[tuple[int, int, int]]:
 
 
 class HatTrie:
-    """Counts of sequences of ``length`` word ids, packed into one number of ``bits`` per word."""
+    """Counts of packed word ids of ``width`` bits. It begins as one hash container; one that holds more than ``burst``
+    keys bursts into a node of containers by the next eight bits, so only what is frequent lies deeper."""
 
-    def __init__(self, length: int, bits: int, burst: int):
-        self.length, self.bits, self.burst, self.root, self.entries = length, bits, burst, Node(), 0
+    def __init__(self, width: int, burst: int):
+        self.width, self.burst, self.root, self.entries = width, burst, {}, 0
 
     def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
         """Add counts of distinct ascending keys."""
         if len(keys):
-            self._add(self.root, self.length - 1, keys, counts)
-
-    def _add(self, node: Node, left: int, keys: np.ndarray, counts: np.ndarray) -> None:
-        """``left`` words follow the one that leads to a child of ``node``."""
-        shift = self.bits * left
-        tails = keys & ((1 << shift) - 1)
-        listed, numbers = tails.tolist(), counts.tolist()
-        for head, low, high in groups_of(keys >> shift):
-            child = node.get(head)
-            if type(child) is Node:
-                self._add(child, left - 1, tails[low:high], counts[low:high])
-                continue
-            if child is None:
-                node[head] = child = dict(zip(listed[low:high], numbers[low:high]))
-                self.entries += high - low
-            else:
-                before = len(child)
-                for tail, n in zip(listed[low:high], numbers[low:high]):
-                    child[tail] = child.get(tail, 0) + n
-                self.entries += len(child) - before
-            if len(child) > self.burst and left > 1:
-                node[head] = burst = Node()
-                self.entries -= len(child)
-                self._add(burst, left - 1, *self._sorted(child))
-
-    @staticmethod
-    def _sorted(container: dict) -> tuple[np.ndarray, np.ndarray]:
-        keys = np.fromiter(container, np.int64, len(container))
+            self.root = self._add(self.root, self.width, keys, counts)
+
+    def _add(self, child: dict, left: int, keys: np.ndarray, counts: np.ndarray) -> dict:
+        """``left`` bits of the keys do not lead to ``child`` yet. Returns what stands in its place then."""
+        if type(child) is Node:
+            below = max(0, left - 8)
+            for digit, low, high in groups_of((keys >> below) & ((1 << (left - below)) - 1)):
+                child[digit] = self._add(child.get(digit) or {}, below, keys[low:high], counts[low:high])
+            return child
+        self.entries -= len(child)
+        if child:
+            held = child.get
+            for key, n in zip(keys.tolist(), counts.tolist()):
+                child[key] = held(key, 0) + n
+        else:
+            child = dict(zip(keys.tolist(), counts.tolist()))
+        if len(child) <= self.burst or not left:
+            self.entries += len(child)
+            return child
+        keys, counts = self._arrays(child)
         order = np.argsort(keys)
-        return keys[order], np.fromiter(container.values(), np.int64, len(container))[order]
+        return self._add(Node(), left, keys[order], counts[order])
 
-    def _flat(self, child: dict, left: int) -> tuple[np.ndarray, np.ndarray]:
-        if type(child) is not Node:
-            return np.fromiter(child, np.int64, len(child)), np.fromiter(child.values(), np.int64, len(child))
-        parts = [(head, *self._flat(grandchild, left - 1)) for head, grandchild in child.items()]
-        shift = self.bits * (left - 1)
-        return np.concatenate([(head << shift) | k for head, k, _ in parts]), np.concatenate([n for *_, n in parts])
+    @staticmethod
+    def _arrays(container: dict) -> tuple[np.ndarray, np.ndarray]:
+        return np.fromiter(container, np.int64, len(container)), np.fromiter(container.values(), np.int64, len(container))
 
     def taken(self, keep: int) -> tuple[np.ndarray, np.ndarray]:
-        """Keys and counts of whole subtrees, largest first, until at most ``keep`` entries are left here."""
-        size = lambda child: sum(map(size, child.values())) if type(child) is Node else len(child)
-        sizes = {head: size(child) for head, child in self.root.items()} if keep else {}
-        keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for head in sorted(self.root, key=lambda h: -sizes.get(h, 0)):
+        """Keys and counts of whole containers, largest first, until at most ``keep`` entries are left here."""
+        found: list[tuple[int, Node | None, int]] = []
+
+        def walk(child: dict, parent: Node | None, digit: int) -> None:
+            if type(child) is Node:
+                for d, grandchild in child.items():
+                    walk(grandchild, child, d)
+            else:
+                found.append((len(child), parent, digit))
+
+        walk(self.root, None, 0)
+        parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for size, parent, digit in sorted(found, key=lambda f: -f[0]):
             if self.entries <= keep:
                 break
-            tails, n = self._flat(self.root.pop(head), self.length - 1)
-            keys.append((head << (self.bits * (self.length - 1))) | tails)
-            counts.append(n)
-            self.entries -= len(n)
-        return np.concatenate(keys), np.concatenate(counts)
+            parts.append(self._arrays(self.root if parent is None else parent.pop(digit)))
+            self.entries -= size
+            if parent is None:
+                self.root = {}
+        if not self.entries:
+            self.root = {}
+        return np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts])
 
 
 def windows(ids: np.ndarray, length: int, bits: int, starts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -131,28 +132,40 @@ def spans(data: bytes, size: int) -> Iterator[bytes]:
 
 
 def run_rows(lang: str, keys: np.ndarray, counts: np.ndarray, words: Words, hashes: np.ndarray, length: int, bits: int, parts: int):
-    """Rows (part, lang, words, phrases, counts): per number of words and partition one sorted run."""
-    names = np.array(words.names, object)
-    used = np.unique((keys[:, None] >> (bits * np.arange(length))) & ((1 << bits) - 1))
-    rank = np.zeros(len(names), np.int64)
-    rank[used[sorted(range(len(used)), key=lambda i: words.names[used[i]])]] = np.arange(len(used))
+    """Rows (part, lang, words, phrases, counts): per number of words and partition one run, sorted by words."""
+    one = (1 << bits) - 1
+    ids = [(keys >> (bits * (length - 1 - i))) & one for i in range(length)]
+    used = np.unique(np.concatenate([np.unique(i) for i in ids]))
+    used = used[used > 0]
+    used = used[sorted(range(len(used)), key=lambda i: words.names[used[i]])]
+    rank = np.zeros(len(words.names), np.int64)
+    rank[used] = np.arange(1, len(used) + 1)
+    names = np.array([b"", *map(words.names.__getitem__, used.tolist())], object)
+    mixed = np.concatenate([np.zeros(1, np.uint64), hashes[used]])
+    ranked = np.zeros(len(keys), np.int64)
+    for i in ids:
+        ranked = (ranked << bits) | rank[i]
+    order = np.argsort(ranked)
+    ranked, counts = ranked[order], counts[order]
     seed = np.uint64(zlib.crc32(lang.encode("utf-8", "surrogatepass")))
     for n in range(1, length + 1):
-        head = keys >> (bits * (length - n))
-        whole = (head & ((1 << bits) - 1)) != 0
-        distinct, place = np.unique(head[whole], return_inverse=True)
-        total = np.zeros(len(distinct), np.int64)
-        np.add.at(total, place, counts[whole])
-        columns = [(distinct >> (bits * (n - 1 - i))) & ((1 << bits) - 1) for i in range(n)]
-        mix = np.full(len(distinct), seed, np.uint64)
+        head = ranked >> (bits * (length - n))
+        whole = (head & one) != 0
+        head, single = head[whole], counts[whole]
+        if not len(head):
+            break
+        first = np.flatnonzero(np.concatenate([[True], head[1:] != head[:-1]]))
+        head, total = head[first], np.add.reduceat(single, first)
+        columns = [(head >> (bits * (n - 1 - i))) & one for i in range(n)]
+        mix = np.full(len(head), seed, np.uint64)
         for column in columns:
-            mix = (mix ^ hashes[column]) * np.uint64(0x9E3779B97F4A7C15)
+            mix = (mix ^ mixed[column]) * np.uint64(0x9E3779B97F4A7C15)
             mix ^= mix >> np.uint64(29)
-        part = (mix % np.uint64(parts)).astype(np.int64)
-        order = np.lexsort([*(rank[c] for c in reversed(columns)), part])
-        part, total = part[order], total[order]
+        part = mix % np.uint64(parts)
+        order = np.argsort(part.astype(np.uint16) if parts <= 1 << 16 else part, kind="stable")
+        total = total[order].astype(np.int32 if total.max() < 1 << 31 else np.int64)
         parted = [names[c[order]] for c in columns]
-        for p, low, high in groups_of(part) if len(part) else ():
+        for p, low, high in groups_of(part[order].astype(np.int64)):
             phrases = b"\n".join(parted[0][low:high] if n == 1 else map(b" ".join, zip(*(c[low:high] for c in parted))))
             yield p, lang, n, phrases.decode("utf-8", "surrogatepass"), total[low:high].tobytes()
 
@@ -162,8 +175,8 @@ COUNTED = "lang string, words int, phrase string, f long"
 
 
 def phrase_counts(
-    docs: DataFrame, longest: int = 3, least: int = 10, most_entries: int = 1_200_000, burst: int = 4096,
-    part_chars: int = 6_000_000, span: int = 2_000_000,
+    docs: DataFrame, longest: int = 3, least: int = 10, most_entries: int = 1_000_000, burst: int = 32_768,
+    part_chars: int = 4_000_000, span: int = 2_000_000,
 ) -> DataFrame:
     """(lang, words, phrase, f): how often each phrase of up to ``longest`` words occurs within pieces, if ``least``
     times or more; and rows of 0 words whose f add up to all words of their language.
@@ -185,29 +198,29 @@ def phrase_counts(
             hashes = np.concatenate([hashes, np.array(fresh, np.uint64)])
             for lang, trie in tries.items():
                 keys, counts = trie.taken(keep * trie.entries // most_entries if keep else 0)
-                rows = list(run_rows(lang, keys, counts, words, hashes, longest, bits, parts)) if len(keys) else []
-                for low in range(0, len(rows), 2000):
-                    columns = zip(*rows[low:low + 2000])
+                rows = run_rows(lang, keys, counts, words, hashes, longest, bits, parts) if len(keys) else iter(())
+                while some := list(islice(rows, 500)):
+                    columns = zip(*some)
                     kinds = (pa.int64(), pa.string(), pa.int32(), pa.string(), pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["part", "lang", "words", "phrases", "counts"])
 
-        for batch in batches:
+        for batch in (whole.slice(low, 500) for whole in batches for low in range(0, len(whole), 500)):
             texts: dict[str, list[bytes]] = {}
             for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 if text:
                     texts.setdefault("und" if lang is None else lang, []).append(text.encode("utf-8", "surrogatepass"))
             for lang, held in texts.items():
-                trie = tries.setdefault(lang, HatTrie(longest, bits, burst))
+                trie = tries.setdefault(lang, HatTrie(longest * bits, burst))
                 for data in spans(b".".join(held).translate(TEXT), span):
-                    found = [w for w in data.replace(b".", b" . ").split(b" ") if w]
+                    found = data.replace(b".", b" . ").split()
                     # A piece may be as long as its text, so ids are given to parts that must fit into the bits of one.
                     for low in range(0, len(found), step):
                         part = found[low:low + step + longest - 1]
-                        ids = np.array([words[w] for w in part], np.int64)
+                        ids = np.fromiter(map(words.__getitem__, part), np.int64, len(part))
                         if len(words.names) > 1 << bits:
                             yield from spilled(0)
                             words, hashes = Words(), np.zeros(0, np.uint64)
-                            ids = np.array([words[w] for w in part], np.int64)
+                            ids = np.fromiter(map(words.__getitem__, part), np.int64, len(part))
                         trie.add(*windows(ids, longest, bits, step))
                     if sum(t.entries for t in tries.values()) > most_entries:
                         yield from spilled(most_entries // 2)
@@ -221,7 +234,10 @@ def phrase_counts(
         for low, high in zip(edges, edges[1:]):
             run = runs.slice(low, high - low)
             phrases = pc.split_pattern(run["phrases"].combine_chunks(), "\n").flatten().dictionary_encode()
-            n = np.frombuffer(b"".join(run["counts"].to_pylist()), np.int64)
+            # A run has four bytes a count, eight where one needs them.
+            sizes_of = pc.count_substring(run["phrases"], "\n").to_pylist()
+            n = np.concatenate([np.frombuffer(c, np.int32 if len(c) == 4 * (k + 1) else np.int64)
+                                for c, k in zip(run["counts"].to_pylist(), sizes_of, strict=True)]).astype(np.int64)
             total = np.zeros(len(phrases.dictionary), np.int64)
             np.add.at(total, phrases.indices.to_numpy(), n)
             often = np.flatnonzero(total >= least)

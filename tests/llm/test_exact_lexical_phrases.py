@@ -226,7 +226,7 @@ def test_scores_beyond_64_bits(spark):
 def test_trie_counts_whatever_it_spills(seed, length, burst):
     rng = np.random.default_rng(seed)
     bits = 63 // length
-    trie, want, got = phrases.HatTrie(length, bits, burst), Counter(), Counter()
+    trie, want, got = phrases.HatTrie(length * bits, burst), Counter(), Counter()
     for _ in range(6):
         ids = rng.choice([0, 1, 1, 2, 3, 4, 900], int(rng.integers(0, 60)))
         keys, counts = phrases.windows(ids, length, bits, len(ids))
