@@ -62,97 +62,140 @@ def read_month_bars(spark: SparkSession, path: str) -> DataFrame:
     return keep_first(typed, (KEY, TIME), "ym", "line_no").drop("ym", "line_no")
 
 
-def read_daily_listed(spark: SparkSession, path: str, *, as_of_date=None) -> DataFrame:
-    """All-market day file of the listed board: only rows below the section header, untraded ones dropped."""
-    found = files(spark, path).withColumn(TIME, day_of(as_of_date))
+def _dated(spark: SparkSession, path: str, as_of_date) -> DataFrame:
+    return files(spark, path).withColumn(TIME, day_of(as_of_date))
+
+
+# Each ``*_rows`` takes files (path, content, trade_date) and returns typed rows that keep the path of their file, so
+# that a load can tell which files gave none; the ``read_*`` beside it reads a folder.
+
+def daily_listed_rows(found: DataFrame) -> DataFrame:
     rows = csv_rows(found, big5_text(), DAILY_SECTION)
     return rows.filter((F.size("cells") >= 11) & is_security_code(cell(0)) & traded(cell(8))).select(
         clean_code(cell(0)).alias(KEY), TIME, F.trim(cell(1)).alias("name"),
         *[to_num(cell(i)).alias(c) for i, c in ((5, "open"), (6, "high"), (7, "low"), (8, "close"))],
         parse_bigint(cell(2)).alias("volume"), parse_bigint(cell(4)).alias("amount"),
-        parse_bigint(cell(3)).cast("int").alias("trades"), signed_change(cell(9), cell(10)).alias("change"),
+        parse_bigint(cell(3)).cast("int").alias("trades"), signed_change(cell(9), cell(10)).alias("change"), "path",
     )
 
 
-def read_daily_otc(spark: SparkSession, path: str, *, as_of_date=None) -> DataFrame:
-    """All-market day payload of the OTC board; a repeated code keeps its last row."""
-    rows = json_rows(files(spark, path).withColumn(TIME, day_of(as_of_date)))
+def read_daily_listed(spark: SparkSession, path: str, *, as_of_date=None) -> DataFrame:
+    """All-market day file of the listed board: only rows below the section header, untraded ones dropped."""
+    return daily_listed_rows(_dated(spark, path, as_of_date)).drop("path")
+
+
+def daily_otc_rows(found: DataFrame) -> DataFrame:
+    rows = json_rows(found)
     close = F.trim(F.regexp_replace(cell(2), ",", ""))
     typed = rows.filter((F.size("cells") > 9) & traded(close)).select(
         F.trim(cell(0)).alias(KEY), TIME,
         *[to_num(cell(i)).alias(c) for i, c in ((4, "open"), (5, "high"), (6, "low"), (2, "close"))],
         parse_bigint(cell(7)).alias("volume"), parse_bigint(cell(8)).alias("amount"),
-        parse_bigint(cell(9)).cast("int").alias("trades"), F.trim(cell(3)).alias("change"),
+        parse_bigint(cell(9)).cast("int").alias("trades"), F.trim(cell(3)).alias("change"), "path",
         (-F.col("line_no")).alias("_back"),
     )
     return keep_first(typed, (KEY, TIME), "_back").drop("_back")
 
 
+def read_daily_otc(spark: SparkSession, path: str, *, as_of_date=None) -> DataFrame:
+    """All-market day payload of the OTC board; a repeated code keeps its last row."""
+    return daily_otc_rows(_dated(spark, path, as_of_date)).drop("path")
+
+
 def _positional(rows: DataFrame, layout: tuple[dict[str, int], int], parse=parse_bigint, code: int = 0) -> DataFrame:
     columns, at_least = layout
     return rows.filter((F.size("cells") >= at_least) & is_security_code(cell(code))).select(
-        clean_code(cell(code)).alias(KEY), TIME, *[parse(cell(i)).alias(c) for c, i in columns.items()]
+        clean_code(cell(code)).alias(KEY), TIME, *[parse(cell(i)).alias(c) for c, i in columns.items()], "path"
     )
 
 
+def inst_listed_rows(found: DataFrame) -> DataFrame:
+    return _positional(csv_rows(found, big5_text()), INST_LISTED)
+
+
 def read_inst_listed(spark, path, *, as_of_date=None) -> DataFrame:
     """Institutional net buying, listed board."""
-    return _positional(csv_rows(files(spark, path).withColumn(TIME, day_of(as_of_date)), big5_text()), INST_LISTED)
+    return inst_listed_rows(_dated(spark, path, as_of_date)).drop("path")
+
+
+def inst_otc_rows(found: DataFrame) -> DataFrame:
+    return _positional(json_rows(found), INST_OTC)
 
 
 def read_inst_otc(spark, path, *, as_of_date=None) -> DataFrame:
     """Institutional net buying, OTC board."""
-    return _positional(json_rows(files(spark, path).withColumn(TIME, day_of(as_of_date))), INST_OTC)
+    return inst_otc_rows(_dated(spark, path, as_of_date)).drop("path")
+
+
+def margin_listed_rows(found: DataFrame) -> DataFrame:
+    return _positional(csv_rows(found, big5_text(), MARGIN_SECTION), MARGIN_LISTED)
 
 
 def read_margin_listed(spark, path, *, as_of_date=None) -> DataFrame:
     """Margin balances, listed board; the market summary above the section is skipped."""
-    found = files(spark, path).withColumn(TIME, day_of(as_of_date))
-    return _positional(csv_rows(found, big5_text(), MARGIN_SECTION), MARGIN_LISTED)
+    return margin_listed_rows(_dated(spark, path, as_of_date)).drop("path")
+
+
+def margin_otc_rows(found: DataFrame) -> DataFrame:
+    return _positional(json_rows(found), MARGIN_OTC)
 
 
 def read_margin_otc(spark, path, *, as_of_date=None) -> DataFrame:
     """Margin balances, OTC board."""
-    return _positional(json_rows(files(spark, path).withColumn(TIME, day_of(as_of_date))), MARGIN_OTC)
+    return margin_otc_rows(_dated(spark, path, as_of_date)).drop("path")
 
 
 def _foreign(rows: DataFrame, code: int) -> DataFrame:
     return rows.filter((F.size("cells") >= 8) & is_security_code(cell(code))).select(
         clean_code(cell(code)).alias(KEY), TIME,
         parse_num(F.regexp_replace(cell(7), "%", "")).alias("foreign_ratio"),
-        parse_bigint(cell(5)).alias("foreign_shares"), parse_bigint(cell(3)).alias("shares_issued"),
+        parse_bigint(cell(5)).alias("foreign_shares"), parse_bigint(cell(3)).alias("shares_issued"), "path",
     )
 
 
+def foreign_listed_rows(found: DataFrame) -> DataFrame:
+    return _foreign(csv_rows(found, big5_text()), 0)
+
+
 def read_foreign_listed(spark, path, *, as_of_date=None) -> DataFrame:
     """Foreign holdings, listed board."""
-    return _foreign(csv_rows(files(spark, path).withColumn(TIME, day_of(as_of_date)), big5_text()), 0)
+    return foreign_listed_rows(_dated(spark, path, as_of_date)).drop("path")
+
+
+def foreign_otc_rows(found: DataFrame) -> DataFrame:
+    return _foreign(json_rows(found), 1)
 
 
 def read_foreign_otc(spark, path, *, as_of_date=None) -> DataFrame:
     """Foreign holdings, OTC board (code in the second cell, ratio with a percent sign)."""
-    return _foreign(json_rows(files(spark, path).withColumn(TIME, day_of(as_of_date))), 1)
+    return foreign_otc_rows(_dated(spark, path, as_of_date)).drop("path")
+
+
+def valuation_listed_rows(found: DataFrame) -> DataFrame:
+    return _positional(csv_rows(found, big5_text()), ({"per": 5, "pbr": 6, "dividend_yield": 3}, 7), parse_num)
 
 
 def read_valuation_listed(spark, path, *, as_of_date=None) -> DataFrame:
     """Price-earnings, price-book and yield, listed board."""
-    rows = csv_rows(files(spark, path).withColumn(TIME, day_of(as_of_date)), big5_text())
-    return _positional(rows, ({"per": 5, "pbr": 6, "dividend_yield": 3}, 7), parse_num)
+    return valuation_listed_rows(_dated(spark, path, as_of_date)).drop("path")
 
 
-def read_valuation_otc(spark, path, *, as_of_date=None) -> DataFrame:
-    """The same for the OTC board, whose feed only has its newest day: rows of another date are dropped."""
+def valuation_otc_rows(found: DataFrame) -> DataFrame:
     fields = ("Date", "SecuritiesCompanyCode", "PriceEarningRatio", "PriceBookRatio", "YieldRatio")
     schema = f"array<struct<{','.join(f'{f}:string' for f in fields)}>>"
-    wanted = files(spark, path).withColumn("_want", day_of(as_of_date))
-    rows = wanted.select("_want", F.inline(F.from_json(F.decode("content", "UTF-8"), schema)))
+    rows = found.select("path", TIME, F.inline(F.from_json(F.decode("content", "UTF-8"), schema)))
     code = F.col("SecuritiesCompanyCode")
-    return rows.filter((any_date(F.col("Date")) == F.col("_want")) & is_security_code(code)).select(
-        clean_code(code).alias(KEY), F.col("_want").alias(TIME), parse_num(F.col("PriceEarningRatio")).alias("per"),
-        parse_num(F.col("PriceBookRatio")).alias("pbr"), parse_num(F.col("YieldRatio")).alias("dividend_yield"),
+    return rows.filter((any_date(F.col("Date")) == F.col(TIME)) & is_security_code(code)).select(
+        clean_code(code).alias(KEY), TIME, parse_num(F.col("PriceEarningRatio")).alias("per"),
+        parse_num(F.col("PriceBookRatio")).alias("pbr"), parse_num(F.col("YieldRatio")).alias("dividend_yield"), "path",
     )
 
 
+def read_valuation_otc(spark, path, *, as_of_date=None) -> DataFrame:
+    """The same for the OTC board, whose feed only has its newest day: rows of another date are dropped."""
+    return valuation_otc_rows(_dated(spark, path, as_of_date)).drop("path")
+
+
 def read_month_revenue(spark: SparkSession, paths: Sequence[str] | str, stock: DataFrame | None = None) -> DataFrame:
     """Monthly revenue lists of all boards; filed in thousands, returned in units."""
     names = REVENUE_FIELDS

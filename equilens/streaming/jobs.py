@@ -90,10 +90,16 @@ def start_ledger(
     """
     rejects = rejects_path or f"{log_path.rstrip('/')}_rejected"
 
-
     def apply(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
+        try:
+            keep(batch, number)
+        finally:
+            batch.unpersist()
+
+    def keep(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        accepted, rejected = check_trades(batch.persist(), stock)
+        accepted, rejected = check_trades(batch, stock)
         rejected.write.mode("overwrite").parquet(f"{rejects}/batch={number}")
         upsert(spark, log_path, accepted, (KEY, TIME, "id"), part=by_month())
         touched = accepted.select(KEY, TIME).distinct()
@@ -106,7 +112,6 @@ def start_ledger(
             F.coalesce(F.sum(F.when(F.col("action") == "sell", side)), F.lit(0).cast("decimal(28,6)")).alias("sold"),
         )
         upsert(spark, days_path, sums, (KEY, TIME), part=by_month())
-        batch.unpersist()
 
     return trades.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(
         availableNow=True
