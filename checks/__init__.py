@@ -3,7 +3,7 @@
 
 def catalog():
     """All registered queries by name."""
-    from checks import market_queries, signal_queries, text_queries  # noqa: F401
+    from checks import file_queries, market_queries, signal_queries, text_queries  # noqa: F401
     from checks.registry import CATALOG
 
     return CATALOG

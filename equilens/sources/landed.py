@@ -40,10 +40,10 @@ def files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
 
 
 def date_in_path(path: Column) -> Column:
-    """Last ``yyyymmdd`` or ``yyyy-mm-dd`` in a path."""
-    found = F.element_at(F.regexp_extract_all(path, F.lit(r"(\d{4}-?\d{2}-?\d{2})"), 1), -1)
-    has_any = F.size(F.regexp_extract_all(path, F.lit(r"(\d{4}-?\d{2}-?\d{2})"), 1)) > 0
-    return F.when(has_any, F.try_to_date(F.regexp_replace(found, "-", ""), "yyyyMMdd"))
+    """Last ``yyyymmdd`` or ``yyyy-mm-dd`` in a path that stands on its own and is a date; random file names have neither."""
+    found = F.regexp_extract_all(path, F.lit(r"(?<![0-9A-Za-z])(\d{4}-?\d{2}-?\d{2})(?![0-9A-Za-z-])"), 1)
+    days = F.transform(found, lambda x: F.try_to_date(F.regexp_replace(x, "-", ""), "yyyyMMdd"))
+    return F.element_at(F.concat(F.array(F.lit(None).cast("date")), F.filter(days, lambda d: d.isNotNull())), -1)
 
 
 def day_of(as_of_date) -> Column:

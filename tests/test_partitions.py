@@ -93,3 +93,15 @@ def test_first_fund_record_in_the_order_written(spark, tmp_path):
 @pytest.mark.parametrize("text", ["", "[]", "{}", "not json", "[1, null, \"x\"]", "null"])
 def test_files_without_fund_records(spark, tmp_path, text):
     assert nav(spark, tmp_path, text) == {}
+
+
+@pytest.mark.parametrize("path, day", [
+    ("/raw/20260709/inst.csv", D(2026, 7, 9)), ("/raw/2026-07-09/20260710.csv", D(2026, 7, 10)), ("/raw/inst_20260709_b.csv", D(2026, 7, 9)),
+    ("/x/day=1995-01-09/part-00003-4821-9012-20260105-c000.csv", D(1995, 1, 9)), ("/x/20261399/a.csv", None), ("/x/2330_202607.csv", None),
+    ("/2026-07-09/99999999.csv", D(2026, 7, 9))])
+def test_the_date_of_a_path(spark, path, day):
+    from pyspark.sql import functions as F
+
+    from equilens.sources.landed import date_in_path
+
+    assert spark.range(1).select(date_in_path(F.lit(path))).first()[0] == day
