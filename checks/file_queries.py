@@ -13,6 +13,7 @@ from equilens.functions.parse import ROC_YEAR_OFFSET
 from equilens.operators.adjust import dividend_events, reduction_events
 from equilens.operators.relational import latest_row, union_all
 from equilens.plans.readjust import read_adjusted, readjust
+from equilens.sinks import checked
 from equilens.sinks import revisions as rv
 from equilens.sinks import tables as sk
 from equilens.sources import market_files as mf
@@ -385,3 +386,30 @@ query("p09_revisions", _revised, " UNION ALL ".join(
     f"""SELECT '{day}' AS as_of, stock_id, date_trunc('month', d)::DATE AS revenue_month,
         sum(round(l_extendedprice * (1 - l_discount))::BIGINT)::BIGINT AS revenue FROM fx_ticks WHERE l_linenumber <= {n} GROUP BY 2, 3"""
     for day, n in (("1999-01-10", 2), ("1999-02-28", 4), ("1999-03-10", 9))), "fx_ticks")
+
+
+def _checked(v: Views, path: str) -> dict[str, int]:
+    listed = v.stock.where(F.col("market") == "上市").select("stock_id")
+    return checked.checked_write(
+        v.trades, path, ("stock_id", "trade_date"), {"shares": F.col("shares") > 5, "price": F.col("price") < 3000},
+        {"security": ("stock_id", listed)}, ["id"])
+
+
+def _report(v: Views) -> DataFrame:
+    told = _checked(v, f"{_scratch(v)}/t")
+    return v.spark.createDataFrame([(k, n) for k, n in told.items() if k != "version"], "name string, n bigint")
+
+
+def _published(v: Views) -> DataFrame:
+    path = f"{_scratch(v)}/t"
+    _checked(v, path)
+    good = sk.read_version(v.spark, path).select("id", F.lit("").alias("reason"))
+    return good.unionByName(checked.quarantine(v.spark, path).select("id", F.col("_reason").alias("reason")))
+
+
+_JUDGED = {"fx_judged": (("fx_trades", "fx_stock"), """SELECT *, CASE WHEN reason = '' AND row_number() OVER (PARTITION BY stock_id, trade_date, reason ORDER BY id) > 1
+    THEN 'duplicate' ELSE reason END AS verdict FROM (SELECT t.*, CASE WHEN NOT shares > 5 THEN 'shares' WHEN NOT price < 3000 THEN 'price'
+      WHEN stock_id NOT IN (SELECT stock_id FROM fx_stock WHERE market = '上市') THEN 'security' ELSE '' END AS reason FROM fx_trades t)""")}
+query("q01_checked_report", _report, """SELECT 'rows' AS name, count(*) AS n FROM fx_judged UNION ALL
+      SELECT CASE verdict WHEN '' THEN 'good' ELSE verdict END, count(*) FROM fx_judged GROUP BY 1""", "fx_judged", extra=_JUDGED)
+query("q02_checked_rows", _published, "SELECT id, verdict AS reason FROM fx_judged", "fx_judged", extra=_JUDGED)

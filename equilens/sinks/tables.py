@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from equilens.functions.windows import KEY, PART, TIME, Part
-from equilens.operators.relational import keep_first, keep_last, one_version, overlay
+from equilens.operators.relational import keep_last, one_version, overlay
 
 
 def _fs(spark: SparkSession, path: str):
@@ -271,17 +271,16 @@ def by_url(buckets: int = 64) -> Column:
     return F.pmod(F.xxhash64("stock_id", "url"), F.lit(buckets)).cast("int")
 
 
-def append_news(spark: SparkSession, path: str, incoming: DataFrame, order_col: str | Column) -> None:
+def append_news(spark: SparkSession, path: str, incoming: DataFrame, order_col: str | Column) -> list[int]:
     """Append items whose url is new for their security, of several the first by ``order_col``.
 
-    Only the key columns of the partitions that the items fall into are read.
+    A filter of stored keys beside the table tells which folders may hold a repeated one; only their key columns are
+    read. Returns the folders that were.
     """
+    from equilens.sinks.keyfilter import append_once
+
     order = F.col(order_col) if isinstance(order_col, str) else order_col
-    once = keep_first(incoming, ("stock_id", "url"), order)
-    if exists(spark, path):
-        stored = touched_parts(spark.read.parquet(path), incoming, by_url()).select("stock_id", "url")
-        once = once.join(stored, ["stock_id", "url"], "left_anti").select(*incoming.columns)
-    write_fact(once, path, by_url(), ("stock_id", "url"), mode="append")
+    return append_once(spark, path, incoming, ("stock_id", "url"), by_url(), order)
 
 
 def dry_run_profile(df: DataFrame) -> DataFrame:
