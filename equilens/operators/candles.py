@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -165,8 +167,7 @@ def catalog(spark) -> DataFrame:
 def signed_candles(flags: DataFrame) -> DataFrame:
     """Five candle flags as +100 / -100 / 0, from the pattern columns.
 
-    The thresholds are this module's; a charting library with adaptive ones
-    will disagree on borderline bars.
+    The thresholds are this module's and the same for all bars; ``adaptive_candles`` takes each security's recent bars.
     """
 
     def mark(up: str | None, down: str | None) -> Column:
@@ -183,3 +184,78 @@ def signed_candles(flags: DataFrame) -> DataFrame:
         mark(None, "shooting_star").alias("cdl_shooting"),
         mark(None, "evening_star").alias("cdl_evening"),
     )
+
+
+@dataclass(frozen=True)
+class Yardstick:
+    """``factor`` times the mean of a bar's ``measure`` (body or range) over the ``bars`` before it; over no bars, times
+    the bar's own."""
+
+    measure: str
+    bars: int
+    factor: float
+
+
+@dataclass(frozen=True)
+class CandleSettings:
+    """What counts as a long or short body, a long or very short shadow, and near; ``penetration`` is the part of the
+    first body that the third bar of a star must take back."""
+
+    # The customary defaults of charting libraries.
+    body_long: Yardstick = Yardstick("body", 10, 1.0)
+    body_short: Yardstick = Yardstick("body", 10, 1.0)
+    shadow_long: Yardstick = Yardstick("body", 0, 1.0)
+    shadow_very_short: Yardstick = Yardstick("range", 10, 0.1)
+    near: Yardstick = Yardstick("range", 5, 0.2)
+    penetration: float = 0.3
+
+
+def adaptive_candles(bars: DataFrame, settings: CandleSettings = CandleSettings()) -> DataFrame:
+    """Five candle flags as +100 / -100 / 0 beside the columns of ``bars``, held against each security's own recent bars.
+
+    ``adaptive_hammer``, ``adaptive_engulf``, ``adaptive_morning``, ``adaptive_shooting`` and ``adaptive_evening``. A flag
+    stays 0 until every yardstick that it needs has all its bars. One window per security serves all of them.
+    """
+    w = series()
+    o, h, l, c = (F.col(x) for x in ("open", "high", "low", "close"))
+    top, bottom = F.greatest(o, c), F.least(o, c)
+    values = {"body": F.abs(c - o), "range": h - l, "top": top, "bottom": bottom, "upper": h - top, "lower": bottom - l,
+              "sign": F.when(c >= o, 1).otherwise(-1), "close": c, "open": o, "low": l}
+
+    def at(name: str, back: int = 0) -> Column:
+        return F.lag(values[name], back).over(w) if back else values[name]
+
+    def than(y: Yardstick, back: int = 0) -> Column:
+        if not y.bars:
+            return at(y.measure, back) * y.factor
+        return F.avg(values[y.measure]).over(w.rowsBetween(-y.bars - back, -1 - back)) * y.factor
+
+    s = settings
+
+    def ready(back: int, *yards: Yardstick) -> Column:
+        return F.row_number().over(w) > max([y.bars for y in yards], default=0) + back
+
+    short, tiny = at("body") < than(s.body_short), s.shadow_very_short
+    single = ready(1, s.body_short, s.shadow_long, s.shadow_very_short)
+    hammer = (single & ready(1, s.near) & short & (at("lower") > than(s.shadow_long)) & (at("upper") < than(tiny))
+              & (at("bottom") <= at("low", 1) + than(s.near, 1)))
+    shooting = single & short & (at("upper") > than(s.shadow_long)) & (at("lower") < than(tiny)) & (at("bottom") > at("top", 1))
+
+    def engulfs(sign: int) -> Column:
+        end, start = ("close", "open") if sign > 0 else ("open", "close")
+        above, below = at(end) - at("open" if sign > 0 else "close", 1), at("close" if sign > 0 else "open", 1) - at(start)
+        return (ready(2) & (at("sign") == sign) & (at("sign", 1) == -sign)
+                & (((above >= 0) & (below > 0)) | ((above > 0) & (below >= 0))))
+
+    def star(sign: int) -> Column:
+        """Turning up (1) or down (-1): a long bar, a short one beyond a gap, and one that takes part of the first back."""
+        gap = at("top", 1) < at("bottom", 2) if sign > 0 else at("bottom", 1) > at("top", 2)
+        taken = (at("close") - at("close", 2)) * sign > at("body", 2) * s.penetration
+        return (ready(2, s.body_long, s.body_short) & (at("body", 2) > than(s.body_long, 2)) & (at("sign", 2) == -sign)
+                & (at("body", 1) <= than(s.body_short, 1)) & gap & (at("body") > than(s.body_short)) & (at("sign") == sign) & taken)
+
+    flag = lambda cond, value: F.when(cond, value).otherwise(0)
+    return bars.select(
+        "*", flag(hammer, 100).alias("adaptive_hammer"),
+        F.when(engulfs(1), 100).when(engulfs(-1), -100).otherwise(0).alias("adaptive_engulf"), flag(star(1), 100).alias("adaptive_morning"),
+        flag(shooting, -100).alias("adaptive_shooting"), flag(star(-1), -100).alias("adaptive_evening"))
