@@ -51,13 +51,10 @@ def latest_row(df: DataFrame, columns: Sequence[str], key: str = KEY, time_col:
 def overlay(old: DataFrame, new: DataFrame, pk: Sequence[str], order_col: str | None = None) -> DataFrame:
     """Union by key where ``new`` wins; within ``new`` the greatest ``order_col`` wins."""
     rank = F.col(order_col) if order_col else F.lit(0)
-    tagged_new = new.select(*old.columns, F.lit(1).alias("_batch"), rank.cast("string").alias("_s"), rank.alias("_o"))
+    tagged_new = new.select(*old.columns, F.lit(1).alias("_batch"), rank.alias("_o"))
     tagged_old = old.select(
-        *old.columns, F.lit(0).alias("_batch"), F.lit(None).cast("string").alias("_s"),
-        F.lit(None).cast(tagged_new.schema["_o"].dataType).alias("_o"),
-    )
-    both = tagged_old.unionByName(tagged_new).drop("_s")
-    return keep_last(both, pk, "_batch", "_o").drop("_batch", "_o")
+        *old.columns, F.lit(0).alias("_batch"), F.lit(None).cast(tagged_new.schema["_o"].dataType).alias("_o"))
+    return keep_last(tagged_old.unionByName(tagged_new), pk, "_batch", "_o").drop("_batch", "_o")
 
 
 def union_all(*frames: DataFrame) -> DataFrame:
