@@ -23,7 +23,8 @@ from equilens.streaming import jobs, landing, lots
 
 # -- day files: one per day and kind, a folder per day -----------------------------------------
 
-CODE = F.substring("stock_id", -6, 6)
+def _code() -> Column:
+    return F.substring("stock_id", -6, 6)
 
 
 def _cells(size: int, at: dict[int, Column]) -> Column:
@@ -71,26 +72,26 @@ def _valuations() -> Column:
 
 def _valuation_rows(v: Views) -> DataFrame:
     return v.valuation.select(
-        F.col("trade_date").alias("day"), CODE.alias("code"), _price("per").alias("per"), _price("pbr").alias("pbr"), _price("dividend_yield").alias("yield"))
+        F.col("trade_date").alias("day"), _code().alias("code"), _price("per").alias("per"), _price("pbr").alias("pbr"), _price("dividend_yield").alias("yield"))
 
 
 LAND = {
     "daily_listed": lambda v, path: _csv_files(_rows(v.bars, 11, {
-        0: CODE, 1: F.lit("名稱"), 2: _whole("volume"), 3: _whole("trades"), 4: _whole("amount"), 5: _price("open"), 6: _price("high"),
+        0: _code(), 1: F.lit("名稱"), 2: _whole("volume"), 3: _whole("trades"), 4: _whole("amount"), 5: _price("open"), 6: _price("high"),
         7: _price("low"), 8: _price("close"), 9: F.lit("+"), 10: F.lit("1.00")}), path, mf.DAILY_SECTION),
     "daily_otc": lambda v, path: _json_files(_rows(v.bars, 10, {
-        0: CODE, 2: _price("close"), 3: F.lit("+1"), 4: _price("open"), 5: _price("high"), 6: _price("low"), 7: _whole("volume"),
+        0: _code(), 2: _price("close"), 3: F.lit("+1"), 4: _price("open"), 5: _price("high"), 6: _price("low"), 7: _whole("volume"),
         8: _whole("amount"), 9: _whole("trades")}), path),
-    "inst_listed": lambda v, path: _csv_files(_rows(v.inst, 19, {0: CODE, 4: _whole("foreign_net"), 10: _whole("trust_net"), 14: _whole("dealer_self_net")}), path),
-    "inst_otc": lambda v, path: _json_files(_rows(v.inst, 20, {0: CODE, 4: _whole("foreign_net"), 13: _whole("trust_net"), 16: _whole("dealer_self_net")}), path),
-    "margin_listed": lambda v, path: _csv_files(_rows(v.margin, 13, {0: CODE, 6: _whole("margin_balance"), 12: _whole("short_balance")}), path, mf.MARGIN_SECTION),
-    "margin_otc": lambda v, path: _json_files(_rows(v.margin, 15, {0: CODE, 6: _whole("margin_balance"), 14: _whole("short_balance")}), path),
+    "inst_listed": lambda v, path: _csv_files(_rows(v.inst, 19, {0: _code(), 4: _whole("foreign_net"), 10: _whole("trust_net"), 14: _whole("dealer_self_net")}), path),
+    "inst_otc": lambda v, path: _json_files(_rows(v.inst, 20, {0: _code(), 4: _whole("foreign_net"), 13: _whole("trust_net"), 16: _whole("dealer_self_net")}), path),
+    "margin_listed": lambda v, path: _csv_files(_rows(v.margin, 13, {0: _code(), 6: _whole("margin_balance"), 12: _whole("short_balance")}), path, mf.MARGIN_SECTION),
+    "margin_otc": lambda v, path: _json_files(_rows(v.margin, 15, {0: _code(), 6: _whole("margin_balance"), 14: _whole("short_balance")}), path),
     "foreign_listed": lambda v, path: _csv_files(_rows(v.shareholding, 8, {
-        0: CODE, 3: _whole("shares_issued"), 5: _whole("foreign_shares"), 7: _price("foreign_ratio")}), path),
+        0: _code(), 3: _whole("shares_issued"), 5: _whole("foreign_shares"), 7: _price("foreign_ratio")}), path),
     "foreign_otc": lambda v, path: _json_files(_rows(v.shareholding, 8, {
-        1: CODE, 3: _whole("shares_issued"), 5: _whole("foreign_shares"), 7: F.concat(_price("foreign_ratio"), F.lit("%"))}), path),
+        1: _code(), 3: _whole("shares_issued"), 5: _whole("foreign_shares"), 7: F.concat(_price("foreign_ratio"), F.lit("%"))}), path),
     "valuation_listed": lambda v, path: _csv_files(_rows(v.valuation, 7, {
-        0: CODE, 5: _price("per"), 6: _price("pbr"), 3: _price("dividend_yield")}), path),
+        0: _code(), 5: _price("per"), 6: _price("pbr"), 3: _price("dividend_yield")}), path),
     "valuation_otc": lambda v, path: _json_files(_valuation_rows(v), path, _valuations()),
 }
 _BARS = "SELECT right(stock_id, 6) AS stock_id, trade_date, open, high, low, close, volume, amount, trades::INT AS trades FROM fx_bars"

@@ -117,3 +117,12 @@ def test_recent_days_open_recent_years_only(spark, tmp_path):
     for view in (lambda b: price_features(b, 400), lambda b: latest_bars(b, 200)):
         assert sorted(map(str, view(whole).collect())) == sorted(map(str, view(part).select(*view(whole).columns).collect()))
         assert years(view(part)) and max(years(view(part))) <= 2 and max(years(view(whole))) == 11
+
+
+def test_the_entry_imports_without_a_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert len(q) >= 250 and set(o) <= set(q)"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).resolve().parents[1], timeout=120)
