@@ -112,7 +112,7 @@ class Languages:
             alphabets.append(sorted(sorted(seen, key=lambda c: (-seen[c], c))[: fit.letters]))
         # A character has one code in all, and by that one code in each language; 0 is a character that it has not seen.
         every = sorted(set().union(*alphabets))
-        self.codes = np.zeros(0x110000, np.int32)
+        self.codes = np.zeros(0x110000, np.uint16 if len(every) < 1 << 16 else np.int32)
         self.codes[[ord(c) for c in every]] = np.arange(1, len(every) + 1)
         self.local = np.zeros((len(self.names), len(every) + 1), np.int64)
         tables, bits = [], []
@@ -159,8 +159,9 @@ class Languages:
         return out / size[:, None]
 
 
-def by_size(batch: pa.RecordBatch, chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch of about ``chars`` bytes of text, so that many texts are parsed side by side, but not too many."""
+def by_size(batch: pa.RecordBatch, chars: int = 32_000_000) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of about ``chars`` bytes of text. A part takes as many steps as its longest text has letters, so
+    it should be large against that."""
     sizes = np.nan_to_num(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(float)).cumsum()
     low = 0
     while low < len(batch):
