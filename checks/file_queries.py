@@ -46,7 +46,7 @@ def _csv_files(rows: DataFrame, path: str, head: str | None = None) -> str:
         first = rows.select("day").distinct()
         lines = lines.unionByName(first.select("day", F.lit(-1).alias("at"), F.lit("標題").alias("value"))).unionByName(
             first.select("day", F.lit(0).alias("at"), F.lit(f'"{head}","名稱"').alias("value")))
-    lines = lines.repartition(8, "day").sortWithinPartitions("day", "at").select("value", "day")
+    lines = lines.repartition("day").sortWithinPartitions("day", "at").select("value", "day")
     # The text writer knows UTF-8 only; as CSV of one column that is not quoted, a line stays as it is.
     lines.write.partitionBy("day").options(encoding="Big5", sep="\u0001", quote="", escapeQuotes="false").csv(path)
     return path
@@ -56,7 +56,7 @@ def _json_files(rows: DataFrame, path: str, payload: Column | None = None) -> st
     """One payload per day: the tables of the OTC board unless another is given (an aggregate over the day)."""
     table = F.struct(F.array(F.struct(F.collect_list("cells").alias("data"))).alias("tables"))
     day = rows.groupBy("day").agg(F.to_json(table if payload is None else payload).alias("value"))
-    day.repartition(8, "day").select("value", "day").write.partitionBy("day").text(path)
+    day.repartition("day").select("value", "day").write.partitionBy("day").text(path)
     return path
 
 

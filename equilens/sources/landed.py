@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from equilens.functions.calendar import MARKET_LISTED, MARKET_OTC
-from equilens.functions.parse import clean_code, csv_cells, payload_rows
+from equilens.functions.parse import TABLE_PAYLOAD, clean_code, csv_cells, first_csv_cell, table_rows
 
 UTF8_BOM = "EFBBBF"
 
@@ -56,19 +56,21 @@ def csv_rows(source: DataFrame, text: Column, after: str | None = None) -> DataF
     lines = F.split(text, r"\r?\n")
     whole = source.withColumn("_lines", lines).drop("content")
     if after is not None:
-        heads = F.transform(F.col("_lines"), lambda x: clean_code(F.get(csv_cells(x), F.lit(0))))
+        heads = F.transform(F.col("_lines"), lambda x: clean_code(first_csv_cell(x)))
         whole = whole.withColumn("_at", F.array_position(heads, after).cast("int")).filter(F.col("_at") > 0)
         whole = whole.withColumn("_lines", F.slice("_lines", F.col("_at") + 1, F.size("_lines"))).drop("_at")
     kept = [c for c in whole.columns if c != "_lines"]
-    exploded = whole.select(*kept, F.posexplode("_lines").alias("line_no", "_line"))
-    return exploded.filter(F.trim("_line") != "").select(*kept, "line_no", csv_cells(F.col("_line")).alias("cells"))
+    exploded = whole.select(*kept, F.posexplode("_lines").alias("line_no", "_line")).filter(F.trim("_line") != "")
+    # A line is taken apart by a generator, through which filters on the cells are not pushed: each would parse it anew.
+    return exploded.select(*kept, "line_no", F.explode(F.array(csv_cells(F.col("_line")))).alias("cells"))
 
 
 def json_rows(source: DataFrame) -> DataFrame:
     """One row per array of a table payload, as ``cells``."""
-    text = F.decode("content", "UTF-8")
     kept = [c for c in source.columns if c != "content"]
-    return source.select(*kept, F.posexplode(payload_rows(text)).alias("line_no", "cells"))
+    # A column of its own, since the payload is looked at several times and parsed once.
+    parsed = source.select(*kept, F.from_json(F.decode("content", "UTF-8"), TABLE_PAYLOAD).alias("_payload"))
+    return parsed.select(*kept, F.posexplode(table_rows(F.col("_payload"))).alias("line_no", "cells"))
 
 
 def cell(i: int) -> Column:

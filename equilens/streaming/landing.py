@@ -66,7 +66,8 @@ def load_files(batch: DataFrame, tables: str, routes: dict[str, Route] = ROUTES)
     by_table: dict[str, list[DataFrame]] = {}
     for kind in kinds:
         rows = routes[kind].rows(found.where((F.col("kind") == kind) & F.col(TIME).isNotNull()).select("path", "content", TIME))
-        rows = rows.join(arrived, "path").persist()
+        # One row per file of the micro-batch: the parsed rows need not move to meet them.
+        rows = rows.join(F.broadcast(arrived), "path").persist()
         good.append(rows)
         by_table.setdefault(routes[kind].table, []).append(rows.drop("path"))
     try:

@@ -4,6 +4,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from equilens.functions import parse
 from equilens.sources import feeds, landed
 from equilens.sources import market_files as mf
 from equilens.sources import tables as tb
@@ -239,3 +240,23 @@ def test_fund_names_with_brackets_and_nested_values(spark, tmp_path):
     put(tmp_path / "n.json", '{"x": {"msgArray": [{"a": "1", "b": "Fund [TW] {x} \\"q\\"", "c": "10", "e": "2", "f": "1", "i": "20260709"},'
         ' {"a": "2", "n": [1, 2], "o": {"p": 1}, "c": "5", "e": "3", "i": "20260709"}]}, "y": {"z": {"a": "3", "c": "1", "f": "4", "i": "20260709"}}}')
     assert sorted(r.stock_id for r in mf.read_etf_nav(spark, str(tmp_path)).collect()) == ["1", "2", "3"]
+
+
+def test_a_line_is_taken_apart_once(spark, tmp_path):
+    """Filters on cells must not parse the line anew, nor the search for the header whole lines."""
+    found = spark.createDataFrame([("daily/2026-01-05/a", b"x", None)], "path string, content binary, trade_date date")
+    for parser in (mf.daily_listed_rows, mf.margin_listed_rows, mf.inst_listed_rows):
+        assert parser(found)._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == 1
+    plan = mf.daily_otc_rows(found)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1
+
+
+def test_first_cell_and_numbers_as_before(spark):
+    lines = ['"a""b",c', ' "x" ,y', "", '"', '""', "a,b", '"1,2"', 'a"b', '="0050",x']
+    got = spark.createDataFrame([(x,) for x in lines], "x string").select(
+        parse.csv_cells(F.col("x"))[0], parse.first_csv_cell(F.col("x"))).collect()
+    assert [r[0] for r in got] == [r[1] for r in got] == ['a"b', "x", "", '"', "", "a", "1,2", 'a"b', '="0050"']
+    texts = ["1,234.5", "-0.5", "1e999", "-1e999", "nan", "--", "X", "", None, " 7 ", '"8"', "1e3", "0"]
+    nums = spark.createDataFrame([(x,) for x in texts], "x string").select(parse.parse_num(F.col("x")), parse.to_num(F.col("x"))).collect()
+    assert [r[0] for r in nums] == [1234.5, -0.5, None, None, None, None, None, None, None, 7.0, None, 1000.0, 0.0]
+    assert [r[1] for r in nums] == [1234.5, -0.5, None, None, None, None, None, None, None, 7.0, 8.0, 1000.0, 0.0]
