@@ -24,7 +24,13 @@ OUT = (
     f" sell_date date, sell_price double, b_q {SHARES}, b_cost double, s_q {SHARES}, s_cost double,"
     " id long, action string, trade_date date, price double, fee double, tax double"
 )
-EMPTY = dict.fromkeys(part.split()[0] for part in OUT.split(", "))
+FIELDS = [part.split()[0] for part in OUT.split(", ")]
+OUT_ROW = Row(*FIELDS)
+
+
+def row(**values) -> Row:
+    """A row of the output; what is not given is null."""
+    return OUT_ROW(*map(values.get, FIELDS))
 
 
 class OpenLots(StatefulProcessor):
@@ -32,6 +38,9 @@ class OpenLots(StatefulProcessor):
 
     The order is that of the batch form: day, buys before sells, id. A trade that arrives twice is late the second
     time. Shares sold with nothing held are dropped.
+
+    Every state call is a round trip to the store, so lots bought in a micro-batch stay in the task until it ends, a
+    stored lot is read when a sell first reaches it, and only lots that are still open are written.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -41,30 +50,40 @@ class OpenLots(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
         ends = self.ends.get() if self.ends.exists() else None
         oldest, upcoming, done = (ends[0], ends[1], (ends[2], ends[3], ends[4])) if ends else (0, 0, None)
+        first, stored = oldest, upcoming  # lots from ``first`` up to ``stored`` are in the store
+        bought: dict[int, tuple] = {}
+        head, left_of_head = None, None  # the oldest lot, once a sell has reached it, and what is open of it
         place = lambda t: (t.trade_date, 0 if t.action == "buy" else 1, t.id)
         for t in sorted(rows, key=place):
             if done is not None and place(t) <= done:
-                yield Row(**{**EMPTY, "kind": "late", "stock_id": t.stock_id, "id": t.id, "action": t.action, "trade_date": t.trade_date,
-                             "qty": t.q, "price": t.price, "fee": t.fee, "tax": t.tax})
+                yield row(kind="late", stock_id=t.stock_id, id=t.id, action=t.action, trade_date=t.trade_date, qty=t.q, price=t.price,
+                          fee=t.fee, tax=t.tax)
                 continue
             done = place(t)
             if t.action == "buy":
-                self.lots.updateValue((upcoming,), (t.id, t.trade_date, t.price, t.fee, t.q, t.q))
+                bought[upcoming] = (t.id, t.trade_date, t.price, t.fee, t.q, t.q)
                 upcoming += 1
                 continue
             left: Decimal = t.q
             while left > 0 and oldest < upcoming:
-                i, day, price, fee, q, lot = self.lots.getValue((oldest,))
-                used = min(left, lot)
-                yield Row(**{**EMPTY, "kind": "match", "stock_id": t.stock_id, "buy_id": i, "sell_id": t.id, "qty": used,
-                             "buy_date": day, "buy_price": price, "sell_date": t.trade_date, "sell_price": t.price,
-                             "b_q": q, "b_cost": fee, "s_q": t.q, "s_cost": t.fee + t.tax})
+                if head is None:
+                    head = self.lots.getValue((oldest,)) if oldest < stored else bought.pop(oldest)
+                    left_of_head = head[5]
+                i, day, price, fee, q, _ = head
+                used = min(left, left_of_head)
+                yield row(kind="match", stock_id=t.stock_id, buy_id=i, sell_id=t.id, qty=used, buy_date=day, buy_price=price,
+                          sell_date=t.trade_date, sell_price=t.price, b_q=q, b_cost=fee, s_q=t.q, s_cost=t.fee + t.tax)
                 left -= used
-                if used == lot:
-                    self.lots.removeKey((oldest,))
+                left_of_head -= used
+                if not left_of_head:
+                    head = None
                     oldest += 1
-                else:
-                    self.lots.updateValue((oldest,), (i, day, price, fee, q, lot - used))
+        for at in range(first, min(oldest, stored)):
+            self.lots.removeKey((at,))
+        if head is not None:
+            self.lots.updateValue((oldest,), (*head[:5], left_of_head))
+        for at, lot in bought.items():
+            self.lots.updateValue((at,), lot)
         if done is not None:
             self.ends.update((oldest, upcoming, *done))
 

@@ -62,3 +62,47 @@ def test_late_and_repeated_trades_go_aside(spark, tmp_path, rows):
     run(spark, tmp_path, second, "ck")
     assert rows(lots.read_late(spark, str(tmp_path / "out")).select("id", "shares")) == [(0, 9.0), (2, 2.0)]
     assert rows(lots.read_matches(spark, str(tmp_path / "out")).select("buy_id", "sell_id", "shares", "pnl")) == [(1, 2, 2.0, 3), (1, 3, 3.0, 6)]
+
+
+def test_lots_that_are_sold_in_their_batch_never_reach_the_store():
+    from decimal import Decimal
+
+    from pyspark.sql import Row
+
+    class Value:
+        def __init__(self):
+            self.held = None
+
+        def exists(self):
+            return self.held is not None
+
+        def get(self):
+            return self.held
+
+        def update(self, value):
+            self.held = value
+
+    class Map(dict):
+        calls = 0
+
+        def getValue(self, at):  # noqa: N802
+            Map.calls += 1
+            return self[at]
+
+        def updateValue(self, at, value):  # noqa: N802
+            Map.calls += 1
+            self[at] = value
+
+        def removeKey(self, at):  # noqa: N802
+            Map.calls += 1
+            del self[at]
+
+    lot = lots.OpenLots()
+    lot.ends, lot.lots = Value(), Map()
+    trade = lambda i, action, q: Row(stock_id="A", id=i, action=action, trade_date=DAY0 + dt.timedelta(i), q=Decimal(q), price=1.0, fee=0.0, tax=0.0)
+    batch = [t for i in range(0, 200, 2) for t in (trade(i, "buy", 2), trade(i + 1, "sell", 2))]
+    assert len(list(lot.handleInputRows(("A",), iter([*batch, trade(200, "buy", 5)]), None))) == 100
+    assert Map.calls == 1 and [v[5] for v in lot.lots.values()] == [5]
+    list(lot.handleInputRows(("A",), iter([trade(201, "sell", 1), trade(202, "sell", 1)]), None))
+    assert Map.calls == 3 and [v[5] for v in lot.lots.values()] == [3]
+    assert [r.qty for r in lot.handleInputRows(("A",), iter([trade(203, "sell", 9)]), None)] == [3] and not lot.lots
