@@ -1,4 +1,4 @@
-"""Shared helpers: words, folds, cut lineage, bounded label samples, connected components."""
+"""Shared helpers: words, folds, cut lineage, labelled rows, exact sums, connected components."""
 
 from __future__ import annotations
 
@@ -6,8 +6,10 @@ import gc
 import math
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,9 +57,7 @@ def label_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int,
     has at most twice that many rows. Of repeated rows of an id one is fitted on, that of the smallest text; rows
     without text are not. Of a text above ``max_chars`` characters the fit sees the first ones; scores see all.
     """
-    known = (
-        labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (fold(F.col("doc_id"), 5) != 0))
-        .groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.col(label).cast("int")).alias("y")))
+    known = known_labels(labels, label)
     share = known.agg(F.avg(F.col("y").cast("double"))).first()[0]
     order = [F.xxhash64(F.lit(label), "_id"), F.col("_id")]
     ids = known.where("y = 0").orderBy(*order).limit(max_rows).union(known.where("y = 1").orderBy(*order).limit(max_rows))
@@ -66,6 +66,75 @@ def label_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int,
     return rows.select("doc_id", "text", "y"), 0.5 if share is None else share
 
 
+def known_labels(labels: DataFrame, label: str) -> DataFrame:
+    """(_id, y) of all usable labels: those of the held-out fold, null ids and null labels take no part; of several
+    labels of one id the largest counts."""
+    usable = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (fold(F.col("doc_id"), 5) != 0))
+    return usable.groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.col(label).cast("int")).alias("y"))
+
+
+def labelled_share(labels: DataFrame, label: str) -> float:
+    """Share of label 1 among all usable labels; a half without any."""
+    share = known_labels(labels, label).agg(F.avg(F.col("y").cast("double"))).first()[0]
+    return 0.5 if share is None else share
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
+    """Every row with text and a usable label as (doc_id, text, y): all that a fit may learn from, nothing left out.
+    Repeated rows of an id all count."""
+    rows = docs.select("doc_id", "text").where("text is not null")
+    known = known_labels(labels, label).where("y in (0, 1)")
+    return rows.join(known, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "y")
+
+
+EXACT = 1 << 30
+
+
+def exact_sums(rows: DataFrame, terms: Callable[[pa.RecordBatch], np.ndarray], size: int) -> np.ndarray:
+    """Sums of the ``size`` columns that ``terms`` gives for the rows of a batch, taken in tasks.
+
+    Terms are rounded to multiples of 2^-30 and added as whole numbers, so the sums do not depend on how rows are
+    dealt. One row per task comes back.
+    """
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = [0] * size
+        for batch in batches:
+            if batch.num_rows:
+                units = np.rint(terms(batch) * EXACT)
+                if np.abs(units).max() < 2**62 / batch.num_rows:
+                    units = units.astype(np.int64).sum(0).tolist()
+                else:
+                    units = [sum(map(int, column)) for column in units.T]
+                total = [a + b for a, b in zip(total, units, strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array([[str(t) for t in total]], pa.list_(pa.string()))], ["sums"])
+
+    parts = [r[0] for r in rows.mapInArrow(add, "sums array<string>").collect()]
+    return np.array([sum(int(p[i]) for p in parts) / EXACT for i in range(size)])
+
+
+def logistic_over(rows: DataFrame, features: Callable[[pa.RecordBatch], np.ndarray], y: int, size: int, ridge: float = 0.1,
+                  rounds: int = 50) -> np.ndarray:
+    """``logistic`` over a table: each Newton step is one pass; column ``y`` of a batch is the label."""
+    b = np.zeros(size)
+    for _ in range(rounds):
+        at = b.copy()
+
+        def terms(batch: pa.RecordBatch, at: np.ndarray = at) -> np.ndarray:
+            x = features(batch)
+            q = 1 / (1 + np.exp(-np.clip((x * at).sum(1), -500, 500)))
+            error = np.asarray(batch.column(y), float) - q
+            second = (x[:, :, None] * x[:, None, :]).reshape(len(x), -1) * (q * (1 - q))[:, None]
+            return np.c_[x * error[:, None], second]
+
+        sums = exact_sums(rows, terms, size + size * size)
+        step = np.linalg.solve(sums[size:].reshape(size, size) + ridge * np.eye(size), sums[:size] - ridge * b)
+        b = b + step
+        if np.abs(step).max() < 1e-9:
+            break
+    return b
+
+
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 50) -> np.ndarray:
     """Coefficients of a ridge logistic regression by Newton steps; the first column of ``x`` is the constant."""
     b = np.zeros(x.shape[1])

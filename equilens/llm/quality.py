@@ -11,19 +11,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from equilens.llm.common import fold, label_sample, logistic, odds, small_batches
+from equilens.llm.common import cut, exact_sums, fold, labelled, labelled_share, logistic, logistic_over, odds, small_batches
 
 KINDS = ("upper", "lower", "digit", "plain", "symbol", "space", "newline", "other")
 
 
 @dataclass(frozen=True)
 class Fit:
-    """At most ``max_rows`` labelled rows per class, of ``max_chars`` characters at most, are fitted on. A class
-    covariance is drawn by ``pooled`` towards the common one and by ``round`` towards a multiple of the identity. A
+    """All labelled rows are fitted on, whole. A class covariance is drawn by ``pooled`` towards the common one and by ``round`` towards a multiple of the identity. A
     text of ``few`` words is taken half-way to the mean document, a longer one less."""
 
-    max_rows: int = 4000
-    max_chars: int = 50_000
     pooled: float = 0.05
     round: float = 0.02
     few: float = 8.0
@@ -62,7 +59,7 @@ N_STATISTICS = 15
 
 
 class Discriminant:
-    """Means and Cholesky factors of both classes; the factors are computed once, when the model is fitted."""
+    """Means and inverse Cholesky factors of both classes, computed once, when the model is fitted."""
 
     def __init__(self, x: np.ndarray, words: np.ndarray, y: np.ndarray, share: float, fit: Fit):
         self.few = fit.few
@@ -74,15 +71,20 @@ class Discriminant:
         z = self.standard(x, words)
         p = z.shape[1]
         own = [np.cov(z[y == k].T) if (y == k).sum() > 1 else np.zeros((p, p)) for k in (0, 1)]
-        common = sum(c * (y == k).mean() for k, c in enumerate(own))
+        self.shape([z[y == k].mean(0) for k in (0, 1)], own, [float((y == k).mean()) for k in (0, 1)], fit)
+        d = self.difference(z)
+        self.line = logistic(np.c_[np.ones(len(d)), d], y, ridge=0.01)
+        self.line[0] += odds(share) - odds(float(y.mean()))
+
+    def shape(self, means: list[np.ndarray], own: list[np.ndarray], weights: list[float], fit: Fit) -> None:
+        """Classes from their means, covariances and shares."""
+        p = len(means[0])
+        common = sum(c * w for c, w in zip(own, weights, strict=True))
         for k in (0, 1):
             cov = (1 - fit.pooled) * own[k] + fit.pooled * common
             cov = (1 - fit.round) * cov + fit.round * max(np.trace(cov) / p, 1e-6) * np.eye(p)
             factor = np.linalg.cholesky(cov)
-            self.classes.append((z[y == k].mean(0), factor, float(np.log(np.diag(factor)).sum())))
-        d = self.difference(z)
-        self.line = logistic(np.c_[np.ones(len(d)), d], y, ridge=0.01)
-        self.line[0] += odds(share) - odds(float(y.mean()))
+            self.classes.append((means[k], np.linalg.inv(factor), float(np.log(np.diag(factor)).sum())))
 
     def standard(self, x: np.ndarray, words: np.ndarray) -> np.ndarray:
         return (x - self.mean) / self.scale * (words / (words + self.few))[:, None]
@@ -90,9 +92,9 @@ class Discriminant:
     def difference(self, z: np.ndarray) -> np.ndarray:
         """Log density of class 1 less that of class 0, held within bounds, in tens."""
         logs = []
-        for mean, factor, half_log_det in self.classes:
-            u = np.linalg.solve(factor, (z - mean).T)
-            logs.append(-0.5 * (u * u).sum(0) - half_log_det)
+        for mean, inverse, half_log_det in self.classes:
+            u = ((z - mean)[:, None, :] * inverse).sum(2)  # row by row, so that a score does not depend on its batch
+            logs.append(-0.5 * (u * u).sum(1) - half_log_det)
         return np.clip(logs[1] - logs[0], -30, 30) / 10
 
     def scores(self, x: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -107,20 +109,57 @@ def matrix(texts: list, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def trained(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> Discriminant:
-    """The discriminant from a bounded sample; its statistics are computed in tasks. Without labels of both classes,
-    every score is the share of label 1."""
-    sample, share = label_sample(docs, labels, "quality", fit.max_rows, fit.max_chars)
-    table = kinds()
+    """The discriminant of all labelled rows. Their statistics are measured in tasks and written once; means,
+    covariances and the calibration are sums over them. Without labels of both classes, every score is the share of
+    label 1."""
+    table, p = kinds(), N_STATISTICS
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, words = matrix(batch.column(1).to_pylist(), table)
+            x, words = matrix(batch.column(0).to_pylist(), table)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(list(x), pa.list_(pa.float64())), pa.array(words), batch.column(2)], ["doc_id", "x", "words", "y"])
-
-    rows = sample.select(F.col("doc_id").cast("long"), "text", "y").mapInArrow(measure, "doc_id long, x array<double>, words double, y int")
-    got = rows.orderBy("doc_id", "words", "x").toArrow().to_pydict()
-    return Discriminant(np.array(got["x"], float).reshape(-1, N_STATISTICS), np.array(got["words"]), np.array(got["y"], float), share, fit)
+                [pa.array(list(x), pa.list_(pa.float64())), pa.array(words), batch.column(1)], ["x", "words", "y"])
+
+    rows = cut(labelled(docs, labels, "quality").select("text", "y").mapInArrow(measure, "x array<double>, words double, y int"))
+    values = lambda batch: np.asarray(batch.column(0).flatten(), float).reshape(-1, p)
+
+    def first(batch: pa.RecordBatch) -> np.ndarray:
+        x = values(batch)
+        return np.c_[np.ones(len(x)), np.asarray(batch.column(2), float), x, x * x]
+
+    sums = exact_sums(rows, first, 2 + 2 * p)
+    n, ones = sums[0], sums[1]
+    model = Discriminant(np.zeros((0, p)), np.zeros(0), np.zeros(0), labelled_share(labels, "quality"), fit)
+    if not 0 < ones < n:
+        return model
+    model.mean = sums[2:2 + p] / n
+    model.scale = np.sqrt(np.maximum(sums[2 + p:] / n - model.mean**2, 0)) + 1e-6
+    bare = lambda batch: model.standard(values(batch), np.asarray(batch.column(1), float))
+
+    def second(batch: pa.RecordBatch) -> np.ndarray:
+        z = bare(batch)
+        both = np.c_[z, (z[:, :, None] * z[:, None, :]).reshape(len(z), -1)]
+        one = np.asarray(batch.column(2), float)[:, None]
+        return np.c_[both * (1 - one), both * one]
+
+    size = p + p * p
+    sums = exact_sums(rows, second, 2 * size)
+    means, own = [], []
+    for k, count in enumerate((n - ones, ones)):
+        part = sums[k * size:(k + 1) * size]
+        means.append(part[:p] / count)
+        spread = part[p:].reshape(p, p) - count * np.outer(means[k], means[k])
+        own.append(spread / (count - 1) if count > 1 else np.zeros((p, p)))
+    model.shape(means, own, [1 - ones / n, ones / n], fit)
+
+    def compared(batch: pa.RecordBatch) -> np.ndarray:
+        d = model.difference(bare(batch))
+        return np.c_[np.ones(len(d)), d]
+
+    prior = model.line[0]
+    model.line = logistic_over(rows, compared, 2, 2, ridge=0.01)
+    model.line[0] += prior - odds(ones / n)
+    return model
 
 
 def scored(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> DataFrame:

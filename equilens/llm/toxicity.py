@@ -21,19 +21,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from equilens.llm.common import fold, label_sample, logistic, odds, small_batches
+from equilens.llm.common import cut, exact_sums, fold, labelled, labelled_share, logistic_over, odds, small_batches
 
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
 @dataclass(frozen=True)
 class Fit:
-    """At most ``max_rows`` labelled rows per class, of ``max_chars`` characters at most, are fitted on; ``order`` is
-    the length of the longest letter context plus one, orders up to ``shared`` are pooled, ``folds`` parts of the
-    sample are scored by models of the others to calibrate."""
+    """All labelled rows are fitted on, whole; ``order`` is the length of the longest letter context plus one, orders up
+    to ``shared`` are pooled, ``folds`` parts of the rows are scored by models of the others to calibrate."""
 
-    max_rows: int = 5000
-    max_chars: int = 20_000
     order: int = 5
     shared: int = 2
     discount: float = 0.75
@@ -44,19 +41,33 @@ def spelled(word: str, order: int) -> str:
     return "<" * (order - 1) + word + ">"
 
 
+def grams_of(words: Counter, order: int) -> Counter:
+    """N-grams of the letters of counted words."""
+    seen: Counter = Counter()
+    for word, times in words.items():
+        s = spelled(word, order)
+        for i in range(len(s) - order + 1):
+            seen[s[i:i + order]] += times
+    return seen
+
+
 class Models:
     """Both class models as tables over letter n-grams: probabilities of n-grams that either class has seen, and
     back-off weights of contexts."""
 
     def __init__(self, words: tuple[Counter, Counter], fit: Fit):
+        self.count((grams_of(words[0], fit.order), grams_of(words[1], fit.order)), fit)
+
+    @classmethod
+    def counted(cls, grams: tuple[Counter, Counter], fit: Fit) -> Models:
+        """Models of n-grams of the highest order that have been counted already."""
+        models = cls.__new__(cls)
+        models.count(grams, fit)
+        return models
+
+    def count(self, grams: tuple[Counter, Counter], fit: Fit) -> None:
         n = fit.order
-        counts = [Counter(), Counter()]
-        for side, seen in zip(counts, words, strict=True):
-            for word, times in seen.items():
-                s = spelled(word, n)
-                for i in range(len(s) - n + 1):
-                    side[s[i:i + n]] += times
-        by_order = {n: counts}
+        by_order = {n: list(grams)}
         for o in range(n - 1, 0, -1):
             lower = [Counter(), Counter()]
             for side, above in zip(lower, by_order[o + 1], strict=True):
@@ -142,47 +153,83 @@ class Scorer:
         return (1.0, total / n, total / math.sqrt(n)) if n else (1.0, 0.0, 0.0)
 
 
-def word_counts(texts) -> Counter:
-    seen: Counter = Counter()
-    for text in texts:
-        seen.update(LETTERS.findall(text.lower()))
-    return seen
+def gram_counts(rows: DataFrame, fit: Fit) -> DataFrame:
+    """(gram, y, part, times) over all rows (part, text, y): each task counts its words, then Spark adds the n-grams up."""
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: dict[tuple[int, int], Counter] = {}
 
+        def out() -> pa.RecordBatch:
+            found = [(g, y, part, n) for (y, part), seen in words.items() for g, n in grams_of(seen, fit.order).items()]
+            words.clear()
+            columns = list(zip(*found, strict=True)) if found else [(), (), (), ()]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int32(), pa.int64()), strict=True)],
+                ["gram", "y", "part", "times"])
+
+        for batch in batches:
+            for part, text, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words.setdefault((y, part), Counter()).update(LETTERS.findall(text.lower()))
+            if sum(map(len, words.values())) > 200_000:
+                yield out()
+        yield out()
 
-def fitted(text: list[str], y: np.ndarray, share: float, fit: Fit) -> tuple[Models, np.ndarray]:
-    """Models and calibration; scores are calibrated to the shares of the sample, so a rare class is not passed over.
-    Without labels of both classes, every score is the share of label 1."""
-    parts = [[word_counts(t for t, k, i in zip(text, y, range(len(y)), strict=True) if k == side and i % fit.folds == f)
-              for side in (0, 1)] for f in range(fit.folds)]
-    whole = [sum((p[side] for p in parts), Counter()) for side in (0, 1)]
-    models = Models((whole[0], whole[1]), fit)
-    if not len(y) or y.min() == y.max():
-        return models, np.array([odds(share), 0.0, 0.0])
-    x = np.zeros((len(y), 3))
-    for f in range(fit.folds):
-        scorer = Scorer(Models((whole[0] - parts[f][0], whole[1] - parts[f][1]), fit))
-        for i in range(f, len(y), fit.folds):
-            x[i] = scorer.features(text[i])
-    scale = np.array([1.0, *(x[:, 1:].std(0) + 1e-9)])
-    return models, logistic(x / scale, y) / scale
+    counted = rows.mapInArrow(grams, "gram string, y int, part int, times long")
+    return counted.groupBy("gram", "y", "part").agg(F.sum("times").alias("times"))
 
 
 def trained(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> bytes:
-    """The models of a bounded sample, packed. They are fitted in one task, which holds the sample and nothing else."""
-    sample, share = label_sample(docs, labels, "toxic", fit.max_rows, fit.max_chars)
+    """Models and calibration of all labelled rows, packed.
+
+    N-grams are counted and out-of-fold features measured in tasks; one task holds the table of distinct n-grams, which
+    is the model. Scores are calibrated to the shares of the labelled rows, so a rare class is not passed over. Without
+    labels of both classes, every score is the share of label 1.
+    """
+    spark = docs.sparkSession
+    part = F.pmod(F.xxhash64(F.lit("toxic"), "doc_id"), F.lit(fit.folds)).cast("int")
+    rows = labelled(docs, labels, "toxic").select(part.alias("part"), "text", "y")
 
     def learn(table: pa.Table) -> pa.Table:
-        order = np.argsort(table.column("at").to_numpy(), kind="stable")
-        rows = table.take(pa.array(order)).to_pydict()
-        models, b = fitted(rows["text"], np.array(rows["y"], float), share, fit)
-        return pa.table({"model": pa.array([pickle.dumps((models.state(), b.tolist()))], pa.binary())})
-
-    rows = sample.select(F.xxhash64("doc_id", "text").alias("at"), "text", "y")
-    got = rows.groupBy().applyInArrow(learn, "model binary").collect()
-    if got:
-        return bytes(got[0][0])
-    models, b = fitted([], np.zeros(0), share, fit)
-    return pickle.dumps((models.state(), b.tolist()))
+        got = table.to_pydict()
+        parts = [(Counter(), Counter()) for _ in range(fit.folds)]
+        for gram, y, at, times in zip(got["gram"], got["y"], got["part"], got["times"], strict=True):
+            parts[at][y][gram] += times
+        whole = tuple(sum((p[side] for p in parts), Counter()) for side in (0, 1))
+        models = [Models.counted((whole[0] - p[0], whole[1] - p[1]), fit) for p in parts]
+        packed = [pickle.dumps(m.state()) for m in (*models, Models.counted(whole, fit))]
+        return pa.table({"at": pa.array(range(len(packed)), pa.int32()), "model": pa.array(packed, pa.binary())})
+
+    got = {r[0]: bytes(r[1]) for r in gram_counts(rows, fit).groupBy().applyInArrow(learn, "at int, model binary").collect()}
+    states = spark.sparkContext.broadcast([got.get(i) for i in range(fit.folds)])
+    kept: dict[int, Scorer] = {}
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = []
+            for at, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if at not in kept:
+                    kept[at] = Scorer(Models.of(pickle.loads(states.value[at])))
+                x.append(kept[at].features(text)[1:])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(2)], ["x", "y"])
+
+    whole = got.get(fit.folds) or pickle.dumps(Models((Counter(), Counter()), fit).state())
+    if not got:
+        share = labelled_share(labels, "toxic")
+        return pickle.dumps((pickle.loads(whole), [odds(share), 0.0, 0.0]))
+    measured = cut(rows.mapInArrow(measure, "x array<double>, y int"))
+    values = lambda batch: np.asarray(batch.column(0).flatten(), float).reshape(-1, 2)
+
+    def first(batch: pa.RecordBatch) -> np.ndarray:
+        x = values(batch)
+        return np.c_[np.ones(len(x)), np.asarray(batch.column(1), float), x, x * x]
+
+    sums = exact_sums(measured, first, 6)
+    n, ones = sums[0], sums[1]
+    if not 0 < ones < n:
+        return pickle.dumps((pickle.loads(whole), [odds(labelled_share(labels, "toxic")), 0.0, 0.0]))
+    scale = np.array([1.0, *(np.sqrt(np.maximum(sums[4:] / n - (sums[2:4] / n) ** 2, 0)) + 1e-9)])
+    b = logistic_over(measured, lambda batch: np.c_[np.ones(batch.num_rows), values(batch)] / scale, 1, 3) / scale
+    return pickle.dumps((pickle.loads(whole), b.tolist()))
 
 
 def scored(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> DataFrame:

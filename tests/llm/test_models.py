@@ -192,3 +192,28 @@ def test_components_on_paths_stars_and_loops(spark):
 def test_fold(spark):
     got = spark.createDataFrame([(0,), (123,), (None,)], "i long").select(fold(F.col("i"), 5)).collect()
     assert [r[0] for r in got] == [zlib.crc32(b"0") % 5, zlib.crc32(b"123") % 5, 0]
+
+
+@pytest.mark.parametrize("op", [toxicity.toxicity, quality.quality])
+def test_every_labelled_row_and_the_end_of_its_text_is_learnt_from(spark, op, monkeypatch):
+    """What only the end of long texts tells the classes apart by must count, and no row may be left out."""
+    import equilens.llm.common as common
+
+    monkeypatch.setattr(common, "label_sample", None)
+    assert not {"max_rows", "max_chars"} & set((toxicity.Fit() if op is toxicity.toxicity else quality.Fit()).__dict__)
+    same, docs, labels = "stone water light " * 4000, [], []
+    for i in range(40):
+        docs.append((i, same + ("vilest WRETCHQ scumbag $$$ ### " * 300 if i % 2 else "river house meadow " * 300), "en"))
+        labels.append((i, i % 2, i % 2))
+    got = op(*frames(spark, docs, labels)).collect()
+    one, zero = ([r.score for r in got if r.doc_id % 2 == k] for k in (1, 0))
+    assert min(one) > max(zero)
+
+
+def test_sums_do_not_depend_on_how_rows_are_dealt(spark):
+    from equilens.llm.common import exact_sums
+
+    rng = random.Random(7)
+    df = spark.createDataFrame([(rng.uniform(-1, 1) * 10 ** rng.randint(0, 6),) for _ in range(500)], "v double")
+    sums = [exact_sums(df.repartition(n), lambda b: np.asarray(b.column(0), float)[:, None], 1)[0] for n in (1, 3, 8)]
+    assert sums[0] == sums[1] == sums[2] == pytest.approx(sum(r.v for r in df.collect()), abs=1e-4)
