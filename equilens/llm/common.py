@@ -79,11 +79,12 @@ def labelled_share(labels: DataFrame, label: str) -> float:
     return 0.5 if share is None else share
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
+def labelled(docs: DataFrame, known: DataFrame) -> DataFrame:
     """Every row with text and a usable label as (doc_id, text, y): all that a fit may learn from, nothing left out.
-    Repeated rows of an id all count."""
+    Repeated rows of an id all count. ``known`` is a written table (``Loop.keep``), so that Spark knows its size before
+    it would move texts to it."""
     rows = docs.select("doc_id", "text").where("text is not null")
-    known = known_labels(labels, label).where("y in (0, 1)")
+    known = known.where("y in (0, 1)")
     return rows.join(known, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "y")
 
 

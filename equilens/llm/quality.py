@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from equilens.llm.common import cut, exact_sums, fold, labelled, labelled_share, logistic, logistic_over, odds, small_batches
+from equilens.llm.common import Loop, cut, exact_sums, fold, known_labels, labelled, labelled_share, logistic, logistic_over, odds, small_batches
 
 KINDS = ("upper", "lower", "digit", "plain", "symbol", "space", "newline", "other")
 
@@ -120,7 +120,10 @@ def trained(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> Discriminan
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(x), pa.list_(pa.float64())), pa.array(words), batch.column(1)], ["x", "words", "y"])
 
-    rows = cut(labelled(docs, labels, "quality").select("text", "y").mapInArrow(measure, "x array<double>, words double, y int"))
+    loop = Loop(docs.sparkSession)
+    rows = labelled(docs, loop.keep(known_labels(labels, "quality"))).select("text", "y")
+    rows = cut(rows.mapInArrow(measure, "x array<double>, words double, y int"))
+    loop.end()
     values = lambda batch: np.asarray(batch.column(0).flatten(), float).reshape(-1, p)
 
     def first(batch: pa.RecordBatch) -> np.ndarray:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from equilens.llm.common import cut, exact_sums, fold, labelled, labelled_share, logistic_over, odds, small_batches
+from equilens.llm.common import Loop, cut, exact_sums, fold, known_labels, labelled, labelled_share, logistic_over, odds, small_batches
 
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -187,7 +187,8 @@ def trained(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> bytes:
     """
     spark = docs.sparkSession
     part = F.pmod(F.xxhash64(F.lit("toxic"), "doc_id"), F.lit(fit.folds)).cast("int")
-    rows = labelled(docs, labels, "toxic").select(part.alias("part"), "text", "y")
+    loop = Loop(spark)
+    rows = labelled(docs, loop.keep(known_labels(labels, "toxic"))).select(part.alias("part"), "text", "y")
 
     def learn(table: pa.Table) -> pa.Table:
         got = table.to_pydict()
@@ -214,9 +215,11 @@ def trained(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> bytes:
 
     whole = got.get(fit.folds) or pickle.dumps(Models((Counter(), Counter()), fit).state())
     if not got:
+        loop.end()
         share = labelled_share(labels, "toxic")
         return pickle.dumps((pickle.loads(whole), [odds(share), 0.0, 0.0]))
     measured = cut(rows.mapInArrow(measure, "x array<double>, y int"))
+    loop.end()
     values = lambda batch: np.asarray(batch.column(0).flatten(), float).reshape(-1, 2)
 
     def first(batch: pa.RecordBatch) -> np.ndarray:
