@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from equilens.llm.common import Loop, cut, exact_sums, fold, known_labels, labelled, labelled_share, logistic_over, odds, small_batches
+from equilens.llm.common import Loop, cut, exact_sums, fold, known_labels, labelled, labelled_share, logistic_over, odds, released, small_batches
 
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -201,6 +201,7 @@ def trained(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> bytes:
         return pa.table({"at": pa.array(range(len(packed)), pa.int32()), "model": pa.array(packed, pa.binary())})
 
     got = {r[0]: bytes(r[1]) for r in gram_counts(rows, fit).groupBy().applyInArrow(learn, "at int, model binary").collect()}
+    rows = released(rows)  # the texts that were dealt out for counting are let go before they are again for measuring
     states = spark.sparkContext.broadcast([got.get(i) for i in range(fit.folds)])
     kept: dict[int, Scorer] = {}
 
