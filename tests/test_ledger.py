@@ -141,3 +141,36 @@ def test_small_fractions_and_large_sums_are_kept(spark):
     assert [(r.buy_id, r.sell_id) for r in lg.matches(df).orderBy("buy_id").collect()] == [(1, 4), (2, 4), (3, 4)]
     big = spark.createDataFrame([(i, "A", "buy", DAY0, 9e15, 1.0, None, None) for i in range(1000)], SCHEMA)
     assert lg.positions(big).first().buy_shares == 9e18
+
+
+def test_securities_of_few_trades_take_one_exchange(spark):
+    """What is not crowded is shuffled once by its security; sums and pairs are told in that order."""
+    df = spark.createDataFrame(hot_log(400), SCHEMA)
+    for frame in (lg.matches(df, 64), lg.positions(df, 64)):
+        assert len(frame.collect()) > 0
+        plan = frame._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert plan.count("ShuffleQueryStage") <= 2  # the count per security and the trades
+
+
+def test_crowded_and_other_securities_meet(spark, monkeypatch):
+    """One security goes through blocks and bins, the others in order."""
+    monkeypatch.setattr(lg, "ROWS_PER_BIN", 16)
+    monkeypatch.setattr(lg, "ROWS_IN_ORDER", 100)
+    check(spark, hot_log(1500), id_block=64)
+    df = spark.createDataFrame(hot_log(300), SCHEMA)
+    monkeypatch.setattr(lg, "ROWS_IN_ORDER", 1)
+    blocks = {tuple(r) for frame in (lg.matches(df, 64), lg.cumulative(df, 64), lg.positions(df, 64)) for r in frame.collect()}
+    monkeypatch.setattr(lg, "ROWS_IN_ORDER", 1 << 16)
+    whole = {tuple(r) for frame in (lg.matches(df, 64), lg.cumulative(df, 64), lg.positions(df, 64)) for r in frame.collect()}
+    assert blocks == whole
+
+
+def test_a_trade_without_id_or_date_counts_but_is_not_matched(spark, monkeypatch):
+    trades = [(1, "A", "buy", DAY0, 10.0, 10.0, None, None), (None, "A", "buy", DAY0, 5.0, 9.0, None, None), (3, "A", "buy", None, 2.0, 9.0, None, None),
+              (4, "A", "sell", DAY0 + dt.timedelta(1), 12.0, 12.0, 1.0, 2.0), (5, None, "buy", DAY0, 1.0, 1.0, None, None), (6, "A", "sell", DAY0, 4.0, 12.0, None, None)]
+    df = spark.createDataFrame(trades, SCHEMA)
+    seen = []
+    for rows in (1, 1 << 16):
+        monkeypatch.setattr(lg, "ROWS_IN_ORDER", rows)
+        seen.append([sorted(map(str, f(df, 2).collect())) for f in (lg.matches, lg.positions, lg.cumulative)])
+    assert seen[0] == seen[1]
