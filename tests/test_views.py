@@ -1,0 +1,37 @@
+"""Views read from one weekly and one monthly sum are those read from the ticks."""
+
+import datetime as dt
+
+import pytest
+
+from checks.views import Loaded, Views
+
+VIEWS = ("bars", "inst", "margin", "revenue_raw", "statement_wide", "valuation", "quarterly")
+
+
+@pytest.fixture
+def folder(spark, tmp_path):
+    """Ticks with equal days, a missing date and security, and every mark."""
+    rows = []
+    for i in range(400):
+        day = None if i % 97 == 5 else dt.datetime(1994, 1, 3) + dt.timedelta(days=(i * 11) % 300)
+        rows.append((i // 3, i % 4 + 1, i % 7, None if i % 89 == 7 else i % 5, float(1 + i % 50), 100.25 + i * 13.37, (i % 11) / 100, "RAN"[i % 3], day))
+    spark.createDataFrame(
+        rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, "
+        "l_discount double, l_returnflag string, l_shipdate timestamp_ntz").write.parquet(f"{tmp_path}/lineitem.parquet")
+    return str(tmp_path)
+
+
+def test_loaded_views_equal_those_of_the_ticks(spark, folder):
+    plain, loaded = Views(spark, folder), Loaded(spark, folder)
+    for name in VIEWS:
+        a, b = getattr(plain, name), getattr(loaded, name)
+        assert a.schema.simpleString() == b.schema.simpleString(), name
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.collect())), name
+
+
+def test_loaded_views_do_not_read_the_ticks_again(spark, folder):
+    loaded = Loaded(spark, folder)
+    for name in VIEWS:
+        assert "FileScan" not in getattr(loaded, name)._jdf.queryExecution().executedPlan().toString(), name
+    assert "FileScan" in Views(spark, folder).bars._jdf.queryExecution().executedPlan().toString()
