@@ -82,12 +82,40 @@ def labelled_share(labels: DataFrame, label: str) -> float:
 def labelled(docs: DataFrame, known: DataFrame) -> DataFrame:
     """Every row with text and a usable label as (doc_id, text, y): all that a fit may learn from, nothing left out.
     Repeated rows of an id all count. ``known`` is a written table (``Loop.keep``), so that Spark knows its size before
-    it would move texts to it."""
-    rows = docs.select("doc_id", "text").where("text is not null")
+    it would move texts to it; where it does, only texts that are ``likely`` to have a label are moved."""
     known = known.where("y in (0, 1)")
+    rows = likely(docs.select("doc_id", "text").where("text is not null"), known)
     return rows.join(known, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "y")
 
 
+def labelled_measures(docs: DataFrame, known: DataFrame, measure: Callable, schema: str, *more: Column) -> DataFrame:
+    """What ``measure`` gives for the rows of ``labelled``, and their ``y``: texts are measured where they are read, and
+    only the measures, ``schema``, meet the labels. ``measure`` takes batches of (doc_id, text, *more) and keeps ``doc_id``."""
+    known = known.where("y in (0, 1)")
+    rows = likely(docs.select("doc_id", "text").where("text is not null"), known)
+    measured = rows.select("*", *more).mapInArrow(measure, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {schema}")
+    return measured.join(known, F.col("doc_id") == F.col("_id")).drop("doc_id", "_id")
+
+
+BLOCK = 1 << 15  # bits of one bitmap of Spark's bitmap functions
+
+
+def likely(docs: DataFrame, known: DataFrame, bits: int = 16, most_blocks: int = 1 << 12) -> DataFrame:
+    """The rows of ``docs`` whose id may be in ``known``: all that are, and few others, none of them moved.
+
+    Ids set bits of bitmaps, ``bits`` for each id, in ``most_blocks`` bitmaps of 4 KB at most, which are broadcast. More
+    ids than that let more other rows through, which the join with ``known`` that has to follow drops.
+    """
+    blocks = min(most_blocks, max(1, -(-known.count() * bits // BLOCK)))
+    at = lambda doc_id: F.pmod(F.xxhash64(F.col(doc_id).cast("string")), F.lit(blocks * BLOCK))
+    block, cell = lambda a: F.floor(a / BLOCK), lambda a: F.pmod(a, F.lit(BLOCK))
+    maps = known.groupBy(block(at("_id")).alias("_block")).agg(F.bitmap_construct_agg(cell(at("_id"))).alias("_bits"))
+    mine = cell(at("doc_id"))
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(mine / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    met = docs.join(F.broadcast(maps), block(at("doc_id")) == F.col("_block"))
+    return met.where(F.getbit(byte, F.pmod(mine, F.lit(8)).cast("int")) == 1).select(*docs.columns)
+
+
 EXACT = 1 << 30
 
 

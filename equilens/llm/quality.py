@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from equilens.llm.common import Loop, cut, exact_sums, fold, known_labels, labelled, labelled_share, logistic, logistic_over, odds, small_batches
+from equilens.llm.common import Loop, cut, exact_sums, fold, known_labels, labelled_measures, labelled_share, logistic, logistic_over, odds, small_batches
 
 KINDS = ("upper", "lower", "digit", "plain", "symbol", "space", "newline", "other")
 
@@ -109,20 +109,19 @@ def matrix(texts: list, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def trained(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> Discriminant:
-    """The discriminant of all labelled rows. Their statistics are measured in tasks and written once; means,
+    """The discriminant of all labelled rows. Their statistics are measured where texts are read and written once; means,
     covariances and the calibration are sums over them. Without labels of both classes, every score is the share of
     label 1."""
     table, p = kinds(), N_STATISTICS
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, words = matrix(batch.column(0).to_pylist(), table)
+            x, words = matrix(batch.column(1).to_pylist(), table)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(x), pa.list_(pa.float64())), pa.array(words), batch.column(1)], ["x", "words", "y"])
+                [batch.column(0), pa.array(list(x), pa.list_(pa.float64())), pa.array(words)], ["doc_id", "x", "words"])
 
     loop = Loop(docs.sparkSession)
-    rows = labelled(docs, loop.keep(known_labels(labels, "quality"))).select("text", "y")
-    rows = cut(rows.mapInArrow(measure, "x array<double>, words double, y int"))
+    rows = cut(labelled_measures(docs, loop.keep(known_labels(labels, "quality")), measure, "x array<double>, words double"))
     loop.end()
     values = lambda batch: np.asarray(batch.column(0).flatten(), float).reshape(-1, p)
 

@@ -217,3 +217,32 @@ def test_sums_do_not_depend_on_how_rows_are_dealt(spark):
     df = spark.createDataFrame([(rng.uniform(-1, 1) * 10 ** rng.randint(0, 6),) for _ in range(500)], "v double")
     sums = [exact_sums(df.repartition(n), lambda b: np.asarray(b.column(0), float)[:, None], 1)[0] for n in (1, 3, 8)]
     assert sums[0] == sums[1] == sums[2] == pytest.approx(sum(r.v for r in df.collect()), abs=1e-4)
+
+
+@pytest.mark.parametrize("module", [quality])
+def test_texts_are_measured_before_they_meet_labels(spark, module, monkeypatch):
+    """Measures travel to the labels, not texts, when the table of labels is too large to be broadcast."""
+    plans, cut = [], module.cut
+    monkeypatch.setattr(module, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        module.trained(*frames(spark, *corpus(n=60)))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(plans) == 1 and 0 < plans[0].index("SortMergeJoin") < plans[0].index("MapInArrow")
+
+
+def test_rows_that_are_likely_labelled_are_all_that_are_and_few_others(spark):
+    from equilens.llm.common import likely
+
+    rng = random.Random(3)
+    ids = rng.sample(range(-10**12, 10**12), 20_000)
+    docs = spark.createDataFrame([(i, "t") for i in [*ids, *ids[:50], None]], "doc_id long, text string")
+    known = spark.createDataFrame([(i, 1) for i in ids[:5_000]], "_id long, y int")
+    for blocks, most in ((1 << 12, 0.1), (1, 0.2)):
+        got = [r.doc_id for r in likely(docs, known, most_blocks=blocks).collect()]
+        assert set(ids[:5_000]) <= set(got) and len(got) - 5_050 <= most * 15_000 and got.count(ids[0]) == 2
+    assert likely(docs, known.limit(0)).count() == 0
+    as_text = docs.withColumn("doc_id", F.col("doc_id").cast("string"))
+    assert set(map(str, ids[:5_000])) <= {r.doc_id for r in likely(as_text, known).collect()}
