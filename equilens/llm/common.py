@@ -79,13 +79,28 @@ def labelled_share(labels: DataFrame, label: str) -> float:
     return 0.5 if share is None else share
 
 
-def labelled(docs: DataFrame, known: DataFrame) -> DataFrame:
+def labelled(docs: DataFrame, known: DataFrame, bits: int = 16, most_blocks: int = 1 << 12) -> DataFrame:
     """Every row with text and a usable label as (doc_id, text, y): all that a fit may learn from, nothing left out.
-    Repeated rows of an id all count. ``known`` is a written table (``Loop.keep``), so that Spark knows its size before
-    it would move texts to it; where it does, only texts that are ``likely`` to have a label are moved."""
+    Repeated rows of an id all count. ``known`` is a written table (``Loop.keep``).
+
+    Few texts are moved: the ids meet their labels first and set bits of three bitmaps, of the labels 0 and 1 and of
+    none, ``bits`` for each row, in ``most_blocks`` triples of 12 KB at most, which are broadcast. Where all ids of a
+    cell agree, that is the label of each. Texts of the other cells are joined with ``known``; with more rows than the
+    bitmaps have room for, these are more.
+    """
     known = known.where("y in (0, 1)")
-    rows = likely(docs.select("doc_id", "text").where("text is not null"), known)
-    return rows.join(known, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "y")
+    ids = docs.select("doc_id").where("doc_id is not null")
+    blocks = min(most_blocks, max(1, -(-ids.count() * bits // BLOCK)))
+    block, cell = places("doc_id", blocks)
+    found = ids.join(known, F.col("doc_id") == F.col("_id"), "left")
+    cells = found.select(block.alias("_block"), cell.alias("cell"), "y").repartition("_block")
+    of = {"_zero": F.col("y") == 0, "_one": F.col("y") == 1, "_none": F.col("y").isNull()}
+    maps = cut(cells.groupBy("_block").agg(*(F.bitmap_construct_agg(F.when(which, F.col("cell"))).alias(name) for name, which in of.items())))
+    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(maps), block == F.col("_block"))
+    zero, one, none = (is_set(name, cell) for name in of)
+    sure = rows.where((zero != one) & ~none).select("doc_id", "text", one.cast("int").alias("y"))
+    doubtful = rows.where((zero & one) | ((zero | one) & none)).select("doc_id", "text")
+    return sure.unionByName(doubtful.join(known, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "y"))
 
 
 def labelled_measures(docs: DataFrame, known: DataFrame, measure: Callable, schema: str, *more: Column) -> DataFrame:
@@ -100,6 +115,18 @@ def labelled_measures(docs: DataFrame, known: DataFrame, measure: Callable, sche
 BLOCK = 1 << 15  # bits of one bitmap of Spark's bitmap functions
 
 
+def places(doc_id: str, blocks: int) -> tuple[Column, Column]:
+    """Bitmap and cell in it of an id; a null id has none."""
+    at = F.pmod(F.xxhash64(F.col(doc_id).cast("string")), F.lit(blocks * BLOCK))
+    at = F.when(F.col(doc_id).isNotNull(), at)
+    return F.floor(at / BLOCK), F.pmod(at, F.lit(BLOCK))
+
+
+def is_set(bits: str, cell: Column) -> Column:
+    byte = F.conv(F.hex(F.substring(bits, F.floor(cell / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.getbit(byte, F.pmod(cell, F.lit(8)).cast("int")) == 1
+
+
 def likely(docs: DataFrame, known: DataFrame, bits: int = 16, most_blocks: int = 1 << 12) -> DataFrame:
     """The rows of ``docs`` whose id may be in ``known``: all that are, and few others, none of them moved.
 
@@ -107,13 +134,11 @@ def likely(docs: DataFrame, known: DataFrame, bits: int = 16, most_blocks: int =
     ids than that let more other rows through, which the join with ``known`` that has to follow drops.
     """
     blocks = min(most_blocks, max(1, -(-known.count() * bits // BLOCK)))
-    at = lambda doc_id: F.pmod(F.xxhash64(F.col(doc_id).cast("string")), F.lit(blocks * BLOCK))
-    block, cell = lambda a: F.floor(a / BLOCK), lambda a: F.pmod(a, F.lit(BLOCK))
-    maps = known.groupBy(block(at("_id")).alias("_block")).agg(F.bitmap_construct_agg(cell(at("_id"))).alias("_bits"))
-    mine = cell(at("doc_id"))
-    byte = F.conv(F.hex(F.substring("_bits", F.floor(mine / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    met = docs.join(F.broadcast(maps), block(at("doc_id")) == F.col("_block"))
-    return met.where(F.getbit(byte, F.pmod(mine, F.lit(8)).cast("int")) == 1).select(*docs.columns)
+    block, cell = places("_id", blocks)
+    maps = known.groupBy(block.alias("_block")).agg(F.bitmap_construct_agg(cell).alias("_bits"))
+    block, cell = places("doc_id", blocks)
+    met = docs.join(F.broadcast(maps), block == F.col("_block"))
+    return met.where(is_set("_bits", cell)).select(*docs.columns)
 
 
 EXACT = 1 << 30

@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 import pickle
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from equilens.llm.common import Loop, cut, exact_sums, fold, known_labels, labelled, labelled_share, logistic_over, odds, released, small_batches
+from equilens.llm.common import Loop, cut, exact_sums, fold, known_labels, labelled, labelled_measures, labelled_share, logistic_over, odds, released, small_batches
 
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -178,17 +179,27 @@ def gram_counts(rows: DataFrame, fit: Fit) -> DataFrame:
     return counted.groupBy("gram", "y", "part").agg(F.sum("times").alias("times"))
 
 
+def pack(models: Models) -> bytes:
+    return zlib.compress(pickle.dumps(models.state()), 1)
+
+
+def unpacked(packed: bytes) -> Models:
+    return Models.of(pickle.loads(zlib.decompress(packed)))
+
+
 def trained(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> bytes:
     """Models and calibration of all labelled rows, packed.
 
-    N-grams are counted and out-of-fold features measured in tasks; one task holds the table of distinct n-grams, which
-    is the model. Scores are calibrated to the shares of the labelled rows, so a rare class is not passed over. Without
-    labels of both classes, every score is the share of label 1.
+    N-grams are counted and out-of-fold features measured where texts are read, but for few texts. One
+    task holds the table of distinct n-grams, which is the model; the driver passes models on packed. Scores are
+    calibrated to the shares of the labelled rows, so a rare class is not passed over. Without labels of both classes,
+    every score is the share of label 1.
     """
     spark = docs.sparkSession
     part = F.pmod(F.xxhash64(F.lit("toxic"), "doc_id"), F.lit(fit.folds)).cast("int")
     loop = Loop(spark)
-    rows = labelled(docs, loop.keep(known_labels(labels, "toxic"))).select(part.alias("part"), "text", "y")
+    known = loop.keep(known_labels(labels, "toxic"))
+    rows = labelled(docs, known).select(part.alias("part"), "text", "y")
 
     def learn(table: pa.Table) -> pa.Table:
         got = table.to_pydict()
@@ -197,29 +208,29 @@ def trained(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> bytes:
             parts[at][y][gram] += times
         whole = tuple(sum((p[side] for p in parts), Counter()) for side in (0, 1))
         models = [Models.counted((whole[0] - p[0], whole[1] - p[1]), fit) for p in parts]
-        packed = [pickle.dumps(m.state()) for m in (*models, Models.counted(whole, fit))]
+        packed = [pack(m) for m in (*models, Models.counted(whole, fit))]
         return pa.table({"at": pa.array(range(len(packed)), pa.int32()), "model": pa.array(packed, pa.binary())})
 
     got = {r[0]: bytes(r[1]) for r in gram_counts(rows, fit).groupBy().applyInArrow(learn, "at int, model binary").collect()}
-    rows = released(rows)  # the texts that were dealt out for counting are let go before they are again for measuring
-    states = spark.sparkContext.broadcast([got.get(i) for i in range(fit.folds)])
+    whole = got.pop(fit.folds, None) or pack(Models((Counter(), Counter()), fit))
+    if not got:
+        loop.end()
+        return pickle.dumps((whole, [odds(labelled_share(labels, "toxic")), 0.0, 0.0]))
+    released(rows)  # the texts that were dealt out for counting
+    states = spark.sparkContext.broadcast([got.pop(i) for i in range(fit.folds)])
     kept: dict[int, Scorer] = {}
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = []
-            for at, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for at, text in zip(batch.column(2).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if at not in kept:
-                    kept[at] = Scorer(Models.of(pickle.loads(states.value[at])))
+                    kept[at] = Scorer(unpacked(states.value[at]))
                 x.append(kept[at].features(text)[1:])
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(2)], ["x", "y"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "x"])
 
-    whole = got.get(fit.folds) or pickle.dumps(Models((Counter(), Counter()), fit).state())
-    if not got:
-        loop.end()
-        share = labelled_share(labels, "toxic")
-        return pickle.dumps((pickle.loads(whole), [odds(share), 0.0, 0.0]))
-    measured = cut(rows.mapInArrow(measure, "x array<double>, y int"))
+    measured = cut(labelled_measures(docs, known, measure, "x array<double>", part.alias("part")))
+    states.destroy()
     loop.end()
     values = lambda batch: np.asarray(batch.column(0).flatten(), float).reshape(-1, 2)
 
@@ -230,10 +241,10 @@ def trained(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> bytes:
     sums = exact_sums(measured, first, 6)
     n, ones = sums[0], sums[1]
     if not 0 < ones < n:
-        return pickle.dumps((pickle.loads(whole), [odds(labelled_share(labels, "toxic")), 0.0, 0.0]))
+        return pickle.dumps((whole, [odds(labelled_share(labels, "toxic")), 0.0, 0.0]))
     scale = np.array([1.0, *(np.sqrt(np.maximum(sums[4:] / n - (sums[2:4] / n) ** 2, 0)) + 1e-9)])
     b = logistic_over(measured, lambda batch: np.c_[np.ones(batch.num_rows), values(batch)] / scale, 1, 3) / scale
-    return pickle.dumps((pickle.loads(whole), b.tolist()))
+    return pickle.dumps((whole, b.tolist()))
 
 
 def scored(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> DataFrame:
@@ -249,7 +260,7 @@ def scored(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state, b = kept["model"] if "model" in kept else kept.setdefault("model", pickle.loads(model.value))
-        scorer = kept.setdefault("scorer", Scorer(Models.of(state)))
+        scorer = kept["scorer"] if "scorer" in kept else kept.setdefault("scorer", Scorer(unpacked(state)))
         for batch in batches:
             x = np.array([scorer.features(t) for t in batch.column(1).to_pylist()]).reshape(-1, 3)
             s = 1 / (1 + np.exp(-np.clip(x @ np.array(b), -500, 500)))
