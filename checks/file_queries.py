@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from checks.registry import query
@@ -11,6 +11,7 @@ from checks.text_queries import _scratch
 from checks.views import Views
 from equilens.functions.parse import ROC_YEAR_OFFSET
 from equilens.operators.adjust import dividend_events, reduction_events
+from equilens.operators.fundamentals import best_dividends
 from equilens.operators.relational import latest_row, union_all
 from equilens.plans.readjust import read_adjusted, readjust
 from equilens.sinks import checked
@@ -208,16 +209,21 @@ query("s26_scan_trades", lambda v: tb.scan_trades(v.spark, _stored(v, v.trades,
 # -- tables ------------------------------------------------------------------------------------
 
 
+def _landed(v: Views, rows: DataFrame, path: str, *parts: str) -> DataFrame:
+    """Rows as a load finds them: stored, so that its steps read them again and don't build them again."""
+    rows.write.option("compression", "zstd").partitionBy(*parts).parquet(path)
+    return v.spark.read.schema(rows.schema).parquet(path)
+
+
 def _upserted(v: Views) -> DataFrame:
-    path = f"{_scratch(v)}/t"
+    base, key = _scratch(v), ("stock_id", "trade_date")
     seq = ("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
-    ticks = v.ticks.select("stock_id", F.col("d").alias("trade_date"), "price", F.struct(*seq).alias("seq"))
-    newest = ticks.groupBy("stock_id", "trade_date").agg(F.max("seq").alias("top"))
-    last = F.col("seq") == F.col("top")
-    marked = ticks.join(newest, ["stock_id", "trade_date"])
-    for rows in (marked.where(~last), marked.where(last)):  # a second load replaces and adds
-        sk.upsert(v.spark, path, rows.drop("top"), ("stock_id", "trade_date"), order_col="seq")
-    return sk.read_fact(v.spark, path)
+    ticks = v.ticks.select("stock_id", F.col("d").alias("trade_date"), "price", F.struct(*seq).alias("seq")).dropna(subset=key)
+    newest = F.max("seq").over(Window.partitionBy(*key))
+    landed = _landed(v, ticks.withColumn("last", (F.col("seq") == newest).cast("int")), f"{base}/landed", "last")
+    for last in (0, 1):  # a second load replaces and adds
+        sk.upsert(v.spark, f"{base}/t", landed.where(F.col("last") == last).drop("last"), key, order_col="seq")
+    return sk.read_fact(v.spark, f"{base}/t")
 
 
 query("k01_upsert_stored", _upserted, """SELECT stock_id, d AS trade_date, price FROM fx_ticks QUALIFY row_number() OVER (PARTITION BY stock_id, d ORDER BY
@@ -358,11 +364,16 @@ query("r04_lot_matches", _matched_stream,
 
 def _readjusted(v: Views) -> DataFrame:
     """Two loads: the bars and dividends up to a day, then all of them."""
-    path = f"{_scratch(v)}/adjusted"
-    known = v.dividend.where("announce_date < '1997-01-01'")
-    readjust(v.spark, path, v.bars.where("trade_date < '1997-01-01'"), dividend_events(known), reduction_events(v.reduction), buckets=4)
-    readjust(v.spark, path, v.bars, dividend_events(v.dividend), reduction_events(v.reduction), buckets=4)
-    return read_adjusted(v.spark, path)
+    base = _scratch(v)
+    bars = _landed(v, v.bars.select(*[c for c in v.bars.columns if not c.startswith("adj_")]), f"{base}/bars")
+    days = [c for c in v.dividend.columns if c not in ("year_label", "cash_pay_date")]
+    dividend = _landed(v, best_dividends(v.dividend_rows, "seq", days), f"{base}/dividend")
+    reductions = _landed(v, reduction_events(v.reduction), f"{base}/reductions")
+    known = _landed(v, dividend_events(dividend.where("announce_date < '1997-01-01'")), f"{base}/known")
+    events = _landed(v, dividend_events(dividend), f"{base}/events")
+    readjust(v.spark, f"{base}/adjusted", bars.where("trade_date < '1997-01-01'"), known, reductions, buckets=4)
+    readjust(v.spark, f"{base}/adjusted", bars, events, reductions, buckets=4)
+    return read_adjusted(v.spark, f"{base}/adjusted")
 
 
 query("d05_readjusted", _readjusted, _ADJUSTED, "fx_adjusted", **_ADJ_DIGITS)

@@ -114,7 +114,7 @@ def upsert(
     if set(columns) == set(pk):
         insert_only(spark, path, updates.select(*columns), pk, part=part)
         return
-    once = keep_last(updates, pk, order_col).select(*columns) if order_col else one_version(updates, pk)
+    once = keep_last(updates, pk, order_col, keep=columns) if order_col else one_version(updates, pk)
     if not exists(spark, path):
         write_fact(once, path, part, pk)
         return
