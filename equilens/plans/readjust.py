@@ -10,13 +10,14 @@ hold a changed security, and elsewhere the months of the new bars.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from equilens.functions.windows import KEY, PART, TIME, Part
 from equilens.operators.adjust import OHLC, adjust_prices
-from equilens.operators.relational import overlay
-from equilens.session import materialize
+from equilens.session import materialize, shared_folder
 from equilens.sinks.tables import ADJUSTED, exists, read_version, remove, write_version
 
 STATE = f"{KEY} string, last_date date, bars long, bars_print decimal(38,0), events long, events_print decimal(38,0)"
@@ -70,31 +71,34 @@ def readjust(
     marks = f"{path.rstrip('/')}_fingerprints"
     state = read_version(spark, marks)
     state = spark.createDataFrame([], STATE) if state is None else state
-    told = materialize(changes(bars, dividends, reductions, state))
+    # In a file of its own, whose size is known: joins with it need not move the bars where it is small.
+    aside = f"{shared_folder(spark).rstrip('/')}/changes-{uuid.uuid4().hex}"
+    changes(bars, dividends, reductions, state).write.parquet(aside)
+    told = spark.read.parquet(aside)
     dirty = told.where("dirty").select(KEY)
     bucket = F.pmod(F.xxhash64(KEY), F.lit(buckets)).cast("int")
     touched = [r[0] for r in dirty.select(bucket.alias("b")).distinct().collect()]  # numbers below ``buckets``
     inside = F.col("bucket").isin(touched) if touched else F.lit(False)
 
     some = lambda df: None if df is None else df.join(dirty, KEY, "left_semi")
-    anew = adjust_prices(some(bars), some(dividends), some(reductions)).select(*ADJUSTED)
+    # New bars of the others go with them: none of their events is landed again, so their factor is 1.
     fresh = bars.join(told.where("not dirty").select(KEY, "known"), KEY).where(F.col(TIME) > F.col("known"))
-    fresh = fresh.select(
-        *ADJUSTED[:8], *[F.round(F.col(c).cast("double"), 4).alias(f"adj_{c}") for c in OHLC], F.lit(1.0).alias("adj_factor"))
-    placed = lambda df: df.withColumns({"bucket": bucket, PART: part.value})
-    new = placed(anew.unionByName(fresh))
+    wanted = bars.join(told.select(KEY, "dirty", "known"), KEY).where(F.col("dirty") | (F.col(TIME) > F.col("known"))).select(*bars.columns)
+    placed = lambda df: df.select(*[c for c in ADJUSTED if not c.startswith("adj_")], "adj_factor", bucket.alias("bucket"), part.value.alias(PART))
+    new = placed(adjust_prices(wanted, some(dividends), some(reductions)))
     before: list[tuple[int, int]] = []
     if exists(spark, path):
         stored = spark.read.parquet(path)
         before = [tuple(r) for r in stored.where(inside).select("bucket", PART).distinct().collect()]
         months = [r[0] for r in fresh.select(part.value.alias(PART)).distinct().collect()]
-        beside = ~inside & (F.col(PART).isin(months) if months else F.lit(False))
-        kept = stored.where(inside).join(dirty, KEY, "left_anti").unionByName(stored.where(beside))
+        beside = F.col(PART).isin(months) if months else F.lit(False)
         # A load that died after its write left its new bars here: they are replaced, not repeated.
-        new = overlay(kept.select(*new.columns), new, (KEY, TIME))
-    else:
-        new = new.select(*ADJUSTED, "bucket", PART)
-    rows = new.hint("rebalance", "bucket", PART).sortWithinPartitions("bucket", PART, KEY, TIME)
+        kept = stored.where(inside | beside).join(told.where("not dirty").select(KEY, "known"), KEY)
+        new = new.unionByName(kept.where(~F.coalesce(F.col(TIME) > F.col("known"), F.lit(False))).select(*new.columns))
+    # Adjusted prices follow from the factor, so they are computed where the rows are written and not moved.
+    rows = new.hint("rebalance", "bucket", PART).withColumns(
+        {f"adj_{c}": F.round(F.col(c).cast("double") * F.col("adj_factor"), 4) for c in OHLC}).select(*ADJUSTED, "bucket", PART)
+    rows = rows.sortWithinPartitions("bucket", PART, KEY, TIME)
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", PART).parquet(path)
     if before:
         left = {tuple(r) for r in spark.read.parquet(path).where(inside).join(told.where("last_date is not null").select(KEY), KEY, "left_semi")
@@ -102,6 +106,8 @@ def readjust(
         for b, p in set(before) - left:
             remove(spark, f"{path}/bucket={b}/{PART}={p}")
     write_version(told.where("last_date is not null").select(*[c.split()[0] for c in STATE.split(", ")]), marks)
+    dirty = materialize(dirty)
+    remove(spark, aside)
     return dirty
 
 
