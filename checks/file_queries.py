@@ -369,10 +369,9 @@ def _readjusted(v: Views) -> DataFrame:
     days = [c for c in v.dividend.columns if c not in ("year_label", "cash_pay_date")]
     dividend = _landed(v, best_dividends(v.dividend_rows, "seq", days), f"{base}/dividend")
     reductions = _landed(v, reduction_events(v.reduction), f"{base}/reductions")
-    known = _landed(v, dividend_events(dividend.where("announce_date < '1997-01-01'")), f"{base}/known")
-    events = _landed(v, dividend_events(dividend), f"{base}/events")
-    readjust(v.spark, f"{base}/adjusted", bars.where("trade_date < '1997-01-01'"), known, reductions, buckets=4)
-    readjust(v.spark, f"{base}/adjusted", bars, events, reductions, buckets=4)
+    known = dividend.where("announce_date < '1997-01-01'")
+    readjust(v.spark, f"{base}/adjusted", bars.where("trade_date < '1997-01-01'"), dividend_events(known), reductions, buckets=4)
+    readjust(v.spark, f"{base}/adjusted", bars, dividend_events(dividend), reductions, buckets=4)
     return read_adjusted(v.spark, f"{base}/adjusted")
 
 
