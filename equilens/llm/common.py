@@ -206,7 +206,8 @@ def odds(p: float) -> float:
 def released(df: DataFrame) -> DataFrame:
     """``df``, a table that is cut off from its plan, after the shuffle files of finished steps have been let go.
 
-    Spark removes them when the driver collects its garbage, which may be much later than the next step.
+    Spark removes them when the driver collects its garbage, which may be much later than the next step. The driver's
+    heap gives back what plans and broadcasts of finished steps took, so that it does not grow with their number.
     """
     gc.collect()
     df.sparkSession._jvm.System.gc()
@@ -260,7 +261,7 @@ def components(edges: DataFrame) -> DataFrame:
                 break
         maps.append(hook)
         ends = edges.join(hook.withColumnRenamed("id", "a"), "a").select(F.col("to").alias("a"), "b")
-        edges = clean(ends.join(hook.withColumnRenamed("id", "b"), "b").select("a", F.col("to").alias("b")))
+        edges = released(clean(ends.join(hook.withColumnRenamed("id", "b"), "b").select("a", F.col("to").alias("b"))))
     if maps:
         top = maps[-1].select("id", F.col("to").alias("component"))
         for hook in reversed(maps[:-1]):
@@ -268,6 +269,6 @@ def components(edges: DataFrame) -> DataFrame:
             top = loop.keep(hook.join(root, "to", "left").select("id", F.coalesce("component", "to").alias("component")))
     else:
         top = edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
-    top = cut(top)
+    top = released(cut(top))
     loop.end()
     return top

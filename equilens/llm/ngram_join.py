@@ -411,7 +411,7 @@ def linked(docs: DataFrame, join: Join = Join()) -> DataFrame:
     small_batches(spark)
     docs = docs.select("doc_id", "text")
     common = spark.sparkContext.broadcast(common_shingles(docs, join))
-    known = cut(profiles(docs, join, common))
+    known = released(cut(profiles(docs, join, common)))
 
     by_size = Window.partitionBy("token").orderBy("size", "id")
     size = F.col("n_shingles").cast("int").alias("size")
@@ -425,24 +425,24 @@ def linked(docs: DataFrame, join: Join = Join()) -> DataFrame:
     mark = shared.groupBy("token").agg(
         F.count("*").alias("m"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("y"))
     chosen = mark.groupBy("m", "x", "y").agg(F.min("token").alias("token")).select("token")
-    lists = cut(shared.join(chosen, "token", "left_semi"))
+    lists = released(cut(shared.join(chosen, "token", "left_semi")))
 
     classes = known.where("key is not null and doc_id is not null").groupBy("key", "id").agg(
         F.min("doc_id").alias("first"), F.min("n_shingles").cast("int").alias("size"), F.min("sketch").alias("sketch"))
-    classes = cut(classes.drop("key"))
+    classes = released(cut(classes.drop("key")))
 
     token = Window.partitionBy("token")
     hub = lists.withColumn("hub", F.min("id").over(token)).where("id <> hub")
     hub = hub.groupBy("id", "hub").agg(F.count("*").alias("times"))
     best = hub.groupBy("id").agg(F.max_by("hub", F.struct("times", "hub")).alias("hub"))
-    pairs = cut(possible(best.select("hub", "id"), classes, join))
+    pairs = released(cut(possible(best.select("hub", "id"), classes, join)))
     links = verified(stars(pairs, join), docs, classes, join, common)
     part = components(links)
 
     # Most components are joined by their likeliest pair; only what stays apart after that is compared pair by pair.
-    likely = cut(most_likely(open_pairs(unsettled(lists, part), classes, join, best=True)))
+    likely = released(cut(most_likely(open_pairs(unsettled(lists, part), classes, join, best=True))))
     links = links.union(verified(stars(likely, join), docs, classes, join, common))
-    rest = cut(open_pairs(unsettled(lists, components(links)), classes, join, best=False).select("hub", "id").distinct())
+    rest = released(cut(open_pairs(unsettled(lists, components(links)), classes, join, best=False).select("hub", "id").distinct()))
     links = links.union(verified(clusters(rest, join), docs, classes, join, common))
     part = components(links).withColumnRenamed("id", "member")
 
