@@ -53,11 +53,19 @@ def _csv_files(rows: DataFrame, path: str, head: str | None = None) -> str:
     return path
 
 
-def _json_files(rows: DataFrame, path: str, payload: Column | None = None) -> str:
-    """One payload per day: the tables of the OTC board unless another is given (an aggregate over the day)."""
-    table = F.struct(F.array(F.struct(F.collect_list("cells").alias("data"))).alias("tables"))
-    day = rows.groupBy("day").agg(F.to_json(table if payload is None else payload).alias("value"))
-    day.repartition("day").select("value", "day").write.partitionBy("day").text(path)
+# What stands around the rows in a payload of the OTC board.
+TABLE = ('{"tables":[{"data":[', "]}]}")
+
+
+def _json_files(rows: DataFrame, path: str, entry: Column | None = None, head: str = TABLE[0], tail: str = TABLE[1]) -> str:
+    """One payload per day: an array of what ``entry`` makes of each row, between ``head`` and ``tail``, an entry to a
+    line; the tables of the OTC board unless others are given."""
+    day = Window.partitionBy("day").orderBy(F.lit(0))
+    value = F.concat(
+        F.when(F.row_number().over(day) == 1, head).otherwise(","), F.col("entry"),
+        F.when(F.lead(F.lit(0)).over(day).isNull(), tail).otherwise(""))
+    entries = rows.select("day", F.to_json(F.col("cells") if entry is None else entry).alias("entry"))
+    entries.select(value.alias("value"), "day").write.partitionBy("day").text(path)
     return path
 
 
@@ -66,9 +74,9 @@ def _rows(df: DataFrame, size: int, at: dict[int, Column]) -> DataFrame:
 
 
 def _valuations() -> Column:
-    return F.collect_list(F.struct(
+    return F.struct(
         F.date_format("day", "yyyyMMdd").alias("Date"), F.col("code").alias("SecuritiesCompanyCode"), F.col("per").alias("PriceEarningRatio"),
-        F.col("pbr").alias("PriceBookRatio"), F.col("yield").alias("YieldRatio")))
+        F.col("pbr").alias("PriceBookRatio"), F.col("yield").alias("YieldRatio"))
 
 
 def _valuation_rows(v: Views) -> DataFrame:
@@ -93,7 +101,7 @@ LAND = {
         1: _code(), 3: _whole("shares_issued"), 5: _whole("foreign_shares"), 7: F.concat(_price("foreign_ratio"), F.lit("%"))}), path),
     "valuation_listed": lambda v, path: _csv_files(_rows(v.valuation, 7, {
         0: _code(), 5: _price("per"), 6: _price("pbr"), 3: _price("dividend_yield")}), path),
-    "valuation_otc": lambda v, path: _json_files(_valuation_rows(v), path, _valuations()),
+    "valuation_otc": lambda v, path: _json_files(_valuation_rows(v), path, _valuations(), "[", "]"),
 }
 _BARS = "SELECT right(stock_id, 6) AS stock_id, trade_date, open, high, low, close, volume, amount, trades::INT AS trades FROM fx_bars"
 _FOUR = {c: 4 for c in ("open", "high", "low", "close")}
@@ -137,7 +145,7 @@ def _revenue_files(v: Views) -> DataFrame:
     entry = F.struct(
         ym.alias(names["ym"]), F.col("stock_id").alias(names["code"]), F.format_number(F.expr("revenue div 1000"), 0).alias(names["revenue"]),
         F.col("mom_pct").cast("string").alias(names["mom"]), F.col("yoy_pct").cast("string").alias(names["yoy"]))
-    path = _json_files(v.revenue.withColumn("day", month), f"{_scratch(v)}/revenue", F.collect_list(entry))
+    path = _json_files(v.revenue.withColumn("day", month), f"{_scratch(v)}/revenue", entry, "[", "]")
     return mf.read_month_revenue(v.spark, path, v.stock).select("stock_id", "revenue_month", "revenue", "mom_pct", "yoy_pct", "available_date")
 
 
@@ -161,8 +169,7 @@ def _nav_files(v: Views) -> DataFrame:
     record = F.struct(
         F.col("stock_id").alias("a"), F.lit("基金 {x} [y]").alias("b"), _whole("units").alias("c"), _price("nav").alias("e"),
         _price("prev_nav").alias("f"), F.date_format("day", "yyyyMMdd").alias("i"), F.struct(F.array(F.struct(F.lit(1).alias("w"))).alias("u")).alias("h"))
-    payload = F.struct(F.array(F.struct(F.collect_list(record).alias("msgArray"), F.lit("0").alias("rtCode"))).alias("a1"))
-    path = _json_files(v.etf.withColumn("day", F.col("trade_date")), f"{_scratch(v)}/nav", payload)
+    path = _json_files(v.etf.withColumn("day", F.col("trade_date")), f"{_scratch(v)}/nav", record, '{"a1":[{"msgArray":[', '],"rtCode":"0"}]}')
     return mf.read_etf_nav(v.spark, path, v.stock).select("stock_id", "trade_date", "nav", "prev_nav", "units", "aum")
 
 
@@ -330,7 +337,7 @@ def _streamed_files(v: Views) -> DataFrame:
     """Day files of five kinds, one per table, in both encodings, through the landing stream."""
     base = _scratch(v)
     for kind in ("daily_otc", "inst_listed", "margin_listed", "foreign_otc", "valuation_otc"):
-        LAND[kind](v, f"{base}/src/{kind}")
+        LAND[kind](v.loaded, f"{base}/src/{kind}")
     landing.start_landing(landing.arriving_files(v.spark, f"{base}/src", 5000), f"{base}/t", f"{base}/bad", f"{base}/ck").awaitTermination()
     value = {"price_daily": "volume", "inst_trades": "trust_net", "margin_trading": "margin_balance", "shareholding": "foreign_shares",
              "valuation_daily": "cast(round(per * 100) as bigint)"}

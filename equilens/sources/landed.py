@@ -56,7 +56,8 @@ def csv_rows(source: DataFrame, text: Column, after: str | None = None) -> DataF
     lines = F.split(text, r"\r?\n")
     whole = source.withColumn("_lines", lines).drop("content")
     if after is not None:
-        heads = F.transform(F.col("_lines"), lambda x: clean_code(first_csv_cell(x)))
+        # Only a line that holds the text can begin with it.
+        heads = F.transform(F.col("_lines"), lambda x: F.when(F.contains(x, F.lit(after)), clean_code(first_csv_cell(x))))
         whole = whole.withColumn("_at", F.array_position(heads, after).cast("int")).filter(F.col("_at") > 0)
         whole = whole.withColumn("_lines", F.slice("_lines", F.col("_at") + 1, F.size("_lines"))).drop("_at")
     kept = [c for c in whole.columns if c != "_lines"]

@@ -86,7 +86,7 @@ def read_daily_listed(spark: SparkSession, path: str, *, as_of_date=None) -> Dat
 
 def daily_otc_rows(found: DataFrame) -> DataFrame:
     rows = json_rows(found)
-    close = F.trim(F.regexp_replace(cell(2), ",", ""))
+    close = F.trim(F.replace(cell(2), F.lit(","), F.lit("")))
     typed = rows.filter((F.size("cells") > 9) & traded(close)).select(
         F.trim(cell(0)).alias(KEY), TIME,
         *[to_num(cell(i)).alias(c) for i, c in ((4, "open"), (5, "high"), (6, "low"), (2, "close"))],

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from equilens.functions.windows import KEY, TIME
 from equilens.operators.relational import union_all
+from equilens.session import materialize
 from equilens.sinks.tables import by_month, upsert
 from equilens.sources import market_files as mf
 from equilens.sources.landed import date_in_path
@@ -51,37 +52,45 @@ def arriving_files(spark: SparkSession, source_dir: str, files_per_trigger: int
     return reader.option("maxFilesPerTrigger", str(files_per_trigger)).load(source_dir)
 
 
+def _numbered(found: DataFrame) -> DataFrame:
+    """Files of a micro-batch (path) with their place among them, the latest last: names only, and so many as
+    ``maxFilesPerTrigger`` allows."""
+    place = F.row_number().over(Window.orderBy("modificationTime", "path"))
+    return F.broadcast(found.select("path", place.alias("arrived")))
+
+
 def load_files(batch: DataFrame, tables: str, routes: dict[str, Route] = ROUTES) -> DataFrame:
     """Upsert what the files (path, modificationTime, content) hold into the tables below ``tables``, by security and
     day; returns the files that gave no row, with the reason. Of two files with the same row the later one wins.
 
-    ``batch`` is read several times, so it should be persisted.
+    ``batch`` is read several times, so it should be persisted. A table's parsed rows are let go once it is written; which
+    files they came from is kept, so that no file is parsed twice.
     """
     spark = batch.sparkSession
     found = batch.select("path", "modificationTime", "content").withColumns(
         {"kind": kind_of(F.col("path"), list(routes)), TIME: date_in_path(F.col("path"))})
     kinds = sorted(r.kind for r in found.where(f"kind is not null and {TIME} is not null").select("kind").distinct().collect())
-    arrived = found.select("path", F.struct("modificationTime", "path").alias("arrived"))
-    good = []
-    by_table: dict[str, list[DataFrame]] = {}
+    arrived = _numbered(found)
+    by_table: dict[str, list[str]] = {}
     for kind in kinds:
-        rows = routes[kind].rows(found.where((F.col("kind") == kind) & F.col(TIME).isNotNull()).select("path", "content", TIME))
-        # One row per file of the micro-batch: the parsed rows need not move to meet them.
-        rows = rows.join(F.broadcast(arrived), "path").persist()
-        good.append(rows)
-        by_table.setdefault(routes[kind].table, []).append(rows.drop("path"))
-    try:
-        for table, rows in by_table.items():
-            upsert(spark, f"{tables}/{table}", union_all(*rows), (KEY, TIME), part=by_month(), order_col="arrived")
-        known = union_all(*[r.select("path") for r in good]).distinct() if good else found.select("path").limit(0)
-        reason = (
-            F.when(F.col("kind").isNull(), "no parser for its name")
-            .when(F.col(TIME).isNull(), "no date in its path")
-            .otherwise("no row that its parser knows"))
-        return found.join(known, "path", "left_anti").select("path", "kind", reason.alias("reason"), "modificationTime", "content")
-    finally:
-        for rows in good:
+        by_table.setdefault(routes[kind].table, []).append(kind)
+    known = [found.select("path").limit(0)]
+    for table, of in by_table.items():
+        # One number per file of the micro-batch: the parsed rows need not move to meet them.
+        rows = union_all(*[
+            routes[kind].rows(found.where((F.col("kind") == kind) & F.col(TIME).isNotNull()).select("path", "content", TIME))
+            for kind in of]).join(arrived, "path").persist()
+        try:
+            upsert(spark, f"{tables}/{table}", rows.drop("path"), (KEY, TIME), part=by_month(), order_col="arrived")
+            known.append(materialize(rows.select("path").distinct()))
+        finally:
             rows.unpersist()
+    reason = (
+        F.when(F.col("kind").isNull(), "no parser for its name")
+        .when(F.col(TIME).isNull(), "no date in its path")
+        .otherwise("no row that its parser knows"))
+    rejected = found.join(F.broadcast(union_all(*known)), "path", "left_anti")
+    return rejected.select("path", "kind", reason.alias("reason"), "modificationTime", "content")
 
 
 def start_landing(

@@ -101,3 +101,40 @@ def test_kinds(spark, path, kind):
     from pyspark.sql import functions as F
 
     assert spark.range(1).select(ld.kind_of(F.lit(path), list(ld.ROUTES))).first()[0] == kind
+
+
+def test_every_file_is_parsed_once(spark, tmp_path, rows):
+    from pyspark.sql import functions as F
+
+    (tmp_path / "src").mkdir()
+    for day in (1, 2, 3):
+        (tmp_path / "src" / f"x_2026010{day}.txt").write_bytes(f"110{day}".encode())
+    (tmp_path / "src" / "x_20260104.txt").write_bytes(b"none")
+    parsed = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def read(content):
+        parsed.add(1)
+        return bytes(content).decode()
+
+    def parse(found):
+        seen = found.select("path", "trade_date", F.explode(F.array(read("content"))).alias("stock_id"))
+        return seen.where("stock_id <> 'none'").withColumn("close", F.lit(1.0))
+
+    files = ld.arriving_files(spark, str(tmp_path / "src"))
+    ld.start_landing(files, str(tmp_path / "t"), str(tmp_path / "bad"), str(tmp_path / "ck"), {"x": ld.Route("t", parse)}).awaitTermination()
+    assert parsed.value == 4
+    assert [r[0] for r in rows(sk.read_fact(spark, str(tmp_path / "t" / "t")).select("stock_id"))] == ["1101", "1102", "1103"]
+    assert [(r.kind, r.reason) for r in spark.read.parquet(str(tmp_path / "bad")).collect()] == [("x", "no row that its parser knows")]
+
+
+def test_of_two_files_with_a_row_the_later_one_wins_whole(spark, tmp_path, rows):
+    import os
+
+    (tmp_path / "src").mkdir()
+    for name, at, cells in (("b", 1000, ["6488"] + [""] * 3 + ["1"] + [""] * 8 + ["2"] + [""] * 6), ("a", 2000, ["6488"] + [""] * 12 + ["3"] + [""] * 6)):
+        path = tmp_path / "src" / f"inst_otc_20260707_{name}.json"
+        path.write_text(json.dumps({"tables": [{"data": [cells]}]}))
+        os.utime(path, (at, at))
+    ld.start_landing(ld.arriving_files(spark, str(tmp_path / "src")), str(tmp_path / "t"), str(tmp_path / "bad"), str(tmp_path / "ck")).awaitTermination()
+    assert rows(sk.read_fact(spark, str(tmp_path / "t" / "inst_trades")).select("stock_id", "foreign_net", "trust_net")) == [("6488", None, 3)]

@@ -89,3 +89,15 @@ def test_revenue_month_and_start(spark):
                                "d date, m string")
     assert [r[0] for r in df.select(cal.effective_start(F.col("d"), F.col("m"))).collect()] == [
         D(2015, 3, 1), D(2010, 1, 1), D(1994, 1, 1), D(1994, 1, 1)]
+
+
+def test_csv_cells_of_plain_lines_equal_those_taken_cell_by_cell(spark):
+    import itertools
+
+    lines = ["".join(x) for n in range(6) for x in itertools.product('",a', repeat=n)] + ['"a\r","b"', '"1,2","",', 'x,"a"', '"a" ,"b"', "a, b ,", '" "']
+    slow = lambda x: F.transform(F.regexp_extract_all(F.concat(F.lit(","), x), F.lit(p._CSV_CELL), 1), p._unquoted)
+    assert column(spark, lines, p.csv_cells) == column(spark, lines, slow)
+
+
+def test_clean_code_without_wrapping(spark):
+    assert column(spark, [" 2330 ", '="0050"', '"1101"', "==x", None, ""], p.clean_code) == ["2330", "0050", "1101", "x", None, ""]
