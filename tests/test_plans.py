@@ -264,3 +264,21 @@ def test_rank_with_many_unknown_and_far_values(spark):
     want = df.withColumn("p", F.percent_rank().over(Window.partitionBy("security_type").orderBy(F.col("x").asc_nulls_first())))
     key = lambda d: sorted((str(r.security_type), str(r.x), round(r.p, 12)) for r in d.collect())
     assert key(got) == key(want)
+
+
+def test_summary_written_with_the_positions_equals_that_of_all_round_trips(spark):
+    from equilens.operators.ledger import matches
+
+    stock, bars, _ = make_market(spark)
+    snap = sn.snapshot({"stock": stock, "price_daily": bars})
+    rng = np.random.default_rng(4)
+    rows = [(i, str(rng.choice(["A", "C", "ZZ", "Y"])), str(rng.choice(["buy", "buy", "sell"])), D(2026, 1, 1 + int(rng.integers(28))),
+             float(rng.integers(1, 30)), float(rng.integers(5, 90)), 1.0, None) for i in range(200)] + [(999, None, "buy", DAY0, 1.0, 1.0, None, None)]
+    trades = spark.createDataFrame(rows, "id bigint, stock_id string, action string, trade_date date, shares double, price double, fee double, tax double")
+    items, total = pf.portfolio(trades, snap, bars)
+    assert total.collect() == pf.summary(items, matches(trades)).collect()
+    assert total.first().closed_n > 40
+    alone, none = pf.portfolio(trades, snap, bars, summarized=False)
+    assert none is None and sorted(map(str, alone.collect())) == sorted(map(str, items.collect()))
+    nothing = pf.portfolio(trades.limit(0), snap, bars)[1].first()
+    assert (nothing.n, nothing.closed_n, nothing.realized_total, nothing.win_rate) == (0, 0, 0, None)
